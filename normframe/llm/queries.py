@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op10_wu_manber_decontamination
 from .html_extract import op1_tag_path_extraction
+from .near_dedup import op3_chosen_path_near_dedup
 from .orc_ids import op5_orc_token_ids
 from .packing import op4_best_fit_packing
 from .quality_gam import op7_gam_quality
 from .sharding import op8_rendezvous_sharding
+from .surrogates import op9_pii_surrogates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query runs its operator over its whole table."""
     found = [
         op1_tag_path_extraction,
+        op3_chosen_path_near_dedup,
         op4_best_fit_packing,
         op5_orc_token_ids,
         op7_gam_quality,
         op8_rendezvous_sharding,
+        op9_pii_surrogates,
         op10_wu_manber_decontamination,
     ]
     return {f.__name__: f for f in found}

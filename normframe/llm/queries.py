@@ -13,6 +13,7 @@ from .orc_ids import op5_orc_token_ids
 from .packing import op4_best_fit_packing
 from .quality_gam import op7_gam_quality
 from .sharding import op8_rendezvous_sharding
+from .suffix_dedup import op2_suffix_dedup
 from .surrogates import op9_pii_surrogates
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query runs its operator over its whole table."""
     found = [
         op1_tag_path_extraction,
+        op2_suffix_dedup,
         op3_chosen_path_near_dedup,
         op4_best_fit_packing,
         op5_orc_token_ids,

@@ -282,6 +282,20 @@ def near_duplicates(
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` whose document is the first of its group, with the columns of ``docs``.
+
+    Rows that share an id are one document: all of them stay or go. Rows with a
+    null id stay. The ids that go are counted; few enough are broadcast, so that
+    texts are not shuffled, and more are joined by a shuffle.
+    """
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    gone = materialize(gone, "gone")
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def op3_chosen_path_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents at a similarity of 0.85 on word 5-grams."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")

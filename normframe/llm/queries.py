@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import op6_multiprobe_neighbours
 from .decontamination import op10_wu_manber_decontamination
 from .html_extract import op1_tag_path_extraction
 from .near_dedup import op3_chosen_path_near_dedup
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_chosen_path_near_dedup,
         op4_best_fit_packing,
         op5_orc_token_ids,
+        op6_multiprobe_neighbours,
         op7_gam_quality,
         op8_rendezvous_sharding,
         op9_pii_surrogates,

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .shared import materialize
 
+#: Rows of (node, root) up to which a table is broadcast, 16 bytes each.
+BROADCAST_ROWS = 500_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b), of type long.
@@ -25,13 +28,15 @@ def components(edges: DataFrame) -> DataFrame:
     labels = None
     while not live.isEmpty():
         hooks = materialize(live.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "hooks")
+        few = hooks.count() <= BROADCAST_ROWS
+        small = F.broadcast if few else (lambda table: table)  # counted; larger tables are joined by a shuffle
         if labels is None:
             labels = hooks
         else:
-            moved = hooks.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            moved = small(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")))
             labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
-        at_a = hooks.select(F.col("node").alias("a"), F.col("root").alias("x"))
-        at_b = hooks.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        at_a = small(hooks.select(F.col("node").alias("a"), F.col("root").alias("x")))
+        at_b = small(hooks.select(F.col("node").alias("b"), F.col("root").alias("y")))
         live = materialize(live.join(at_a, "a").join(at_b, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 

@@ -27,8 +27,9 @@ from .graph import components, labels_of, whole_groups
 from .shared import materialize, read_table, utf8
 from .textscan import SPACED, mix64, shingles, slices, words
 
-#: Minwise tokens of a sketch, independent trees, and documents of a leaf.
-TOKENS, TREES, LEAF = 64, 10, 256
+#: Minwise tokens of a sketch, independent trees, and documents of a leaf. A pair at the
+#: threshold misses all ten roots with a chance of (1 - 0.85**2)**10, 3 in a million.
+TOKENS, TREES, LEAF = 64, 10, 1000
 #: Levels after which a node that never fell apart is cut into overlapping leaves.
 DEPTH = 30
 #: Standard deviations of the sketch's estimate below the threshold at which a pair still is a candidate.
@@ -101,14 +102,16 @@ def leaves(sketches: DataFrame, threshold: float, trees: int = TREES, leaf: int
     """(path, node): the leaves of all trees with two or more documents.
 
     ``sketches``: a table of node, sketch, one row for each distinct set. A
+    tree's root branches by two tokens at once. A
     level is counted with partial aggregates; only documents in nodes over
     ``leaf`` go on. A node still too large after DEPTH levels holds sets that
     agree in nearly all tokens: it is cut into leaves by a hash, and all of
     these share the node's first documents, over which they stay connected.
     """
     roots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t.cast("long"))))
-    at = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
-    rows = sketches.withColumn("path", roots).select("node", F.xxhash64("path", F.element_at("sketch", at + 1)).alias("path"))
+    first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
+    rows = sketches.withColumn("path", roots).select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
     found = []
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")

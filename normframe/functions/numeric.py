@@ -31,7 +31,7 @@ def nan_max(value: Column) -> Column:
 
 def usable_scale(scale: Column) -> Column:
     """A computed scale with exact zeros of either sign replaced by one."""
-    return F.when(scale == 0.0, F.lit(1.0)).otherwise(scale)
+    return F.element_at(F.transform(F.array(scale), lambda s: F.when(s == 0.0, F.lit(1.0)).otherwise(s)), 1)
 
 
 def normal_range(lower: float, upper: float) -> float:
@@ -86,7 +86,16 @@ class RowVector:
             low = F.array_min(self.values)
         return F.when(F.isnan(self.max()), F.lit(NAN)).otherwise(low)
 
-    def quantiles(self, qs: Sequence[float]) -> list[Column]:
-        ordered = F.array_sort(self.array())
-        bad = F.isnan(self.max())
-        return [F.when(bad, F.lit(NAN)).otherwise(sorted_quantile(ordered, self.size, q)) for q in qs]
+    def let(self, value: Column, f: Callable[[Column], Column]) -> Column:
+        """``f`` of a value that is computed once a row.
+
+        A lambda over an array evaluates what it closes over for every element;
+        a value bound as a lambda's own variable is not computed again.
+        """
+        return f(value) if self.wide else F.element_at(F.transform(F.array(value), f), 1)
+
+    def quantiles(self, qs: Sequence[float]) -> Column:
+        """An array of exact linear quantiles, all NaN if any value is."""
+        pick = lambda ordered: F.array(*[sorted_quantile(ordered, self.size, q) for q in qs])
+        found = F.element_at(F.transform(F.array(F.array_sort(self.array())), pick), 1)
+        return F.when(F.isnan(self.max()), F.array(*[F.lit(NAN) for _ in qs])).otherwise(found)

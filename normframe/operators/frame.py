@@ -46,10 +46,15 @@ def _column_stage(m: Any, params: ColumnParams) -> Any:
 
 
 def _row_stage(m: Any, df: DataFrame, center: Column | None, scale: Column | None) -> Any:
-    df = df.withColumns({"_center": center} if center is not None else {}).withColumns({"_scale": scale} if scale is not None else {})
-    c, s = F.col("_center") if center is not None else None, F.col("_scale") if scale is not None else None
-    row = m.row().map(lambda x: _normalized(x, c, s))
-    return m.replaced(row.values, df)
+    if isinstance(m, Wide):
+        df = df.withColumns({k: v for k, v in (("_center", center), ("_scale", scale)) if v is not None})
+        c, s = (None if x is None else F.col(n) for n, x in (("_center", center), ("_scale", scale)))
+        return m.replaced(m.row().map(lambda x: _normalized(x, c, s)).values, df)
+    row = m.row()
+    none = F.lit(None).cast("double")
+    both = F.struct((none if center is None else center).alias("c"), (none if scale is None else scale).alias("s"))
+    out = row.let(both, lambda p: F.transform(row.values, lambda x: _normalized(x, None if center is None else p["c"], None if scale is None else p["s"])))
+    return m.replaced(out, df)
 
 
 def apply_stage(m: Any, stage: Any) -> Any:

@@ -11,6 +11,9 @@ from ..functions.numeric import NAN, RowVector, normal_range, usable_scale
 from .recipes import ColumnNormalization, ColumnParams, Recipe, RowParams
 
 # Elementwise functions of the reductions; c is the center of the column.
+#: Columns up to which a row's statistics are plain expressions; wider rows are folded as arrays.
+INLINE = 8
+
 IDENTITY = lambda x, c: x
 DEVIATION = lambda x, c: x - c
 ABSOLUTE = lambda x, c: F.abs(x - c)
@@ -133,31 +136,37 @@ def row_components(row: RowVector, recipe: Recipe) -> tuple[Any, Any]:
         center = None if recipe.center == "none" else F.lit(NAN)
         zero = recipe.center == "none" and recipe.scale in ("maxabs", "l1", "l2")
         return center, None if recipe.scale == "none" else F.lit(1.0 if zero else NAN)
+    if row.wide and p > INLINE:
+        row = RowVector(row.array(), p)
     mean = row.sum() / F.lit(float(p))
     center = {"none": lambda: None, "mean": lambda: mean, "min": row.min, "median": lambda: row.quantiles([0.5])[0]}[recipe.center]()
-    moved = row if center is None else row.map(lambda x: x - center)
+
+    def moved(f: Any) -> Any:
+        """``f`` of the centered row."""
+        return f(row) if center is None else row.let(center, lambda c: f(row.map(lambda x: x - c)))
+
+    def sd(away: RowVector) -> Any:
+        return row.let(away.sum(), lambda off: F.sqrt((away.map(lambda x: x * x).sum() - off * off / F.lit(float(p))) / F.lit(float(p - recipe.df))))
+
     if recipe.scale == "none":
         return center, None
     if recipe.scale == "sd":
         if p <= recipe.df:
             return center, F.lit(NAN)
-        away = row.map(lambda x: x - mean)
-        off = away.sum()
-        scale = F.sqrt((away.map(lambda x: x * x).sum() - off * off / F.lit(float(p))) / F.lit(float(p - recipe.df)))
+        scale = row.let(mean, lambda m: sd(row.map(lambda x: x - m)))
     elif recipe.scale == "range":
         scale = row.max() - row.min()
     elif recipe.scale == "quantile_range":
-        low = row.min()
-        a, b = row.map(lambda x: x - low).quantiles(recipe.quantile_range)
-        scale = b - a
+        both = row.let(row.min(), lambda low: row.map(lambda x: x - low).quantiles(recipe.quantile_range))
+        scale = F.aggregate(both, F.lit(0.0), lambda acc, q: q - acc)  # upper minus lower
         if recipe.unit_variance:
             scale = scale / F.lit(normal_range(*recipe.quantile_range))
     elif recipe.scale == "maxabs":
-        scale = moved.map(F.abs).max()
+        scale = moved(lambda r: r.map(F.abs).max())
     elif recipe.scale == "l1":
-        scale = moved.map(F.abs).sum()
+        scale = moved(lambda r: r.map(F.abs).sum())
     else:
-        scale = F.sqrt(moved.map(lambda x: x * x).sum())
+        scale = F.sqrt(moved(lambda r: r.map(lambda x: x * x).sum()))
     return center, usable_scale(scale)
 
 

@@ -85,6 +85,28 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cells: i
     )
 
 
+def partition_slots(spark: SparkSession, parts: int, each: int, kind: str) -> list[int]:
+    """``parts`` x ``each`` distinct numbers that hash partitioning into ``parts`` deals evenly.
+
+    Number k goes to partition k % parts. Groups named by these numbers fill all
+    partitions alike, where groups named 0, 1, ... would collide by chance.
+    """
+    found: list[list[int]] = [[] for _ in range(parts)]
+    low, step = 0, 16 * parts * each
+    while any(len(f) < each for f in found):
+        hashed = spark.range(low, low + step, 1, 1).select("id", F.pmod(F.hash(F.col("id").cast(kind)), F.lit(parts)).alias("p"))
+        for row in hashed.collect():
+            if len(found[row["p"]]) < each:
+                found[row["p"]].append(row["id"])
+        low += step
+    return [found[k % parts][k // parts] for k in range(parts * each)]
+
+
+def pick(numbers: list[int], at: Column, kind: str) -> Column:
+    """The entry of a constant list at a place counted from 0; the list is folded into one literal."""
+    return F.element_at(F.split(F.lit(",".join(map(str, numbers))), ","), at.cast("int") + 1).cast(kind)
+
+
 def utf8(col: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

@@ -30,14 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import whole_groups
-from .shared import read_table, utf8
-from .textscan import gather_ranges, mix64, powers, text_buffer
+from .shared import partition_slots, pick, read_table, utf8
+from .textscan import SLICE_BYTES, gather_ranges, mix64, powers, text_buffer
 
 LENGTH, GRAM = 100, 50
 #: Depth of the multikey quicksort; longer common prefixes go to blind tries.
 SHALLOW = 24
 #: Stretches of one anchor beyond which its windows are dealt by their own hash, each on its own.
 HOT = 20_000
+#: Groups of documents, and parts of a bucket, in each shuffle partition.
+GROUPS, PARTS = 2, 8
 
 
 class Windows:
@@ -172,6 +174,38 @@ def _table(docs: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     return docs, *text_buffer(docs["text"])
 
 
+def _row_slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about SLICE_BYTES of text, one row at least."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1))
+        yield at, to
+        at = to
+
+
+def _stretches(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, twice: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Row, place, windows, anchor and content hash of the stretches whose anchor repeats.
+
+    Stretches of an anchor that is there often are cut into single windows,
+    which go by their own hash.
+    """
+    parts = []
+    for x, y in _row_slices(offsets):
+        found = Windows(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length, gram)
+        keep = np.isin(found.keys, twice)
+        row, at, count, keys = found.row[keep], found.at[keep], found.count[keep], found.keys[keep]
+        if not len(at):
+            continue
+        if len(often) and (many := np.isin(keys, often)).any():
+            n = np.where(many, count, 1)
+            single = np.repeat(many, n)
+            at = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row, count = np.repeat(row, n), np.where(single, 1, np.repeat(count, n))
+            keys = np.where(single, found.hashes(at, length), np.repeat(keys, n))
+        parts.append((row + x, at + offsets[x], count, keys, found.hashes(at, count + length - 1)))
+    return tuple(np.concatenate([p[k] for p in parts]) for k in range(5)) if parts else tuple(np.zeros(0, t) for t in (*[np.int64] * 3, *[np.uint64] * 2))
+
+
 def _split(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An order by bucket, the buckets, and the bounds of each in that order."""
     order = np.argsort(bucket, kind="stable")
@@ -190,20 +224,22 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_groups, n_buckets = 8 * parts, 4 * parts
+    groups, buckets = partition_slots(spark, parts, GROUPS, "int"), np.array(partition_slots(spark, parts, 1, "bigint"))
     kind = df.schema[id_col].dataType.simpleString()
     text = utf8(text_col)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    docs = docs.withColumn("dp", F.pmod(F.xxhash64("id", "tie"), F.lit(n_groups)).cast("int")).repartition(parts, "dp")
+    docs = docs.withColumn("dp", pick(groups, F.pmod(F.xxhash64("id", "tie"), F.lit(len(groups))), "int")).repartition(parts, "dp")
 
     def count_anchors(group: pa.Table) -> pa.Table:
         dp = group["dp"][0].as_py()
-        keys, n = np.unique(Windows(*_table(group)[1:], length, gram).keys, return_counts=True)
-        order, values, bounds = _split(keys % np.uint64(n_buckets))
+        _, raw, offsets = _table(group)
+        found = [Windows(raw[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x], length, gram).keys for x, y in _row_slices(offsets)]
+        keys, n = np.unique(np.concatenate(found), return_counts=True)
+        order, values, bounds = _split(keys % np.uint64(parts))
         rows = [order[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         return pa.table(
             {
-                "bucket": pa.array(values.astype(np.int64)),
+                "bucket": pa.array(buckets[values.astype(np.int64)]),
                 "dp": pa.array([dp] * len(rows), pa.int32()),
                 "keys": pa.array([keys[r].tobytes() for r in rows], pa.binary()),
                 "n": pa.array([np.minimum(n[r], 1 << 31).astype(np.uint32).tobytes() for r in rows], pa.binary()),
@@ -229,45 +265,43 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
                 )
 
     def cut_stretches(group: pa.Table, answers: pa.Table) -> pa.Table:
-        dp = group["dp"][0].as_py() if group.num_rows else 0
+        dp = group["dp"][0].as_py()
         docs, raw, offsets = _table(group)
-        found = Windows(raw, offsets, length, gram)
         twice, often = (np.frombuffer(b"".join(answers[c].to_pylist()), np.uint64) for c in ("twice", "often"))
-        keep = np.isin(found.keys, twice)
-        row, at, count, keys = found.row[keep], found.at[keep], found.count[keep], found.keys[keep]
-        if len(often) and (many := np.isin(keys, often)).any():  # windows of their own
-            n = np.where(many, count, 1)
-            at2 = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            single = np.repeat(many, n)
-            keys = np.where(single, found.hashes(at2, length), np.repeat(keys, n))
-            row, count, at = np.repeat(row, n), np.where(single, 1, np.repeat(count, n)), at2
+        row, at, count, keys, content = _stretches(raw, offsets, length, gram, twice, often)
         size = count + length - 1
-        out = {c: [] for c in ("bucket", "dp", "docs", "rows", "starts", "sizes", "text", "marks")}
+        fields = ("docs", "rows", "starts", "sizes", "text")
+        out: dict[str, list] = {c: [] for c in ("bucket", "dp", *fields, "marks")}
         if len(at):
-            # Equal stretches of this group: only the first leaves it.
-            h = found.hashes(at, size)
-            _, first, same = np.unique(h, return_index=True, return_inverse=True)
+            # Of equal stretches in this group only the first leaves it.
+            _, first, same = np.unique(content, return_index=True, return_inverse=True)
             lead = first[same]
             later = np.flatnonzero((lead != np.arange(len(at))) & (size == size[lead]) & (keys == keys[lead]))
-            equal = np.array([raw[at[i] : at[i] + size[i]].tobytes() == raw[at[j] : at[j] + size[j]].tobytes() for i, j in zip(later.tolist(), lead[later].tolist(), strict=True)], bool)
-            later = later[equal]
+            pairs = zip(at[later].tolist(), at[lead[later]].tolist(), size[later].tolist(), strict=True)
+            later = later[np.array([raw[x : x + n].tobytes() == raw[y : y + n].tobytes() for x, y, n in pairs], bool)]
             if len(later):
                 start = at[later] - offsets[row[later]]
-                marks = np.column_stack((row[later], start, start + count[later] - 1)).astype(np.int32)
-                for c, v in zip(out, (dp % n_buckets, dp, b"", b"", b"", b"", b"", marks.tobytes()), strict=True):
-                    out[c].append(v)
+                out["bucket"].append(int(buckets[groups.index(dp) % parts]))
+                out["marks"].append(np.column_stack((row[later], start, start + count[later] - 1)).astype(np.int32).tobytes())
+                for c in fields:
+                    out[c].append([b""] * PARTS)
             left = np.ones(len(at), bool)
             left[later] = False
             row, at, size, keys = row[left], at[left], size[left], keys[left]
             ids = docs["id"].cast(pa.int64()).fill_null(-(1 << 63)).to_numpy()
-            order, values, bounds = _split(keys % np.uint64(n_buckets))
-            for v, x, y in zip(values.tolist(), bounds[:-1], bounds[1:], strict=True):
-                r = order[x:y]
-                strings = raw[gather_ranges(at[r], size[r])].tobytes()
-                fields = (ids[row[r]].astype(np.int64), row[r].astype(np.int32), (at[r] - offsets[row[r]]).astype(np.int32), size[r].astype(np.int32))
-                for c, b in zip(out, (v, dp, *(f.tobytes() for f in fields), strings, b""), strict=True):
-                    out[c].append(b)
-        kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 6]
+            order, values, bounds = _split(keys % np.uint64(parts * PARTS))
+            cells = {int(v): order[x:y] for v, x, y in zip(values, bounds[:-1], bounds[1:], strict=True)}
+            for bucket in sorted({v // PARTS for v in cells}):
+                own = [cells.get(PARTS * bucket + k, np.zeros(0, np.int64)) for k in range(PARTS)]
+                out["bucket"].append(int(buckets[bucket]))
+                out["marks"].append(b"")
+                out["docs"].append([ids[row[r]].tobytes() for r in own])
+                out["rows"].append([row[r].astype(np.int32).tobytes() for r in own])
+                out["starts"].append([(at[r] - offsets[row[r]]).astype(np.int32).tobytes() for r in own])
+                out["sizes"].append([size[r].astype(np.int32).tobytes() for r in own])
+                out["text"].append([raw[gather_ranges(at[r], size[r])].tobytes() for r in own])
+        out["dp"] = [dp] * len(out["bucket"])
+        kinds = [pa.int64(), pa.int32(), *[pa.list_(pa.binary())] * 5, pa.binary()]
         return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +313,15 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
                 for dp, b in zip(dps.tolist(), own.column(7).to_pylist(), strict=True):
                     if b:
                         marks.setdefault(dp, []).append(b)
-                ids, rows, at, sizes = (
-                    np.frombuffer(b"".join(own.column(k).to_pylist()), t).astype(np.int64) for k, t in ((2, np.int64), (3, np.int32), (4, np.int32), (5, np.int32))
-                )
-                if len(ids):
-                    each = np.array([len(b) // 8 for b in own.column(2).to_pylist()])
-                    dp = np.repeat(dps, each).astype(np.int64)
-                    text = np.frombuffer(b"".join(own.column(6).to_pylist()), np.uint8)
-                    for d, lo in _later(ids, dp, rows, at, sizes, text, length):
-                        marks.setdefault(d, []).append(lo.tobytes())
+                columns = [own.column(k) for k in range(2, 7)]
+                for part in range(PARTS):
+                    cells = [[c[i][part].as_py() for i in range(len(c))] for c in columns]
+                    ids, rows, at, sizes = (np.frombuffer(b"".join(c), t).astype(np.int64) for c, t in zip(cells, (np.int64, np.int32, np.int32, np.int32), strict=False))
+                    if len(ids):
+                        dp = np.repeat(dps, [len(b) // 8 for b in cells[0]]).astype(np.int64)
+                        text = np.frombuffer(b"".join(cells[4]), np.uint8)
+                        for d, found in _later(ids, dp, rows, at, sizes, text, length):
+                            marks.setdefault(d, []).append(found.tobytes())
                 if marks:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(list(marks), pa.int32()), pa.array([b"".join(m) for m in marks.values()], pa.binary())], ["dp", "marks"]
@@ -296,18 +330,25 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     def digest(group: pa.Table, marks: pa.Table) -> pa.Table:
         docs, raw, offsets = _table(group)
         found = np.frombuffer(b"".join(marks["marks"].to_pylist()), np.int32).reshape(-1, 3).astype(np.int64)
-        cover = np.zeros(len(raw) + 1, np.int64)
-        np.add.at(cover, offsets[found[:, 0]] + found[:, 1], 1)
-        np.add.at(cover, offsets[found[:, 0]] + found[:, 2] + length, -1)
-        gone = np.cumsum(cover)[:-1] > 0
-        starts = gone.copy()
-        starts[1:] &= ~gone[:-1]
-        inner = offsets[(offsets > 0) & (offsets < len(raw))]
-        starts[inner] = gone[inner]
-        total, spans = (np.concatenate(([0], np.cumsum(f)))[offsets] for f in (gone, starts))
-        kept = [raw[x:y][~gone[x:y]].tobytes() for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        n_removed, n_spans, kept = [], [], []
+        for x, y in _row_slices(offsets):
+            own = found[slice(*np.searchsorted(found[:, 0], (x, y)))]
+            bounds = offsets[x : y + 1] - offsets[x]
+            cover = np.zeros(bounds[-1] + 1, np.int64)
+            np.add.at(cover, bounds[own[:, 0] - x] + own[:, 1], 1)
+            np.add.at(cover, bounds[own[:, 0] - x] + own[:, 2] + length, -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            starts = gone.copy()
+            starts[1:] &= ~gone[:-1]
+            inner = bounds[(bounds > 0) & (bounds < len(gone))]
+            starts[inner] = gone[inner]
+            for flags, into in ((gone, n_removed), (starts, n_spans)):
+                into.append(np.diff(np.concatenate(([0], np.cumsum(flags)))[bounds]))
+            text = raw[offsets[x] : offsets[y]]
+            kept += [text[a:b][~gone[a:b]].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         out = {
-            "id": docs["id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.diff(total)), "n_spans": pa.array(np.diff(spans)),
+            "id": docs["id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(np.concatenate(n_removed)), "n_spans": pa.array(np.concatenate(n_spans)),
             "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
         }
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_kept else {}))
@@ -316,7 +357,7 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     anchors = dealt.applyInArrow(count_anchors, "bucket bigint, dp int, keys binary, n binary")
     repeated = anchors.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(find_repeated, "dp int, twice binary, often binary")
     stretches = dealt.cogroup(repeated.groupBy("dp")).applyInArrow(
-        cut_stretches, "bucket bigint, dp int, docs binary, rows binary, starts binary, sizes binary, text binary, marks binary"
+        cut_stretches, "bucket bigint, dp int, docs array<binary>, rows array<binary>, starts array<binary>, sizes array<binary>, text array<binary>, marks binary"
     )
     marks = stretches.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(mark, "dp int, marks binary")
     schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, labels_of, whole_groups
@@ -98,21 +98,23 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "_at", F.element_at("sketch", F.col("_at") + 1))).drop("_at")
 
 
-def leaves(sketches: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
-    """(path, node): the leaves of all trees with two or more documents.
+def leaves(sketches: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+    """(path, node): the leaves of all trees with two or more documents, and the nodes that had to be cut.
 
     ``sketches``: a table of node, sketch, one row for each distinct set. A
     tree's root branches by two tokens at once. A
     level is counted with partial aggregates; only documents in nodes over
     ``leaf`` go on. A node still too large after DEPTH levels holds sets that
     agree in nearly all tokens: it is cut into leaves by a hash, and all of
-    these share the node's first documents, over which they stay connected.
+    these share the node's first document, over which they stay connected. The
+    second table (path, node, head, parts) lists such nodes, for ``_cut_links``.
     """
     roots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t.cast("long"))))
     first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
     rows = sketches.withColumn("path", roots).select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
-    found = []
+    found: list[DataFrame] = []
+    cut_nodes = None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         table = materialize(rows.select("node", "path").join(sizes, "path"), "level")
@@ -122,18 +124,47 @@ def leaves(sketches: DataFrame, threshold: float, trees: int = TREES, leaf: int
         if large.isEmpty():
             break
         if level == DEPTH:
-            heads = large.groupBy("path", "n").agg(F.min("node").alias("head"))
-            parts = F.ceil(F.col("n") / F.lit(leaf // 2)).cast("int")
-            cut = F.xxhash64("path", F.pmod(F.xxhash64("node"), parts))
-            found.append(large.select(cut.alias("path"), "node"))
-            every = heads.select("path", F.col("head").alias("node"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("p"))
-            found.append(every.select(F.xxhash64("path", F.col("p").cast("long")).alias("path"), "node"))
+            parts = F.ceil(F.col("n") / F.lit(max(1, leaf // 2))).cast("int")
+            heads = large.groupBy("path").agg(F.min("node").alias("head"))
+            cut_nodes = materialize(large.join(heads, "path").select("path", "node", "head", parts.alias("parts")), "cut")
+            found.append(cut_nodes.select(_part("node").alias("path"), "node"))
+            each = cut_nodes.filter("node = head").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            found.append(each.select(F.xxhash64("path", F.col("p").cast("long")).alias("path"), "node"))
             break
         rows = _children(large.select("node", "path").join(sketches.select("node", "sketch"), "node"), threshold)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
-    return out
+    return (out if cut_nodes is None else out.distinct()), cut_nodes
+
+
+def _part(node: str) -> Column:
+    """The leaf of a cut node that a document is dealt to."""
+    return F.xxhash64("path", F.pmod(F.xxhash64(node), F.col("parts")).cast("long"))
+
+
+def _cut_links(cut_nodes: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, node, doc): what is left to compare in cut nodes.
+
+    A document that is connected with the node's first one needs no more links
+    there. Each of the others meets all documents of its node: the others are
+    cut too, and every part of them meets every leaf.
+    """
+    root = parts.select(F.col("node").alias("_n"), "root")
+    own = cut_nodes.join(root, cut_nodes["node"] == root["_n"], "left").select("path", "node", "head", "parts", F.coalesce("root", "node").alias("own"))
+    top = parts.select(F.col("node").alias("_h"), F.col("root").alias("top"))
+    rest = own.join(top, own["head"] == top["_h"], "left").filter(F.col("own") != F.coalesce("top", "head")).select("path", "node", "parts")
+    sizes = rest.groupBy("path").agg(F.count("*").alias("m"))
+    few = F.ceil(F.col("m") * F.col("parts") / F.col("n")).cast("int")  # parts of the rest, as large as leaves
+    counts = cut_nodes.groupBy("path").agg(F.count("*").alias("n"))
+    shapes = sizes.join(counts, "path").join(cut_nodes.select("path", "parts").distinct(), "path").select("path", "parts", few.alias("few"))
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("few")).cast("long")
+    left = rest.select("path", "node").join(shapes, "path").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select(F.xxhash64("path", F.col("p").cast("long"), mine).alias("key"), "node")
+    place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
+    right = cut_nodes.select("path", "node").join(shapes, "path").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
+    right = right.select(F.xxhash64("path", place, F.col("q").cast("long")).alias("key"), "node")
+    return left.union(right).distinct().join(classes.select("node", "doc"), "node").select("key", "node", "doc")
 
 
 def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -269,13 +300,17 @@ def near_duplicates(
     filled = scanned.filter("n_shingles > 0")
     first = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
     classes = materialize(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *first), "classes")
-    nodes = leaves(classes, threshold, trees, leaf)
+    nodes, cut_nodes = leaves(classes, threshold, trees, leaf)
     groups = components(_candidates(nodes, classes, threshold))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     member = materialize(groups.join(sizes, "root").join(classes.select("node", "doc"), "node"), "candidates")
     small = member.filter(F.col("n") <= leaf).select(F.col("root").alias("key"), "node", "doc")
     large = member.filter(F.col("n") > leaf).join(nodes, "node").select(F.xxhash64("path", "root").alias("key"), "node", "doc")
     links = _confirm(small.union(large), docs, width, num, den, id_col, text_col, member.count())
+    if cut_nodes is not None:
+        links = materialize(links, "links")
+        rest = materialize(_cut_links(cut_nodes, components(links), classes), "rest")
+        links = links.union(_confirm(rest, docs, width, num, den, id_col, text_col, rest.count()))
     parts = components(links)
     named = classes.select("node", "doc", "copies").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
     lowest = named.filter("root is not null").groupBy("root").agg(F.min("doc").alias("low"))

@@ -168,11 +168,17 @@ def test_near_duplicates_edges(table):
 
 
 def test_terminal_nodes_are_cut(table, monkeypatch):
-    monkeypatch.setattr(near_dedup, "DEPTH", 2)
+    monkeypatch.setattr(near_dedup, "DEPTH", 1)
     words = prose(400, 8).split(" ")
-    rows = [(k, " ".join([*words[:k], f"n{k}", *words[k + 1 :]])) for k in range(40)]
+    near = [(k, " ".join([*words[:k], f"n{k}", *words[k + 1 :]])) for k in range(40)]
+    # Pairs that are linked with each other and hardly with the rest, but share most tokens.
+    far = []
+    for k in range(20):
+        own = [f"q{k // 2}x{j}" if j % 28 == 0 else w for j, w in enumerate(words)]
+        far.append((100 + k, " ".join([*own[: 30 + k], f"m{k}", *own[31 + k :]])))
+    rows = near + far
     got = near_dedup.near_duplicates(table(rows, "doc_id long, text string"), leaf=8).collect()
-    assert {r["component_id"] for r in got} == {0}
+    assert {r[0]: tuple(r)[1:] for r in got} == components_by_force(rows)
 
 
 def test_components(spark, table):

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import normframe as nf
 from normframe.functions.numeric import normal_range
@@ -235,7 +236,7 @@ def layouts_plain(spark, x):
 
 
 def test_empty(spark):
-    rows = nf.from_numpy(spark, np.zeros((1, 3))).where(nf.from_numpy(spark, np.zeros((1, 3))).df["i"] < 0)
+    rows = nf.from_numpy(spark, np.zeros((1, 3))).where(F.col("i") < 0)
     for m in (rows, rows.to_wide(), nf.from_coo(spark, [], [], [], (0, 3))):
         s = nf.ColumnStatistics(m)
         for f in (s.means, s.sds, s.mins, s.ranges, s.medians, s.quantile_ranges):

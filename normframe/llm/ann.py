@@ -33,6 +33,8 @@ TABLES, K = 10, 10
 SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.97
 #: Entries of a bucket that one task takes, probes at most, and queries of an exact block.
 CROWDED, MOST_PROBES, BLOCK = 20_000, 512, 2048
+#: Results that a task gathers before it merges them.
+HELD = 100_000
 
 
 @dataclass
@@ -204,14 +206,21 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(row), part.column(1).take(row)], ["key", "id", "vector"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # each query's nearest in the buckets so far
+        added = 0
         for batch, starts in whole_groups(batches, "key"):
             asks = batch.column(1).to_numpy(zero_copy_only=False)
             for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 cut = x + int(np.searchsorted(asks[x:y], 1))
                 if x < cut < y:
-                    q = batch.slice(cut, y - cut)
+                    q, own = batch.slice(cut, y - cut), batch.slice(x, cut - x)
                     for at in range(0, q.num_rows, 256):
-                        yield _best(q.slice(at, 256).column(2), _matrix(q.slice(at, 256).column(3)), batch.slice(x, cut - x).column(2), _matrix(batch.slice(x, cut - x).column(3)), k + 1)
+                        held.append(_best(q.slice(at, 256).column(2), _matrix(q.slice(at, 256).column(3)), own.column(2), _matrix(own.column(3)), k + 1))
+                        added += held[-1].num_rows
+                    if added > max(HELD, held[0].num_rows):
+                        held, added = [_merged(held, k + 1)], 0
+        if held:
+            yield _merged(held, k + 1)
 
     asked_ids = queries.select(F.col(id_col).alias("query_id")).filter("query_id is not null").distinct()
     asked = materialize(_entries(queries, id_col, vector_col, 1).filter(F.octet_length("vector") == 8 * dim).select("vector").join(entries, "vector").select("rep", "vector"), "asked")
@@ -273,6 +282,12 @@ def _best(q_ids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int)
     return pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score)], ["q", "rep", "score"])
 
 
+def _merged(found: list[pa.RecordBatch], k: int) -> pa.RecordBatch:
+    """The k nearest distinct entries of each query among several results."""
+    rows = pa.Table.from_batches(found).to_pandas().drop_duplicates(["q", "rep"]).sort_values(["q", "score", "rep"]).groupby("q", sort=False).head(k)
+    return pa.RecordBatch.from_pandas(rows, schema=found[0].schema, preserve_index=False)
+
+
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct entries of each query."""
     order = Window.partitionBy("q").orderBy("score", "rep")

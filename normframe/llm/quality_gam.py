@@ -222,7 +222,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     The sample is the ``sample_rows`` labels with the smallest hash of their
     id; so it is the same wherever and in whatever order rows are read. Null
-    labels and ids take no part.
+    labels and ids take no part. Of documents that share an id one is taken,
+    the one with the smallest hash of its text, so no id can exceed the bound.
     """
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -232,14 +233,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     )
     # The sample's bound is a parameter, so it may be broadcast.
     sample = docs.select(F.col(id_col).alias("_key"), utf8(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_key") == F.col("_id"))
-    rows = with_features(sample.select("_key", "_label", F.xxhash64("_text").alias("_tie"), "_text"), "_text", "_x").collect()
-    rows.sort(key=lambda r: (r["_key"], r["_label"], r["_tie"]))
+    found = with_features(sample.select("_key", "_label", F.xxhash64("_text").alias("_tie"), "_text"), "_text", "_x")
+    rows = found.groupBy("_key", "_label").agg(F.min_by("_x", "_tie").alias("_x")).collect()
+    rows.sort(key=lambda r: (r["_key"], r["_label"]))
     x = np.array([r["_x"] for r in rows], float).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["_label"] for r in rows], float))
 
 
 def score(df: DataFrame, model: Gam, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """Add ``score_col``, the model's probability of label 1, to every row; texts are scored whole, also null and empty ones."""
+    """Add ``score_col``, the model's probability of label 1, to every row.
+
+    Texts are scored whole, null and empty ones too; a repeated row is scored
+    each time, and a column that has the name ``score_col`` is replaced.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name != score_col]
 

@@ -152,19 +152,19 @@ def find_leaks(
     bounded size. Items beyond the first block take further passes over the
     table that the pass before wrote. Null and empty texts, and items without
     words, have no words and match nothing; repeated rows are searched each;
-    an empty benchmark leaves all rows clean.
+    an empty benchmark leaves all rows clean. Columns of ``docs`` that have the
+    names of new ones are replaced; another prefix keeps them.
     """
     spark = docs.sparkSession
-    n_words, hits, items = (prefix + n for n in ("n_words", "hits", "items"))
-    if clash := {n_words, hits, items} & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are there already; choose another prefix")
+    names = tuple(prefix + n for n in ("n_words", "hits", "items"))
+    docs = docs.drop(*names)
     out, first = docs, True
     for block in (b for part in (blocks(benchmark, item_id, item_text, block_bytes), [[]]) for b in part):
         if not block and not first:
             break
         if not first:
             out = materialize(out, "leaks")
-        out = _pass(out, spark.sparkContext.broadcast(Benchmark(block, window)), text_col, (n_words, hits, items), first)
+        out = _pass(out, spark.sparkContext.broadcast(Benchmark(block, window)), text_col, names, first)
         first = False
     return out
 
@@ -198,8 +198,11 @@ def _pass(docs: DataFrame, shared, text_col: str, names: tuple[str, str, str], f
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` without any hit word, with the columns of ``docs``."""
-    return find_leaks(docs, benchmark, **options).filter(F.size("leak_hits") == 0).select(*docs.columns)
+    """The rows of ``docs`` without any hit word, with the columns of ``docs``, whatever their names."""
+    prefix = "leak_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return find_leaks(docs, benchmark, prefix=prefix, **options).filter(F.size(prefix + "hits") == 0).select(*docs.columns)
 
 
 def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

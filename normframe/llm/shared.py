@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -107,6 +108,14 @@ def pick(numbers: list[int], at: Column, kind: str) -> Column:
     return F.element_at(F.split(F.lit(",".join(map(str, numbers))), ","), at.cast("int") + 1).cast(kind)
 
 
+def fresh_name(name: str, taken: Iterable[str]) -> str:
+    """``name``, or ``name`` with underscores after it, that no column in ``taken`` has; Spark compares without case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def utf8(col: str | Column) -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

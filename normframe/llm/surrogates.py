@@ -314,10 +314,11 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", spans_col: str
     Spans give kind, start and length of each surrogate in the new text, in
     code points. One pass collects the distinct name words (few beside the
     texts), a second replaces; texts are not shuffled. A null text stays null
-    and has no spans; an empty table gives none. Other columns stay.
+    and has no spans; an empty table gives none. Other columns stay; one that
+    has the name ``spans_col`` is replaced.
     """
-    if spans_col and spans_col in df.columns:
-        raise ValueError(f"there is a column {spans_col} already; choose another name")
+    if spans_col:
+        df = df.drop(spans_col)
     keyed = settle_names(names_of(df, text_col), key)
     args = (key, keyed.syllables, keyed.moved)
     kept = df.schema.fields

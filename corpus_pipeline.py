@@ -16,19 +16,20 @@ from normframe.llm.near_dedup import drop_near_duplicates
 from normframe.llm.orc_ids import tokenizer_path
 from normframe.llm.packing import CAPACITY, END_ID, pack_documents
 from normframe.llm.quality_gam import CUT, quality_model, score
-from normframe.llm.shared import materialize, read_table
+from normframe.llm.shared import fresh_name, materialize, read_table
 from normframe.llm.surrogates import DEMO_KEY, pseudonymize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the cut; the model learns from labels that are not held out."""
-    scored = score(docs, quality_model(docs, read_table(spark, sf_dir, "labels")), score_col="_quality")
-    return scored.filter(F.col("_quality") >= CUT).select(*docs.columns)
+    name = fresh_name("_quality", docs.columns)
+    scored = score(docs, quality_model(docs, read_table(spark, sf_dir, "labels")), score_col=name)
+    return scored.filter(F.col(name) >= CUT).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return drop_near_duplicates(docs)
+    """The document with the smallest id of each group of near duplicates: word 5-grams, similarity 0.8 or more."""
+    return drop_near_duplicates(docs, num=80, den=100)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ any size costs one member; links between different sets are confirmed exactly.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +28,10 @@ from .graph import components, labels_of, whole_groups
 from .shared import materialize, read_table, utf8
 from .textscan import SPACED, mix64, shingles, slices, words
 
-#: Minwise tokens of a sketch, independent trees, and documents of a leaf. A pair at the
-#: threshold misses all ten roots with a chance of (1 - 0.85**2)**10, 3 in a million.
-TOKENS, TREES, LEAF = 64, 10, 1000
+#: Minwise tokens of a sketch, and documents of a leaf.
+TOKENS, LEAF = 64, 1000
+#: The chance that a pair at the threshold shares the root of no tree; it sets the number of trees.
+MISS = 3e-6
 #: Levels after which a node that never fell apart is cut into overlapping leaves.
 DEPTH = 30
 #: Standard deviations of the sketch's estimate below the threshold at which a pair still is a candidate.
@@ -40,6 +42,11 @@ BROADCAST_ROWS = 500_000
 _ODD = (np.random.default_rng(7).integers(1, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def trees_for(threshold: float) -> int:
+    """Independent trees, so that a pair at the threshold misses all roots (of two tokens) with a chance of MISS at most."""
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**2)) if threshold < 1 else 1
+
+
 class Sets:
     """The shingle sets of a slice of texts: sorted distinct hashes, one document after the other."""
 
@@ -98,7 +105,7 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "_at", F.element_at("sketch", F.col("_at") + 1))).drop("_at")
 
 
-def leaves(sketches: DataFrame, threshold: float, trees: int = TREES, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+def leaves(sketches: DataFrame, threshold: float, trees: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
     """(path, node): the leaves of all trees with two or more documents, and the nodes that had to be cut.
 
     ``sketches``: a table of node, sketch, one row for each distinct set. A
@@ -285,7 +292,7 @@ def _confirm(keys: DataFrame, docs: DataFrame, width: int, num: int, den: int, i
 
 
 def near_duplicates(
-    docs: DataFrame, num: int = 85, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES, leaf: int = LEAF,
+    docs: DataFrame, num: int = 85, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int | None = None, leaf: int = LEAF,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -300,7 +307,7 @@ def near_duplicates(
     filled = scanned.filter("n_shingles > 0")
     first = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
     classes = materialize(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *first), "classes")
-    nodes, cut_nodes = leaves(classes, threshold, trees, leaf)
+    nodes, cut_nodes = leaves(classes, threshold, trees or trees_for(threshold), leaf)
     groups = components(_candidates(nodes, classes, threshold))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     member = materialize(groups.join(sizes, "root").join(classes.select("node", "doc"), "node"), "candidates")

@@ -262,6 +262,10 @@ def test_pipeline_stages(spark, table):
     for _, stage in pipeline.STAGES[:-1]:
         kept = stage(spark, docs, folder)
         assert kept.columns == docs.columns
+    clash = docs.withColumn("_quality", docs["doc_id"]).withColumn("leak_hits", docs["doc_id"]).withColumn("_gone", docs["doc_id"])
+    for _, stage in pipeline.STAGES[:-1]:
+        rows = stage(spark, clash, folder).collect()
+        assert rows and all(r["_quality"] == r["leak_hits"] == r["_gone"] == r["doc_id"] for r in rows)
     clean = {r["doc_id"]: r["text"] for r in pipeline.hide_persons(spark, docs, folder).collect()}
     assert "555-7713" not in clean[302] and clean[0] == good[0][1]
 

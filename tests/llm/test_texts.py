@@ -158,6 +158,15 @@ def test_near_duplicates(table, leaf):
     assert {r[0]: tuple(r)[1:] for r in got.collect()} == components_by_force([r[:2] for r in CORPUS])
 
 
+def test_trees_follow_the_threshold(table):
+    assert [near_dedup.trees_for(t) for t in (0.85, 0.8, 1)] == [10, 13, 1]
+    rows = [r[:2] for r in CORPUS if len(r[1] or "") < 10_000]
+    words = prose(54, 4321).split(" ")
+    rows += [(900, " ".join(words)), (901, " ".join([*words[:20], "other", *words[21:]]))]  # 45 of 55 shingles
+    got = {r[0]: tuple(r)[1:] for r in near_dedup.near_duplicates(table(rows, "doc_id long, text string"), num=80).collect()}
+    assert got == components_by_force(rows, 80) and not got[901][2]
+
+
 def test_near_duplicates_edges(table):
     assert near_dedup.near_duplicates(table([], DOCS)).count() == 0
     rows = [(1, "a b c"), (1, "a b c"), (2, "A b  c"), (None, "a b c"), (3, None)]
@@ -213,6 +222,14 @@ def test_quality_without_labels(table):
     assert quality_gam.score(table([], "doc_id long, text string"), model).count() == 0
 
 
+def test_repeated_ids_stay_within_the_sample(table, monkeypatch):
+    docs = table([(k % 2, f"some words {k} " * 3) for k in range(200)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: seen.append((x.shape, y.tolist())))
+    quality_gam.train(docs, table([(0, 1), (1, 0), (1, 0)], "doc_id long, quality int"))
+    assert seen == [((2, len(quality_gam.FEATURES)), [1.0, 0.0])]
+
+
 def test_pairs_are_learnt():
     r = np.random.default_rng(0)
     x = r.uniform(size=(3000, len(quality_gam.FEATURES)))
@@ -258,6 +275,8 @@ def test_pseudonymize(table):
             assert r["text"][s["start"] : s["start"] + s["length"]] not in (dict(PRIVATE)[key] or "")
     assert re.fullmatch(r"Write to [a-z]{4}\.[a-z]\d@[a-z]{4}\.[a-z]{7}\.com, \+1 \(\d{3}\) \d{3}-\d{4}, from (\d+\.){3}\d+; token = \"[0-9a-f]{40}\"\.", got[1]["text"])
     assert surrogates.pseudonymize(table([], "doc_id long, text string"), "key").count() == 0
+    clash = surrogates.pseudonymize(table([(1, "x", 9)], "doc_id long, text string, pii_spans int"), "key").collect()
+    assert [(r["doc_id"], r["text"], r["pii_spans"]) for r in clash] == [(1, "x", [])]
 
 
 def test_colliding_names_move_on(table):
@@ -311,5 +330,8 @@ def test_leaks_of_nothing(table):
     docs = table([(1, "a b")], "doc_id long, text string")
     assert decontamination.drop_contaminated(docs, table([], "item_id long, text string")).count() == 1
     assert decontamination.find_leaks(table([], "doc_id long, text string"), table(ITEMS, "item_id long, text string")).count() == 0
-    with pytest.raises(ValueError):
-        decontamination.find_leaks(docs.withColumnRenamed("doc_id", "leak_hits"), table(ITEMS, "item_id long, text string"))
+    clash = docs.withColumn("Leak_hits", docs["doc_id"])
+    found = decontamination.find_leaks(clash, table(ITEMS, "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["leak_hits"], r["leak_n_words"]) for r in found] == [(1, [], 2)]
+    kept = decontamination.drop_contaminated(clash, table(ITEMS, "item_id long, text string"))
+    assert kept.columns == clash.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 1)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import Array, Chain, ChunkedMatrix, ColumnNormalization, ColumnParams, ColumnStatistics, Coo, NormalizedFrame, NormalizedLinear, RowNormalization, Wide, take_rows
 from .functions.numeric import normal_range
-from .operators import weighted
+from .operators import solvers, weighted
 
 Query = Callable[[SparkSession, str], DataFrame]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -472,3 +472,66 @@ def chunk_standardize(spark: SparkSession, sf: str) -> DataFrame:
 @query("explicit_params", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round((p_size - 1.5) / -2.0, 8) + 0.0 AS p_size, round((p_retailprice - 3.0) / 4.0, 8) + 0.0 AS p_retailprice FROM part")
 def explicit_params(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ColumnParams(2, [1.5, 3.0], [-2.0, 4.0]).transform(parts(spark, sf)).to_eager(), 8, "p_partkey")
+
+
+# Rectangles, transposes, batches (PR-07, PR-10, PR-14, PR-15, WG-05, WG-09)
+
+
+@query("submatrix_matvec", Z_PART + " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(2 * z_p_retailprice, 6) + 0.0 AS value FROM z WHERE p_partkey >= 100 AND p_partkey < 1000")
+def submatrix_matvec(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ColumnNormalization().fit_apply(parts(spark, sf)).submatrix((100, 1000), (1, 2)).matvec([2.0]), 6, "p_partkey")
+
+
+@query("submatrix_rmatvec", Z_PART + " " + union([f"SELECT CAST({k} AS BIGINT) AS j, round(sum(z_{c} * {_PU}), 5) + 0.0 AS value FROM z WHERE p_partkey < 150" for k, c in enumerate(PART)]))
+def submatrix_rmatvec(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 5, value=ColumnNormalization().fit_apply(parts(spark, sf)).submatrix((0, 150)).rmatvec(F.col("p_partkey") % 7 - 3))
+
+
+@query("submatrix_weighted_sums", Z_PART + " " + union([f"SELECT CAST({k} AS BIGINT) AS j, round(sum(z_{c} * (p_partkey % 5)), 5) + 0.0 AS value FROM z WHERE p_partkey < 150" for k, c in enumerate(PART)]))
+def submatrix_weighted_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 5, value=ColumnNormalization().fit_apply(parts(spark, sf)).submatrix((0, 150)).weighted_sums(F.col("p_partkey") % 5))
+
+
+@query("transposed_rmatvec", Z_PART + " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(z_p_size - 2 * z_p_retailprice, 6) + 0.0 AS value FROM z")
+def transposed_rmatvec(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ColumnNormalization().fit_apply(parts(spark, sf)).T.rmatvec([1.0, -2.0]), 6, "p_partkey")
+
+
+@query("chain_matmat", Z_PART + ", r AS (SELECT p_partkey, z_p_size AS a, z_p_retailprice AS b, sqrt(z_p_size * z_p_size + z_p_retailprice * z_p_retailprice) AS s FROM z), n AS (SELECT p_partkey, a / CASE WHEN s = 0 THEN 1 ELSE s END AS a, b / CASE WHEN s = 0 THEN 1 ELSE s END AS b FROM r) "
+       "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(a - 2 * b, 6) + 0.0 AS y0, round(0.5 * a + b, 6) + 0.0 AS y1 FROM n")
+def chain_matmat(spark: SparkSession, sf: str) -> DataFrame:
+    chain = ColumnNormalization().then(RowNormalization("none", "l2"))
+    return rounded(chain.fit_apply(parts(spark, sf)).matmat([[1.0, 0.5], [-2.0, 1.0]]), 6, "p_partkey")
+
+
+@query("coo_matmat", _COO + "SELECT CAST(i AS BIGINT) AS i, round(sum((v - p.m) * (m.j % 5 - 2)), 6) + 0.0 AS y0, round(sum((v - p.m) * (m.j % 3)), 6) + 0.0 AS y1 FROM m JOIN p ON m.j = p.j GROUP BY i")
+def coo_matmat(spark: SparkSession, sf: str) -> DataFrame:
+    m = cells(spark, sf)
+    return rounded(ColumnNormalization("mean", "none").fit_apply(m).matmat([[j % 5 - 2, j % 3] for j in range(m.ncols)]), 6, "i")
+
+
+@query("coo_weighted_gram", _COO + ", t AS (SELECT i, m.j, v - p.m AS z FROM m JOIN p ON m.j = p.j WHERE m.j < 6) SELECT CAST(a.j AS BIGINT) AS j, CAST(b.j AS BIGINT) AS k, round(sum(a.z * b.z * (a.i % 3)), 3) + 0.0 AS g FROM t a JOIN t b ON a.i = b.i GROUP BY a.j, b.j")
+def coo_weighted_gram(spark: SparkSession, sf: str) -> DataFrame:
+    z = ColumnNormalization("mean", "none").fit_apply(cells(spark, sf))
+    return square(spark, 3, z.submatrix(None, (0, 6)).gram(F.col("i") % 3))
+
+
+# Linear models (2.8)
+
+_NORMAL = Z_PART + (
+    f", s AS (SELECT count(*) AS n, sum(z_p_size * z_p_size) AS a, sum(z_p_size * z_p_retailprice) AS b, sum(z_p_retailprice * z_p_retailprice) AS d, sum(z_p_size * {_PU}) AS e0, "
+    f"sum(z_p_retailprice * {_PU}) AS f0, sum(z_p_size * p_partkey) AS e1, sum(z_p_retailprice * p_partkey) AS f1 FROM z), "
+    "q AS (SELECT a / n + 0.1 AS a, b / n AS b, d / n + 0.1 AS d, e0 / n AS e0, f0 / n AS f0, e1 / n AS e1, f1 / n AS f1 FROM s) "
+)
+_SOLVED = ("(d * e{r} - b * f{r}) / (a * d - b * b)", "(a * f{r} - b * e{r}) / (a * d - b * b)")
+
+
+@query("ridge_normal_equations", _NORMAL + union([f"SELECT CAST({k} AS BIGINT) AS j, round({x.format(r=0)}, 6) + 0.0 AS y0, round({x.format(r=1)}, 6) + 0.0 AS y1 FROM q" for k, x in enumerate(_SOLVED)]))
+def ridge_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
+    b = solvers.ridge(ColumnNormalization().fit_apply(parts(spark, sf)), [F.col("p_partkey") % 7 - 3, "p_partkey"], 0.1)
+    return out(spark, 6, y0=b[:, 0], y1=b[:, 1])
+
+
+@query("ridge_conjugate_gradients", _NORMAL + union([f"SELECT CAST({k} AS BIGINT) AS j, round({x.format(r=0)}, 6) + 0.0 AS value FROM q" for k, x in enumerate(_SOLVED)]))
+def ridge_conjugate_gradients(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 6, value=solvers.ridge_cg(ColumnNormalization().fit_apply(parts(spark, sf)), F.col("p_partkey") % 7 - 3, 0.1))

@@ -4,8 +4,10 @@ A tolerant scan turns a page into text blocks, each with its root-to-leaf tag
 path. Text length (links apart) and punctuation are aggregated per path and
 divided by the number of the path's blocks, smoothed over neighbouring blocks
 in page order, and fused as a geometric mean weighted by the path's role: menus,
-adverts, forms and the like weigh nothing. The container that holds most of the
-fused mass is the article; its paths over the threshold give the content.
+adverts, forms and the like weigh nothing, article and main elements more than
+others. The container that holds most of the fused mass is the article, with
+its sibling articles if it is one; its paths over the threshold give the
+content, and headings go with the text under them.
 """
 
 from __future__ import annotations
@@ -51,6 +53,8 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
+#: The role weight of what is in an article or main element, and the share of the fused mass that a container holds.
+MARKED, SHARE = 1.5, 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -105,8 +109,8 @@ def blocks(page: str) -> list[Block]:
             return
         if block is None:
             shown = [x for x in open_ if x[0] not in INLINE]
-            off = bool(open_) and open_[-1][2]
-            block = Block(tuple(x[0] for x in shown), tuple(x[1] for x in shown), 0.0 if off else 1.0)
+            off, marked = open_[-1][2:] if open_ else (False, False)
+            block = Block(tuple(x[0] for x in shown), tuple(x[1] for x in shown), 0.0 if off else MARKED if marked else 1.0)
         raw = html.unescape(raw) if "&" in raw else raw
         block.parts.append(raw)
         if links:
@@ -191,8 +195,8 @@ def content_blocks(found: list[Block], threshold: float = 0.1) -> list[Block]:
     """The blocks of the article.
 
     ``threshold``: the share of the mean fused ratio (over blocks with a role,
-    in the container) that a path needs. Paths of an article or main element
-    need none, as the page itself marks them.
+    in the container) that a path needs. A heading needs a block of its own
+    section that is kept.
     """
     if not any(b.role for b in found):
         return []
@@ -206,27 +210,44 @@ def content_blocks(found: list[Block], threshold: float = 0.1) -> list[Block]:
     marks = [(sizes[b.path][1] + 0.5) / sizes[b.path][2] * b.role for b in found]
     fused = [math.sqrt(x * y) for x, y in zip(_smooth(long), _smooth(marks), strict=True)]
     mass: dict[int, float] = defaultdict(float)
-    marked: set[int] = set()
+    parents: dict[int, int] = {}  # of article and main elements
     total = 0.0
     for b, f in zip(found, fused, strict=True):
         if b.role:
             weight = f * max(1, len(b.text) - b.linked)
             total += weight
-            for tag, number in zip(b.path, b.inside, strict=True):
+            for tag, number, above in zip(b.path, b.inside, (-1, *b.inside), strict=False):
                 mass[number] += weight
                 if tag in CONTENT:
-                    marked.add(number)
-    if marked:  # of nested or repeated ones the one with most, and the innermost of equals
+                    parents[number] = above
+    holders = [n for n in mass if mass[n] >= SHARE * total]
+    marked = [n for n in holders if n in parents]
+    if marked:  # of nested ones the one with most, and the innermost of equals; its siblings are parts of one page
         heart = max(marked, key=lambda n: (mass[n], n))
-        return [b for b in found if b.role and heart in b.inside]
-    holders = [n for n in mass if mass[n] >= 0.6 * total]
-    heart = max(holders) if holders else -1
-    inside = [(b, f) for b, f in zip(found, fused, strict=True) if b.role and (heart < 0 or heart in b.inside)]
+        hearts = {n for n, above in parents.items() if above == parents[heart]}
+    else:
+        hearts = {max(holders)} if holders else set()
+    inside = [(b, f) for b, f in zip(found, fused, strict=True) if b.role and (not hearts or not hearts.isdisjoint(b.inside))]
     by_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
     for b, f in inside:
         by_path[b.path].append(f)
     least = threshold * sum(f for _, f in inside) / len(inside)
-    return [b for b, _ in inside if sum(by_path[b.path]) / len(by_path[b.path]) >= least]
+    kept = [sum(by_path[b.path]) / len(by_path[b.path]) >= least for b, _ in inside]
+    levels = [_level(b) for b, _ in inside]
+    following: dict[int, bool | None] = {}  # whether a block is kept in the section so far, by the levels of its headings; None: it has no blocks
+    for i in range(len(inside) - 1, -1, -1):
+        if levels[i]:
+            own = following.get(levels[i])
+            kept[i] = kept[i] if own is None else own
+            following = {k: (None if k >= levels[i] else v if own is None else bool(v) or own) for k, v in following.items()}
+        else:
+            following = {k: bool(following.get(k)) or kept[i] for k in range(1, 7)}
+    return [b for (b, _), keep in zip(inside, kept, strict=True) if keep]
+
+
+def _level(block: Block) -> int:
+    """1 to 6 for a heading, else 0."""
+    return next((int(t[1]) for t in reversed(block.path) if len(t) == 2 and t[0] == "h" and t[1] in "123456"), 0)
 
 
 def _smooth(values: list[float]) -> list[float]:

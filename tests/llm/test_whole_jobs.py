@@ -1,0 +1,25 @@
+"""Cases in which an operator once did less than its whole job."""
+
+import pytest
+
+from normframe.llm.html_extract import main_text
+
+# op1
+
+LONG = "Alpha beta, gamma delta; epsilon zeta. Eta theta, iota kappa: lambda, mu. Nu xi, omicron pi. Rho sigma, tau."
+LINKS = "".join(f"<li><a href=x{k}>Some other page {k}</a></li>" for k in range(8))
+MARKED = [
+    # several articles and no common main
+    (f"<body><article><h2>One</h2><p>{LONG}</p><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article><article><h2>Three</h2><p>{LONG}</p></article></body>", f"One\n{LONG}\n{LONG}\nTwo\n{LONG}\nThree\n{LONG}"),
+    # one of them holds most
+    (f"<body><article>{f'<p>{LONG}</p>' * 5}</article><article><p>{LONG}</p></article></body>", "\n".join([LONG] * 6)),
+    # the text in a div, the cards articles
+    (f"<body><div><h1>Text</h1>{f'<p>{LONG}</p>' * 4}</div><div><article><h3>Card</h3><p>Teaser, short.</p></article><article><p>More, short.</p></article></div></body>", "\n".join(["Text", *[LONG] * 4])),
+    # a link list without a label in the article, and its heading
+    (f"<article><h1>Title</h1><p>{LONG}</p><h2>Part</h2><p>{LONG}</p><p>{LONG}</p><h2>See</h2><ul>{LINKS}</ul></article>", f"Title\n{LONG}\nPart\n{LONG}\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,text", MARKED)
+def test_marked_containers_pass_the_threshold(page, text):
+    assert main_text(page) == text

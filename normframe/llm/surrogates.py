@@ -63,7 +63,7 @@ PATTERN = re.compile(
     rf"|(?P<title>\b(?:{_TITLE})\b\.?\s)(?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})"
 )
 #: Texts without any of these have no entity; RE2 tests whole columns.
-_MAYBE = rf"@|[0-9]|[a-f]{{32}}|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
+_MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
 
 
 class Keyed:
@@ -92,13 +92,13 @@ class Keyed:
             own = next((a for a in (HEX if hexadecimal else ALPHABETS) if c in a), None)
             if hexadecimal and own is None:
                 own = next((a for a in ALPHABETS if c in a), None)
-            sets.append(own)
+            sets.append(digits_like(c) if own is None and c.isdecimal() else own)
         if hexadecimal:  # digits belong to the case of the letters
             case = HEX[1] if any(c in "ABCDEF" for c in text) else HEX[0]
             sets = [case if s in HEX else s for s in sets]
         radices = [len(s) for s in sets if s]
         digits = [s.index(c) for s, c in zip(sets, text, strict=True) if s]
-        shape = "".join(str((*ALPHABETS, *HEX).index(s)) if s else c for s, c in zip(sets, text, strict=True))
+        shape = "".join((str((*ALPHABETS, *HEX).index(s)) if s in (*ALPHABETS, *HEX) else s) if s else c for s, c in zip(sets, text, strict=True))
         half = len(radices) // 2
         left = right = 1
         for r in radices[:half]:
@@ -133,7 +133,7 @@ class Keyed:
             digits = re.sub(r"\D", "", text)
             if luhn(digits):
                 new = self.string(digits[:-1], "card")
-                new += next(d for d in "0123456789" if luhn(new + d))
+                new += next(d for d in digits_like(digits[-1]) if luhn(new + d))
             else:
                 new = self.walk(digits, "other card", lambda x: not luhn(x))
             it = iter(new)
@@ -185,6 +185,11 @@ class Keyed:
         return out.upper() if word.isupper() else out[0].upper() + out[1:]
 
 
+def digits_like(c: str) -> str:
+    """The ten digits of the script that a decimal digit belongs to."""
+    return "".join(chr(ord(c) - int(c) + k) for k in range(10))
+
+
 def luhn(digits: str) -> bool:
     total = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
     return total % 10 == 0
@@ -249,7 +254,7 @@ def names_of(df: DataFrame, text_col: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            titled = pc.match_substring_regex(column, rf"(?:{_TITLE})\b")
+            titled = pc.match_substring_regex(column, rf"(?:{_TITLE})")  # RE2's \b knows ASCII only
             found = {
                 (role, script_of(word), word.lower())
                 for text in column.filter(titled).to_pylist()

@@ -8,13 +8,14 @@ so surrogates of different formats can't meet either. Names have no finite
 format. Each name word gets a keyed, pronounceable word of its script, with an
 ending of its gender; a collision check over all distinct name words of the
 corpus finds words that share a surrogate, or that hit a real name, and moves
-them on.
+them on. Name words that a title gave away are replaced in the whole document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -40,6 +41,14 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Señorita", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "Lady", "госпожа"),
     "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor"),
 }
+# Lower-case words within names, which stay.
+PARTICLES = ("de", "del", "de la", "de las", "de los", "la", "las", "los", "y", "da", "das", "do", "dos", "di", "della", "du", "des", "le", "van", "van de", "van den", "van der", "von", "von der",
+             "vom", "zu", "zum", "zur", "ten", "ter", "den", "der", "af", "av", "al", "el", "bin", "bint", "ibn", "ben", "фон", "де", "ван")
+# Words that a name may take along, and that are replaced only there.
+COMMON = frozenset("the and but for not his her him she they you your this that these those with from then than when where what who why how was were has had have are will "
+                   "der die das den dem des ein eine einer und oder aber mit von wir sie ihr ist war hat auf aus bei nach wie "
+                   "los las una por para con que pero como esta este les des dans mais pour avec est qui elle ils nous vous "
+                   "он она они это как что для его ему".split())
 # Syllables and endings of made-up names, by script.
 SYLLABLES = {
     "latin": ([c + v for c in "bdfgklmnprstvz" for v in "aeiou"], {"m": ["n", "r", "s", "l", "k", "t"], "f": ["na", "la", "ra", "ia", "ne", "sa"], "n": ["ner", "ton", "man", "ley", "sen", "vik"]}),
@@ -49,8 +58,21 @@ SYLLABLES = {
 # Address blocks with a meaning of their own (prefix, bits); surrogates stay inside.
 IP_BLOCKS = ((0, 8), (10, 8), (127, 8), (0xA9FE, 16), (0xAC1, 12), (0xC0A8, 16), (0xE, 4), (0xF, 4))
 
+def _lower() -> str:
+    """The lower-case letters of the Latin, Greek and Cyrillic scripts."""
+    return "".join(chr(c) for low, high in ((0x41, 0x530), (0x1E00, 0x2000)) for c in range(low, high) if chr(c).islower())
+
+
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+# A name: words, initials and lower-case particles; it ends with a word or an initial, and stops before another title.
+_LETTER = r"(?:[^\W\d_][\u0300-\u036f]*)"
+_CAPITAL = rf"(?:[^\W\d_{_lower()}][\u0300-\u036f]*)"
+_APOSTROPHE = r"(?:['’](?!(?:[sSdDmMtT]|ll|LL|re|RE|ve|VE)(?![^\W\d_]))(?=[^\W\d_]))"
+_WORD = rf"(?:(?!(?:{_TITLE})\b)(?:[dDlL]['’])?{_CAPITAL}{_APOSTROPHE}?{_LETTER}+(?:{_APOSTROPHE}{_LETTER}+)*)"
+_INITIAL = rf"(?:{_CAPITAL}\.(?=[ -]?{_CAPITAL}))"
+_PARTICLES = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )"
+_NAME = rf"{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD}(?:[ -]{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD})*"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<assigned>(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/=.~-]{8,})"
@@ -60,8 +82,9 @@ PATTERN = re.compile(
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))"
     r"|(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]))"
-    rf"|(?P<title>\b(?:{_TITLE})\b\.?\s)(?P<name>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ -][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})"
+    rf"|(?P<title>\b(?:{_TITLE})\b\.?\s{{1,3}})(?P<name>{_NAME})"
 )
+_PARTS = re.compile(rf"(?P<initial>{_CAPITAL}(?=\.))|{_LETTER}+")
 #: Texts without any of these have no entity; RE2 tests whole columns.
 _MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
 
@@ -171,6 +194,13 @@ class Keyed:
                     break
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
+    def initial(self, letter: str) -> str:
+        """Another letter for an initial, of its alphabet or else of its script's."""
+        if any(letter in a for a in ALPHABETS):
+            return self.string(letter, "initial")
+        letters = ALPHABETS[{"latin": 2, "cyrillic": 4, "greek": 6}[script_of(letter)]]
+        return letters[self.number("initial", letter) % len(letters)]
+
     def name_word(self, role: str, word: str, attempt: int | None = None) -> str:
         """A made-up word for a name word; ``role``: m or f for given names by gender, n for family names."""
         script = script_of(word)
@@ -218,22 +248,51 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
 
 
 def name_words(text: str, gender: str) -> Iterator[tuple[int, str, str]]:
-    """(start, role, word) of the words of a name: the last is the family name, those before are given names."""
-    found = list(re.finditer(r"[^ -]+", text))
-    for i, m in enumerate(found):
-        yield m.start(), "n" if i == len(found) - 1 or gender == "n" else gender, m[0]
+    """(start, role, word) of the words of a name: the last is the family name, those before are given names. Initials have the role i; particles are left out."""
+    found = [m for m in _PARTS.finditer(text) if m["initial"] or not (m[0].lower() == m[0] or (len(m[0]) == 1 and text[m.end() : m.end() + 1] in ("'", "’")))]
+    full = [m for m in found if not m["initial"]]
+    for m in found:
+        yield m.start(), "i" if m["initial"] else "n" if m is full[-1] or gender == "n" else gender, m[0]
+
+
+def entities(text: str) -> list[tuple[int, int, str, list[tuple[int, str, str]]]]:
+    """(start, end, kind, name words) of all entities in order: those of the pattern, and all other mentions of the names in it."""
+    out, roles = [], {}
+    for start, end, kind, gender in find(text):
+        named = list(name_words(text[start:end], gender)) if kind == "name" else []
+        out.append((start, end, kind, named))
+        for _, role, word in named:
+            if role != "i" and len(word) > 1 and word.lower() not in COMMON:
+                for form in (word, word.upper(), word.capitalize()):
+                    roles.setdefault(form, role)
+    if not roles:
+        return out
+    word = f"(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})(?![^\\W_]|[\u0300-\u036f])"
+    ends, more = [x[1] for x in out], []
+    for m in re.finditer(rf"(?<![^\W_])(?<![\u0300-\u036f]){word}(?:[ -]{word})*", text):
+        for w in re.finditer(word, m[0]):
+            x, y = m.start() + w.start(), m.start() + w.end()
+            i = bisect_right(ends, x)
+            if i == len(out) or out[i][0] >= y:
+                if more and more[-1][1] + 1 == x and text[more[-1][1]] in " -":
+                    start, _, kind, named = more.pop()
+                    more.append((start, y, kind, [*named, (x - start, roles[w[0]], w[0])]))
+                else:
+                    more.append((x, y, "name", [(0, roles[w[0]], w[0])]))
+    return sorted([*out, *more], key=lambda e: e[0])
 
 
 def replace(text: str, keyed: Keyed) -> tuple[str, list[dict]]:
     """The text with surrogates, and their kinds and places in it."""
     out, spans, at, size = [], [], 0, 0
-    for start, end, kind, gender in find(text):
+    for start, end, kind, named in entities(text):
         old = text[start:end]
         if kind == "name":
             new, last = "", 0
-            for place, role, word in name_words(old, gender):
-                new += old[last:place] + keyed.name_word(role, word)
+            for place, role, word in named:
+                new += old[last:place] + (keyed.initial(word) if role == "i" else keyed.name_word(role, word))
                 last = place + len(word)
+            new += old[last:]
         else:
             new = keyed.surrogate(kind, old)
         out += [text[at:start], new]
@@ -261,6 +320,7 @@ def names_of(df: DataFrame, text_col: str) -> DataFrame:
                 for start, end, kind, gender in find(text)
                 if kind == "name"
                 for _, role, word in name_words(text[start:end], gender)
+                if role != "i"
             }
             rows = sorted(found)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["role", "script", "word"])

@@ -47,3 +47,32 @@ def test_prefilter_lets_all_entities_pass(table):
     for key, text in rows:
         assert got[key]["text"] != text and len(got[key]["pii_spans"]) == 1
     assert re.fullmatch(r"[٠-٩]{3}-[٠-٩]{2}-[٠-٩]{4}", got[2]["text"]) and surrogates.luhn(got[3]["text"].replace(" ", ""))
+
+
+NAMED = [
+    ("Mr. J. Smith and J.R.R. Tolkien", ("J. S", "Smith"), r"Mr\. [A-Z]\. [A-Z][a-z]+ and J\.R\.R\. Tolkien"),
+    ("Dr. J.R.R. Tolkien left.", ("J.R.R", "Tolkien"), r"Dr\. [A-Z]\.[A-Z]\.[A-Z]\. [A-Z][a-z]+ left\."),
+    ("Mr O'Brien's dog", ("Brien",), r"Mr O'[A-Z][a-z]+'s dog"),
+    ("Señora María del Carmen López llegó", ("María", "Carmen", "López"), r"Señora [A-Z]\w+ del [A-Z]\w+ [A-Z]\w+ llegó"),
+    ("Frau Anna Maria Eva Luise von der Heide-Schmidt.", ("Anna", "Maria", "Eva", "Luise", "Heide", "Schmidt"), r"Frau (\w+ ){4}von der \w+-\w+\."),
+    ("Prof. Dr. Anna Schmidt", ("Anna", "Schmidt"), r"Prof\. Dr\. \w+ \w+"),
+    ("Monsieur d'Artagnan, Herr van Beethoven", ("Artagnan", "Beethoven"), r"Monsieur d'[A-Z]\w+, Herr van [A-Z]\w+"),
+    ("Señora López él dijo", ("López",), r"Señora \w+ él dijo"),
+    ("Mr. José Pérez said", ("Jose", "rez"), r"Mr\. [A-Z][a-z]+ [A-Z][a-z]+ said"),
+]
+
+
+@pytest.mark.parametrize("text,gone,shape", NAMED)
+def test_whole_names(text, gone, shape):
+    new, spans = surrogates.replace(text, surrogates.Keyed("key"))
+    assert not any(g in new for g in gone) or text.startswith("Mr. J. Smith") and "Smith" not in new
+    assert re.fullmatch(shape, new) and spans
+
+
+def test_untitled_mentions_have_the_same_surrogate():
+    text = "Schmidt? Mrs Anna Schmidt met Anna and SCHMIDT's friend Anna Schmidt, not Annaberg; anna.x@mail.com of Dr. Anna Schmidt. The"
+    new, spans = surrogates.replace(text, surrogates.Keyed("key"))
+    m = re.fullmatch(r"(\w+)\? Mrs (\w+) (\w+) met (\w+) and (\w+)'s friend (\w+ \w+), not Annaberg; [a-z]{4}\.[a-z]@[a-z]{4}\.com of Dr\. \w+ (\w+)\. The", new)
+    family, anna = m[3], m[2]
+    assert (m[1], m[4], m[5], m[6], m[7]) == (family, anna, family.upper(), f"{anna} {family}", family)
+    assert [new[s["start"] : s["start"] + s["length"]] for s in spans][:4] == [family, f"{anna} {family}", anna, family.upper()]

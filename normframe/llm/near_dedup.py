@@ -30,12 +30,10 @@ from .textscan import SPACED, mix64, shingles, slices, words
 
 #: Minwise tokens of a sketch, and documents of a leaf.
 TOKENS, LEAF = 64, 1000
-#: The chance that a pair at the threshold shares the root of no tree; it sets the number of trees.
+#: The chance that a pair at the threshold shares a leaf of no tree, and the one that its sketches agree too little; they set the trees and the cut.
 MISS = 3e-6
 #: Levels after which a node that never fell apart is cut into overlapping leaves.
 DEPTH = 30
-#: Standard deviations of the sketch's estimate below the threshold at which a pair still is a candidate.
-SLACK = 3.6
 #: Candidate documents up to which the table of candidates is broadcast to the scan of texts.
 BROADCAST_ROWS = 500_000
 
@@ -47,6 +45,17 @@ def trees_for(threshold: float) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - threshold**2)) if threshold < 1 else 1
 
 
+def agreement_for(threshold: float) -> int:
+    """Equal sketch tokens of a candidate pair, so that a pair at the threshold has fewer with a chance of MISS at most."""
+    tail, least = 0.0, 0
+    while least < TOKENS:
+        tail += math.comb(TOKENS, least) * threshold**least * (1 - threshold) ** (TOKENS - least)
+        if tail > MISS:
+            break
+        least += 1
+    return least
+
+
 class Sets:
     """The shingle sets of a slice of texts: sorted distinct hashes, one document after the other."""
 
@@ -176,8 +185,7 @@ def _cut_links(cut_nodes: DataFrame, parts: DataFrame, classes: DataFrame) -> Da
 
 def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """Edges (a, b) that connect, within each leaf, the documents that look similar; a forest for each leaf."""
-    least = threshold - SLACK * np.sqrt(threshold * (1 - threshold) / TOKENS)
-    agree = int(np.ceil(least * TOKENS))
+    agree = agreement_for(threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, "path"):

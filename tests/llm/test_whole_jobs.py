@@ -1,10 +1,11 @@
 """Cases in which an operator once did less than its whole job."""
 
 import re
+from math import comb
 
 import pytest
 
-from normframe.llm import surrogates
+from normframe.llm import near_dedup, surrogates
 from normframe.llm.html_extract import main_text
 
 # op1
@@ -76,3 +77,14 @@ def test_untitled_mentions_have_the_same_surrogate():
     family, anna = m[3], m[2]
     assert (m[1], m[4], m[5], m[6], m[7]) == (family, anna, family.upper(), f"{anna} {family}", family)
     assert [new[s["start"] : s["start"] + s["length"]] for s in spans][:4] == [family, f"{anna} {family}", anna, family.upper()]
+
+
+# op3
+
+
+@pytest.mark.parametrize("threshold", [0.85, 0.8])
+def test_sketches_keep_pairs_at_the_threshold(threshold):
+    least = near_dedup.agreement_for(threshold)
+    tail = [sum(comb(64, k) * threshold**k * (1 - threshold) ** (64 - k) for k in range(n)) for n in (least, least + 1)]
+    assert tail[0] <= near_dedup.MISS < tail[1]
+    assert near_dedup.agreement_for(1) == 64

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,9 +41,15 @@ BROADCAST_ROWS = 500_000
 _ODD = (np.random.default_rng(7).integers(1, 1 << 63, TOKENS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def trees_for(threshold: float) -> int:
-    """Independent trees, so that a pair at the threshold misses all roots (of two tokens) with a chance of MISS at most."""
-    return math.ceil(math.log(MISS) / math.log(1 - threshold**2)) if threshold < 1 else 1
+def trees_for(threshold: float, levels: int = 0) -> int:
+    """Independent trees, so that a pair at the threshold misses a root (of two tokens), or is parted in ``levels`` further levels, in all trees with a chance of MISS at most."""
+    if threshold >= 1:
+        return 1
+    both, parted = 1 / threshold - 1, 0.0
+    for _ in range(levels):
+        one = 1 - threshold + threshold * parted  # by one token
+        parted = (1 - both) * one + both * one**2
+    return math.ceil(math.log(MISS) / math.log(1 - threshold**2 * (1 - parted)))
 
 
 def agreement_for(threshold: float) -> int:
@@ -114,22 +121,44 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "_at", F.element_at("sketch", F.col("_at") + 1))).drop("_at")
 
 
-def leaves(sketches: DataFrame, threshold: float, trees: int, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
+def leaves(sketches: DataFrame, threshold: float, trees: int | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
     """(path, node): the leaves of all trees with two or more documents, and the nodes that had to be cut.
 
-    ``sketches``: a table of node, sketch, one row for each distinct set. A
-    tree's root branches by two tokens at once. A
+    ``sketches``: a table of node, sketch, one row for each distinct set. The
+    second table (path, node, head, parts) lists nodes that were cut, for
+    ``_cut_links``. Without a number of ``trees``, the first ones are as many as
+    a pair needs that is parted at roots only. Documents in nodes that branched
+    on go to further trees, as many as their deepest branching asks for: a pair
+    can be parted only as deep as both of its documents got.
+    """
+    first = trees or trees_for(threshold)
+    found, cut_nodes, depths = _grow(sketches.select("node", "sketch", F.lit(first).alias("trees")), threshold, 0, leaf)
+    if trees is None and threshold < 1 and depths is not None:
+        wanted = F.element_at(F.array(*[F.lit(trees_for(threshold, d)) for d in range(DEPTH + 1)]), F.col("depth") + 1)
+        deep = materialize(sketches.join(depths.select("node", wanted.alias("trees")), "node").select("node", "sketch", "trees"), "deep")
+        more, more_cut, _ = _grow(deep, threshold, first, leaf)
+        found = found.union(more)
+        if more_cut is not None:
+            cut_nodes = more_cut if cut_nodes is None else cut_nodes.union(more_cut)
+    return found, cut_nodes
+
+
+def _grow(sketches: DataFrame, threshold: float, tree: int, leaf: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Leaves and cut nodes of the trees from number ``tree`` to each document's ``trees``, and (node, depth) of the documents in nodes that branched on.
+
+    A tree's root branches by two tokens at once. A
     level is counted with partial aggregates; only documents in nodes over
     ``leaf`` go on. A node still too large after DEPTH levels holds sets that
     agree in nearly all tokens: it is cut into leaves by a hash, and all of
-    these share the node's first document, over which they stay connected. The
-    second table (path, node, head, parts) lists such nodes, for ``_cut_links``.
+    these share the node's first document, over which they stay connected.
     """
-    roots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t.cast("long"))))
+    roots = F.explode(F.transform(F.sequence(F.lit(tree), F.col("trees") - 1), lambda t: F.xxhash64(t.cast("long"))))
     first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-    rows = sketches.withColumn("path", roots).select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
+    rows = sketches.filter(F.col("trees") > tree).withColumn("path", roots)
+    rows = rows.select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
     found: list[DataFrame] = []
+    branched: list[DataFrame] = []
     cut_nodes = None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
@@ -147,11 +176,11 @@ def leaves(sketches: DataFrame, threshold: float, trees: int, leaf: int = LEAF)
             each = cut_nodes.filter("node = head").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             found.append(each.select(F.xxhash64("path", F.col("p").cast("long")).alias("path"), "node"))
             break
+        branched.append(large.select("node", F.lit(level).alias("depth")))
         rows = _children(large.select("node", "path").join(sketches.select("node", "sketch"), "node"), threshold)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return (out if cut_nodes is None else out.distinct()), cut_nodes
+    depths = reduce(DataFrame.union, branched).groupBy("node").agg(F.max("depth").alias("depth")) if branched else None
+    out = reduce(DataFrame.union, found)
+    return (out if cut_nodes is None else out.distinct()), cut_nodes, depths
 
 
 def _part(node: str) -> Column:
@@ -315,7 +344,7 @@ def near_duplicates(
     filled = scanned.filter("n_shingles > 0")
     first = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
     classes = materialize(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *first), "classes")
-    nodes, cut_nodes = leaves(classes, threshold, trees or trees_for(threshold), leaf)
+    nodes, cut_nodes = leaves(classes, threshold, trees, leaf)
     groups = components(_candidates(nodes, classes, threshold))
     sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
     member = materialize(groups.join(sizes, "root").join(classes.select("node", "doc"), "node"), "candidates")

@@ -1,11 +1,14 @@
 """Cases in which an operator once did less than its whole job."""
 
+import random
 import re
 from math import comb
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from normframe.llm import near_dedup, surrogates
+from normframe.llm import ann, near_dedup, surrogates
 from normframe.llm.html_extract import main_text
 
 # op1
@@ -88,3 +91,23 @@ def test_sketches_keep_pairs_at_the_threshold(threshold):
     tail = [sum(comb(64, k) * threshold**k * (1 - threshold) ** (64 - k) for k in range(n)) for n in (least, least + 1)]
     assert tail[0] <= near_dedup.MISS < tail[1]
     assert near_dedup.agreement_for(1) == 64
+
+
+def test_large_template_families_go_to_further_trees(spark):
+    r = random.Random(3)
+    template = [r.randrange(1 << 31) for _ in range(64)]
+    rows = []
+    for k in range(0, 100, 2):  # pairs that agree in 55 tokens, and in about 0.75 * 0.75 with all others
+        own = [t if r.random() < 0.87 else r.randrange(1 << 31) for t in template]
+        other = list(own)
+        for at in r.sample(range(64), 9):
+            other[at] = r.randrange(1 << 31)
+        rows += [(k, own), (k + 1, other)]
+    classes = spark.createDataFrame(rows, "node bigint, sketch array<int>")
+
+    def shared(trees):
+        found = near_dedup.leaves(classes, 0.85, trees, 30)[0]
+        return found.groupBy("path", F.floor(F.col("node") / 2).alias("pair")).count().filter("count = 2").count()
+
+    assert shared(None) > 1.15 * shared(10)  # the ten trees of before, and further ones
+    assert [near_dedup.trees_for(0.85, d) for d in (0, 1, 5, 30)] == [10, 13, 24, 83]

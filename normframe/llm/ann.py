@@ -9,8 +9,9 @@ all tables are merged and ranked by exact distances.
 
 Equal vectors are one indexed entry with their smallest ids, so a vector with
 any number of copies costs one row; crowded buckets are dealt over several
-tasks; queries left with fewer neighbours than asked for are answered by an
-exact scan in blocks.
+tasks; queries left with fewer neighbours than asked for, or with neighbours farther
+away than the slots suit, are answered by an exact scan in blocks; so are all
+queries if no index reaches the recall asked for on the sample.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ class Index:
     width: float
     probes: int
     moves: list[tuple[int, ...]]
+    limit: float = np.inf  # queries whose last neighbour found is farther away are answered by an exact scan
 
     def slots(self, x: np.ndarray, table: int) -> np.ndarray:
         return x @ self.directions[table].T / self.width + self.shifts[table]
@@ -108,7 +110,9 @@ def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: fl
     """An index for ``n`` vectors: slot width and number of probes by measured recall on the sample.
 
     The sample is thinner than all vectors, so its neighbours are farther away
-    than theirs and recall on it is the lower one.
+    than theirs and recall on it is the lower one. The width suits distances
+    about the median: queries at twice that get an exact scan, and all do if no
+    index reaches the target.
     """
     rng = np.random.default_rng(seed)
     asked = np.arange(min(SAMPLE_QUERIES, len(sample)))
@@ -132,8 +136,9 @@ def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: fl
         enough = int(np.ceil(target * found.size))
         index.probes = int(np.sort(found.ravel())[enough - 1]) + 1
         if index.probes <= MOST_PROBES:
+            index.limit = 2 * reach if reach > 0 else np.inf
             return index
-    index.probes = MOST_PROBES
+    index.probes, index.limit = 1, -1.0
     return index
 
 
@@ -185,7 +190,8 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     dim = int(sizes[np.argmax(counts)])
     entries = entries.filter(F.octet_length("vector") == 8 * dim)
     n = entries.count()
-    shared = spark.sparkContext.broadcast(fit(np.array([v for v in sample if len(v) == dim]), n, k, tables, target))
+    index = fit(np.array([v for v in sample if len(v) == dim]), n, k, tables, target)
+    shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,8 +243,8 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
 
     total = entries.select(F.explode("ids").alias("id")).limit(k + 1).count()
     full = entries.select(F.col("rep").alias("rep"), F.size("ids").alias("copies"))
-    got = best.join(full, "rep").groupBy("q").agg(F.sum("copies").alias("n"))
-    short = asked.join(got, asked["rep"] == got["q"], "left").filter(F.coalesce("n", F.lit(0)) < total).select("rep", "vector")
+    got = best.join(full, "rep").groupBy("q").agg(F.sum("copies").alias("n"), F.max("score").alias("last"))
+    short = asked.join(got, asked["rep"] == got["q"], "left").filter((F.coalesce("n", F.lit(0)) < total) | (F.col("last") > index.limit)).select("rep", "vector")
     exact = None
     block: list = []
     for row in [*short.toLocalIterator(), None]:

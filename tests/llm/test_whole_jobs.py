@@ -111,3 +111,20 @@ def test_large_template_families_go_to_further_trees(spark):
 
     assert shared(None) > 1.15 * shared(10)  # the ten trees of before, and further ones
     assert [near_dedup.trees_for(0.85, d) for d in (0, 1, 5, 30)] == [10, 13, 24, 83]
+
+
+# op6
+
+
+def test_recall_beside_large_families_of_near_copies(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(6000, 16))
+    x[:3300] = r.normal(size=(5, 16))[np.arange(3300) % 5] + 1e-2 * r.normal(size=(3300, 16))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    asked = range(3300, 6000, 90)
+    got = {}
+    for q in ann.neighbours(df, df.filter("vec_id >= 3300 and (vec_id - 3300) % 90 = 0")).collect():
+        got.setdefault(q["query_id"], set()).add(q["vec_id"])
+    d = np.sqrt(((x[list(asked)][:, None] - x[None]) ** 2).sum(2))
+    want = {q: set(np.argsort(row)[:11].tolist()) - {q} for q, row in zip(asked, d, strict=True)}
+    assert np.mean([len(got[q] & want[q]) / 10 for q in asked]) >= 0.97

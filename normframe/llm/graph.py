@@ -15,29 +15,29 @@ from .shared import materialize
 BROADCAST_ROWS = 500_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b), of type long.
 
     Every round hooks each node onto its smallest neighbour and contracts the
     graph, which at least halves the nodes that still have edges; a star of any
     size is one round, done by a partial aggregate. All tables stay distributed
-    and are written to the shared folder between rounds.
+    and are written to the shared folder between rounds; ``scratch`` collects their paths.
     """
     both = edges.filter("a != b").select("a", "b")
-    live = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    live = materialize(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges", scratch)
     labels = None
     while not live.isEmpty():
-        hooks = materialize(live.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "hooks")
+        hooks = materialize(live.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "hooks", scratch)
         few = hooks.count() <= BROADCAST_ROWS
         small = F.broadcast if few else (lambda table: table)  # counted; larger tables are joined by a shuffle
         if labels is None:
             labels = hooks
         else:
             moved = small(hooks.select(F.col("node").alias("root"), F.col("root").alias("next")))
-            labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels")
+            labels = materialize(labels.join(moved, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "labels", scratch)
         at_a = small(hooks.select(F.col("node").alias("a"), F.col("root").alias("x")))
         at_b = small(hooks.select(F.col("node").alias("b"), F.col("root").alias("y")))
-        live = materialize(live.join(at_a, "a").join(at_b, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
+        live = materialize(live.join(at_a, "a").join(at_b, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges", scratch)
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -5,10 +5,11 @@ tokens. Each of several independent trees branches the documents: a node picks
 one or (with the chance that keeps a similar pair's expected number of common
 children at one or more) two token positions by a hash of its path, and a
 document goes to the child of its token there. Nodes small enough are leaves,
-whose pairs are compared exhaustively; larger nodes branch on. Pairs that share
-a leaf in any tree and look similar form candidate groups. Every candidate group
-is then checked on full sets: exhaustively as one node if it is small, and else
-in the leaves of its trees, which are small.
+whose pairs are compared exhaustively; larger nodes branch on, but for the
+documents close to the node's head, which are compared by way of it. Pairs that
+share a leaf in any tree and look similar form candidate groups. Every candidate
+group is then checked on full sets: exhaustively as one node if it is small, and
+else in the leaves of its trees, which are small.
 
 Documents with equal sets are one class from the start, so a group of copies of
 any size costs one member; links between different sets are confirmed exactly.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -26,14 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components, labels_of, whole_groups
-from .shared import materialize, read_table, utf8
+from .shared import materialize, read_table, remove, utf8
 from .textscan import SPACED, mix64, shingles, slices, words
 
 #: Minwise tokens of a sketch, and documents of a leaf.
 TOKENS, LEAF = 64, 1000
 #: The chance that a pair at the threshold shares a leaf of no tree, and the one that its sketches agree too little; they set the trees and the cut.
 MISS = 3e-6
-#: Levels after which a node that never fell apart is cut into overlapping leaves.
+#: Tokens in which a document may differ from the head of a large node to be finished there.
+CLOSE = 8
+#: Levels after which a node that never fell apart is compared in blocks.
 DEPTH = 30
 #: Candidate documents up to which the table of candidates is broadcast to the scan of texts.
 BROADCAST_ROWS = 500_000
@@ -121,95 +125,124 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "_at", F.element_at("sketch", F.col("_at") + 1))).drop("_at")
 
 
-def leaves(sketches: DataFrame, threshold: float, trees: int | None = None, leaf: int = LEAF) -> tuple[DataFrame, DataFrame | None]:
-    """(path, node): the leaves of all trees with two or more documents, and the nodes that had to be cut.
+@dataclass
+class Grown:
+    """What trees end in: ``leaves`` (path, node), and ``stars`` (path, head, node, away) of nodes too large for a leaf.
 
-    ``sketches``: a table of node, sketch, one row for each distinct set. The
-    second table (path, node, head, parts) lists nodes that were cut, for
-    ``_cut_links``. Without a number of ``trees``, the first ones are as many as
-    a pair needs that is parted at roots only. Documents in nodes that branched
-    on go to further trees, as many as their deepest branching asks for: a pair
-    can be parted only as deep as both of its documents got.
+    A star lists the documents of its node that could look similar to a
+    document finished there: ``away`` is the number of tokens in which they
+    differ from the head, ``CLOSE`` at most for the finished ones.
+    """
+
+    leaves: DataFrame
+    stars: DataFrame | None
+    depths: DataFrame | None
+
+
+def leaves(sketches: DataFrame, threshold: float, trees: int | None = None, leaf: int = LEAF, scratch: list[str] | None = None) -> Grown:
+    """The leaves of all trees with two or more documents, and the stars of larger nodes.
+
+    ``sketches``: a table of node, sketch, one row for each distinct set.
+    Without a number of ``trees``, the first ones are as many as a pair needs
+    that is parted at roots only. Documents that branched on below a root go to
+    further trees, as many as their deepest branching asks for: a pair can be
+    parted only as deep as both of its documents got.
     """
     first = trees or trees_for(threshold)
-    found, cut_nodes, depths = _grow(sketches.select("node", "sketch", F.lit(first).alias("trees")), threshold, 0, leaf)
-    if trees is None and threshold < 1 and depths is not None:
+    out = _grow(sketches.select("node", "sketch", F.lit(first).alias("trees")), threshold, 0, leaf, scratch)
+    if trees is None and threshold < 1 and out.depths is not None:
         wanted = F.element_at(F.array(*[F.lit(trees_for(threshold, d)) for d in range(DEPTH + 1)]), F.col("depth") + 1)
-        deep = materialize(sketches.join(depths.select("node", wanted.alias("trees")), "node").select("node", "sketch", "trees"), "deep")
-        more, more_cut, _ = _grow(deep, threshold, first, leaf)
-        found = found.union(more)
-        if more_cut is not None:
-            cut_nodes = more_cut if cut_nodes is None else cut_nodes.union(more_cut)
-    return found, cut_nodes
-
-
-def _grow(sketches: DataFrame, threshold: float, tree: int, leaf: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Leaves and cut nodes of the trees from number ``tree`` to each document's ``trees``, and (node, depth) of the documents in nodes that branched on.
-
-    A tree's root branches by two tokens at once. A
-    level is counted with partial aggregates; only documents in nodes over
-    ``leaf`` go on. A node still too large after DEPTH levels holds sets that
-    agree in nearly all tokens: it is cut into leaves by a hash, and all of
-    these share the node's first document, over which they stay connected.
+        deep = materialize(sketches.join(out.depths.select("node", wanted.alias("trees")), "node").select("node", "sketch", "trees"), "deep", scratch)
+        if not deep.isEmpty():
+            more = _grow(deep, threshold, first, leaf, scratch)
+            stars = out.stars if more.stars is None else more.stars if out.stars is None else out.stars.union(more.stars)
+            return Grown(out.leaves.union(more.leaves), stars, out.depths)
+    return out
+
+
+def _grow(sketches: DataFrame, threshold: float, tree: int, leaf: int, scratch: list[str] | None) -> Grown:
+    """The trees from number ``tree`` to each document's ``trees``; ``depths`` (node, depth) of the documents that branched on.
+
+    A tree's root branches by two tokens at once. A level is counted with
+    partial aggregates; only documents in nodes over ``leaf`` go on. Such a node
+    has a head, its smallest document, which is compared with all others there.
+    Documents that differ from it in ``CLOSE`` tokens at most are finished in
+    that node: whatever looks similar to one of them is listed in the head's
+    star. So a large group of near copies costs a row for each, not a level.
     """
     roots = F.explode(F.transform(F.sequence(F.lit(tree), F.col("trees") - 1), lambda t: F.xxhash64(t.cast("long"))))
     first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
     second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
     rows = sketches.filter(F.col("trees") > tree).withColumn("path", roots)
     rows = rows.select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
+    reach = TOKENS - agreement_for(threshold) + CLOSE
     found: list[DataFrame] = []
+    stars: list[DataFrame] = []
     branched: list[DataFrame] = []
-    cut_nodes = None
     for level in range(1, DEPTH + 1):
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        table = materialize(rows.select("node", "path").join(sizes, "path"), "level")
-        small = table.filter(F.col("n") <= leaf).select("path", "node")
+        table = materialize(rows.select("node", "path").join(sizes, "path"), "level", scratch)
+        found.append(table.filter(F.col("n") <= leaf).select("path", "node"))
         large = table.filter(F.col("n") > leaf)
-        found.append(small)
         if large.isEmpty():
             break
+        known = large.select("path", "node").join(sketches.select("node", "sketch"), "node")
+        heads = known.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("head"))
+        away = F.aggregate(F.zip_with("sketch", "head.sketch", lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
+        met = materialize(known.join(heads, "path").select("path", "node", F.col("head.node").alias("head"), away.alias("away"), "sketch"), "met", scratch)
+        stars.append(met.filter(F.col("away") <= reach).select("path", "head", "node", "away"))
+        on = met.filter(F.col("away") > CLOSE)
         if level == DEPTH:
-            parts = F.ceil(F.col("n") / F.lit(max(1, leaf // 2))).cast("int")
-            heads = large.groupBy("path").agg(F.min("node").alias("head"))
-            cut_nodes = materialize(large.join(heads, "path").select("path", "node", "head", parts.alias("parts")), "cut")
-            found.append(cut_nodes.select(_part("node").alias("path"), "node"))
-            each = cut_nodes.filter("node = head").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            found.append(each.select(F.xxhash64("path", F.col("p").cast("long")).alias("path"), "node"))
+            found.append(_blocks(on.select("path", "node"), on.select("path", "node"), leaf))
             break
-        branched.append(large.select("node", F.lit(level).alias("depth")))
-        rows = _children(large.select("node", "path").join(sketches.select("node", "sketch"), "node"), threshold)
+        branched.append(on.select("node", F.lit(level).alias("depth")))
+        rows = _children(on.select("path", "node", "sketch"), threshold)
     depths = reduce(DataFrame.union, branched).groupBy("node").agg(F.max("depth").alias("depth")) if branched else None
-    out = reduce(DataFrame.union, found)
-    return (out if cut_nodes is None else out.distinct()), cut_nodes, depths
+    return Grown(reduce(DataFrame.union, found), reduce(DataFrame.union, stars) if stars else None, depths)
+
+
+def _blocks(left: DataFrame, right: DataFrame, leaf: int) -> DataFrame:
+    """(path, node): leaves in which each row of ``left`` (path, node) meets each row of ``right`` of its path, for any number of rows."""
+    half = max(1, leaf // 2)
+    cut = [t.groupBy("path").agg(F.ceil(F.count("*") / half).cast("int").alias(n)) for t, n in ((left, "tall"), (right, "wide"))]
+    shapes = cut[0].join(cut[1], "path")
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("tall")).cast("long")
+    theirs = F.pmod(F.xxhash64("node", F.lit(6)), F.col("wide")).cast("long")
+    a = left.join(shapes, "path").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
+    b = right.join(shapes, "path").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)))
+    a = a.select(F.xxhash64("path", mine, F.col("q").cast("long")).alias("path"), "node")
+    return a.union(b.select(F.xxhash64("path", F.col("p").cast("long"), theirs).alias("path"), "node")).distinct()
+
+
+def _star_keys(edges: DataFrame, leaf: int) -> DataFrame:
+    """(key, node): keys in which the head of each edge (head, node) meets the node; a large star is dealt over several keys, all with the head."""
+    counted = edges.groupBy("head").agg(F.ceil(F.count("*") / max(1, leaf // 2)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
+    arms = edges.join(counted, "head").select(F.xxhash64("head", part, F.lit(7)).alias("key"), "node")
+    own = counted.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return arms.union(own.select(F.xxhash64("head", F.col("p").cast("long"), F.lit(7)).alias("key"), F.col("head").alias("node")))
 
 
-def _part(node: str) -> Column:
-    """The leaf of a cut node that a document is dealt to."""
-    return F.xxhash64("path", F.pmod(F.xxhash64(node), F.col("parts")).cast("long"))
+def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows (head, node, ...) whose two documents are in different components so far."""
+    root = parts.select(F.col("node").alias("_n"), F.col("root").alias("_own"))
+    top = parts.select(F.col("node").alias("_h"), F.col("root").alias("_top"))
+    met = rows.join(root, F.col("node") == F.col("_n"), "left").join(top, F.col("head") == F.col("_h"), "left")
+    return met.filter(F.coalesce("_own", "node") != F.coalesce("_top", "head")).select(*rows.columns)
 
 
-def _cut_links(cut_nodes: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, node, doc): what is left to compare in cut nodes.
+def _rest(stars: DataFrame, parts: DataFrame, leaf: int) -> DataFrame:
+    """(path, node): leaves for what is left to compare in nodes with finished documents.
 
-    A document that is connected with the node's first one needs no more links
-    there. Each of the others meets all documents of its node: the others are
-    cut too, and every part of them meets every leaf.
+    A document connected with the node's head needs no more links to finished
+    ones. Each of the others listed meets all finished documents of the node,
+    and a finished one that stayed apart from its head meets all listed.
     """
-    root = parts.select(F.col("node").alias("_n"), "root")
-    own = cut_nodes.join(root, cut_nodes["node"] == root["_n"], "left").select("path", "node", "head", "parts", F.coalesce("root", "node").alias("own"))
-    top = parts.select(F.col("node").alias("_h"), F.col("root").alias("top"))
-    rest = own.join(top, own["head"] == top["_h"], "left").filter(F.col("own") != F.coalesce("top", "head")).select("path", "node", "parts")
-    sizes = rest.groupBy("path").agg(F.count("*").alias("m"))
-    few = F.ceil(F.col("m") * F.col("parts") / F.col("n")).cast("int")  # parts of the rest, as large as leaves
-    counts = cut_nodes.groupBy("path").agg(F.count("*").alias("n"))
-    shapes = sizes.join(counts, "path").join(cut_nodes.select("path", "parts").distinct(), "path").select("path", "parts", few.alias("few"))
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("few")).cast("long")
-    left = rest.select("path", "node").join(shapes, "path").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = left.select(F.xxhash64("path", F.col("p").cast("long"), mine).alias("key"), "node")
-    place = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    right = cut_nodes.select("path", "node").join(shapes, "path").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("few") - 1)))
-    right = right.select(F.xxhash64("path", place, F.col("q").cast("long")).alias("key"), "node")
-    return left.union(right).distinct().join(classes.select("node", "doc"), "node").select("key", "node", "doc")
+    apart = _apart(stars.select("path", "head", "node", "away"), parts)
+    done = stars.filter(F.col("away") <= CLOSE).select("path", "node")
+    lone = apart.filter(F.col("away") <= CLOSE).select("path", "node")
+    listed = stars.join(lone.select("path").distinct(), "path", "left_semi").select("path", "node")
+    return _blocks(apart.select("path", "node"), done, leaf).union(_blocks(lone, listed, leaf))
 
 
 def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
@@ -330,6 +363,7 @@ def _confirm(keys: DataFrame, docs: DataFrame, width: int, num: int, den: int, i
 
 def near_duplicates(
     docs: DataFrame, num: int = 85, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text", trees: int | None = None, leaf: int = LEAF,
+    scratch: list[str] | None = None,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable over links) and kept.
 
@@ -337,25 +371,40 @@ def near_duplicates(
     sets of 64-bit shingle hashes. A null or empty text has an empty set and is
     linked with nothing. Repeated rows are copies; rows that repeat an id with
     different texts are told apart by their sets. A null id is kept only if its
-    document is alone.
+    document is alone. ``scratch`` collects the paths of the tables that the
+    result is read from; all others are removed here.
     """
     threshold = num / den
-    scanned = materialize(sketch_documents(docs, width, id_col, text_col), "sketches")
+    spark, kept, scratch = docs.sparkSession, scratch, []
+    scanned = materialize(sketch_documents(docs, width, id_col, text_col), "sketches", kept)
     filled = scanned.filter("n_shingles > 0")
     first = [F.first(c).alias(c) for c in ("n_shingles", "sketch")]
-    classes = materialize(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *first), "classes")
-    nodes, cut_nodes = leaves(classes, threshold, trees, leaf)
-    groups = components(_candidates(nodes, classes, threshold))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-    member = materialize(groups.join(sizes, "root").join(classes.select("node", "doc"), "node"), "candidates")
-    small = member.filter(F.col("n") <= leaf).select(F.col("root").alias("key"), "node", "doc")
-    large = member.filter(F.col("n") > leaf).join(nodes, "node").select(F.xxhash64("path", "root").alias("key"), "node", "doc")
-    links = _confirm(small.union(large), docs, width, num, den, id_col, text_col, member.count())
-    if cut_nodes is not None:
-        links = materialize(links, "links")
-        rest = materialize(_cut_links(cut_nodes, components(links), classes), "rest")
-        links = links.union(_confirm(rest, docs, width, num, den, id_col, text_col, rest.count()))
-    parts = components(links)
+    classes = materialize(filled.groupBy("node").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), *first), "classes", kept)
+    named = classes.select("node", "doc")
+
+    def confirmed(keys: DataFrame) -> DataFrame:
+        asked = materialize(keys.join(named, "node").select("key", "node", "doc"), "keys", scratch)
+        return materialize(_confirm(asked, docs, width, num, den, id_col, text_col, asked.count()), "links", scratch)
+
+    def similar(nodes: DataFrame) -> DataFrame:
+        """Links in leaves: of those that look similar, group by group if small, and else leaf by leaf."""
+        groups = components(_candidates(nodes, classes, threshold), scratch)
+        sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+        member = materialize(groups.join(sizes, "root"), "candidates", scratch)
+        small = member.filter(F.col("n") <= leaf).select(F.col("root").alias("key"), "node")
+        large = member.filter(F.col("n") > leaf).join(nodes, "node").select(F.xxhash64("path", "root").alias("key"), "node")
+        return confirmed(small.union(large))
+
+    grown = leaves(classes, threshold, trees, leaf, scratch)
+    links = similar(grown.leaves)
+    if grown.stars is not None:  # each document with its smallest head, then with heads that it is still apart from, then the rest
+        near = grown.stars.filter((F.col("away") <= TOKENS - agreement_for(threshold)) & (F.col("node") != F.col("head"))).select("head", "node").distinct()
+        links = links.union(confirmed(_star_keys(near.groupBy("node").agg(F.min("head").alias("head")).select("head", "node"), leaf)))
+        links = links.union(confirmed(_star_keys(_apart(near, components(links, scratch)), leaf)))
+        links = links.union(similar(materialize(_rest(grown.stars, components(links, scratch), leaf), "rest", scratch)))
+    parts = materialize(components(links, scratch), "parts", kept)
+    for path in scratch:
+        remove(spark, path)
     named = classes.select("node", "doc", "copies").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
     lowest = named.filter("root is not null").groupBy("root").agg(F.min("doc").alias("low"))
     known = named.filter("copies > 1 or root is not null").join(lowest, "root", "left").select("node", F.coalesce("low", "doc").alias("component_id"))
@@ -371,8 +420,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     null id stay. The ids that go are counted; few enough are broadcast, so that
     texts are not shuffled, and more are joined by a shuffle.
     """
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
+    scratch: list[str] = []
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col, scratch=scratch, **options).filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
     gone = materialize(gone, "gone")
+    for path in scratch:
+        remove(docs.sparkSession, path)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

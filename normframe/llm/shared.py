@@ -42,13 +42,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by a Parquet table in the shared folder.
 
     Unlike executor-local storage the table outlives any executor, and later
-    readers get column pruning and filter pushdown.
+    readers get column pruning and filter pushdown. ``scratch`` collects the
+    paths of tables that their reader removes.
     """
     path = scratch_path(df.sparkSession, name)
+    if scratch is not None:
+        scratch.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -4,15 +4,28 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
 
 
+@dataclass(frozen=True)
+class Elementwise:
+    """A function of a value and its column's center, for Spark columns and for NumPy arrays."""
+
+    column: Callable[[Column, Column], Column]
+    array: Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+    def __call__(self, x: Column, c: Column) -> Column:
+        return self.column(x, c)
+
+
 def strict_double(value: Column, what: str) -> Column:
     """The value as a double; a NULL raises, because aggregates would skip it silently."""
     message = f"NULL in matrix column {what}; replace it or pass nulls='nan'"

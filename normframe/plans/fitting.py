@@ -1,4 +1,4 @@
-"""Fitting passes: which reductions a recipe needs, in at most two jobs."""
+"""Fitting passes: which reductions a recipe needs, and in which jobs."""
 
 from __future__ import annotations
 
@@ -7,54 +7,57 @@ from typing import Any
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.numeric import NAN, RowVector, normal_range, usable_scale
-from .recipes import ColumnNormalization, ColumnParams, Recipe, RowParams
+from ..functions.numeric import NAN, Elementwise, RowVector, normal_range, usable_scale
+from .recipes import ColumnParams, Recipe, RowParams
+from .selection import between
 
-# Elementwise functions of the reductions; c is the center of the column.
 #: Columns up to which a row's statistics are plain expressions; wider rows are folded as arrays.
 INLINE = 8
 
-IDENTITY = lambda x, c: x
-DEVIATION = lambda x, c: x - c
-ABSOLUTE = lambda x, c: F.abs(x - c)
-SQUARE = lambda x, c: (x - c) * (x - c)
+# Elementwise functions of the reductions; c is the center of the column.
+IDENTITY = Elementwise(lambda x, c: x, lambda x, c: x)
+DEVIATION = Elementwise(lambda x, c: x - c, lambda x, c: x - c)
+ABSOLUTE = Elementwise(lambda x, c: F.abs(x - c), lambda x, c: np.abs(x - c))
+SQUARE = Elementwise(lambda x, c: (x - c) * (x - c), lambda x, c: (x - c) ** 2)
 
 
 def fit_columns(matrix: Any, recipe: Recipe, allow_empty: bool = False) -> ColumnParams:
     """Centers and scales of all columns.
 
-    The first job takes every one-pass statistic of all columns; the second,
-    if the scale needs it, deviations from the mean or from the chosen center.
+    One job takes every one-pass statistic of all columns; a second, if the
+    scale needs it, deviations from the mean or from the chosen center.
+    Quantiles share their scans: one for counts and one for the values if the
+    columns are short, a few more if they are long.
     An empty axis raises unless ``allow_empty``, which gives NaN (0 for norms
     without centering, and so a scale of 1).
     """
+    p = matrix.ncols
+    norms = {"maxabs": ("max", ABSOLUTE), "l1": ("sum", ABSOLUTE), "l2": ("sum", SQUARE)}
     first: dict[str, tuple[str, Any]] = {}
     if recipe.center == "mean" or recipe.scale == "sd":
         first["sum"] = ("sum", IDENTITY)
-    if recipe.center == "min" or recipe.scale in ("range", "quantile_range"):
+    if recipe.center == "min" or recipe.scale == "range":
         first["min"] = ("min", IDENTITY)
     if recipe.scale == "range":
         first["max"] = ("max", IDENTITY)
-    norms = {"maxabs": ("max", ABSOLUTE), "l1": ("sum", ABSOLUTE), "l2": ("sum", SQUARE)}
-    p = matrix.ncols
     if recipe.center == "none" and recipe.scale in norms:
         first["norm"] = norms[recipe.scale]
-    got = matrix.reduce(first, [0.0] * p)
+    qs = ([0.5] if recipe.center == "median" else []) + (list(recipe.quantile_range) if recipe.scale == "quantile_range" else [])
+    n, ends = matrix.ends(qs) if qs else (0, [])
+    got = matrix.reduce(first, [0.0] * p) if first or not qs else {"n": n}
     n = got["n"]
     if n == 0 and not allow_empty:
         raise ValueError("the matrix has no rows to fit on")
     mean = got["sum"] / n if "sum" in got and n else np.full(p, NAN)
-    if recipe.center == "median":
-        center = matrix.quantiles([0.5], None)[:, 0]
-    else:
-        center = {"none": None, "mean": mean, "min": got.get("min")}[recipe.center]
+    median = np.array([NAN if e is None else between(*e[0]) for e in ends]) if recipe.center == "median" else None
+    center = {"none": None, "mean": mean, "min": got.get("min"), "median": median}[recipe.center]
     scale: np.ndarray | None = None
     if recipe.scale == "sd":
         scale = _sd(matrix, mean, n, recipe.df)
     elif recipe.scale == "range":
         scale = got["max"] - got["min"]
     elif recipe.scale == "quantile_range":
-        scale = quantile_ranges(matrix, recipe.quantile_range, got["min"], n)
+        scale = spread(ends)
         if recipe.unit_variance:
             scale = scale / normal_range(*recipe.quantile_range)
     elif recipe.scale in norms:
@@ -76,12 +79,16 @@ def _sd(matrix: Any, mean: np.ndarray, n: int, df: int) -> np.ndarray:
         return np.sqrt(np.maximum(got["dd"] - got["d"] ** 2 / n, 0) / (n - df))
 
 
-def quantile_ranges(matrix: Any, bounds: tuple[float, float], low: np.ndarray, n: int) -> np.ndarray:
-    """Upper minus lower quantile, from values shifted by the minimum so that offsets do not erase the spread."""
-    if n == 0:
-        return np.full(matrix.ncols, NAN)
-    q = matrix.quantiles(list(bounds), list(low))
-    return q[:, 1] - q[:, 0]
+def spread(ends: list[Any]) -> np.ndarray:
+    """Upper minus lower quantile, the last two of each column, from values shifted by the lower one so that offsets do not erase the spread."""
+    out = np.full(len(ends), NAN)
+    for j, e in enumerate(ends):
+        if e is not None:
+            (a, b, f), (c, d, g) = e[-2:]
+            shift = a if np.isfinite(a) else 0.0
+            with np.errstate(invalid="ignore"):
+                out[j] = np.float64(between(c - shift, d - shift, g)) - between(a - shift, b - shift, f)
+    return out
 
 
 class ColumnStatistics:
@@ -121,11 +128,10 @@ class ColumnStatistics:
         return np.sqrt(self._one("sum", SQUARE, centers)[0])
 
     def medians(self) -> np.ndarray:
-        return self.matrix.quantiles([0.5], None)[:, 0]
+        return self.matrix.quantiles([0.5])[:, 0]
 
     def quantile_ranges(self, bounds: tuple[float, float] = (0.25, 0.75), unit_variance: bool = False) -> np.ndarray:
-        got = self.matrix.reduce({"a": ("min", IDENTITY)}, [0.0] * self.matrix.ncols)
-        out = quantile_ranges(self.matrix, bounds, got["a"], got["n"])
+        out = spread(self.matrix.ends(list(bounds))[1])
         return out / normal_range(*bounds) if unit_variance else out
 
 

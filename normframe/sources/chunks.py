@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -45,22 +46,38 @@ class ChunkedMatrix:
         filled = F.coalesce("values", F.array_repeat(F.lit(self.fill), r * c))
         return grid.join(near, ["ci", "cj"], "left").select("ci", "cj", filled.alias("values"))
 
-    def entries(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
-        """(i, j, v) of a rectangle: padding left out, fill values kept."""
+    def _pieces(self, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+        """(i, cj, x): the rows of the chunks that meet a rectangle, cut out of their chunks as arrays."""
+        r, c = self.chunk
+        within = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda k: F.slice("values", k * c + 1, c))).alias("at", "x")
+        cut = self._grid(rows, cols).select("ci", "cj", within).select((F.col("ci") * r + F.col("at")).cast("long").alias("i"), "cj", "x")
+        return cut.filter((F.col("i") >= rows[0]) & (F.col("i") < rows[1]))
+
+    def _rectangle(self, rows: tuple[int, int] | None, cols: tuple[int, int] | None) -> tuple[tuple[int, int], tuple[int, int]]:
         rows, cols = rows or (0, self.nrows), cols or (0, self.ncols)
         if not (0 <= rows[0] <= rows[1] <= self.nrows and 0 <= cols[0] <= cols[1] <= self.ncols):
             raise ValueError("the rectangle is out of bounds")
-        r, c = self.chunk
-        cells = self._grid(rows, cols).select("ci", "cj", F.posexplode("values").alias("at", "v"))
-        placed = cells.select((F.col("ci") * r + F.floor(F.col("at") / c)).cast("long").alias("i"), (F.col("cj") * c + F.col("at") % c).cast("long").alias("j"), "v")
-        return placed.filter((F.col("i") >= rows[0]) & (F.col("i") < rows[1]) & (F.col("j") >= cols[0]) & (F.col("j") < cols[1]))
+        return rows, cols
+
+    def entries(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
+        """(i, j, v) of a rectangle: padding left out, fill values kept."""
+        rows, cols = self._rectangle(rows, cols)
+        cells = self._pieces(rows, cols).select("i", "cj", F.posexplode("x").alias("at", "v"))
+        placed = cells.select("i", (F.col("cj") * self.chunk[1] + F.col("at")).cast("long").alias("j"), "v")
+        return placed.filter((F.col("j") >= cols[0]) & (F.col("j") < cols[1]))
 
     def to_array(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, column: str = "x") -> Array:
-        """Whole rows of a rectangle as a matrix. Chunks of one chunk row meet, and are cut into rows there."""
-        rows, cols = rows or (0, self.nrows), cols or (0, self.ncols)
-        width = cols[1] - cols[0]
-        cells = self.entries(rows, cols).groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda e: e["v"]).alias(column))
-        return Array.of(cells, "i", column, width)
+        """Whole rows of a rectangle as a matrix: the pieces of a row meet and are put together. One chunk across needs no shuffle."""
+        rows, cols = self._rectangle(rows, cols)
+        first, width = cols[0] // self.chunk[1], cols[1] - cols[0]
+        pieces = self._pieces(rows, cols)
+        if not width:
+            pieces = self.chunks.sparkSession.range(*rows).select(F.col("id").alias("i"), F.array().cast("array<double>").alias("x"))
+        elif -(-cols[1] // self.chunk[1]) - first > 1:
+            whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cj", "x"))), lambda e: e["x"]))
+            pieces = pieces.groupBy("i").agg(whole.alias("x"))
+        cut = pieces.select("i", F.slice("x", cols[0] - first * self.chunk[1] + 1, width).alias(column))
+        return Array.of(cut, "i", column, width)
 
     def dense(self) -> Array:
         return self.to_array()
@@ -78,10 +95,13 @@ class ChunkedMatrix:
         return self.to_array().row()
 
     def reduce(self, wanted: Any, centers: Any) -> dict[str, Any]:
-        return _Entries(self).reduce(wanted, centers)
+        return _Pieces(self).reduce(wanted, centers)
 
-    def quantiles(self, qs: Any, shift: Any) -> np.ndarray:
-        return _Entries(self).quantiles(qs, shift)
+    def ends(self, qs: Any) -> Any:
+        return _Pieces(self).ends(qs)
+
+    def quantiles(self, qs: Any) -> np.ndarray:
+        return _Pieces(self).quantiles(qs)
 
     def read_block(self, rows: tuple[int, int], cols: tuple[int, int]) -> np.ndarray:
         """A rectangle on the driver, row-major."""
@@ -91,12 +111,16 @@ class ChunkedMatrix:
         return out
 
 
-class _Entries(Array):
-    """Column statistics straight from chunk entries, without putting rows together."""
+class _Pieces(Array):
+    """Column statistics straight from the rows of chunks, without putting whole rows together."""
 
     def __init__(self, source: ChunkedMatrix):
         self.source, self.ncols, self.df = source, source.ncols, source.chunks
 
+    def _folded(self) -> tuple[DataFrame, int]:
+        whole = self.source._pieces((0, self.source.nrows), (0, self.source.ncols))
+        return whole.select((F.col("cj") * self.source.chunk[1]).alias("j"), "x"), self.source.chunk[1]
+
     def long(self) -> DataFrame:
         return self.source.entries()
 
@@ -122,73 +146,146 @@ def read_chunks(spark: SparkSession, path: str, shape: tuple[int, int], chunk: t
     return ChunkedMatrix(stored, shape, chunk, fill)
 
 
+@dataclass(frozen=True)
+class _Format:
+    """How the files of an array hold its chunks. ``shard``: chunks of one file by rows and columns, with an index in the file."""
+
+    shape: tuple[int, int]
+    chunk: tuple[int, int]
+    fill: float
+    kind: str
+    order: str
+    codecs: tuple[str, ...]
+    tail: str
+    shard: tuple[int, int] | None = None
+    index_first: bool = False
+    index_checked: bool = False
+
+
 def read_zarr(spark: SparkSession, path: str) -> ChunkedMatrix:
-    """A two-dimensional Zarr array of 32- or 64-bit floats (formats 2 and 3; raw, gzip, zlib or zstd chunks).
+    """A two-dimensional Zarr array of 32- or 64-bit floats: formats 2 and 3; raw, gzip, zlib or zstd chunks, sharded or not.
 
     Spark lists and reads the chunk files, one task for several of them; values
-    are not converted beyond doubles.
+    are not converted beyond doubles. A sharded array's chunks are the inner
+    ones. Filters on chunk numbers come after the listing: a rectangle reads
+    the files of its chunks alone if their names are partitions of a table, as
+    ``write_chunks`` makes them.
     """
-    meta = _metadata(spark, path)
-    order, kind, codec, start, cut, shape, chunk = meta["order"], meta["dtype"], meta["codec"], meta["start"], meta["separator"], meta["shape"], meta["chunk"]
+    how = _format(spark, path)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    tail = rf"/{start}(\d+){'/' if cut == '/' else r'[.]'}(\d+)$"
-    named = files.select(F.regexp_extract("path", tail, 1).alias("ci"), F.regexp_extract("path", tail, 2).alias("cj"), "content").filter("ci != ''")
+    named = files.select(F.regexp_extract("path", how.tail, 1).alias("ci"), F.regexp_extract("path", how.tail, 2).alias("cj"), "content").filter("ci != ''")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = []
-            for blob in batch.column(2).to_pylist():
-                data = np.frombuffer(_unpack(blob, codec), kind).astype(float)
-                values.append((data.reshape(chunk[::-1]).T if order == "F" else data).ravel().tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.list_(pa.float64()))], ["ci", "cj", "values"])
+            for ci, cj, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for di, dj, data in _parts(blob, how):
+                    x = np.frombuffer(_unpack(data, how.codecs), how.kind).astype(float)
+                    x = x.reshape(how.chunk[::-1]).T.ravel() if how.order == "F" else x
+                    tall, across = how.shard or (1, 1)
+                    at = [pa.array([ci * tall + di]), pa.array([cj * across + dj]), pa.array([x.tolist()], pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(at, ["ci", "cj", "values"])
 
     chunks = named.select(F.col("ci").cast("long").alias("ci"), F.col("cj").cast("long").alias("cj"), "content").mapInArrow(decode, "ci bigint, cj bigint, values array<double>")
-    return ChunkedMatrix(chunks, shape, chunk, meta["fill"])
-
-
-def _metadata(spark: SparkSession, path: str) -> dict[str, Any]:
-    found = {}
-    for name in ("zarr.json", ".zarray"):
-        try:
-            found[name] = json.loads(spark.read.text(f"{path}/{name}", wholetext=True).first()[0])
-        except Exception as e:  # noqa: BLE001  Spark raises several kinds for a missing path
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    if "zarr.json" in found:
-        m = found["zarr.json"]
-        codecs = m["codecs"]
-        kind = {"float32": "f4", "float64": "f8"}.get(m["data_type"])
-        end = next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little")
-        packed = next((c["name"] for c in codecs if c["name"] in ("gzip", "zstd")), None)
-        unknown = {c["name"] for c in codecs} - {"bytes", "gzip", "zstd", "crc32c"}
-        encoding = m.get("chunk_key_encoding", {"name": "default"})
-        out = {
-            "shape": m["shape"], "chunk": m["chunk_grid"]["configuration"]["chunk_shape"], "fill": _fill(m["fill_value"]), "order": "C", "codec": packed,
-            "start": "c/" if encoding["name"] == "default" else "", "separator": encoding.get("configuration", {}).get("separator", "/" if encoding["name"] == "default" else "."),
-        }
-        kind = None if kind is None else ("<" if end == "little" else ">") + kind
-    elif ".zarray" in found:
-        m = found[".zarray"]
-        kind = m["dtype"] if m["dtype"] in ("<f4", "<f8", ">f4", ">f8") else None
-        packed = (m.get("compressor") or {}).get("id")
-        unknown = ({packed} - {None, "zlib", "gzip", "zstd"}) | ({"filters"} if m.get("filters") else set())
-        out = {"shape": m["shape"], "chunk": m["chunks"], "fill": _fill(m["fill_value"]), "order": m["order"], "codec": packed, "start": "", "separator": m.get("dimension_separator", ".")}
+    return ChunkedMatrix(chunks, how.shape, how.chunk, how.fill)
+
+
+def _parts(blob: bytes, how: _Format) -> Iterator[tuple[int, int, bytes]]:
+    """The chunks in a file: the file itself, or what the index of a shard lists; absent ones are left out."""
+    if how.shard is None:
+        yield 0, 0, blob
+        return
+    n = how.shard[0] * how.shard[1]
+    size = 16 * n
+    whole = size + 4 * how.index_checked
+    index = (blob[:whole] if how.index_first else blob[len(blob) - whole :])[:size]
+    for k, (start, length) in enumerate(np.frombuffer(index, "<u8").reshape(n, 2).tolist()):
+        if start != (1 << 64) - 1:
+            yield k // how.shard[1], k % how.shard[1], blob[start : start + length]
+
+
+def _read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of any store on the driver, None if it is not there. Spark's own readers leave out names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(name):
+        return None
+    stream = fs.open(name)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def _format(spark: SparkSession, path: str) -> _Format:
+    if (text := _read_file(spark, f"{path}/zarr.json")) is not None:
+        out = _version3(json.loads(text))
+    elif (text := _read_file(spark, f"{path}/.zarray")) is not None:
+        out = _version2(json.loads(text))
     else:
         raise ValueError(f"{path} holds no array metadata")
-    if kind is None or unknown:
-        raise ValueError(f"the array's type or codecs are not supported: {sorted(unknown) or 'type'}")
-    if len(out["shape"]) != 2:
+    if len(out.shape) != 2:
         raise ValueError("the array does not have two dimensions")
-    return out | {"dtype": kind, "shape": tuple(out["shape"]), "chunk": tuple(out["chunk"])}
+    return out
+
+
+def _tail(start: str, separator: str) -> str:
+    """The end of a chunk's path, with its two numbers."""
+    return rf"/{start}(\d+){'/' if separator == '/' else r'[.]'}(\d+)$"
+
+
+def _version2(m: dict[str, Any]) -> _Format:
+    packed = (m.get("compressor") or {}).get("id")
+    if m["dtype"] not in ("<f4", "<f8", ">f4", ">f8") or packed not in (None, "zlib", "gzip", "zstd") or m.get("filters"):
+        raise ValueError(f"the array's type, compressor or filters are not supported: {m['dtype']}, {packed}, {m.get('filters')}")
+    return _Format(
+        tuple(m["shape"]), tuple(m["chunks"]), _fill(m["fill_value"]), m["dtype"], m["order"], (packed,) if packed else (), _tail("", m.get("dimension_separator", "."))
+    )
+
+
+def _version3(m: dict[str, Any]) -> _Format:
+    encoding = m.get("chunk_key_encoding", {"name": "default"})
+    by_default = encoding["name"] == "default"
+    separator = encoding.get("configuration", {}).get("separator", "/" if by_default else ".")
+    tail = _tail(("c/" if separator == "/" else "c[.]") if by_default else "", separator)
+    chunk, codecs = tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), m["codecs"]
+    shard, first, checked = None, False, False
+    if codecs[0]["name"] == "sharding_indexed" and len(codecs) == 1:
+        inner = codecs[0]["configuration"]
+        first = inner.get("index_location", "end") == "start"
+        steps = [c["name"] for c in inner.get("index_codecs", [])]
+        if steps not in (["bytes"], ["bytes", "crc32c"]):
+            raise ValueError(f"the shard index's codecs are not supported: {steps}")
+        checked = "crc32c" in steps
+        shard = tuple(a // b for a, b in zip(chunk, inner["chunk_shape"], strict=True))
+        chunk, codecs = tuple(inner["chunk_shape"]), inner["codecs"]
+    size = {"float32": "f4", "float64": "f8"}.get(m["data_type"])
+    unknown = {c["name"] for c in codecs} - {"bytes", "gzip", "zstd", "crc32c"}
+    if size is None or unknown:
+        raise ValueError(f"the array's type or codecs are not supported: {m['data_type']}, {sorted(unknown)}")
+    end = next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little")
+    kind = ("<" if end == "little" else ">") + size
+    return _Format(tuple(m["shape"]), chunk, _fill(m["fill_value"]), kind, "C", tuple(c["name"] for c in codecs if c["name"] != "bytes"), tail, shard, first, checked)
 
 
 def _fill(value: Any) -> float:
-    return {"NaN": NAN, "Infinity": float("inf"), "-Infinity": float("-inf"), None: 0.0}[value] if value is None or isinstance(value, str) else float(value)
-
-
-def _unpack(blob: bytes, codec: str | None) -> bytes:
-    if codec == "zstd":
-        import zstandard
-
-        return zstandard.ZstdDecompressor().decompressobj().decompress(blob)
-    return blob if codec is None else zlib.decompress(blob, 47)
+    """The fill value; a string of hexadecimal digits is the number's bits."""
+    if isinstance(value, str) and value.startswith("0x"):
+        bits = bytes.fromhex(value[2:])
+        return float(np.frombuffer(bits, f">f{len(bits)}")[0])
+    names = {"NaN": NAN, "Infinity": float("inf"), "-Infinity": float("-inf"), None: 0.0}
+    return names[value] if value is None or isinstance(value, str) else float(value)
+
+
+def _unpack(data: bytes, codecs: tuple[str, ...]) -> bytes:
+    """A chunk's raw bytes: its codecs undone from the last to the first."""
+    for name in reversed(codecs):
+        if name == "zstd":
+            import zstandard
+
+            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
+        elif name == "crc32c":
+            data = data[:-4]
+        else:
+            data = zlib.decompress(data, 47)
+    return data

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import math
 import operator
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import NAN, RowVector, nan_max, nan_min, strict_double
+from ..functions.numeric import NAN, Elementwise, RowVector, nan_max, nan_min, strict_double
+from ..plans.selection import Target, between, linear_quantiles, long_scan, order_statistics, wide_scan
 
-Reduction = tuple[str, Callable[[Column, Column], Column]]  # sum, min or max, of f(value, center)
+Reduction = tuple[str, Elementwise]  # sum, min or max, of f(value, center)
+Ends = list[tuple[float, float, float]] | None  # of each quantile: the values around it and the share of the second
+
+ISNAN = Elementwise(lambda x, c: F.isnan(x).cast("double"), lambda x, c: np.isnan(x).astype(float))
 
 #: Vectors with more entries than this are joined as tables, not put into plans as literals.
 LITERALS = 4096
@@ -33,6 +39,26 @@ def vector_table(spark: SparkSession, values: Sequence[float] | np.ndarray, inde
     return F.broadcast(table) if len(data) <= BROADCAST_ENTRIES else table
 
 
+def matched(df: DataFrame, key: str, vector: DataFrame, names: dict[str, str], what: str = "vector") -> DataFrame:
+    """``df`` with columns of a long vector, joined by key; ``vector``'s first column is its key, ``names`` renames the others.
+
+    The vector has each key of ``df`` once, and no others: anything else raises
+    when the rows are read. Rows of ``df`` may share a key.
+    """
+    own, found = "_own", "_found"
+    one = vector.groupBy(F.col(vector.columns[0]).alias("_key")).agg(
+        F.count(F.lit(1)).alias(found), *[F.first(F.col(old)).cast("double").alias(new) for old, new in names.items()]
+    )
+    met = df.withColumn(own, F.lit(True)).join(one, F.col(key) == F.col("_key"), "full_outer")
+    wrong = (
+        F.when(F.col(own).isNull(), F.concat(F.lit(f"the {what} has a key that the matrix lacks: "), F.col("_key").cast("string")))
+        .when(F.col(found).isNull(), F.concat(F.lit(f"the {what} lacks the key "), F.col(key).cast("string")))
+        .when(F.col(found) > 1, F.concat(F.lit(f"the {what} repeats the key "), F.col(key).cast("string")))
+    )
+    checked = met.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
+    return checked.select(*df.columns, *names.values())
+
+
 class Matrix:
     """A matrix with named rows (``key``) and columns numbered from 0."""
 
@@ -44,6 +70,26 @@ class Matrix:
         """The number of rows: an aggregation job."""
         return self.df.count()
 
+    def ends(self, qs: Sequence[float]) -> tuple[int, list[Ends]]:
+        """The number of rows, and for each column the exact order statistics around its linear quantiles; None if a NaN poisons it or it is empty."""
+        n, bad, scan = self._ranked()
+        if not n:
+            return 0, [None] * self.ncols
+        places = linear_quantiles(n, qs)
+        targets = [Target(j, rank, n) for j in range(self.ncols) if not bad[j] for place in places for rank in place[:2]]
+        return n, self._put(iter(order_statistics(scan, targets)), bad, places)
+
+    def _put(self, values: Iterator[float], bad: Sequence[bool], places: list[tuple[int, int, float]]) -> list[Ends]:
+        return [None if bad[j] else [(next(values), next(values), share) for _, _, share in places] for j in range(self.ncols)]
+
+    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
+        """The number of rows, which columns hold a NaN, and the scan for ``order_statistics``: one job."""
+        raise NotImplementedError
+
+    def quantiles(self, qs: Sequence[float]) -> np.ndarray:
+        """Exact linear quantiles of each column; a NaN poisons its column."""
+        return np.array([[NAN] * len(qs) if e is None else [between(*x) for x in e] for e in self.ends(qs)[1]], float).reshape(self.ncols, len(qs))
+
 
 class Wide(Matrix):
     """One DataFrame column for each matrix column: expressions stay in generated code, unused columns unread.
@@ -98,16 +144,9 @@ class Wide(Matrix):
         out: dict[str, Any] = {name: np.array([row[f"{name}_{k}"] for k in range(self.ncols)], float) for name in wanted}
         return out | {"n": row["n"]}
 
-    def quantiles(self, qs: Sequence[float], shift: Sequence[float] | None) -> np.ndarray:
-        """Exact linear quantiles of each column, of the values less a shift; a NaN poisons its column."""
-        exprs = []
-        for k, c in enumerate(self.columns):
-            x = F.col(f"`{c}`")
-            moved = x if shift is None or not np.isfinite(shift[k]) else x - F.lit(float(shift[k]))
-            exact = F.percentile(moved, F.array(*[F.lit(float(q)) for q in qs]))
-            exprs.append(F.when(F.max(F.isnan(x)), F.lit(None)).otherwise(exact).alias(f"q_{k}"))
-        row = self.df.agg(*exprs).first() if exprs else []
-        return np.array([[NAN] * len(qs) if v is None else v for v in row], float).reshape(self.ncols, len(qs))
+    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
+        row = self.df.agg(F.count(F.lit(1)), *[F.coalesce(F.bool_or(F.isnan(f"`{c}`")), F.lit(False)) for c in self.columns]).first()
+        return row[0], row[1:], wide_scan(self.df, self.columns)
 
     def long(self) -> DataFrame:
         """(key, j, v), one row for each entry."""
@@ -162,29 +201,46 @@ class Array(Matrix):
     def long(self) -> DataFrame:
         return self.df.select(self.key, *self.extra, F.posexplode(self.column).alias("j", "v")).withColumn("j", F.col("j").cast("long"))
 
+    def _folded(self) -> tuple[DataFrame, int]:
+        """(j, x): pieces of rows with the column that each starts with, and their width."""
+        return self.df.select(F.lit(0).cast("long").alias("j"), F.col(self.column).alias("x")), self.ncols
+
     def reduce(self, wanted: dict[str, Reduction], centers: Sequence[float]) -> dict[str, Any]:
-        spark = self.df.sparkSession
-        joined = self.long().join(vector_table(spark, centers, "j", "c"), "j")
-        exprs = [_fold(kind, f(F.col("v"), F.col("c"))).alias(name) for name, (kind, f) in wanted.items()]
-        rows = joined.groupBy("j").agg(F.count(F.lit(1)).alias("n"), *exprs).collect()
-        if not rows:
-            empty = {name: np.full(self.ncols, 0.0 if kind == "sum" else NAN) for name, (kind, _) in wanted.items()}
-            return empty | {"n": 0 if self.ncols else self.count()}
-        out: dict[str, Any] = {name: np.zeros(self.ncols) for name in wanted}
+        """All reductions in one job: a task folds its rows as NumPy blocks and hands on one number for each column and reduction."""
+        pieces, width = self._folded()
+        folds = {"sum": (np.sum, 0.0), "min": (np.min, np.inf), "max": (np.max, -np.inf)}
+        names, p, c = list(wanted), self.ncols, np.asarray(centers, float)
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(p, np.int64)
+            acc = {name: np.full(p, folds[wanted[name][0]][1]) for name in names}
+            for batch in batches:
+                start = batch.column(0).to_numpy(zero_copy_only=False)
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(start), width)
+                for j in np.unique(start):
+                    part = x[start == j][:, : p - j]
+                    at = slice(j, j + part.shape[1])
+                    seen[at] += len(part)
+                    with np.errstate(invalid="ignore", over="ignore"):
+                        for name in names:
+                            kind, f = wanted[name]
+                            one = folds[kind][0](f.array(part, c[at]), axis=0)
+                            acc[name][at] = acc[name][at] + one if kind == "sum" else (np.minimum if kind == "min" else np.maximum)(acc[name][at], one)
+            if seen.any():
+                columns = [pa.array(np.arange(p)), pa.array(seen), *[pa.array(acc[name]) for name in names]]
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(seen > 0)) for x in columns], ["j", "n", *names])
+
+        parts = pieces.mapInArrow(fold, "j bigint, n bigint" + "".join(f", `{name}` double" for name in names))
+        rows = parts.groupBy("j").agg(F.sum("n").alias("n"), *[_fold(wanted[name][0], F.col(f"`{name}`")).alias(name) for name in names]).collect()
+        out: dict[str, Any] = {name: np.full(p, 0.0 if kind == "sum" else NAN) for name, (kind, _) in wanted.items()}
         for r in rows:
-            for name in wanted:
+            for name in names:
                 out[name][r["j"]] = r[name]
-        return out | {"n": rows[0]["n"]}
-
-    def quantiles(self, qs: Sequence[float], shift: Sequence[float] | None) -> np.ndarray:
-        out = np.full((self.ncols, len(qs)), NAN)
-        zero = np.zeros(self.ncols) if shift is None else np.where(np.isfinite(shift), shift, 0.0)
-        joined = self.long().join(vector_table(self.df.sparkSession, zero, "j", "c"), "j")
-        exact = F.percentile(F.col("v") - F.col("c"), F.array(*[F.lit(float(q)) for q in qs]))
-        for r in joined.groupBy("j").agg(F.max(F.isnan("v")).alias("bad"), exact.alias("q")).collect():
-            if not r["bad"]:
-                out[r["j"]] = r["q"]
-        return out
+        return out | {"n": rows[0]["n"] if rows else 0 if p else self.count()}
+
+    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
+        got = self.reduce({"nan": ("max", ISNAN)}, [0.0] * self.ncols)
+        return got["n"], got["nan"] > 0, long_scan(self.long())
 
     def to_wide(self, names: Sequence[str] | None = None) -> Wide:
         names = list(names or [f"x{k}" for k in range(self.ncols)])
@@ -243,32 +299,49 @@ class Coo(Matrix):
                     out[name][j] = (np.min if kind == "min" else np.max)(values) if values else NAN
         return out | {"n": n}
 
-    def quantiles(self, qs: Sequence[float], shift: Sequence[float] | None) -> np.ndarray:
-        """Exact quantiles with the implicit zeros in their ranks: a frequency stands for all zeros of a column."""
-        out = np.full((self.ncols, len(qs)), NAN)
-        spark = self.df.sparkSession
-        zero = np.zeros(self.ncols) if shift is None else np.where(np.isfinite(shift), shift, 0.0)
-        domain = vector_table(spark, zero, "j", "c")
-        counts = self.df.groupBy("j").agg(F.count(F.lit(1)).alias("k"))
-        absent = domain.join(counts, "j", "left").select("j", F.lit(0.0).alias("v"), (F.lit(self.nrows) - F.coalesce("k", F.lit(0))).alias("f")).filter("f > 0")
-        every = self.df.select("j", "v", F.lit(1).cast("long").alias("f")).union(absent).join(domain, "j")
-        exact = F.percentile(F.col("v") - F.col("c"), F.array(*[F.lit(float(q)) for q in qs]), F.col("f"))
-        for r in every.groupBy("j").agg(F.max(F.isnan("v")).alias("bad"), exact.alias("q")).collect():
-            if not r["bad"]:
-                out[r["j"]] = r["q"]
-        return out
+    def ends(self, qs: Sequence[float]) -> tuple[int, list[Ends]]:
+        """As for the other layouts, with the implicit zeros in their ranks: a rank among a column's zeros is known from counts, others are of stored entries."""
+        n, p = self.nrows, self.ncols
+        if not n:
+            return 0, [None] * p
+        counts = self.df.groupBy("j").agg(F.count_if(F.col("v") < 0).alias("less"), F.count_if(F.col("v") > 0).alias("more"), F.bool_or(F.isnan("v")).alias("bad")).collect()
+        stored = {r["j"]: r for r in counts}
+        bad = [bool(j in stored and stored[j]["bad"]) for j in range(p)]
+        places = linear_quantiles(n, qs)
+        targets: list[Target | None] = []
+        tiny = math.ulp(0.0)
+        for j in range(p):
+            less, more = (stored[j]["less"], stored[j]["more"]) if j in stored else (0, 0)
+            for rank in (r for place in places for r in place[:2] if not bad[j]):
+                if rank < less:
+                    targets.append(Target(j, rank, less, high=-tiny))
+                elif rank < n - more:
+                    targets.append(None)
+                else:  # counts of values below positive ones leave the zeros out, stored or not
+                    targets.append(Target(j, rank - (n - more) + less, more, low=tiny, below=less))
+        found = iter(order_statistics(long_scan(self.df.select("j", "v").filter("v != 0")), [t for t in targets if t is not None]))
+        return n, self._put(iter([0.0 if t is None else next(found) for t in targets]), bad, places)
 
     def dense(self) -> Array:
         return self.to_array()
 
     def to_array(self, column: str = "x") -> Array:
-        """Rows as arrays with zeros filled in: one shuffle by row, then a join with the row domain."""
-        filled = self.df.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("m"))
-        at = F.sequence(F.lit(0).cast("long"), F.lit(self.ncols - 1).cast("long")) if self.ncols else F.array().cast("array<bigint>")
-        x = F.transform(at, lambda j: F.coalesce(F.try_element_at(F.col("m"), j), F.lit(0.0)))
-        empty = F.coalesce("m", F.create_map().cast("map<bigint,double>"))
-        joined = self.rows.join(filled, "i", "left").withColumn("m", empty)
-        return Array.of(joined.select("i", x.alias(column)), "i", column, self.ncols)
+        """Rows as arrays with zeros filled in: one shuffle by row, then a join with the row domain. A row's entries are put in their places at once."""
+        cells = self.df.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells"))
+        joined = self.rows.join(cells, "i", "left")
+        p, kind = self.ncols, self.rows.schema["i"].dataType.simpleString()
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                cells = batch.column(1).fill_null([])
+                row = np.repeat(np.arange(batch.num_rows), np.diff(cells.offsets.to_numpy()))
+                entry = cells.flatten()
+                x = np.zeros((batch.num_rows, p))
+                x[row, entry.field("j").to_numpy(zero_copy_only=False)] = entry.field("v").to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * p, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["i", column])
+
+        return Array.of(joined.select("i", "cells").mapInArrow(fill, f"i {kind}, `{column}` array<double>"), "i", column, p)
 
     def select(self, start: int, stop: int) -> Coo:
         cut = self.df.filter((F.col("j") >= start) & (F.col("j") < stop)).withColumn("j", F.col("j") - start)

@@ -4,12 +4,16 @@ A document is the set of its distinct word 5-grams. Sets are sketched by minwise
 tokens. Each of several independent trees branches the documents: a node picks
 one or (with the chance that keeps a similar pair's expected number of common
 children at one or more) two token positions by a hash of its path, and a
-document goes to the child of its token there. Nodes small enough are leaves,
-whose pairs are compared exhaustively; larger nodes branch on, but for the
-documents close to the node's head, which are compared by way of it. Pairs that
-share a leaf in any tree and look similar form candidate groups. Every candidate
-group is then checked on full sets: exhaustively as one node if it is small, and
-else in the leaves of its trees, which are small.
+document goes to the child of its token there. Nodes small enough are compared
+exhaustively, as one leaf or in blocks of two parts each; larger nodes branch
+on. Pairs that share a leaf in any tree and look similar form candidate groups.
+Every candidate group is then checked on full sets: exhaustively if it is as
+small as such nodes, and else in the leaves of its trees.
+
+Large families of near copies share nearly all tokens, so branching does not
+part them. They are linked first, in parts of large roots that share a document.
+A large node of one family and few other documents is then finished: these meet
+everything in it, and the family's own pairs, linked already, are left out.
 
 Documents with equal sets are one class from the start, so a group of copies of
 any size costs one member; links between different sets are confirmed exactly.
@@ -19,7 +23,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -35,8 +38,8 @@ from .textscan import SPACED, mix64, shingles, slices, words
 TOKENS, LEAF = 64, 1000
 #: The chance that a pair at the threshold shares a leaf of no tree, and the one that its sketches agree too little; they set the trees and the cut.
 MISS = 3e-6
-#: Tokens in which a document may differ from the head of a large node to be finished there.
-CLOSE = 8
+#: Leaves that a node may hold to be compared whole, in blocks, and trees whose larger roots are searched for families first.
+BLOCKED, FIRST = 8, 3
 #: Levels after which a node that never fell apart is compared in blocks.
 DEPTH = 30
 #: Candidate documents up to which the table of candidates is broadcast to the scan of texts.
@@ -125,138 +128,123 @@ def _children(rows: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("path", F.xxhash64("path", "_at", F.element_at("sketch", F.col("_at") + 1))).drop("_at")
 
 
-@dataclass
-class Grown:
-    """What trees end in: ``leaves`` (path, node), and ``stars`` (path, head, node, away) of nodes too large for a leaf.
-
-    A star lists the documents of its node that could look similar to a
-    document finished there: ``away`` is the number of tokens in which they
-    differ from the head, ``CLOSE`` at most for the finished ones.
+def leaves(
+    sketches: DataFrame, threshold: float, trees: int | None = None, leaf: int = LEAF, families: DataFrame | None = None,
+    scratch: list[str] | None = None, roots: DataFrame | None = None,
+) -> DataFrame:
+    """(path, node): the leaves of all trees with two or more documents.
+
+    ``sketches``: a table of node, sketch, one row for each distinct set;
+    ``families``: (node, root) of documents that are linked already; ``roots``:
+    the first trees' roots, if they are there. Without a number of ``trees``,
+    the first ones are as many as a pair needs that is parted at roots only.
+    Documents in nodes that branched on go to further trees, as many as their
+    deepest branching asks for: a pair can be parted only as deep as both of
+    its documents got.
     """
+    first = trees or trees_for(threshold)
+    roots = _sized(_roots(sketches, 0, F.lit(first)), scratch) if roots is None else roots
+    found, depths = _grow(roots, sketches, threshold, leaf, families, scratch)
+    if trees is None and threshold < 1 and depths is not None:
+        wanted = F.element_at(F.array(*[F.lit(trees_for(threshold, d)) for d in range(DEPTH + 1)]), F.col("depth") + 1)
+        deep = sketches.join(depths.select("node", wanted.alias("trees")), "node").select("node", "sketch", "trees")
+        found = found.union(_grow(_sized(_roots(deep, first, F.col("trees")), scratch), sketches, threshold, leaf, families, scratch)[0])
+    return found
 
-    leaves: DataFrame
-    stars: DataFrame | None
-    depths: DataFrame | None
 
+def _roots(sketches: DataFrame, tree: int, trees: Column) -> DataFrame:
+    """(node, path, tree): the root of each document in the trees from number ``tree`` to ``trees``. A root branches by two tokens at once."""
+    rows = sketches.filter(trees > tree).withColumn("tree", F.explode(F.sequence(F.lit(tree), trees - 1))).withColumn("path", F.xxhash64(F.col("tree").cast("long")))
+    first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
+    second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
+    return rows.select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"), "tree")
 
-def leaves(sketches: DataFrame, threshold: float, trees: int | None = None, leaf: int = LEAF, scratch: list[str] | None = None) -> Grown:
-    """The leaves of all trees with two or more documents, and the stars of larger nodes.
 
-    ``sketches``: a table of node, sketch, one row for each distinct set.
-    Without a number of ``trees``, the first ones are as many as a pair needs
-    that is parted at roots only. Documents that branched on below a root go to
-    further trees, as many as their deepest branching asks for: a pair can be
-    parted only as deep as both of its documents got.
-    """
-    first = trees or trees_for(threshold)
-    out = _grow(sketches.select("node", "sketch", F.lit(first).alias("trees")), threshold, 0, leaf, scratch)
-    if trees is None and threshold < 1 and out.depths is not None:
-        wanted = F.element_at(F.array(*[F.lit(trees_for(threshold, d)) for d in range(DEPTH + 1)]), F.col("depth") + 1)
-        deep = materialize(sketches.join(out.depths.select("node", wanted.alias("trees")), "node").select("node", "sketch", "trees"), "deep", scratch)
-        if not deep.isEmpty():
-            more = _grow(deep, threshold, first, leaf, scratch)
-            stars = out.stars if more.stars is None else more.stars if out.stars is None else out.stars.union(more.stars)
-            return Grown(out.leaves.union(more.leaves), stars, out.depths)
-    return out
-
-
-def _grow(sketches: DataFrame, threshold: float, tree: int, leaf: int, scratch: list[str] | None) -> Grown:
-    """The trees from number ``tree`` to each document's ``trees``; ``depths`` (node, depth) of the documents that branched on.
-
-    A tree's root branches by two tokens at once. A level is counted with
-    partial aggregates; only documents in nodes over ``leaf`` go on. Such a node
-    has a head, its smallest document, which is compared with all others there.
-    Documents that differ from it in ``CLOSE`` tokens at most are finished in
-    that node: whatever looks similar to one of them is listed in the head's
-    star. So a large group of near copies costs a row for each, not a level.
+def _sized(rows: DataFrame, scratch: list[str] | None) -> DataFrame:
+    """The rows of nodes with two or more documents, and their number ``n``, counted with partial aggregates."""
+    sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
+    return materialize(rows.join(sizes, "path"), "level", scratch)
+
+
+def _grow(
+    table: DataFrame, sketches: DataFrame, threshold: float, leaf: int, families: DataFrame | None, scratch: list[str] | None,
+) -> tuple[DataFrame, DataFrame | None]:
+    """The leaves under the given roots (path, node, n), and (node, depth) of the documents in nodes that branched on.
+
+    Only documents in nodes over BLOCKED leaves go on. What is still too large
+    after DEPTH levels is compared in blocks too.
     """
-    roots = F.explode(F.transform(F.sequence(F.lit(tree), F.col("trees") - 1), lambda t: F.xxhash64(t.cast("long"))))
-    first = F.pmod(F.xxhash64("path", F.lit(1)), F.lit(TOKENS)).cast("int")
-    second = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit(2)), F.lit(TOKENS - 1)).cast("int"), F.lit(TOKENS))
-    rows = sketches.filter(F.col("trees") > tree).withColumn("path", roots)
-    rows = rows.select("node", F.xxhash64("path", F.element_at("sketch", first + 1), F.element_at("sketch", second + 1)).alias("path"))
-    reach = TOKENS - agreement_for(threshold) + CLOSE
     found: list[DataFrame] = []
-    stars: list[DataFrame] = []
     branched: list[DataFrame] = []
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
-        table = materialize(rows.select("node", "path").join(sizes, "path"), "level", scratch)
-        found.append(table.filter(F.col("n") <= leaf).select("path", "node"))
-        large = table.filter(F.col("n") > leaf)
+        whole = BLOCKED * leaf if level < DEPTH else 1 << 62
+        found.append(_blocks(table.filter(F.col("n") <= whole), leaf))
+        large = table.filter(F.col("n") > whole)
         if large.isEmpty():
             break
-        known = large.select("path", "node").join(sketches.select("node", "sketch"), "node")
-        heads = known.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("head"))
-        away = F.aggregate(F.zip_with("sketch", "head.sketch", lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
-        met = materialize(known.join(heads, "path").select("path", "node", F.col("head.node").alias("head"), away.alias("away"), "sketch"), "met", scratch)
-        stars.append(met.filter(F.col("away") <= reach).select("path", "head", "node", "away"))
-        on = met.filter(F.col("away") > CLOSE)
-        if level == DEPTH:
-            found.append(_blocks(on.select("path", "node"), on.select("path", "node"), leaf))
-            break
+        if families is not None:
+            met = materialize(_met(large, families), "met", scratch)
+            found.append(_finished(met, leaf))
+            large = met.filter(F.col("others") > leaf // 2)
+            if large.isEmpty():
+                break
+        on = large.select("path", "node")
         branched.append(on.select("node", F.lit(level).alias("depth")))
-        rows = _children(on.select("path", "node", "sketch"), threshold)
+        table = _sized(_children(on.join(sketches.select("node", "sketch"), "node"), threshold).select("path", "node"), scratch)
     depths = reduce(DataFrame.union, branched).groupBy("node").agg(F.max("depth").alias("depth")) if branched else None
-    return Grown(reduce(DataFrame.union, found), reduce(DataFrame.union, stars) if stars else None, depths)
+    return reduce(DataFrame.union, found), depths
 
 
-def _blocks(left: DataFrame, right: DataFrame, leaf: int) -> DataFrame:
-    """(path, node): leaves in which each row of ``left`` (path, node) meets each row of ``right`` of its path, for any number of rows."""
-    half = max(1, leaf // 2)
-    cut = [t.groupBy("path").agg(F.ceil(F.count("*") / half).cast("int").alias(n)) for t, n in ((left, "tall"), (right, "wide"))]
-    shapes = cut[0].join(cut[1], "path")
-    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("tall")).cast("long")
-    theirs = F.pmod(F.xxhash64("node", F.lit(6)), F.col("wide")).cast("long")
-    a = left.join(shapes, "path").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)))
-    b = right.join(shapes, "path").withColumn("p", F.explode(F.sequence(F.lit(0), F.col("tall") - 1)))
-    a = a.select(F.xxhash64("path", mine, F.col("q").cast("long")).alias("path"), "node")
-    return a.union(b.select(F.xxhash64("path", F.col("p").cast("long"), theirs).alias("path"), "node")).distinct()
+def _blocks(rows: DataFrame, leaf: int, key: str = "path") -> DataFrame:
+    """(``key``, node): leaves in which all documents of a node (``key``, node, n) meet, for any number of them.
 
+    A node over ``leaf`` is dealt into parts of half a leaf, and every two parts
+    meet in a leaf.
+    """
+    parts = F.when(F.col("n") <= leaf, F.lit(1)).otherwise(F.ceil(F.col("n") / F.lit(max(1, leaf // 2)))).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: (p != F.col("own")) | (F.col("parts") == 1))
+    dealt = rows.withColumn("parts", parts).withColumn("own", own).withColumn("p", F.explode(others))
+    met = F.xxhash64(key, F.least("own", "p"), F.greatest("own", "p"))
+    return dealt.select(F.when(F.col("parts") == 1, F.col(key)).otherwise(met).alias(key), "node")
 
-def _star_keys(edges: DataFrame, leaf: int) -> DataFrame:
-    """(key, node): keys in which the head of each edge (head, node) meets the node; a large star is dealt over several keys, all with the head."""
-    counted = edges.groupBy("head").agg(F.ceil(F.count("*") / max(1, leaf // 2)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("long")
-    arms = edges.join(counted, "head").select(F.xxhash64("head", part, F.lit(7)).alias("key"), "node")
-    own = counted.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return arms.union(own.select(F.xxhash64("head", F.col("p").cast("long"), F.lit(7)).alias("key"), F.col("head").alias("node")))
 
+def _met(large: DataFrame, families: DataFrame) -> DataFrame:
+    """(path, node, main, of, others): whether a document is of its node's largest family, and how many are and are not."""
+    own = large.join(families.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    most = own.groupBy("path", "root").agg(F.count("*").alias("c")).groupBy("path").agg(F.max(F.struct("c", "root")).alias("most"))
+    return own.join(most, "path").select("path", "node", (F.col("root") == F.col("most.root")).alias("main"), F.col("most.c").alias("of"), (F.col("n") - F.col("most.c")).alias("others"))
 
-def _apart(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    """The rows (head, node, ...) whose two documents are in different components so far."""
-    root = parts.select(F.col("node").alias("_n"), F.col("root").alias("_own"))
-    top = parts.select(F.col("node").alias("_h"), F.col("root").alias("_top"))
-    met = rows.join(root, F.col("node") == F.col("_n"), "left").join(top, F.col("head") == F.col("_h"), "left")
-    return met.filter(F.coalesce("_own", "node") != F.coalesce("_top", "head")).select(*rows.columns)
 
+def _finished(met: DataFrame, leaf: int) -> DataFrame:
+    """(path, node): the leaves of nodes with few others: the family in parts, each with all others."""
+    few = met.filter((F.col("others") <= leaf // 2) & (F.col("others") > 0)).withColumn("parts", F.ceil(F.col("of") / F.lit(max(1, leaf // 2))).cast("int"))
+    mine = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = few.withColumn("p", F.explode(F.when(F.col("main"), mine).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
+    return dealt.select(F.xxhash64("path", F.col("p").cast("long")).alias("path"), "node")
 
-def _rest(stars: DataFrame, parts: DataFrame, leaf: int) -> DataFrame:
-    """(path, node): leaves for what is left to compare in nodes with finished documents.
 
-    A document connected with the node's head needs no more links to finished
-    ones. Each of the others listed meets all finished documents of the node,
-    and a finished one that stayed apart from its head meets all listed.
-    """
-    apart = _apart(stars.select("path", "head", "node", "away"), parts)
-    done = stars.filter(F.col("away") <= CLOSE).select("path", "node")
-    lone = apart.filter(F.col("away") <= CLOSE).select("path", "node")
-    listed = stars.join(lone.select("path").distinct(), "path", "left_semi").select("path", "node")
-    return _blocks(apart.select("path", "node"), done, leaf).union(_blocks(lone, listed, leaf))
+def _shared_parts(large: DataFrame, leaf: int) -> DataFrame:
+    """(path, node): large nodes (path, node, n) dealt into parts that all hold the node's first document."""
+    whole = large.withColumn("parts", F.ceil(F.col("n") / F.lit(max(1, leaf // 2))).cast("int"))
+    heads = whole.groupBy("path").agg(F.min("node").alias("node"), F.first("parts").alias("parts")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = whole.select("path", "node", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("p")).union(heads.select("path", "node", "p"))
+    return dealt.select(F.xxhash64("path", F.col("p").cast("long"), F.lit(7)).alias("path"), "node").distinct()
 
 
-def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """Edges (a, b) that connect, within each leaf, the documents that look similar; a forest for each leaf."""
+def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float, families: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect, within each leaf, the documents that look similar and are not of one family; a forest for each leaf."""
     agree = agreement_for(threshold)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, starts in whole_groups(batches, "path"):
             node = batch.column(1).to_numpy(zero_copy_only=False)
             size = batch.column(2).to_numpy(zero_copy_only=False)
+            root = batch.column(4).to_numpy(zero_copy_only=False)
             sketch = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, TOKENS)
             found_a, found_b = [], []
             for a, b in _pairs(starts):
-                fits = np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b])
+                fits = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]))
                 a, b = a[fits], b[fits]
                 same = np.zeros(len(a), np.int64)
                 for t in range(0, TOKENS, 8):
@@ -269,7 +257,9 @@ def _candidates(nodes: DataFrame, sketches: DataFrame, threshold: float) -> Data
                 if len(b):
                     yield pa.RecordBatch.from_arrays([pa.array(node[label[b]]), pa.array(node[b])], ["a", "b"])
 
-    rows = nodes.join(sketches.select("node", "n_shingles", "sketch"), "node").select("path", "node", "n_shingles", "sketch")
+    rows = nodes.join(sketches.select("node", "n_shingles", "sketch"), "node")
+    rows = rows.withColumn("root", F.col("node")) if families is None else rows.join(families, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = rows.select("path", "node", "n_shingles", "sketch", "root")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "path").sortWithinPartitions("path", "node")
     return dealt.mapInArrow(compare, "a bigint, b bigint").distinct()
@@ -386,23 +376,23 @@ def near_duplicates(
         asked = materialize(keys.join(named, "node").select("key", "node", "doc"), "keys", scratch)
         return materialize(_confirm(asked, docs, width, num, den, id_col, text_col, asked.count()), "links", scratch)
 
-    def similar(nodes: DataFrame) -> DataFrame:
-        """Links in leaves: of those that look similar, group by group if small, and else leaf by leaf."""
-        groups = components(_candidates(nodes, classes, threshold), scratch)
+    def similar(nodes: DataFrame, families: DataFrame | None = None) -> DataFrame:
+        """Links in leaves: of those that look similar, in blocks of each group, or leaf by leaf if there are too many of these."""
+        groups = components(_candidates(nodes, classes, threshold, families), scratch)
         sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
         member = materialize(groups.join(sizes, "root"), "candidates", scratch)
-        small = member.filter(F.col("n") <= leaf).select(F.col("root").alias("key"), "node")
-        large = member.filter(F.col("n") > leaf).join(nodes, "node").select(F.xxhash64("path", "root").alias("key"), "node")
+        small = _blocks(member.filter(F.col("n") <= BLOCKED * leaf).withColumnRenamed("root", "key"), leaf, "key")
+        large = member.filter(F.col("n") > BLOCKED * leaf).join(nodes, "node").select(F.xxhash64("path", "root").alias("key"), "node")
         return confirmed(small.union(large))
 
-    grown = leaves(classes, threshold, trees, leaf, scratch)
-    links = similar(grown.leaves)
-    if grown.stars is not None:  # each document with its smallest head, then with heads that it is still apart from, then the rest
-        near = grown.stars.filter((F.col("away") <= TOKENS - agreement_for(threshold)) & (F.col("node") != F.col("head"))).select("head", "node").distinct()
-        links = links.union(confirmed(_star_keys(near.groupBy("node").agg(F.min("head").alias("head")).select("head", "node"), leaf)))
-        links = links.union(confirmed(_star_keys(_apart(near, components(links, scratch)), leaf)))
-        links = links.union(similar(materialize(_rest(grown.stars, components(links, scratch), leaf), "rest", scratch)))
-    parts = materialize(components(links, scratch), "parts", kept)
+    roots = _sized(_roots(classes, 0, F.lit(trees or trees_for(threshold))), scratch)
+    large = roots.filter((F.col("n") > BLOCKED * leaf) & (F.col("tree") < FIRST))
+    families, links = None, None
+    if not large.isEmpty():
+        links = similar(materialize(_shared_parts(large, leaf), "shared", scratch))
+        families = components(links, scratch)
+    found = similar(leaves(classes, threshold, trees, leaf, families, scratch, roots), families)
+    parts = materialize(components(found if links is None else links.union(found), scratch), "parts", kept)
     for path in scratch:
         remove(spark, path)
     named = classes.select("node", "doc", "copies").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))

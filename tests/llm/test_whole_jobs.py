@@ -106,7 +106,7 @@ def test_large_template_families_go_to_further_trees(spark):
     classes = spark.createDataFrame(rows, "node bigint, sketch array<int>")
 
     def shared(trees):
-        found = near_dedup.leaves(classes, 0.85, trees, 30).leaves
+        found = near_dedup.leaves(classes, 0.85, trees, 30)
         return found.groupBy("path", F.floor(F.col("node") / 2).alias("pair")).count().filter("count = 2").count()
 
     assert shared(None) > 1.15 * shared(10)  # the ten trees of before, and further ones

@@ -11,7 +11,9 @@ Equal vectors are one indexed entry with their smallest ids, so a vector with
 any number of copies costs one row; crowded buckets are dealt over several
 tasks; queries left with fewer neighbours than asked for, or with neighbours farther
 away than the slots suit, are answered by an exact scan in blocks; so are all
-queries if no index reaches the recall asked for on the sample.
+queries if no index reaches the recall asked for on the sample. Where the data
+have no near neighbours, as vectors spread evenly over a sphere, the buckets
+that reach the recall hold a large share of all vectors.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +34,13 @@ from .textscan import mix64
 
 TABLES, K = 10, 10
 #: Vectors that the index is fitted on, those of them that act as queries, and the recall to reach there.
-SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.97
-#: Entries of a bucket that one task takes, probes at most, and queries of an exact block.
-CROWDED, MOST_PROBES, BLOCK = 20_000, 512, 2048
+SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.95
+#: Entries of a bucket that one task takes, and probes of a table at most (all queries are scanned exactly if more were needed).
+CROWDED, MOST_PROBES = 20_000, 512
+#: Queries and entries that meet in one task of an exact scan.
+SCAN_QUERIES, SCAN_ENTRIES = 4096, 50_000
+#: Shares that the queries with one vector are dealt into, for theirs may be a third of all rows.
+SHARES = 16
 #: Results that a task gathers before it merges them.
 HELD = 100_000
 
@@ -142,33 +149,49 @@ def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: fl
     return index
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     """Vectors stored as bytes."""
     if not len(column):
         return np.zeros((0, 0))
-    data = np.frombuffer(b"".join(column.to_pylist()), np.float64)
-    return data.reshape(len(column), -1)
+    data = np.frombuffer(b"".join(column.to_pylist()), kind)
+    return data.reshape(len(column), -1).astype(np.float64)
 
 
-def _entries(df: DataFrame, id_col: str, vector_col: str, keep: int) -> DataFrame:
-    """Distinct vectors (as bytes) with their ``keep`` smallest ids. Vectors that take no part are left out."""
-    kind = df.schema[id_col].dataType.simpleString()
+def _stored_kind(df: DataFrame, vector_col: str) -> str:
+    """The type of stored components: floats stay floats, all others are doubles."""
+    return "<f4" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
+
+def _packed(value: list | None, kind: str) -> bytes | None:
+    """The bytes of a vector, None if it takes no part."""
+    if not value or any(v is None for v in value):
+        return None
+    vector = np.array(value, kind) + np.array(0, kind)  # no negative zero
+    return vector.tobytes() if np.isfinite(vector).all() and vector.any() else None
+
+
+def _entries(df: DataFrame, id_col: str, vector_col: str, keep: int, kind: str) -> DataFrame:
+    """Distinct vectors (as bytes) with their ``keep`` smallest ids and ``rep``, the smallest. Vectors that take no part are left out.
+
+    A task merges the ids of its batch; what is left meets in two steps, so no
+    task sees more than a share of a vector's copies.
+    """
+    id_kind = df.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids: dict[bytes, list] = {}
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if not value or key is None or any(v is None for v in value):
-                    continue
-                vector = np.array(value, np.float64) + 0.0  # no negative zero
-                if np.isfinite(vector).all() and vector.any():
-                    ids.setdefault(vector.tobytes(), []).append(key)
+                if key is not None and (data := _packed(value, kind)) is not None:
+                    ids.setdefault(data, []).append(key)
             rows = [sorted(set(v))[:keep] for v in ids.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), pa.array(rows, pa.list_(batch.schema.types[0]))], ["vector", "ids"])
 
-    partial = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(pack, f"vector binary, ids array<{kind}>")
-    ids = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep)
-    return partial.groupBy("vector").agg(ids.alias("ids")).withColumn("rep", F.col("ids")[0])
+    plain = "array<float>" if kind == "<f4" else "array<double>"
+    partial = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(plain).alias("v")).mapInArrow(pack, f"vector binary, ids array<{id_kind}>")
+    smallest = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, keep).alias("ids")
+    shared = partial.groupBy("vector", F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")).agg(smallest)
+    return shared.groupBy("vector").agg(smallest).withColumn("rep", F.col("ids")[0])
 
 
 def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", tables: int = TABLES, target: float = TARGET) -> DataFrame:
@@ -176,28 +199,63 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
 
     ``queries``: rows with the same columns, taken from ``df``. Ties go to
     smaller ids. Vectors that are null, zero, or hold null or non-finite
-    components, rows with a null id, and vectors of another dimension than most
-    of the sample take no part, as entries or queries. Repeated rows count once.
+    components, and rows with a null id take no part, as entries or queries;
+    vectors of several dimensions are neighbours among their own. Repeated rows
+    count once. An empty table, or one of such vectors only, gives no rows.
+    Other columns are not read, whatever their names.
     """
     spark = df.sparkSession
-    kind = df.schema[id_col].dataType.simpleString()
-    entries = materialize(_entries(df, id_col, vector_col, k + 1), "vectors")
-    sample = [np.frombuffer(r["vector"]) for r in entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").collect()]
-    schema = f"query_id {kind}, rank int, {id_col} {kind}, score double"
-    if not sample:
+    id_kind, kind = df.schema[id_col].dataType.simpleString(), _stored_kind(df, vector_col)
+    entries = materialize(_entries(df, id_col, vector_col, k + 1, kind), "vectors")
+    asked = _asked(queries, entries, id_col, vector_col, id_kind, kind)
+    own = asked.select("q").distinct()
+    asked_vectors = materialize(entries.join(own, F.col("rep") == F.col("q"), "left_semi").select("rep", "vector"), "asked")
+    parts = []
+    for row in entries.groupBy(F.octet_length("vector").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect():  # a row for each dimension
+        size = F.octet_length("vector") == row["size"]
+        parts.append(_search(entries.filter(size), asked_vectors.filter(size), row["n"], k, tables, target, id_kind, kind))
+    schema = f"query_id {id_kind}, rank int, {id_col} {id_kind}, score double"
+    if not parts:
         return spark.createDataFrame([], schema)
-    sizes, counts = np.unique([len(v) for v in sample], return_counts=True)
-    dim = int(sizes[np.argmax(counts)])
-    entries = entries.filter(F.octet_length("vector") == 8 * dim)
-    n = entries.count()
-    index = fit(np.array([v for v in sample if len(v) == dim]), n, k, tables, target)
+    best = reduce(DataFrame.union, parts)
+    # A query's list is one short row, repeated for each share of the query rows that have its vector.
+    order = Window.partitionBy("q").orderBy("score", "id")
+    single = best.join(entries.select("rep", "ids"), "rep").select("q", "score", F.explode("ids").alias("id"))
+    first = single.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
+    listed = first.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("near")).withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
+    rows = asked.withColumn("share", F.pmod(F.xxhash64("query_id"), F.lit(SHARES)).cast("int")).join(listed, ["q", "share"]).select("query_id", F.posexplode(others).alias("at", "x"))
+    return rows.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.id").alias(id_col), F.col("x.score").alias("score"))
+
+
+def _asked(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str, id_kind: str, kind: str) -> DataFrame:
+    """(query_id, q): each query and the entry that stands for its vector."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = pa.array([_packed(v, kind) for v in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), data], ["query_id", "vector"]).filter(data.is_valid())
+
+    plain = "array<float>" if kind == "<f4" else "array<double>"
+    rows = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("query_id"), F.col(vector_col).cast(plain).alias("v"))
+    packed = rows.mapInArrow(pack, f"query_id {id_kind}, vector binary")
+    return materialize(packed.join(entries.select("vector", F.col("rep").alias("q")), "vector").select("query_id", "q").distinct(), "queries")
+
+
+def _search(entries: DataFrame, asked: DataFrame, n: int, k: int, tables: int, target: float, id_kind: str, kind: str) -> DataFrame:
+    """(q, rep, score): the k + 1 nearest entries of each query vector (rep, vector), all of one dimension; the entry itself is one of them."""
+    spark = entries.sparkSession
+    sample = _matrix(pa.array([bytes(r["vector"]) for r in entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").collect()], pa.binary()), kind)
+    index = fit(sample, n, k, tables, target)
+    if index.limit < 0:
+        return materialize(_scanned(entries, asked, n, k + 1, id_kind, kind), "found")
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                keys = shared.value.buckets(_matrix(part.column(1)))
+                keys = shared.value.buckets(_matrix(part.column(1), kind))
                 row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(row), part.column(1).take(row)], ["key", "id", "vector"])
 
@@ -205,14 +263,47 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                x = _matrix(part.column(1))
+                x = _matrix(part.column(1), kind)
                 for t in range(tables):
                     keys = shared.value.probed(x, t)
                     row = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(row), part.column(1).take(row)], ["key", "id", "vector"])
 
+    stored = entries.select("rep", "vector").mapInArrow(deal, f"key bigint, id {id_kind}, vector binary")
+    probes = asked.mapInArrow(probe, f"key bigint, id {id_kind}, vector binary")
+    crowds = stored.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.ceil(F.col("count") / CROWDED).cast("int").alias("parts"))
+    stored = stored.join(crowds, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    probes = probes.join(crowds, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    pairs = _met(stored.withColumn("key", F.xxhash64("key", "part")), probes.withColumn("key", F.xxhash64("key", "part")), k + 1, id_kind, kind)
+    best = materialize(_nearest(pairs, k + 1), "found")
+    full = entries.select("rep", F.size("ids").alias("copies"))
+    total = entries.agg(F.sum(F.size("ids"))).first()[0]
+    got = best.join(full, "rep").groupBy("q").agg(F.sum("copies").alias("n"), F.max("score").alias("last"))
+    short = asked.join(got, asked["rep"] == got["q"], "left").filter((F.coalesce("n", F.lit(0)) < min(total, k + 1)) | (F.col("last") > index.limit))
+    short = materialize(short.select("rep", "vector"), "short")
+    if short.isEmpty():
+        return best
+    scanned = _scanned(entries, short, n, k + 1, id_kind, kind)
+    return materialize(_nearest(best.union(scanned), k + 1), "found")
+
+
+def _scanned(entries: DataFrame, asked: DataFrame, n: int, k: int, id_kind: str, kind: str) -> DataFrame:
+    """(q, rep, score): exact neighbours. Queries and entries are dealt into blocks, and every block of queries meets every block of entries in a group of its own."""
+    blocks = max(1, -(-asked.count() // SCAN_QUERIES)), max(1, -(-n // SCAN_ENTRIES))
+    dealt = []
+    for rows, own, others, first in ((entries, blocks[1], blocks[0], False), (asked, blocks[0], blocks[1], True)):
+        block = F.pmod(F.xxhash64("rep"), F.lit(own)).cast("int")
+        met = rows.select(F.col("rep").alias("id"), "vector", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("other"))
+        pair = ("own", "other") if first else ("other", "own")
+        dealt.append(met.select(F.xxhash64(*pair).alias("key"), "id", "vector"))
+    return _nearest(_met(dealt[0], dealt[1], k, id_kind, kind), k)
+
+
+def _met(stored: DataFrame, asked: DataFrame, k: int, id_kind: str, kind: str) -> DataFrame:
+    """(q, rep, score): the k nearest stored vectors of each query within each key, merged in each task. Both tables: key, id, vector."""
+
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # each query's nearest in the buckets so far
+        held: list[pa.RecordBatch] = []  # each query's nearest in the groups so far
         added = 0
         for batch, starts in whole_groups(batches, "key"):
             asks = batch.column(1).to_numpy(zero_copy_only=False)
@@ -220,71 +311,43 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
                 cut = x + int(np.searchsorted(asks[x:y], 1))
                 if x < cut < y:
                     q, own = batch.slice(cut, y - cut), batch.slice(x, cut - x)
+                    vectors = _matrix(own.column(3), kind)
                     for at in range(0, q.num_rows, 256):
-                        held.append(_best(q.slice(at, 256).column(2), _matrix(q.slice(at, 256).column(3)), own.column(2), _matrix(own.column(3)), k + 1))
+                        held.append(_best(q.slice(at, 256).column(2), _matrix(q.slice(at, 256).column(3), kind), own.column(2), vectors, k))
                         added += held[-1].num_rows
                     if added > max(HELD, held[0].num_rows):
-                        held, added = [_merged(held, k + 1)], 0
+                        held, added = [_merged(held, k)], 0
         if held:
-            yield _merged(held, k + 1)
-
-    asked_ids = queries.select(F.col(id_col).alias("query_id")).filter("query_id is not null").distinct()
-    asked = materialize(_entries(queries, id_col, vector_col, 1).filter(F.octet_length("vector") == 8 * dim).select("vector").join(entries, "vector").select("rep", "vector"), "asked")
-    stored = entries.select("rep", "vector").mapInArrow(deal, f"key bigint, id {kind}, vector binary")
-    probes = asked.mapInArrow(probe, f"key bigint, id {kind}, vector binary")
-    crowds = stored.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.ceil(F.col("count") / CROWDED).cast("int").alias("parts"))
-    stored = stored.join(crowds, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
-    probes = probes.join(crowds, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    both = stored.select("key", "part", F.lit(0).alias("asks"), "id", "vector").union(probes.select("key", "part", F.lit(1).alias("asks"), "id", "vector"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = both.select(F.xxhash64("key", "part").alias("key"), "asks", "id", "vector").repartition(parts, "key").sortWithinPartitions("key", "asks", "id")
-    pairs = dealt.mapInArrow(rank, f"q {kind}, rep {kind}, score double")
-    best = materialize(_nearest(pairs, k + 1), "found")
+            yield _merged(held, k)
 
-    total = entries.select(F.explode("ids").alias("id")).limit(k + 1).count()
-    full = entries.select(F.col("rep").alias("rep"), F.size("ids").alias("copies"))
-    got = best.join(full, "rep").groupBy("q").agg(F.sum("copies").alias("n"), F.max("score").alias("last"))
-    short = asked.join(got, asked["rep"] == got["q"], "left").filter((F.coalesce("n", F.lit(0)) < total) | (F.col("last") > index.limit)).select("rep", "vector")
-    exact = None
-    block: list = []
-    for row in [*short.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == BLOCK):
-            found = _scan(entries, spark.sparkContext.broadcast(([r["rep"] for r in block], np.array([np.frombuffer(r["vector"]) for r in block]))), k + 1, kind)
-            exact = found if exact is None else exact.union(found)
-            block = []
-    if exact is not None:
-        best = materialize(_nearest(best.select("q", "rep", "score").union(exact), k + 1), "found")
-
-    owner = _members(queries, entries, id_col, vector_col, kind)
-    ranked = Window.partitionBy("query_id").orderBy("score", "id")
-    listed = best.join(entries.select("rep", "ids"), "rep").select("q", "score", "ids")
-    rows = owner.join(asked_ids, "query_id").join(listed, "q").select("query_id", "score", F.explode("ids").alias("id")).filter("id != query_id")
-    return rows.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
-
-
-def _members(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str, kind: str) -> DataFrame:
-    """(query_id, q): each query row and the entry that stands for its vector."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = [None if not v or any(x is None for x in v) else (np.array(v, np.float64) + 0.0).tobytes() for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["query_id", "vector"])
-
-    rows = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(pack, f"query_id {kind}, vector binary")
-    return rows.join(entries.select("vector", F.col("rep").alias("q")), "vector").select("query_id", "q").distinct()
+    both = stored.select("key", F.lit(0).alias("asks"), "id", "vector").union(asked.select("key", F.lit(1).alias("asks"), "id", "vector"))
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = both.repartition(parts, "key").sortWithinPartitions("key", "asks", "id")
+    return dealt.mapInArrow(rank, f"q {id_kind}, rep {id_kind}, score double")
 
 
 def _best(q_ids: pa.Array, q: np.ndarray, ids: pa.Array, x: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest of ``x`` for each query, with exact distances; entries as near as the last of them are kept too."""
-    d2 = (x**2).sum(1)[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T
-    if len(x) > k:
-        edge = np.partition(d2, k - 1, 1)[:, k - 1]
-        a, b = np.nonzero(d2 <= edge[:, None] + 1e-9 * (1 + np.abs(edge[:, None])))
-    else:
-        a, b = (i.ravel() for i in np.indices(d2.shape))
-    score = np.sqrt(((q[a] - x[b]) ** 2).sum(1))
+    """The k nearest of ``x`` for each query, with exact distances; entries as near as the last of them are kept too.
+
+    A matrix product selects them. Vectors are moved to their middle before, and
+    the selection allows for what the product and the move may lose: entries
+    that could be among the nearest are all compared exactly.
+    """
+    d2 = None
+    if len(x) > k and np.abs(q).max(initial=0) + np.abs(x).max(initial=0) < 1e100:  # squares of larger ones overflow
+        middle = x.mean(0)
+        qm, xm = q - middle, x - middle
+        norms = (qm**2).sum(1)[:, None] + (xm**2).sum(1)[None]
+        d2 = norms - 2 * qm @ xm.T
+        eps = np.finfo(float).eps
+        far = np.abs(q).max(initial=0) + np.abs(x).max(initial=0)  # a component moves with this error at most, in eps
+        slack = 8 * eps * (x.shape[1] * norms + far * np.sqrt(x.shape[1] * norms))
+        edge = np.partition(d2 + slack, k - 1, 1)[:, k - 1]
+        a, b = np.nonzero(d2 - slack <= edge[:, None])
+    if d2 is None:
+        a, b = (i.ravel() for i in np.indices((len(q), len(x))))
+    with np.errstate(over="ignore"):
+        score = np.concatenate([np.sqrt(((q[a[i : i + 8192]] - x[b[i : i + 8192]]) ** 2).sum(1)) for i in range(0, len(a), 8192)]) if len(a) else np.zeros(0)
     return pa.RecordBatch.from_arrays([q_ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(score)], ["q", "rep", "score"])
 
 
@@ -301,20 +364,6 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return one.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k).select("q", "rep", "score")
 
 
-def _scan(entries: DataFrame, block, k: int, kind: str) -> DataFrame:
-    """Exact distances from a block of queries to all entries; the k nearest of each batch."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = block.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                for low in range(0, len(ids), 256):
-                    yield _best(pa.array(ids[low : low + 256], batch.schema.types[0]), q[low : low + 256], part.column(0), _matrix(part.column(1)), k)
-
-    return entries.select("rep", "vector").mapInArrow(scan, f"q {kind}, rep {kind}, score double")
-
-
 def op6_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest neighbours, by Euclidean distance, of every vector whose id is divisible by 100."""
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")

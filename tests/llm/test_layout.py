@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from normframe.llm.shared import gapless_rank, partition_slots, scratch_path
 from normframe.llm.tokens import TokenColumn
 
 PATH = orc_ids.tokenizer_path()
+EMBEDDINGS = Path("/root/testdata/sf0.1/embeddings.parquet")
 TEXTS = [
     "Hello, World! it's 42 dogs", None, "", "  É À ñé ß ÿ × ÷ naïve ", "x́y ẛ̣", "ΑΣ ΣΑΣ", "<|endoftext|>foo<|startoftext|> bar", "a\x00b\x0bc nb\x85x", "日本 语 Ã", "don't'll 'S ’s",
     "word " * 9000, "A1b22 c!!..?a ab|cd <x>", " ",
@@ -218,7 +220,7 @@ def test_neighbours_edges(spark, monkeypatch):
     rows = [(k, [1.0, 2.0]) for k in range(0, 40)] + [(100 + k, [float(k), 1.0]) for k in range(8)] + [(200, None), (201, [0.0, 0.0]), (202, [1.0, math.nan]), (203, [1.0, None]), (None, [1.0, 1.0]), (204, [1.0]), (5, [1.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.neighbours(df, df.filter("vec_id in (0, 5, 39, 103, 200, 201, 202, 204)"), k=12).collect()
-    want = neighbours_by_force([x for x in rows if x[0] != 204], [0, 5, 39, 103], 12)
+    want = neighbours_by_force([x for x in rows if x[0] != 204], [0, 5, 39, 103], 12)  # 204 is alone in its dimension
     have = {}
     for x in sorted(got, key=lambda x: x["rank"]):
         have.setdefault(x["query_id"], []).append((x["score"], x["vec_id"]))
@@ -228,6 +230,48 @@ def test_neighbours_edges(spark, monkeypatch):
     assert ann.neighbours(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.skipif(not EMBEDDINGS.exists(), reason="needs the sample tables")
+def test_recall_on_all_sample_vectors(spark):
+    rows = spark.read.parquet(str(EMBEDDINGS)).select("vec_id", "embedding")
+    x = {r[0]: np.array(r[1], float) for r in rows.collect()}
+    ids = np.array(sorted(x))
+    data = np.array([x[i] for i in ids])
+    got = {}
+    for r in registered.queries()["op6_multiprobe_neighbours"](spark, str(EMBEDDINGS.parent)).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    share = []
+    for q in ids[ids % 100 == 0]:
+        d = np.sqrt(((data - x[q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        near = ids[np.lexsort((ids, d))[:10]]
+        share.append(len(set(near.tolist()) & set(got[q])) / 10)
+        assert all(abs(d[np.searchsorted(ids, i)] - s) < 1e-12 for i, s in got[q].items())
+    assert len(got) == len(share) and np.mean(share) >= 0.9
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7, 1e120])
+def test_selection_keeps_true_neighbours_far_from_the_origin(offset):
+    r = np.random.default_rng(4)
+    q, x = r.normal(size=(22, 16)) + offset, r.normal(size=(900, 16)) + offset
+    found = ann._best(pa.array(range(22)), q, pa.array(range(900)), x, 10).to_pandas()
+    exact = np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+    for k in range(22):
+        near = set(np.argsort(exact[k], kind="stable")[:10].tolist())
+        assert near <= set(found.loc[found["q"] == k, "rep"])
+
+
+def test_exact_scan_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SCAN_QUERIES", 7)
+    monkeypatch.setattr(ann, "SCAN_ENTRIES", 50)
+    r = np.random.default_rng(5)
+    rows = [(k, r.normal(size=4).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    entries = ann._entries(df, "vec_id", "embedding", 6, "<f8")
+    got = ann._scanned(entries, entries.filter("rep % 10 = 0").select("rep", "vector"), 300, 6, "bigint", "<f8").collect()
+    want = neighbours_by_force(rows, range(0, 300, 10), 5)
+    assert {(x["q"], x["rep"]) for x in got if x["q"] != x["rep"]} == {(q, i) for q, near in want.items() for _, i in near}
+
+
 def test_probe_order():
     moves = ann.likely_moves(4, 40)
     assert moves[0] == () and moves[1] == (0,) and len(set(moves)) == len(moves)

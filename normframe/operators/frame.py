@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import total
 from ..plans.fitting import row_components
 from ..plans.recipes import ColumnParams, RowNormalization, RowParams
-from ..sources.layouts import LITERALS, Coo, Matrix, Wide, vector_table
-from . import weighted
+from ..sources.layouts import LITERALS, Coo, Matrix, Wide, matched, vector_table
+from . import sparse, weighted
 
 
 def _normalized(x: Column, center: Column | None, scale: Column | None) -> Column:
@@ -63,8 +63,8 @@ def apply_stage(m: Any, stage: Any) -> Any:
         return _column_stage(m, stage)
     if isinstance(stage, RowParams):
         m = m.dense()
-        own = stage.table.select(F.col(stage.key).alias(m.key), F.col("center").alias("_c"), F.col("scale").alias("_s"))
-        joined = m.df.join(own, m.key)
+        own = stage.table.select(stage.key, "center", "scale")
+        joined = matched(m.df, m.key, own, {"center": "_c", "scale": "_s"}, "table of row parameters")
         return _row_stage(m, joined, F.col("_c") if stage.centered else None, F.col("_s") if stage.scaled else None)
     if isinstance(stage, RowNormalization):
         m = m.dense()
@@ -94,6 +94,7 @@ class NormalizedFrame:
             if isinstance(s, ColumnParams) and s.ncols != raw.ncols:
                 raise ValueError(f"parameters for {s.ncols} columns do not fit a matrix of {raw.ncols}")
         self._logical: Any = None
+        self._low_rank: Any = None
         self._transpose: Transposed | None = None
 
     # What it is
@@ -105,6 +106,13 @@ class NormalizedFrame:
             self._logical = logical(self.raw, self.stages)
         return self._logical
 
+    @property
+    def sparse(self) -> sparse.LowRank | None:
+        """Coordinates as stored entries plus a background of low rank; None for other layouts, or if rows have to be filled."""
+        if self._low_rank is None and isinstance(self.raw, Coo):
+            self._low_rank = sparse.low_rank(self.raw, self.stages)
+        return self._low_rank
+
     @property
     def key(self) -> str:
         return self.raw.key
@@ -164,8 +172,8 @@ class NormalizedFrame:
             raise ValueError(f"the operand needs {self.ncols} rows")
         names = list(names or [f"y{r}" for r in range(b.shape[1])])
         first, rest = (b[0], b[1:]) if self.intercept else (None, b)
-        if isinstance(self.raw, Coo) and all(isinstance(s, ColumnParams) for s in self.stages) and len(self.stages) <= 1:
-            out = self._sparse_matmat(rest, names)
+        if self.sparse is not None:
+            out = sparse.matmat(self.sparse, rest, names)
         else:
             m = self.matrix.dense()
             out = m.df.select(m.key, *[_dot(m, rest[:, r]).alias(n) for r, n in enumerate(names)])
@@ -173,21 +181,6 @@ class NormalizedFrame:
             return out
         return out.select(self.key, *[(F.col(n) + F.lit(float(first[r]))).alias(n) for r, n in enumerate(names)])
 
-    def _sparse_matmat(self, b: np.ndarray, names: Sequence[str]) -> DataFrame:
-        """Products over stored entries: scale the operand, multiply raw entries, subtract one number a column."""
-        coo: Coo = self.raw
-        params = self.stages[0] if self.stages else ColumnParams(coo.ncols)
-        scaled = b if params.scales is None else b / np.array(params.scales)[:, None]
-        minus = np.zeros(b.shape[1]) if params.centers is None else np.array(params.centers) @ scaled
-        spark = coo.df.sparkSession
-        table = spark.createDataFrame([(j, *map(float, scaled[j])) for j in range(coo.ncols)], "j bigint" + "".join(f", b{r} double" for r in range(b.shape[1])))
-        if coo.ncols * b.shape[1] <= 1_000_000:
-            table = F.broadcast(table)
-        sums = coo.df.join(table, "j").groupBy("i").agg(*[F.sum(F.col("v") * F.col(f"b{r}")).alias(f"b{r}") for r in range(b.shape[1])])
-        full = coo.rows.join(sums, "i", "left")
-        off = lambda c, m: c if params.centers is None else c - F.lit(float(m))
-        return full.select("i", *[off(F.coalesce(F.col(f"b{r}"), F.lit(0.0)), minus[r]).alias(n) for r, n in enumerate(names)])
-
     def rmatvec(self, u: Any) -> np.ndarray:
         """A^T u: one value a column. ``u``: an expression over the key and kept columns, or a table of key and value."""
         return self.rmatmat([u])[:, 0]
@@ -195,62 +188,38 @@ class NormalizedFrame:
     def rmatmat(self, us: Sequence[Any]) -> np.ndarray:
         """A^T U for several long vectors, in one scan of the data."""
         k = len(us)
-        if isinstance(self.raw, Coo) and all(isinstance(s, ColumnParams) for s in self.stages) and len(self.stages) <= 1:
-            out, sums = self._sparse_rmatmat(us)
+        if self.sparse is not None:
+            out, sums = sparse.rmatmat(self.sparse, *self._with(self.sparse.rows, us))
         else:
-            m, df, cols = self._attached(us)
-            sums_and = weighted.sums(m, df, cols)
+            m = self.matrix.dense()
+            sums_and = weighted.sums(m, *self._with(m.df, us))
             out, sums = sums_and[:-1], sums_and[-1]
         out = out.reshape(self.raw.ncols, k)
         return np.vstack([sums.reshape(1, k), out]) if self.intercept else out
 
-    def _attached(self, us: Sequence[Any]) -> tuple[Any, DataFrame, list[Column]]:
-        """The logical matrix, its frame with long vectors joined to it, and these as columns."""
-        m = self.matrix.dense()
-        df, cols = m.df, []
+    def _with(self, df: DataFrame, us: Sequence[Any]) -> tuple[DataFrame, list[Column]]:
+        """``df`` with long vectors joined to it, and these as columns."""
+        cols = []
         for r, u in enumerate(us):
             if isinstance(u, DataFrame):
-                key, value = u.columns[:2]
-                df = df.join(u.select(F.col(key).alias(m.key), F.col(value).cast("double").alias(f"_u{r}")), m.key)
+                df = matched(df, self.key, u, {u.columns[1]: f"_u{r}"})
                 cols.append(F.col(f"_u{r}"))
             else:
                 cols.append((F.col(u) if isinstance(u, str) else u).cast("double"))
-        return m, df, cols
-
-    def _sparse_rmatmat(self, us: Sequence[Any]) -> tuple[np.ndarray, np.ndarray]:
-        coo: Coo = self.raw
-        params = self.stages[0] if self.stages else ColumnParams(coo.ncols)
-        rows = coo.rows
-        for r, u in enumerate(us):
-            if isinstance(u, DataFrame):
-                key, value = u.columns[:2]
-                rows = rows.join(u.select(F.col(key).alias("i"), F.col(value).cast("double").alias(f"_u{r}")), "i")
-            else:
-                rows = rows.withColumn(f"_u{r}", (F.col(u) if isinstance(u, str) else u).cast("double"))
-        k = len(us)
-        total_u = np.array(rows.agg(*[F.coalesce(F.sum(f"_u{r}"), F.lit(0.0)) for r in range(k)]).first(), float)
-        found = coo.df.join(rows, "i").groupBy("j").agg(*[F.sum(F.col("v") * F.col(f"_u{r}")) for r in range(k)]).collect()
-        out = np.zeros((coo.ncols, k))
-        for row in found:
-            out[row[0]] = row[1:]
-        if params.centers is not None:
-            out -= np.outer(np.array(params.centers), total_u)
-        if params.scales is not None:
-            out /= np.array(params.scales)[:, None]
-        return out, total_u
+        return df, cols
 
     def matvec_scaled(self, v: Any, alpha: float, out: DataFrame, beta: float, name: str = "value") -> DataFrame:
         """alpha * A v + beta * out. A zero alpha reads no matrix, a zero beta ignores the old values, even NaN."""
         if len(np.asarray(v)) != self.ncols:
             raise ValueError(f"the operand needs {self.ncols} rows")
         key, value = out.columns[:2]
-        old = out.select(F.col(key).alias(self.key), F.col(value).alias("_old"))
         if alpha == 0:
+            old = out.select(F.col(key).alias(self.key), F.col(value).alias("_old"))
             return old.select(self.key, (F.lit(0.0) if beta == 0 else F.lit(float(beta)) * F.col("_old")).alias(name))
         new = self.matvec(v, "_new")
         if beta == 0:
             return new.select(self.key, (F.lit(float(alpha)) * F.col("_new")).alias(name))
-        return new.join(old, self.key).select(self.key, (F.lit(float(alpha)) * F.col("_new") + F.lit(float(beta)) * F.col("_old")).alias(name))
+        return matched(new, self.key, out, {value: "_old"}).select(self.key, (F.lit(float(alpha)) * F.col("_new") + F.lit(float(beta)) * F.col("_old")).alias(name))
 
     def rmatvec_scaled(self, u: Any, alpha: float, out: Any, beta: float) -> np.ndarray:
         """alpha * A^T u + beta * out, with the same rules."""
@@ -266,18 +235,55 @@ class NormalizedFrame:
             raise ValueError("products take a vector or a matrix")
         return self.matvec(b) if b.ndim == 1 else self.matmat(b)
 
+    def __rmatmul__(self, other: Any) -> np.ndarray:
+        """u A: the vectors stand on the left. A NumPy operand has one value for each row, in ascending order of the keys."""
+        if isinstance(other, (DataFrame, Column, str)):
+            return self.rmatvec(other)
+        other = np.asarray(other, float)
+        if other.ndim not in (1, 2):
+            raise ValueError("products take a vector or a matrix")
+        rows = self._placed(other.reshape(-1, other.shape[-1]))
+        return self.rmatmat(rows)[:, 0] if other.ndim == 1 else self.rmatmat(rows).T
+
+    def _placed(self, u: np.ndarray) -> list[DataFrame]:
+        """In-memory long vectors, one in each row of ``u``, as tables: their values go to the keys in ascending order."""
+        domain = self.raw.rows.select("i") if isinstance(self.raw, Coo) else self.matrix.dense().df.select(self.key)
+        keys = [r[0] for r in domain.orderBy(self.key).collect()]  # no more than the caller holds in memory
+        if len(keys) != u.shape[1]:
+            raise ValueError(f"the operand has {u.shape[1]} values for {len(keys)} rows")
+        schema = f"k {domain.schema[self.key].dataType.simpleString()}, u double"
+        return [domain.sparkSession.createDataFrame(list(zip(keys, map(float, one), strict=True)), schema) for one in u]
+
+    def __array_ufunc__(self, ufunc: Any, method: str, *inputs: Any, **options: Any) -> Any:
+        """np.matmul(u, A) and u @ A come here for NumPy arrays u; other functions of NumPy do not apply."""
+        if ufunc is not np.matmul or method != "__call__" or options or len(inputs) != 2:
+            return NotImplemented
+        left, right = inputs
+        return self.__matmul__(right) if left is self else self.__rmatmul__(left)
+
+    def aslinearoperator(self) -> Any:
+        """A SciPy LinearOperator for iterative solvers on the driver: each product is a Spark job, rows are in key order. SciPy is imported here."""
+        from scipy.sparse.linalg import LinearOperator
+
+        parts = InMemory(self)
+        return LinearOperator(parts.shape, matvec=parts.matvec, rmatvec=parts.rmatvec, matmat=parts.matmat, rmatmat=parts.rmatmat, dtype=np.float64)
+
     # Weighted operations
 
     def weighted_sums(self, w: Any) -> np.ndarray:
-        """Sums of w_i A_ij over rows, each entry normalized before it is added. No difference of totals is taken."""
-        m, df, cols = self._attached([w])
-        got = weighted.sums(m, df, cols)
-        return np.concatenate((got[-1], got[:-1, 0])) if self.intercept else got[:-1, 0]
+        """Sums of w_i A_ij over rows. Dense entries are normalized before they are added; coordinates add stored entries and backgrounds apart."""
+        return self.rmatvec(w)
 
     def gram(self, w: Any = None) -> np.ndarray:
         """A^T diag(w) A, both triangles."""
-        m, df, cols = self._attached([F.lit(1.0) if w is None else w])
-        full = weighted.gram(m, df, cols[0])
+        w = F.lit(1.0) if w is None else w
+        if self.sparse is not None:
+            df, cols = self._with(self.sparse.rows, [w])
+            full = sparse.gram(self.sparse, df, cols[0])
+        else:
+            m = self.matrix.dense()
+            df, cols = self._with(m.df, [w])
+            full = weighted.gram(m, df, cols[0])
         return full if self.intercept else full[1:, 1:]
 
     # Columns, rows, selections
@@ -288,6 +294,8 @@ class NormalizedFrame:
         if not -p <= j < p:
             raise IndexError("the column is out of bounds")
         j %= p
+        if self.sparse is not None:
+            return sparse.column(self.sparse, j, name)
         only = [s.select(j, j + 1) if isinstance(s, ColumnParams) else s for s in self.stages]
         if all(isinstance(s, ColumnParams) for s in self.stages):
             m = logical(self.raw.select(j, j + 1), only).dense()
@@ -306,12 +314,29 @@ class NormalizedFrame:
         """Reductions of one normalized column."""
         return weighted.ColumnView(self.column(j), self.key)
 
-    def corrections(self, j: int) -> tuple[float, DataFrame]:
-        """The value of a raw zero in column j, and what stored entries add to it (coordinates only)."""
-        params = self.stages[0]
-        c = 0.0 if params.centers is None else params.centers[j]
-        s = 1.0 if params.scales is None else params.scales[j]
-        return -c / s if c else 0.0, self.raw.df.filter(F.col("j") == j).select("i", (F.col("v") / F.lit(s)).alias("value"))
+    def corrections(self, j: int) -> tuple[float | DataFrame, DataFrame]:
+        """Of coordinates: the normalized value of a raw zero in column j (a table if it differs by row), and what stored entries add to it."""
+        if not isinstance(self.raw, Coo):
+            raise TypeError("only coordinates have corrections")
+        if self.sparse is None:
+            raise ValueError("a row recipe after a centered stage fills the rows; freeze its parameters first")
+        return sparse.corrections(self.sparse, range(self.raw.ncols)[operator.index(j)])
+
+    def normalize_value(self, key: Any, j: int, value: float) -> float:
+        """What ``value`` in place of entry (key, j) is after the stages with their parameters as fitted."""
+        for stage in self.stages:
+            if isinstance(stage, ColumnParams):
+                c, s = (None if x is None else x[j] for x in (stage.centers, stage.scales))
+            elif isinstance(stage, RowParams):
+                found = stage.table.filter(F.col(stage.key) == F.lit(key)).select("center", "scale").first()
+                if found is None:
+                    raise IndexError("the row is not there")
+                c, s = found["center"] if stage.centered else None, found["scale"] if stage.scaled else None
+            else:
+                raise ValueError("a row recipe has no parameters before it is fitted")
+            value = value if c is None else value - c
+            value = value if s is None else value / s
+        return float(value)
 
     def row(self, key: Any) -> DataFrame:
         """Column number and value of one row."""
@@ -365,6 +390,29 @@ def _dot(m: Any, v: np.ndarray) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
+class InMemory:
+    """Products with NumPy vectors on both sides, rows in key order: for solvers that iterate on the driver over vectors that fit there."""
+
+    dtype = np.dtype(float)
+
+    def __init__(self, frame: NormalizedFrame):
+        self.frame, self.shape = frame, frame.shape
+
+    def matvec(self, v: Any) -> np.ndarray:
+        return self.matmat(np.asarray(v, float).reshape(-1, 1))[:, 0]
+
+    def matmat(self, b: Any) -> np.ndarray:
+        b = np.asarray(b, float)
+        rows = self.frame.matmat(b).orderBy(self.frame.key).collect()
+        return np.array([tuple(r)[1:] for r in rows], float).reshape(len(rows), b.shape[1])
+
+    def rmatvec(self, u: Any) -> np.ndarray:
+        return np.asarray(u, float).ravel() @ self.frame
+
+    def rmatmat(self, u: Any) -> np.ndarray:
+        return (np.asarray(u, float).T @ self.frame).T
+
+
 class Transposed:
     """The transpose: products swap, nothing moves."""
 
@@ -376,6 +424,15 @@ class Transposed:
         n, p = self.T.shape
         return p, n
 
+    @property
+    def centers(self) -> Any:
+        """Of rows, where the matrix has them of columns."""
+        return self.T.centers
+
+    @property
+    def scales(self) -> Any:
+        return self.T.scales
+
     def matvec(self, u: Any) -> np.ndarray:
         return self.T.rmatvec(u)
 
@@ -389,8 +446,29 @@ class Transposed:
         return self.T.matmat(b)
 
     def __matmul__(self, u: Any) -> np.ndarray:
+        if isinstance(u, np.ndarray):
+            return (u.T @ self.T).T
         return self.T.rmatmat(u) if isinstance(u, (list, tuple)) else self.T.rmatvec(u)
 
+    def __rmatmul__(self, v: Any) -> DataFrame:
+        """v A^T, a product with the matrix's rows: a table with a column for each vector."""
+        v = np.asarray(v, float)
+        return self.T @ (v if v.ndim == 1 else v.T)
+
+    def __array_ufunc__(self, ufunc: Any, method: str, *inputs: Any, **options: Any) -> Any:
+        if ufunc is not np.matmul or method != "__call__" or options or len(inputs) != 2:
+            return NotImplemented
+        return self.__matmul__(inputs[1]) if inputs[0] is self else self.__rmatmul__(inputs[0])
+
+    def __getitem__(self, at: Any) -> DataFrame:
+        """T[:, key]: a row of the matrix, as column number and value."""
+        if not (isinstance(at, tuple) and len(at) == 2 and at[0] == slice(None)):
+            raise TypeError("only columns can be taken: T[:, key]")
+        return self.T.row(at[1])
+
+    def toarray(self) -> np.ndarray:
+        return self.T.toarray().T
+
 
 def take_rows(m: Matrix, keys: Sequence[Any] | DataFrame) -> Any:
     """A subset of raw rows, to fit on. Listed keys must be strictly increasing; a table of keys is semi-joined."""

@@ -32,3 +32,16 @@ class NormalizedLinear:
         if self.bias is None:
             return frame.matmat(self.weight.T, names)
         return frame.with_intercept().matmat(np.vstack([self.bias, self.weight.T]), names)
+
+    def gradients(self, rows: Matrix, errors: Sequence[Any]) -> tuple[np.ndarray, np.ndarray]:
+        """Gradients of bias and weight for a batch: ``errors`` are the loss's derivatives by each output, as long vectors. One scan; raw rows are not changed."""
+        if len(errors) != len(self.weight):
+            raise ValueError("one error vector for each output")
+        got = NormalizedFrame(rows, [self.params]).with_intercept().rmatmat(list(errors))
+        return got[0], got[1:].T
+
+    def step(self, rows: Matrix, errors: Sequence[Any], rate: float) -> NormalizedLinear:
+        """The layer after a step of gradient descent."""
+        bias, weight = self.gradients(rows, errors)
+        moved = None if self.bias is None else self.bias - rate * bias
+        return NormalizedLinear(self.weight - rate * weight, moved, centers=self.params.centers, scales=self.params.scales)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.layouts import Wide
+from ..sources.layouts import Wide, matched
 
 #: Columns up to which a Gram matrix is one aggregate of p (p + 1) / 2 sums; wider ones add up Arrow blocks.
 EXPRESSION_GRAM = 12
@@ -77,8 +77,7 @@ class ColumnView:
         df, cols = self.df, {}
         for name, u in vectors.items():
             if isinstance(u, DataFrame):
-                key, value = u.columns[:2]
-                df = df.join(u.select(F.col(key).alias(self.key), F.col(value).cast("double").alias(f"_{name}")), self.key)
+                df = matched(df, self.key, u, {u.columns[1]: f"_{name}"})
                 cols[name] = F.col(f"_{name}")
             else:
                 cols[name] = (F.col(u) if isinstance(u, str) else u).cast("double")
@@ -115,10 +114,9 @@ class ColumnView:
 
 
 def dot(a: DataFrame, b: DataFrame) -> float:
-    """The inner product of two long vectors with equal keys."""
+    """The inner product of two long vectors with equal keys; other keys raise."""
     key = a.columns[0]
-    other = b.select(F.col(b.columns[0]).alias(key), F.col(b.columns[1]).alias("_b"))
-    return a.join(other, key).agg(F.coalesce(F.sum(F.col(a.columns[1]) * F.col("_b")), F.lit(0.0))).first()[0]
+    return matched(a, key, b, {b.columns[1]: "_b"}).agg(F.coalesce(F.sum(F.col(a.columns[1]) * F.col("_b")), F.lit(0.0))).first()[0]
 
 
 def l2_norm(a: DataFrame) -> float:
@@ -128,8 +126,7 @@ def l2_norm(a: DataFrame) -> float:
 def axpy(alpha: float, a: DataFrame, b: DataFrame) -> DataFrame:
     """alpha * a + b, by key."""
     key, value = b.columns[:2]
-    other = a.select(F.col(a.columns[0]).alias(key), F.col(a.columns[1]).alias("_a"))
-    return b.join(other, key).select(key, (F.lit(float(alpha)) * F.col("_a") + F.col(value)).alias(value))
+    return matched(b, key, a, {a.columns[1]: "_a"}).select(key, (F.lit(float(alpha)) * F.col("_a") + F.col(value)).alias(value))
 
 
 def scale(alpha: float, a: DataFrame) -> DataFrame:

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import gzip
+import json
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import Array, Chain, ChunkedMatrix, ColumnNormalization, ColumnParams, ColumnStatistics, Coo, NormalizedFrame, NormalizedLinear, RowNormalization, Wide, take_rows
+from . import (
+    Array, Chain, ChunkedMatrix, ColumnNormalization, ColumnParams, ColumnStatistics, Coo, NormalizedFrame, NormalizedLinear, RowNormalization, RowParams, Wide, normalize, read_chunks, read_zarr,
+    standardize, take_rows, write_chunks,
+)
 from .functions.numeric import normal_range
 from .operators import solvers, weighted
+from .operators.frame import InMemory
+from .sources.storage import shared_path, write_file
+from .streaming.frozen import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -369,10 +377,12 @@ def coo_weighted_sums(spark: SparkSession, sf: str) -> DataFrame:
     return out(spark, 3, value=ColumnNormalization("mean", "none").fit_apply(cells(spark, sf)).weighted_sums(F.col("i") % 3))
 
 
-@query("coo_gram", _COO + ", t AS (SELECT i, m.j, v - p.m AS z FROM m JOIN p ON m.j = p.j WHERE m.j < 6) SELECT CAST(a.j AS BIGINT) AS j, CAST(b.j AS BIGINT) AS k, round(sum(a.z * b.z), 3) + 0.0 AS g FROM t a JOIN t b ON a.i = b.i GROUP BY a.j, b.j")
+_GRAM = ", t AS (SELECT i, m.j, v - p.m AS z FROM m JOIN p ON m.j = p.j) SELECT CAST(a.j AS BIGINT) AS j, CAST(b.j AS BIGINT) AS k, round(sum({z}), 3) + 0.0 AS g FROM t a JOIN t b ON a.i = b.i GROUP BY a.j, b.j"
+
+
+@query("coo_gram", _COO + _GRAM.format(z="a.z * b.z"))
 def coo_gram(spark: SparkSession, sf: str) -> DataFrame:
-    z = ColumnNormalization("mean", "none").fit_apply(cells(spark, sf))
-    return square(spark, 3, z.submatrix(None, (0, 6)).gram())
+    return square(spark, 3, ColumnNormalization("mean", "none").fit_apply(cells(spark, sf)).gram())
 
 
 @query("coo_row_l1", _COO + ", r AS (SELECT i, sum(abs(v)) AS s FROM m GROUP BY i) SELECT CAST(m.i AS BIGINT) AS i, round(sum(v / CASE WHEN s = 0 THEN 1 ELSE s END * (j + 1)), 8) + 0.0 AS value FROM m JOIN r ON m.i = r.i GROUP BY m.i")
@@ -381,10 +391,83 @@ def coo_row_l1(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(RowNormalization("none", "l1").fit_apply(m).matvec([j + 1 for j in range(m.ncols)]), 8, "i")
 
 
-@query("coo_transposed_stats", "SELECT CAST(round(sum(t), 2) AS DOUBLE) + 0.0 AS total, CAST(max(t) AS DOUBLE) + 0.0 AS most FROM (SELECT (l_suppkey - 1) AS i, sum(l_quantity) AS t FROM lineitem GROUP BY l_orderkey, l_suppkey)")
+@query("coo_transposed_stats", _COO + "SELECT CAST(j AS BIGINT) AS j, round(s, 6) + 0.0 AS value FROM p")
 def coo_transposed_stats(spark: SparkSession, sf: str) -> DataFrame:
-    t = cells(spark, sf).df.agg(F.sum("v").alias("total"), F.max("v").alias("most"))
-    return t.select(rnd(F.col("total"), 2).alias("total"), rnd(F.col("most"), 2).alias("most"))
+    """Suppliers x orders, transposed: the columns are suppliers again."""
+    entries = cells(spark, sf).df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+    p, n = table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] + 1, table(spark, sf, "supplier").count()
+    return out(spark, 6, value=ColumnStatistics(Coo(entries, n, p).transposed()).sds())
+
+
+@query("coo_row_stats_transposed", "WITH m AS (SELECT s_suppkey AS i, coalesce(v, 0.0) AS v FROM orders CROSS JOIN supplier LEFT JOIN (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) "
+       "ON o_orderkey = l_orderkey AND s_suppkey = l_suppkey) SELECT CAST(i AS BIGINT) AS i, round(avg(v), 8) + 0.0 AS center, round(stddev_pop(v), 8) + 0.0 AS scale FROM m GROUP BY i")
+def coo_row_stats_transposed(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the rows of suppliers x orders, fitted as columns of its transpose."""
+    t = cells(spark, sf)
+    fitted = ColumnNormalization().fit(Coo(t.df, t.nrows, t.ncols, t.rows, coalesced=True))
+    return out(spark, 8, center=fitted.centers, scale=fitted.scales).withColumnRenamed("j", "i")
+
+
+@query("coo_dealt_weighted_sums", _COO + "SELECT CAST(m.j AS BIGINT) AS j, round(sum(v * (i % 3)), 3) + 0.0 AS value FROM m GROUP BY m.j")
+def coo_dealt_weighted_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 3, value=NormalizedFrame(cells(spark, sf).dealt("columns")).weighted_sums(F.col("i") % 3))
+
+
+_COO_CHAIN = _COO + (
+    ", r AS (SELECT i, sum(abs(v)) AS s FROM m GROUP BY i), z AS (SELECT m.i, m.j, v / CASE WHEN s = 0 THEN 1 ELSE s END AS a FROM m JOIN r ON m.i = r.i), "
+    "q AS (SELECT j, avg(a) AS c, stddev_pop(a) AS d FROM z GROUP BY j), y AS (SELECT z.i, z.j, (a - c) / CASE WHEN d = 0 THEN 1 ELSE d END AS y FROM z JOIN q ON z.j = q.j) "
+)
+
+
+def _coo_chain(spark: SparkSession, sf: str) -> NormalizedFrame:
+    """Orders scaled by their L1 norms, then suppliers standardized: never filled in."""
+    return RowNormalization("none", "l1").then(ColumnNormalization()).fit_apply(cells(spark, sf))
+
+
+@query("coo_chain_matvec", _COO_CHAIN + "SELECT CAST(i AS BIGINT) AS i, round(sum(y * (j % 5 - 2)), 5) + 0.0 AS value FROM y GROUP BY i")
+def coo_chain_matvec(spark: SparkSession, sf: str) -> DataFrame:
+    z = _coo_chain(spark, sf)
+    return rounded(z.matvec([j % 5 - 2 for j in range(z.ncols)]), 5, "i")
+
+
+@query("coo_chain_weighted_sums", _COO_CHAIN + "SELECT CAST(j AS BIGINT) AS j, round(sum(y * (i % 3)), 3) + 0.0 AS value FROM y GROUP BY j")
+def coo_chain_weighted_sums(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 3, value=_coo_chain(spark, sf).weighted_sums(F.col("i") % 3))
+
+
+@query("coo_chain_column", _COO_CHAIN + "SELECT CAST(i AS BIGINT) AS i, round(y, 6) + 0.0 AS value FROM y WHERE j = 7")
+def coo_chain_column(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_coo_chain(spark, sf)[:, 7], 6, "i")
+
+
+@query("coo_column_view", _COO + "SELECT round(sum((v - p.m) / p.s * (i % 7 - 3)), 5) + 0.0 AS dot, round(sum((v - p.m) / p.s * (v - p.m) / p.s), 5) + 0.0 AS norm2 FROM m JOIN p ON m.j = p.j WHERE m.j = 3")
+def coo_column_view(spark: SparkSession, sf: str) -> DataFrame:
+    c = ColumnNormalization().fit_apply(cells(spark, sf)).column_view(3)
+    df = spark.createDataFrame([(c.dot(F.col("i") % 7 - 3), c.norm_squared())], "dot double, norm2 double")
+    return df.select(rnd(F.col("dot"), 5).alias("dot"), rnd(F.col("norm2"), 5).alias("norm2"))
+
+
+@query("coo_corrections", _COO + "SELECT CAST(l_orderkey AS BIGINT) AS i, round(l.v / p.s, 6) + 0.0 AS value, round(-p.m / p.s, 6) + 0.0 AS zero FROM "
+       "(SELECT l_orderkey, l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) l JOIN p ON l.l_suppkey = p.j WHERE p.j = 3")
+def coo_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """What a raw zero of supplier 3 becomes, and what the stored entries add to it."""
+    zero, stored = ColumnNormalization().fit_apply(cells(spark, sf)).corrections(3)
+    return rounded(stored.withColumn("zero", F.lit(zero)), 6, "i")
+
+
+def types(spark: SparkSession, sf: str) -> Coo:
+    """Users x event types, with all repeats: sums of values."""
+    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
+    e = table(spark, sf, "events").withColumn("j", F.array_position(kinds, F.col("event_type")).cast("long") - 1)
+    users = e.select(F.col("user_id").alias("i")).distinct()
+    return Coo(e.filter("j >= 0").select(F.col("user_id").alias("i"), "j", F.col("value").alias("v")), users.count(), 5, rows=users)
+
+
+@query("coo_eager", "WITH k(j, t) AS (VALUES (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')), m AS (SELECT u.user_id AS i, k.j, coalesce(v, 0.0) AS v FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN k "
+       "LEFT JOIN (SELECT user_id, event_type, sum(value) AS v FROM events GROUP BY ALL) e ON e.user_id = u.user_id AND e.event_type = k.t), p AS (SELECT j, min(v) AS lo, max(v) - min(v) AS s FROM m GROUP BY j) "
+       "SELECT CAST(i AS BIGINT) AS i, CAST(m.j AS BIGINT) AS j, round((v - lo) / CASE WHEN s = 0 THEN 1 ELSE s END, 7) + 0.0 AS v FROM m JOIN p ON m.j = p.j")
+def coo_eager(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ColumnNormalization.min_max().fit_apply(types(spark, sf)).matrix.long(), 7, "i", "j")
 
 
 # Selections (SE-*)
@@ -441,32 +524,69 @@ def chain_weighted_gram(spark: SparkSession, sf: str) -> DataFrame:
     return square(spark, 5, chain.fit_apply(parts(spark, sf)).gram(F.col("p_partkey") % 5))
 
 
-# Chunks (SR-07 .. SR-10)
+# Chunks (SR-07 .. SR-10): part as a matrix of five columns, written in chunks of 64 x 2; the last column is all fill, so its chunks are absent
 
-_CHUNKS = "SELECT i, j, CASE WHEN (i // 4 + j // 2) % 3 = 0 THEN 7.5 ELSE i * 0.5 + j END AS v FROM (SELECT p_partkey AS i FROM part WHERE p_partkey < 50 UNION SELECT 0), (SELECT unnest(range(5)) AS j)"
+_PART5 = ["p_size", "p_retailprice", "p_partkey % 7", "p_size + 0.5", "7.5"]
+_CHUNKS = "SELECT i, j, v FROM (" + " UNION ALL ".join(f"SELECT p_partkey AS i, {k} AS j, CAST({e} AS DOUBLE) AS v FROM part" for k, e in enumerate(_PART5)) + ")"
 
 
-def chunked(spark: SparkSession) -> ChunkedMatrix:
-    """50 x 5 in chunks of 4 x 2, a third of them absent and so full of 7.5; the last chunks stick out."""
-    at = spark.range(13 * 3).select(F.floor(F.col("id") / 3).alias("ci"), (F.col("id") % 3).alias("cj")).filter((F.col("ci") + F.col("cj")) % 3 != 0)
-    inner = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.col("ci") * 4 + F.floor(k / 2)) * 0.5 + F.col("cj") * 2 + k % 2)
-    return ChunkedMatrix(at.select("ci", "cj", inner.cast("array<double>").alias("values")), (50, 5), (4, 2), 7.5)
+def chunked(spark: SparkSession, sf: str) -> ChunkedMatrix:
+    """Part in a chunk table on the shared folder."""
+    t = table(spark, sf, "part")
+    wide = Wide(t.select("p_partkey", *[F.expr(e).cast("double").alias(f"c{k}") for k, e in enumerate(_PART5)]), "p_partkey", [f"c{k}" for k in range(5)])
+    path, n = shared_path(spark, "chunks"), t.agg(F.max("p_partkey")).first()[0] + 1
+    write_chunks(wide, path, n, (64, 2), fill=7.5)
+    return read_chunks(spark, path, (n, 5), (64, 2), fill=7.5)
 
 
 @query("chunk_scan_fill", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS})")
 def chunk_scan_fill(spark: SparkSession, sf: str) -> DataFrame:
-    return chunked(spark).entries()
+    return chunked(spark, sf).entries()
 
 
-@query("chunk_rectangle", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS}) WHERE i >= 10 AND i < 31 AND j >= 1 AND j < 4")
+@query("chunk_rectangle", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS}) WHERE i >= 10 AND i < 131 AND j >= 1 AND j < 4")
 def chunk_rectangle(spark: SparkSession, sf: str) -> DataFrame:
-    return chunked(spark).entries((10, 31), (1, 4))
+    return chunked(spark, sf).entries((10, 131), (1, 4))
+
+
+@query("chunk_rows", f"SELECT CAST(i AS BIGINT) AS i, CAST(j - 1 AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS}) WHERE i >= 10 AND i < 131 AND j >= 1")
+def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return chunked(spark, sf).to_array((10, 131), (1, 5)).long()
+
 
+@query("chunk_block", f"SELECT CAST(i - 60 AS BIGINT) AS i, CAST(j - 1 AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS}) WHERE i >= 60 AND i < 70 AND j >= 1 AND j < 3")
+def chunk_block(spark: SparkSession, sf: str) -> DataFrame:
+    block = chunked(spark, sf).read_block((60, 70), (1, 3))
+    return spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(block)], "i bigint, j bigint, v double")
 
-@query("chunk_standardize", f"WITH e AS ({_CHUNKS}), p AS (SELECT j, avg(v) AS m, stddev_pop(v) AS s FROM e GROUP BY j) SELECT CAST(i AS BIGINT) AS i, round(sum((v - m) / s * (e.j + 1)), 8) + 0.0 AS value FROM e JOIN p ON e.j = p.j GROUP BY i")
+
+@query("chunk_standardize", f"WITH e AS ({_CHUNKS}), p AS (SELECT j, avg(v) AS m, stddev_pop(v - 7.5) AS s FROM e GROUP BY j) SELECT CAST(i AS BIGINT) AS i, round(sum((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END * (e.j + 1)), 6) + 0.0 AS value FROM e JOIN p ON e.j = p.j GROUP BY i")
 def chunk_standardize(spark: SparkSession, sf: str) -> DataFrame:
-    m = chunked(spark)
-    return rounded(NormalizedFrame(m, [ColumnNormalization().fit(m)]).matvec([1, 2, 3, 4, 5]), 8, "i")
+    m = chunked(spark, sf)
+    return rounded(NormalizedFrame(m, [ColumnNormalization().fit(m)]).matvec([1, 2, 3, 4, 5]), 6, "i")
+
+
+@query("chunk_stats_median", f"SELECT CAST(j AS BIGINT) AS j, round(quantile_cont(v, 0.5), 6) + 0.0 AS value FROM ({_CHUNKS}) GROUP BY j")
+def chunk_stats_median(spark: SparkSession, sf: str) -> DataFrame:
+    return out(spark, 6, value=ColumnStatistics(chunked(spark, sf)).medians())
+
+
+@query("zarr_standardize", "WITH p AS (SELECT avg(n_nationkey) AS a, stddev_pop(n_nationkey) AS b, avg(n_regionkey) AS c, stddev_pop(n_regionkey) AS d FROM nation) "
+       "SELECT CAST(n_nationkey AS BIGINT) AS i, round((n_nationkey - a) / b - 2 * (n_regionkey - c) / d, 8) + 0.0 AS value FROM nation, p")
+def zarr_standardize(spark: SparkSession, sf: str) -> DataFrame:
+    """Nation, 25 rows at any scale, as a Zarr array of gzipped chunks on the shared folder."""
+    rows = [(r[0], r[1]) for r in table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()]
+    path, x = shared_path(spark, "zarr"), np.zeros((30, 2))
+    x[: len(rows)] = rows
+    meta = {
+        "zarr_format": 3, "node_type": "array", "shape": [len(rows), 2], "data_type": "float64", "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip"}],
+        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [10, 1]}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
+    }
+    write_file(spark, f"{path}/zarr.json", json.dumps(meta).encode())
+    for k in range(6):
+        write_file(spark, f"{path}/c/{k // 2}/{k % 2}", gzip.compress(x[k // 2 * 10 : k // 2 * 10 + 10, k % 2].astype("<f8").tobytes()))
+    m = read_zarr(spark, path)
+    return rounded(NormalizedFrame(m, [ColumnNormalization().fit(m)]).matvec([1, -2]), 8, "i")
 
 
 @query("explicit_params", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round((p_size - 1.5) / -2.0, 8) + 0.0 AS p_size, round((p_retailprice - 3.0) / 4.0, 8) + 0.0 AS p_retailprice FROM part")
@@ -510,10 +630,122 @@ def coo_matmat(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ColumnNormalization("mean", "none").fit_apply(m).matmat([[j % 5 - 2, j % 3] for j in range(m.ncols)]), 6, "i")
 
 
-@query("coo_weighted_gram", _COO + ", t AS (SELECT i, m.j, v - p.m AS z FROM m JOIN p ON m.j = p.j WHERE m.j < 6) SELECT CAST(a.j AS BIGINT) AS j, CAST(b.j AS BIGINT) AS k, round(sum(a.z * b.z * (a.i % 3)), 3) + 0.0 AS g FROM t a JOIN t b ON a.i = b.i GROUP BY a.j, b.j")
+@query("coo_weighted_gram", _COO + _GRAM.format(z="a.z * b.z * (a.i % 3)"))
 def coo_weighted_gram(spark: SparkSession, sf: str) -> DataFrame:
-    z = ColumnNormalization("mean", "none").fit_apply(cells(spark, sf))
-    return square(spark, 3, z.submatrix(None, (0, 6)).gram(F.col("i") % 3))
+    return square(spark, 3, ColumnNormalization("mean", "none").fit_apply(cells(spark, sf)).gram(F.col("i") % 3))
+
+
+# Entry points, frozen parameters on disk, in-memory operands (NR-03, NR-20, NR-21, SK-02, SK-08, PR-15, PR-17, PR-18, CL-09, CL-11, ST-20)
+
+_MINMAX = stage_sql(PART, "part", "p_partkey", "min", "max({c}) - min({c})")
+_EAGER = " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, " + ", ".join(f"round(z_{c}, 8) + 0.0 AS {c}" for c in PART) + " FROM z"
+
+
+@query("normalize_columns", _MINMAX + _EAGER)
+def normalize_columns(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(normalize(parts(spark, sf), center="min", scale="range").to_eager(), 8, "p_partkey")
+
+
+@query("standardize_rows", "WITH r AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings), e AS (SELECT vec_id, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS j, list_avg(x) AS c, list_stddev_pop(x) AS s FROM r) "
+       "SELECT CAST(vec_id AS BIGINT) AS vec_id, round(sum((v - c) / CASE WHEN s = 0 THEN 1 ELSE s END * (j + 1)), 5) + 0.0 AS value FROM e GROUP BY vec_id")
+def standardize_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(standardize(vectors(spark, sf), axis=1) @ [j + 1 for j in range(64)], 5, "vec_id")
+
+
+@query("standardize_three_df", stage_sql(PART, "part", "p_partkey", "mean", "sqrt(var_pop({c} - {m}) * count({c}) / (count({c}) - 3))") + _EAGER)
+def standardize_three_df(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(standardize(parts(spark, sf), df=3).to_eager(), 8, "p_partkey")
+
+
+@query("params_saved_and_loaded", _MINMAX + _EAGER)
+def params_saved_and_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    path, m = shared_path(spark, "params"), parts(spark, sf)
+    ColumnNormalization.min_max().fit(m).save(spark, path)
+    return rounded(ColumnParams.load(spark, path).apply_frozen(m).to_eager(), 8, "p_partkey")
+
+
+@query("row_params_saved_and_loaded", "WITH s AS (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b, greatest(p_size, p_retailprice) - least(p_size, p_retailprice) AS s, least(p_size, p_retailprice) AS c FROM part) "
+       "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round((a - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 8) + 0.0 AS p_size, round((b - c) / CASE WHEN s = 0 THEN 1 ELSE s END, 8) + 0.0 AS p_retailprice FROM s")
+def row_params_saved_and_loaded(spark: SparkSession, sf: str) -> DataFrame:
+    path, m = shared_path(spark, "row-params"), parts(spark, sf)
+    RowNormalization.min_max().fit(m).save(path)
+    return rounded(RowParams.load(spark, path, "p_partkey", True, True).apply_frozen(m).to_eager(), 8, "p_partkey")
+
+
+@query("written_eager", Z_PART + _EAGER)
+def written_eager(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "eager")
+    standardize(parts(spark, sf)).write(path)
+    return rounded(spark.read.parquet(path), 8, "p_partkey")
+
+
+@query("streamed_scores", Z_PART + " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(z_p_size - 2 * z_p_retailprice, 6) + 0.0 AS value FROM z")
+def streamed_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Frozen parameters over a stream of part, with a checkpoint and a Parquet sink on the shared folder."""
+    stream = spark.readStream.schema(table(spark, sf, "part").schema).option("pathGlobFilter", "part.parquet").parquet(sf)
+    path = shared_path(spark, "stream")
+    scored = score_stream(stream, "p_partkey", PART, ColumnNormalization().fit(parts(spark, sf)), [1.0, -2.0])
+    scored.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(scored.schema).parquet(f"{path}/out"), 6, "p_partkey")
+
+
+def nations(spark: SparkSession, sf: str) -> Wide:
+    return Wide(table(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("n"), F.col("n_nationkey").alias("i")), "i", ["n", "n_regionkey"])
+
+
+_NATION = "WITH p AS (SELECT avg(n_nationkey) AS a, avg(n_regionkey) AS c FROM nation), z AS (SELECT n_nationkey AS i, n_nationkey - a AS x, n_regionkey - c AS y FROM nation, p) "
+
+
+@query("numpy_left_product", _NATION + "SELECT CAST(0 AS BIGINT) AS j, round(sum(x * (i % 3)), 6) + 0.0 AS u, round(sum(x * i), 6) + 0.0 AS w FROM z UNION ALL SELECT 1, round(sum(y * (i % 3)), 6) + 0.0, round(sum(y * i), 6) + 0.0 FROM z")
+def numpy_left_product(spark: SparkSession, sf: str) -> DataFrame:
+    z = normalize(nations(spark, sf), scale=False)
+    keys = np.arange(table(spark, sf, "nation").count())
+    return out(spark, 6, u=(keys % 3.0) @ z, w=np.matmul(keys.astype(float), z))
+
+
+@query("solver_products", _NATION + "SELECT CAST(i AS BIGINT) AS j, round(x - 2 * y, 6) + 0.0 AS value FROM z")
+def solver_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Products with vectors in memory on both sides, as iterative solvers ask for."""
+    return out(spark, 6, value=InMemory(normalize(nations(spark, sf), scale=False)).matvec([1.0, -2.0]))
+
+
+@query("transposed_column", Z_PART + " SELECT CAST(0 AS BIGINT) AS j, round(z_p_size, 8) + 0.0 AS value FROM z WHERE p_partkey = 17 UNION ALL SELECT 1, round(z_p_retailprice, 8) + 0.0 FROM z WHERE p_partkey = 17")
+def transposed_column(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(standardize(parts(spark, sf)).T[:, 17], 8, "j")
+
+
+@query("single_entry", Z_PART + " SELECT round(z_p_retailprice, 8) + 0.0 AS value, round(z_p_retailprice, 8) + 0.0 AS again FROM z WHERE p_partkey = 17")
+def single_entry(spark: SparkSession, sf: str) -> DataFrame:
+    """An entry by a job, and the same from its raw value and the parameters."""
+    z = standardize(parts(spark, sf))
+    raw = table(spark, sf, "part").filter("p_partkey = 17").first()["p_retailprice"]
+    df = spark.createDataFrame([(z.entry(17, 1), z.normalize_value(17, 1, raw))], "value double, again double")
+    return df.select(rnd(F.col("value"), 8).alias("value"), rnd(F.col("again"), 8).alias("again"))
+
+
+@query("nan_poisons_its_column", "SELECT CAST(unnest([0, 1]) AS BIGINT) AS j, unnest([FALSE, TRUE]) AS lost")
+def nan_poisons_its_column(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") == 5, F.lit(float("nan"))).otherwise(F.col("p_retailprice")))
+    s = ColumnStatistics(Wide(t, "p_partkey", PART))
+    lost = np.isnan([s.mins(), s.ranges(), s.maxabs(), s.medians(), s.quantile_ranges(), s.means(), s.sds()]).all(0)
+    return spark.createDataFrame([(j, bool(x)) for j, x in enumerate(lost)], "j bigint, lost boolean")
+
+
+@query("select_column_of_rectangle", Z_PART + " SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round(z_p_retailprice, 8) + 0.0 AS value FROM z WHERE p_partkey >= 100 AND p_partkey < 1000")
+def select_column_of_rectangle(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(standardize(parts(spark, sf)).submatrix((100, 1000))[:, 1], 8, "p_partkey")
+
+
+@query("training_gradients", Z_PART + ", e AS (SELECT z.*, 0.5 * z_p_size - z_p_retailprice + 1 - p_partkey % 7 AS e FROM z) SELECT CAST(0 AS BIGINT) AS j, round(sum(e), 4) + 0.0 AS value FROM e "
+       "UNION ALL SELECT 1, round(sum(e * z_p_size), 4) + 0.0 FROM e UNION ALL SELECT 2, round(sum(e * z_p_retailprice), 4) + 0.0 FROM e")
+def training_gradients(spark: SparkSession, sf: str) -> DataFrame:
+    """The gradient of half the squared error in a linear layer's bias and weights, for all rows as one batch."""
+    m = parts(spark, sf)
+    p = ColumnNormalization().fit(m)
+    layer = NormalizedLinear([[0.5, -1.0]], [1.0], centers=p.centers, scales=p.scales)
+    errors = layer(m, ["y"]).select("p_partkey", (F.col("y") - F.col("p_partkey") % 7).alias("e"))
+    bias, weight = layer.gradients(m, [errors])
+    return out(spark, 4, value=[bias[0], *weight[0]])
 
 
 # Linear models (2.8)
@@ -535,3 +767,10 @@ def ridge_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
 @query("ridge_conjugate_gradients", _NORMAL + union([f"SELECT CAST({k} AS BIGINT) AS j, round({x.format(r=0)}, 6) + 0.0 AS value FROM q" for k, x in enumerate(_SOLVED)]))
 def ridge_conjugate_gradients(spark: SparkSession, sf: str) -> DataFrame:
     return out(spark, 6, value=solvers.ridge_cg(ColumnNormalization().fit_apply(parts(spark, sf)), F.col("p_partkey") % 7 - 3, 0.1))
+
+
+@query("lasso", stage_sql(["c_acctbal"], "customer", "c_custkey", "mean", SD) + ", s AS (SELECT sum(z_c_acctbal * (c_custkey % 7 - 3)) / count(*) AS b, sum(z_c_acctbal * z_c_acctbal) / count(*) AS g FROM z) "
+       "SELECT CAST(0 AS BIGINT) AS j, round(sign(b) * greatest(abs(b) - 0.01, 0) / g, 6) + 0.0 AS value FROM s")
+def lasso(spark: SparkSession, sf: str) -> DataFrame:
+    z = standardize(Wide(table(spark, sf, "customer"), "c_custkey", ["c_acctbal"]))
+    return out(spark, 6, value=solvers.lasso(z, F.col("c_custkey") % 7 - 3, 0.01))

@@ -134,11 +134,20 @@ def write_chunks(matrix: Any, path: str, nrows: int, chunk: tuple[int, int], fil
     dense = matrix.dense()
     long = dense.long().select(F.col(row_of or dense.key).cast("long").alias("i"), "j", "v")
     placed = long.select(F.floor(F.col("i") / r).cast("long").alias("ci"), F.floor(F.col("j") / c).cast("long").alias("cj"), ((F.col("i") % r) * c + F.col("j") % c).cast("int").alias("at"), "v")
-    cells = placed.groupBy("ci", "cj").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(r * c - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(float(fill))))
-    whole = cells.select("ci", "cj", values.alias("values"))
-    same = (lambda v: F.isnan(v)) if np.isnan(fill) else (lambda v: v == F.lit(float(fill)))
-    whole.filter(F.exists("values", lambda v: ~same(v))).write.mode("overwrite").partitionBy("ci").parquet(path)
+    cells = placed.groupBy("ci", "cj").agg(F.collect_list(F.struct("at", "v")).alias("cells"))
+
+    def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            at, entry = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            x = np.full((batch.num_rows, r * c), float(fill))
+            x[at, entry.field("at").to_numpy(zero_copy_only=False)] = entry.field("v").to_numpy(zero_copy_only=False)
+            some = (~(np.isnan(x) if np.isnan(fill) else x == fill)).any(1)
+            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (r * c), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["ci", "cj", "values"]).filter(pa.array(some))
+
+    chunks = cells.mapInArrow(fill_in, "ci bigint, cj bigint, values array<double>")
+    chunks.repartition("ci").write.mode("overwrite").partitionBy("ci").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, shape: tuple[int, int], chunk: tuple[int, int], fill: float = 0.0) -> ChunkedMatrix:

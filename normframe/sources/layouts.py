@@ -276,6 +276,11 @@ class Coo(Matrix):
     def rows(self) -> DataFrame:
         return self._rows if self._rows is not None else self.df.sparkSession.range(self.nrows).withColumnRenamed("id", "i")
 
+    def dealt(self, by: str) -> Coo:
+        """Entries in partitions by 'rows' or by 'columns', sorted: joins and sums over that axis then need no other shuffle."""
+        first, second = {"rows": ("i", "j"), "columns": ("j", "i")}[by]
+        return Coo(self.df.repartition(first).sortWithinPartitions(first, second), self.nrows, self.ncols, self._rows, coalesced=True)
+
     def transposed(self) -> Coo:
         """Rows and columns swapped; row keys must be numbers from 0."""
         return Coo(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.ncols, self.nrows, coalesced=True)

@@ -1,5 +1,6 @@
 """The engine against NumPy, over centers, scales, layouts and axes."""
 
+import gzip
 import json
 import math
 import zlib
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 import normframe as nf
 from normframe.functions.numeric import normal_range
 from normframe.operators import weighted
+from normframe.operators.frame import InMemory
+from normframe.plans import selection
 from normframe.streaming.frozen import normalize_stream, score_stream
 
 X = np.array([[0, -6, 5, 0], [2, 0, 5, 0], [0, 3, 5, 0], [9, 0, 5, 0]], float)
@@ -335,6 +338,138 @@ def test_zarr(spark, tmp_path):
     assert nf.read_zarr(spark, str(three)).read_block((0, 2), (0, 2)).tolist() == [[1, 2], [3, 4]]
 
 
+def test_zarr_shards(spark, tmp_path):
+    x = np.arange(48, dtype="<f8").reshape(8, 6)
+    codecs = [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip"}, {"name": "crc32c"}]
+    for where in ("start", "end"):
+        root = tmp_path / where
+        sharding = {"name": "sharding_indexed", "configuration": {"chunk_shape": [2, 3], "codecs": codecs, "index_location": where, "index_codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "crc32c"}]}}
+        meta = {"zarr_format": 3, "node_type": "array", "shape": [7, 6], "data_type": "float64", "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [4, 6]}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "."}}, "fill_value": "0x7ff0000000000000", "codecs": [sharding]}
+        root.mkdir()
+        (root / "zarr.json").write_text(json.dumps(meta))
+        for s in range(2):
+            blobs = [gzip.compress(x[4 * s + 2 * a : 4 * s + 2 * a + 2, 3 * b : 3 * b + 3].tobytes()) + b"sums" for a in range(2) for b in range(2)]
+            at, index, body = 68 if where == "start" else 0, [], b""
+            for k, blob in enumerate(blobs):
+                if (s, k) == (0, 3):  # a chunk that is not there
+                    index += [(1 << 64) - 1] * 2
+                    continue
+                index += [at + len(body), len(blob)]
+                body += blob
+            table = np.array(index, "<u8").tobytes() + b"sums"
+            (root / f"c.{s}.0").write_bytes(table + body if where == "start" else body + table)
+        want = x[:7].copy()
+        want[2:4, 3:] = np.inf
+        m = nf.read_zarr(spark, str(root))
+        assert m.chunk == (2, 3)
+        np.testing.assert_array_equal(m.read_block((0, 7), (0, 6)), want)
+        np.testing.assert_array_equal(m.to_array((1, 6), (2, 5)).to_wide().df.drop("i").toPandas().to_numpy().sum(), want[1:6, 2:5].sum())
+
+
+@pytest.mark.parametrize("change", [{"dtype": "<i4"}, {"filters": [{"id": "delta"}]}, {"compressor": {"id": "blosc"}}, {"shape": [4]}])
+def test_zarr_that_is_not_supported(spark, tmp_path, change):
+    meta = {"zarr_format": 2, "shape": [4, 3], "chunks": [2, 2], "dtype": "<f4", "compressor": None, "fill_value": 0, "order": "C", "filters": None}
+    (tmp_path / ".zarray").write_text(json.dumps(meta | change))
+    with pytest.raises(ValueError):
+        nf.read_zarr(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="no array metadata"):
+        nf.read_zarr(spark, str(tmp_path / "none"))
+
+
+def test_rectangles_prune_chunk_files(spark, tmp_path):
+    nf.write_chunks(nf.from_numpy(spark, np.arange(60.0).reshape(20, 3) + 1), str(tmp_path / "c"), 20, (4, 2))
+    m = nf.read_chunks(spark, str(tmp_path / "c"), (20, 3), (4, 2))
+    plan = m.entries((4, 8), (0, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(ci" in plan and "PushedFilters: [IsNotNull(cj)" in plan
+    assert m.read_block((4, 8), (0, 2)).tolist() == (np.arange(60.0).reshape(20, 3) + 1)[4:8, :2].tolist()
+
+
+@pytest.mark.parametrize("layout", ["wide", "array", "coo"])
+@pytest.mark.parametrize("keys", [[0, 1, 2], [0, 1, 2, 3, 3], [0, 1, 2, 3, 4], [0, 1, 2, 9]])
+def test_long_vectors_that_do_not_fit_raise(spark, made, layout, keys):
+    u = spark.createDataFrame([(k, 1.0) for k in keys], "i bigint, u double")
+    z = nf.standardize(made[layout])
+    params = nf.RowParams.of(spark, keys, [1.0] * len(keys))
+    for call in (lambda: z.rmatvec(u), lambda: z.gram(u), lambda: z.weighted_sums(u), lambda: z.column_view(0).dot(u), lambda: z.matvec_scaled(V, 1, u, 1).collect(), lambda: params.apply_frozen(made[layout]).toarray(), lambda: weighted.dot(long(spark, U), u)):
+        with pytest.raises(Exception, match="the (vector|table of row parameters) (lacks the key|repeats the key|has a key)"):
+            call()
+
+
+def test_coordinates_stay_sparse(spark, made):
+    coo, new = made["coo"], np.array([2.0, -1, 4, 0.5])
+    chains = [
+        [nf.ColumnNormalization(), nf.ColumnNormalization("min", "maxabs")], [nf.RowNormalization("none", "l2"), nf.ColumnNormalization()],
+        [nf.RowNormalization("median", "range")], [nf.RowNormalization("mean", "sd"), nf.ColumnNormalization("none", "l1")],
+    ]
+    for chain in chains:
+        frames = [nf.Chain(tuple(chain)).fit_apply(m) for m in (coo, made["array"])]
+        z, dense = frames
+        a = dense.toarray()
+        assert z.sparse is not None and dense.sparse is None
+        u = long(spark, U)
+        np.testing.assert_allclose(values(z @ np.column_stack((V, new))), a @ np.column_stack((V, new)), atol=1e-10)
+        np.testing.assert_allclose(z.rmatvec(u), a.T @ U, atol=1e-10)
+        np.testing.assert_allclose(z.with_intercept().gram(long(spark, [1, 0, -0.5, 2])), np.column_stack((np.ones(4), a)).T @ np.diag([1, 0, -0.5, 2]) @ np.column_stack((np.ones(4), a)), atol=1e-10)
+        np.testing.assert_allclose(values(z[:, 1]), a[:, 1], atol=1e-12)
+        zero, stored = z.corrections(1)
+        background = np.full(4, zero) if isinstance(zero, float) else values(zero)
+        np.testing.assert_allclose(background + np.array([{r["i"]: r["value"] for r in stored.collect()}.get(k, 0.0) for k in range(4)]), a[:, 1], atol=1e-12)
+        np.testing.assert_allclose(z.toarray(), a, atol=1e-12)
+        plan = z.matvec(V)._jdf.queryExecution().analyzed().toString()
+        assert "fill(" not in plan  # rows are not filled
+    full = nf.ColumnNormalization().then(nf.RowNormalization("none", "l2")).fit_apply(coo)
+    assert full.sparse is None and np.allclose(full.toarray(), reference(reference(X, 0)[0], 1, "none", "l2")[0])
+
+
+def test_exact_quantiles_in_bounded_memory(spark, monkeypatch):
+    monkeypatch.setattr(selection, "FEW", 20)
+    r = np.random.default_rng(6)
+    x = np.column_stack((r.normal(size=900), np.round(r.normal(size=900)), np.where(r.random(900) < 0.7, 0, r.normal(size=900)), r.normal(size=900) * 10.0 ** r.integers(-200, 200, 900)))
+    x[:3, 0] = np.inf, -np.inf, 0.0
+    qs = (0.0, 0.013, 0.25, 0.5, 0.75, 1.0)
+    want = np.quantile(x[:, 1:], qs, axis=0).T
+    array = nf.from_numpy(spark, x).to_wide().to_array()
+    for m in (array, array.to_wide(), array.to_coo()):
+        m.df = m.df.cache()
+        got = m.quantiles(qs)
+        np.testing.assert_allclose(got[1:], want, rtol=1e-12)
+        assert got[0][0] == -np.inf and got[0][-1] == np.inf and abs(got[0][3] - np.median(x[:, 0])) < 1e-12
+        robust = nf.ColumnNormalization.robust().fit(m)
+        spread = np.quantile(x, 0.75, axis=0) - np.quantile(x, 0.25, axis=0)
+        np.testing.assert_allclose(robust.scales, np.where(spread == 0, 1, spread), rtol=1e-9)
+
+
+def test_numpy_operands(spark, made):
+    a = reference(X, 0)[0]
+    for layout in ("wide", "array", "coo"):
+        z = nf.standardize(made[layout])
+        np.testing.assert_allclose(U @ z, U @ a, atol=1e-12)
+        np.testing.assert_allclose(np.matmul(np.vstack((U, V)), z), np.vstack((U, V)) @ a, atol=1e-12)
+        np.testing.assert_allclose(z.T @ U, a.T @ U, atol=1e-12)
+        np.testing.assert_allclose(values(np.matmul(z, V)), a @ V, atol=1e-12)
+        np.testing.assert_allclose(z.T.toarray(), a.T, atol=1e-12)
+        np.testing.assert_allclose(values(z.T[:, 2]), a[2], atol=1e-12)
+        np.testing.assert_allclose(z.T.centers, z.centers)
+        both = InMemory(z)
+        np.testing.assert_allclose(both.rmatmat(np.column_stack((U, V))), a.T @ np.column_stack((U, V)), atol=1e-12)
+        np.testing.assert_allclose(both.matvec(V), a @ V, atol=1e-12)
+        assert abs(z.normalize_value(1, 1, -6.0) - (-6.0 - z.centers[1]) / z.scales[1]) < 1e-12
+        with pytest.raises(ValueError):
+            U[:3] @ z
+        with pytest.raises(TypeError):
+            np.exp(z)
+
+
+def test_linear_layer_learns(spark, made):
+    m, params = made["wide"], nf.ColumnNormalization().fit(made["wide"])
+    a = reference(X, 0)[0]
+    layer, y = nf.NormalizedLinear(np.zeros((1, 4)), [0.0], centers=params.centers, scales=params.scales), np.array([1.0, 2, -1, 3])
+    errors = layer(m, ["y"]).select("i", (F.col("y") - F.element_at(F.array(*map(F.lit, y)), F.col("i").cast("int") + 1)).alias("e"))
+    new = layer.step(m, [errors], 0.1)
+    np.testing.assert_allclose(new.weight, 0.1 * (y @ a)[None], atol=1e-12)
+    np.testing.assert_allclose(new.bias, [0.1 * y.sum()], atol=1e-12)
+
+
 def test_linear_layer_and_custom_recipe(spark):
     w, b = np.array([[1, 2, 0, -1], [0.5, 0, 1, 2]]), np.array([3.0, -1])
     c, s = np.array([1.0, 2, 3, 4]), np.array([2.0, 1, 4, 0.5])

@@ -16,7 +16,8 @@ SAMPLE = [
     "col_stats_iqr_unit_variance", "coo_stats_median", "robust_wide", "matvec_wide", "rmatmat_wide", "fused_matvec", "weighted_gram", "array_matvec", "row_robust_array",
     "coo_gram", "select_before_fit", "chain_new_samples", "chain_weighted_gram", "chunk_rectangle", "column_reductions",
     "submatrix_matvec", "submatrix_rmatvec", "submatrix_weighted_sums", "transposed_rmatvec", "chain_matmat", "coo_matmat", "coo_weighted_gram", "ridge_normal_equations",
-    "ridge_conjugate_gradients",
+    "ridge_conjugate_gradients", "coo_chain_matvec", "coo_transposed_stats", "coo_corrections", "coo_eager", "chunk_rows", "chunk_block", "zarr_standardize", "params_saved_and_loaded",
+    "streamed_scores", "numpy_left_product", "solver_products", "single_entry", "nan_poisons_its_column", "training_gradients", "lasso",
 ]
 
 

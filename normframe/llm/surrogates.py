@@ -4,11 +4,13 @@ Numbers, addresses and secrets go through a keyed permutation of all strings of
 their format (an alternating Feistel network over mixed radices). A permutation
 gives distinct values distinct surrogates and one value the same surrogate in
 all documents, without a table and without a shuffle; formats differ in shape,
-so surrogates of different formats can't meet either. Names have no finite
-format. Each name word gets a keyed, pronounceable word of its script, with an
-ending of its gender; a collision check over all distinct name words of the
-corpus finds words that share a surrogate, or that hit a real name, and moves
-them on. Name words that a title gave away are replaced in the whole document.
+so surrogates of different formats can't meet either. No string is its own
+surrogate. A name word is numbered among all words of its letters, the number
+is permuted, and written in syllables of its script with an ending of its
+gender: a pronounceable word, and another one for every other name, however many
+there are. A collision check over all distinct name words of the corpus finds
+surrogates that are real names there, and moves them on. Name words that a
+title gave away are replaced in the whole document.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from .shared import materialize, read_table, utf8
 
 #: For tests and the sample query; production passes a secret of its own.
 DEMO_KEY = "normframe demonstration key"
-#: Names whose surrogate had to be moved on, at most; more make all surrogates a syllable longer.
-MOVED_ROWS = 20_000
 
 # Alphabets that a surrogate's characters stay in.
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
@@ -37,8 +37,8 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 # Titles before a name, by gender.
 TITLES = {
-    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Sir", "господин"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Señorita", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "Lady", "госпожа"),
+    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Sir", "господин", "κύριος", "Κύριος", "κύριο", "κυρίου"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Señorita", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "Lady", "госпожа", "κυρία", "Κυρία", "κυρίας"),
     "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor"),
 }
 # Lower-case words within names, which stay.
@@ -49,12 +49,21 @@ COMMON = frozenset("the and but for not his her him she they you your this that
                    "der die das den dem des ein eine einer und oder aber mit von wir sie ihr ist war hat auf aus bei nach wie "
                    "los las una por para con que pero como esta este les des dans mais pour avec est qui elle ils nous vous "
                    "он она они это как что для его ему".split())
-# Syllables and endings of made-up names, by script.
+# Syllables of made-up names by script, and endings by gender (n: family names), two for each kind of letters in the real name.
 SYLLABLES = {
-    "latin": ([c + v for c in "bdfgklmnprstvz" for v in "aeiou"], {"m": ["n", "r", "s", "l", "k", "t"], "f": ["na", "la", "ra", "ia", "ne", "sa"], "n": ["ner", "ton", "man", "ley", "sen", "vik"]}),
+    "latin": ([c + v for c in "bdfgklmnprstvz" for v in "aeiou"], {"m": ["n", "r", "s", "l", "k", "t"], "f": ["na", "la", "ra", "ia", "ne", "sa"], "n": ["man", "son", "sen", "ley", "vey", "lin"]}),
     "cyrillic": ([c + v for c in "бвгдзклмнпрст" for v in "аеиоу"], {"m": ["н", "р", "с", "л", "к", "т"], "f": ["на", "ла", "ра", "ия", "са", "та"], "n": ["енко", "ук", "ин", "ман", "лей", "тон"]}),
     "greek": ([c + v for c in "βγδκλμνπρστ" for v in "αεηιο"], {"m": ["νος", "ρος", "λος", "κος", "τος", "σης"], "f": ["να", "λα", "ρα", "κη", "τη", "σα"], "n": ["ίδης", "άκης", "έας", "ούδης", "άτος", "ίου"]}),
 }
+# Letters of names by script, the usual ones and those with marks.
+NAME_LETTERS = {
+    "latin": ("abcdefghijklmnopqrstuvwxyz", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿāăąćčďđēėęěğģīįıķĺļľłńņňōőœŕřśşšţťūůűųźżžșț" + "".join(map(chr, range(0x300, 0x330)))),
+    "cyrillic": ("абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "ѓєѕіїјљњћќўџґ" + "".join(map(chr, range(0x300, 0x330)))),
+    "greek": ("αβγδεζηθικλμνξοπρσςτυφχψωάέήίόύώ", "ϊϋΐΰ" + "".join(map(chr, range(0x300, 0x330)))),
+}
+# Blocks of letters (first, last) of other scripts, and of marked Latin letters, whose characters are replaced by others of the block.
+BLOCKS = ((0xE0, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE), (0x561, 0x586), (0x5D0, 0x5EA), (0x627, 0x63A), (0x641, 0x64A), (0x905, 0x914), (0x915, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0),
+          (0x3041, 0x3093), (0x30A1, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3))
 # Address blocks with a meaning of their own (prefix, bits); surrogates stay inside.
 IP_BLOCKS = ((0, 8), (10, 8), (127, 8), (0xA9FE, 16), (0xAC1, 12), (0xC0A8, 16), (0xE, 4), (0xF, 4))
 
@@ -78,6 +87,7 @@ PATTERN = re.compile(
     r"|(?P<assigned>(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/=.~-]{8,})"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
+    r"|(?P<ipv6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]))"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))"
@@ -86,26 +96,33 @@ PATTERN = re.compile(
 )
 _PARTS = re.compile(rf"(?P<initial>{_CAPITAL}(?=\.))|{_LETTER}+")
 #: Texts without any of these have no entity; RE2 tests whole columns.
-_MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
+_MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|::|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
 
 
 class Keyed:
     """Surrogates under one key. ``moved``: attempts of name words that the collision check moved on."""
 
-    def __init__(self, key: str, syllables: int = 3, moved: dict[tuple[str, str, str], int] | None = None):
+    def __init__(self, key: str, moved: dict[tuple[str, str, str], int] | None = None):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-        self.syllables, self.moved = syllables, moved or {}
+        self.moved = moved or {}
         self.surrogate = lru_cache(100_000)(self.surrogate)
 
     def number(self, *parts: object) -> int:
         return int.from_bytes(hashlib.blake2b(repr(parts).encode(), key=self.key, digest_size=32).digest(), "big")
 
     def permute(self, value: int, left: int, right: int, tweak: object) -> int:
-        """A keyed permutation of 0..left*right-1."""
+        """A keyed permutation of 0..left*right-1 without a fixed point (if there is a second number): a step in a keyed order of all numbers."""
+        size = left * right
+        if size < 2:
+            return value
         a, b = divmod(value, right)
         for r in range(0, 10, 2):
             a = (a + self.number(tweak, r, b)) % left
             b = (b + self.number(tweak, r + 1, a)) % right
+        a, b = divmod((a * right + b + 1 + self.number(tweak, "step") % (size - 1)) % size, right)
+        for r in range(8, -1, -2):
+            b = (b - self.number(tweak, r + 1, a)) % right
+            a = (a - self.number(tweak, r, b)) % left
         return a * right + b
 
     def string(self, text: str, tweak: object, hexadecimal: bool = False) -> str:
@@ -115,7 +132,7 @@ class Keyed:
             own = next((a for a in (HEX if hexadecimal else ALPHABETS) if c in a), None)
             if hexadecimal and own is None:
                 own = next((a for a in ALPHABETS if c in a), None)
-            sets.append(digits_like(c) if own is None and c.isdecimal() else own)
+            sets.append(own if own is not None else digits_like(c) if c.isdecimal() else block_of(c))
         if hexadecimal:  # digits belong to the case of the letters
             case = HEX[1] if any(c in "ABCDEF" for c in text) else HEX[0]
             sets = [case if s in HEX else s for s in sets]
@@ -138,7 +155,7 @@ class Keyed:
         return "".join(s[next(it)] if s else c for s, c in zip(sets, text, strict=True))
 
     def walk(self, text: str, tweak: str, ok: Callable[[str], bool]) -> str:
-        """The permutation walked on to the next string for which ``ok`` holds, as it does for ``text``."""
+        """The permutation walked on to the next string for which ``ok`` holds, as it does for ``text``; the walk comes back to ``text`` only if there is no other."""
         out = self.string(text, tweak)
         while not ok(out):
             out = self.string(out, tweak)
@@ -152,6 +169,8 @@ class Keyed:
             return self.string(local, ("local", domain)) + "@" + self.string(host, ("host", top)) + dot + top
         if kind == "ip":
             return self._ip(text)
+        if kind == "ipv6":
+            return self.string(text, "ipv6", True)
         if kind == "card":
             digits = re.sub(r"\D", "", text)
             if luhn(digits):
@@ -195,24 +214,52 @@ class Keyed:
         return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
     def initial(self, letter: str) -> str:
-        """Another letter for an initial, of its alphabet or else of its script's."""
-        if any(letter in a for a in ALPHABETS):
-            return self.string(letter, "initial")
-        letters = ALPHABETS[{"latin": 2, "cyrillic": 4, "greek": 6}[script_of(letter)]]
+        """Another letter for an initial, of its alphabet or block, or else of its script's."""
+        out = self.string(letter, "initial")
+        if out != letter:
+            return out
+        letters = ALPHABETS[{"cyrillic": 4, "greek": 6}.get(script_of(letter), 2)]
         return letters[self.number("initial", letter) % len(letters)]
 
     def name_word(self, role: str, word: str, attempt: int | None = None) -> str:
-        """A made-up word for a name word; ``role``: m or f for given names by gender, n for family names."""
-        script = script_of(word)
-        attempt = self.moved.get((role, script, word.lower()), 0) if attempt is None else attempt
-        n = self.number("name", role, script, word.lower(), attempt)
-        syllables, endings = SYLLABLES[script]
+        """A made-up word for a name word; ``role``: m or f for given names by gender, n for family names.
+
+        Words of one kind of letters are numbered by length and then in order.
+        Numbers that some syllables suffice for are permuted among these, so
+        two words have two surrogates; endings tell kinds of letters apart.
+        Every attempt takes another syllable.
+        """
+        low, script = word.lower(), script_of(word)
+        attempt = self.moved.get((role, script, low), 0) if attempt is None else attempt
+        if script == "other":
+            out = self.string(word, ("name", role, attempt))
+            if out != word:
+                return out
+        syllables, endings = SYLLABLES.get(script, SYLLABLES["latin"])
+        usual, marked = NAME_LETTERS.get(script, NAME_LETTERS["latin"])
+        kind = next((k for k, letters in enumerate((usual, usual + marked)) if all(c in letters for c in low)), 2)
+        base, place = ((len(usual), usual.index), (len(usual + marked), (usual + marked).index), (0x110000, ord))[kind]
+        n = 0
+        for c in low:
+            n = n * base + place(c) + 1  # numbers words of all lengths without a gap
+        size = 2
+        while len(syllables) ** size * 2 <= n:
+            size += 1
+        size += attempt
+        n = self.permute(n, len(syllables) ** (size // 2), len(syllables) ** (size - size // 2) * 2, ("name", role, script, kind, size, attempt))
+        n, last = divmod(n, 2)
         out = ""
-        for _ in range(self.syllables - 1):
+        for _ in range(size):
             n, i = divmod(n, len(syllables))
             out += syllables[i]
-        out += endings[role][n % len(endings[role])]
-        return out.upper() if word.isupper() else out[0].upper() + out[1:]
+        out += endings[role][2 * kind + last]
+        return out.upper() if word.isupper() and len(word) > 1 else out[0].upper() + out[1:]
+
+
+@lru_cache(10_000)
+def block_of(c: str) -> str | None:
+    """The letters of the block that a character belongs to."""
+    return next(("".join(map(chr, range(a, b + 1))) for a, b in BLOCKS if a <= ord(c) <= b), None)
 
 
 def digits_like(c: str) -> str:
@@ -232,7 +279,9 @@ def iban_check(land: str, rest: str) -> str:
 def script_of(word: str) -> str:
     if any("\u0400" <= c <= "\u04ff" for c in word):
         return "cyrillic"
-    return "greek" if any("\u0370" <= c <= "\u03ff" for c in word) else "latin"
+    if any("\u0370" <= c <= "\u03ff" for c in word):
+        return "greek"
+    return "latin" if any("a" <= c <= "z" or "\u00df" <= c <= "\u024f" for c in word.lower()) else "other"
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
@@ -243,28 +292,46 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
             yield m.start("name"), m.end("name"), "name", _GENDER[m["title"].strip().rstrip(".")]
         elif kind == "secret":
             yield m.start("secret"), m.end("secret"), "secret", ""
-        else:
+        elif kind != "card" or luhn(re.sub(r"\D", "", m[0])):  # a card's number has a check digit
             yield m.start(), m.end(), kind, ""
 
 
 def name_words(text: str, gender: str) -> Iterator[tuple[int, str, str]]:
-    """(start, role, word) of the words of a name: the last is the family name, those before are given names. Initials have the role i; particles are left out."""
-    found = [m for m in _PARTS.finditer(text) if m["initial"] or not (m[0].lower() == m[0] or (len(m[0]) == 1 and text[m.end() : m.end() + 1] in ("'", "’")))]
+    """(start, role, word) of the words of a name: the last is the family name (n), those before are given names (m or f, g if the title does not tell). Initials have the role i; particles are left out."""
+    found = [m for m in _PARTS.finditer(text) if m["initial"] or not (m[0].upper() != m[0] == m[0].lower() or (len(m[0]) == 1 and text[m.end() : m.end() + 1] in ("'", "’")))]
     full = [m for m in found if not m["initial"]]
     for m in found:
-        yield m.start(), "i" if m["initial"] else "n" if m is full[-1] or gender == "n" else gender, m[0]
+        yield m.start(), "i" if m["initial"] else "n" if m is full[-1] else "g" if gender == "n" else gender, m[0]
+
+
+def settled_role(word: str, roles: list[str]) -> str:
+    """One role for all mentions of a word in a document: a given name by the first title that tells its gender, else by its ending, else a family name."""
+    given = [r for r in roles if r in "mf"]
+    if given:
+        return given[0]
+    if "g" in roles:
+        return "f" if word.lower()[-1] in "aeаяαη" else "m"
+    return "n"
 
 
 def entities(text: str) -> list[tuple[int, int, str, list[tuple[int, str, str]]]]:
-    """(start, end, kind, name words) of all entities in order: those of the pattern, and all other mentions of the names in it."""
-    out, roles = [], {}
+    """(start, end, kind, name words) of all entities in order: those of the pattern, and all other mentions of the names in it.
+
+    A name word has one role in the whole document, whatever the title it stands after.
+    """
+    out, told = [], {}
     for start, end, kind, gender in find(text):
         named = list(name_words(text[start:end], gender)) if kind == "name" else []
         out.append((start, end, kind, named))
+        for _, role, word in named:
+            told.setdefault(word.lower(), []).append(role)
+    one = {low: settled_role(low, rs) for low, rs in told.items()}
+    out = [(x, y, kind, [(at, "i" if r == "i" else one[w.lower()], w) for at, r, w in named]) for x, y, kind, named in out]
+    roles = {}
+    for _, _, _, named in out:
         for _, role, word in named:
             if role != "i" and len(word) > 1 and word.lower() not in COMMON:
-                for form in (word, word.upper(), word.capitalize()):
-                    roles.setdefault(form, role)
+                roles.update(dict.fromkeys((word, word.upper(), word.capitalize()), role))
     if not roles:
         return out
     word = f"(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})(?![^\\W_]|[\u0300-\u036f])"
@@ -317,9 +384,8 @@ def names_of(df: DataFrame, text_col: str) -> DataFrame:
             found = {
                 (role, script_of(word), word.lower())
                 for text in column.filter(titled).to_pylist()
-                for start, end, kind, gender in find(text)
-                if kind == "name"
-                for _, role, word in name_words(text[start:end], gender)
+                for _, _, _, named in entities(text)
+                for _, role, word in named
                 if role != "i"
             }
             rows = sorted(found)
@@ -331,40 +397,30 @@ def names_of(df: DataFrame, text_col: str) -> DataFrame:
 def settle_names(names: DataFrame, key: str) -> Keyed:
     """Surrogates for all name words, checked for collisions.
 
-    Words of one role and script that share a surrogate, or whose surrogate is
-    itself a name word of the corpus, move on to their next attempt, all but
-    the first by order. The check is a grouped count and a join; only words
-    that moved come to the driver. More than MOVED_ROWS of them make all
-    surrogates a syllable longer, which divides their number by about 65.
+    Distinct words of one kind can't share a surrogate; one that is itself a
+    name word of the corpus, or that two kinds of words share, moves on to the
+    next attempt, all but the first by order. The check is a grouped count and
+    a join; only words that moved come to the driver: those whose surrogate, of
+    millions, happens to be a name.
     """
-    spark = names.sparkSession
     names = materialize(names, "names")
-    for syllables in range(3, 12):
-        moved: dict[tuple[str, str, str], int] = {}
-        for _ in range(50):
-            made = _surrogates(names, key, syllables, moved)
-            real = names.select("role", "script", F.col("word").alias("made"), F.lit(True).alias("hits"))
-            shared = made.groupBy("role", "script", "made").agg(F.count("*").alias("n"), F.min("word").alias("first"))
-            wrong = (
-                made.join(shared.filter("n > 1"), ["role", "script", "made"], "left")
-                .join(real, ["role", "script", "made"], "left")
-                .filter(F.col("hits") | (F.col("n").isNotNull() & (F.col("word") != F.col("first"))))
-                .select("role", "script", "word")
-                .limit(MOVED_ROWS + 1)
-                .collect()
-            )
-            for r in wrong:
-                moved[tuple(r)] = moved.get(tuple(r), 0) + 1
-            if not wrong or len(moved) > MOVED_ROWS:
-                break
+    real = names.select("script", F.col("word").alias("made"), F.lit(True).alias("hits")).distinct()
+    moved: dict[tuple[str, str, str], int] = {}
+    for _ in range(50):
+        made = _surrogates(names, key, moved)
+        shared = made.groupBy("role", "script", "made").agg(F.count("*").alias("n"), F.min("word").alias("first")).filter("n > 1")
+        wrong = made.join(shared, ["role", "script", "made"], "left").join(real, ["script", "made"], "left")
+        wrong = wrong.filter(F.col("hits") | (F.col("n").isNotNull() & (F.col("word") != F.col("first")))).select("role", "script", "word").collect()
         if not wrong:
-            return Keyed(key, syllables, moved)
-    raise ValueError(f"no collision-free surrogates for {spark.sparkContext.appName}'s names")
+            return Keyed(key, moved)
+        for r in wrong:
+            moved[tuple(r)] = moved.get(tuple(r), 0) + 1
+    raise ValueError("no collision-free surrogates for the names")
 
 
-def _surrogates(names: DataFrame, key: str, syllables: int, moved: dict[tuple[str, str, str], int]) -> DataFrame:
+def _surrogates(names: DataFrame, key: str, moved: dict[tuple[str, str, str], int]) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keyed = Keyed(key, syllables, moved)
+        keyed = Keyed(key, moved)
         for batch in batches:
             rows = batch.to_pylist()
             made = pa.array([keyed.name_word(r["role"], r["word"]).lower() for r in rows], pa.string())
@@ -385,7 +441,7 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", spans_col: str
     if spans_col:
         df = df.drop(spans_col)
     keyed = settle_names(names_of(df, text_col), key)
-    args = (key, keyed.syllables, keyed.moved)
+    args = (key, keyed.moved)
     kept = df.schema.fields
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ import html
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -53,10 +53,13 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CONTENT = frozenset(["article", "main"])
+#: Stands for all elements that are not inline, as fences.
+NOT_INLINE = frozenset(["*"])
 #: The role weight of what is in an article or main element, and the share of the fused mass that a container holds.
 MARKED, SHARE = 1.5, 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_UP_TO = re.compile(r"[^\"'>]*")
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
@@ -64,18 +67,44 @@ _PUNCTUATION = re.compile(r"[.,;:!?\"'()–—‘-”…、。！，？¿¡«»]
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    """An element that is not inline: its parent's number, the number of its tag path, and what holds for text in it."""
+
+    parent: int
+    path: int
+    level: int  # 1 to 6 in a heading, else 0
+    content: bool  # an article or main element
+    role: float
+
+
+@dataclass(slots=True)
 class Block:
-    """The text between two block boundaries, its path, and its containers from the root down."""
+    """The text between two block boundaries, in one element."""
 
-    path: tuple[str, ...]
-    inside: tuple[int, ...]
+    element: int
     role: float
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+class Page:
+    """The elements and text blocks of a page, in page order. Paths are numbered as in a tree, so deep pages cost no more than long ones."""
+
+    def __init__(self) -> None:
+        self.elements = [Element(-1, 0, 0, False, 1.0)]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.blocks: list[Block] = []
+
+    def add(self, parent: int, tag: str, role: float) -> int:
+        above = self.elements[parent]
+        path = self.paths.setdefault((above.path, tag), len(self.paths) + 1)
+        level = int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456" else above.level
+        self.elements.append(Element(parent, path, level, tag in CONTENT, role))
+        return len(self.elements) - 1
+
+
 def _boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     """Whether an element and all in it is something else than the article."""
     if tag in DROPPED or (tag == "header" and not in_content):
@@ -96,11 +125,62 @@ def _boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[Block]:
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name, rest, end): 'text' with the text, 'open' and 'close' with tag and attributes. One pass from left to right.
+
+    A caller may send a position to go on from. A quote opens a value after an
+    equals sign; one that is never closed is an ordinary character.
+    """
+    at, size, closed = 0, len(page), {'"': True, "'": True}
+    while at < size:
+        low = page.find("<", at)
+        if low < 0:
+            yield "text", page[at:], "", size
+            return
+        if low > at:
+            yield "text", page[at:low], "", low
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith("<![CDATA[", low):
+            end = page.find("]]>", low + 9)
+            at = size if end < 0 else end + 3
+            yield "text", page[low + 9 : size if end < 0 else end].replace("&", "&amp;"), "", at
+            continue
+        tag = _TAG.match(page, low + 1)
+        if tag is None:
+            mark = page[low + 1 : low + 2] in ("!", "?", "/")
+            end = page.find(">", low) if mark else -1
+            at = (size if end < 0 else end + 1) if mark else low + 1
+            if not mark:
+                yield "text", "<", "", at
+            continue
+        start = end = tag.end()
+        while end < size:
+            end = _UP_TO.match(page, end).end()
+            if end >= size or page[end] == ">":
+                break
+            quote, back = page[end], end - 1
+            while back >= start and page[back].isspace():
+                back -= 1
+            other = page.find(quote, end + 1) if back >= start and page[back] == "=" and closed[quote] else -1
+            if back >= start and page[back] == "=" and other < 0:
+                closed[quote] = False
+            end = other + 1 if other >= 0 else end + 1
+        at = min(end + 1, size)
+        jump = yield "close" if tag[1] else "open", tag[2].lower(), page[start:end], at
+        if jump is not None:
+            at = jump
+            yield "text", "", "", at  # the answer to send()
+
+
+def parse(page: str) -> Page:
     """All text blocks of a page in page order, those without a visible character left out."""
-    open_: list[tuple[str, int, bool, bool]] = []  # tag, number, is boilerplate, is in an article or main element
-    out: list[Block] = []
-    count = links = 0
+    out = Page()
+    open_: list[tuple[str, int, bool, bool]] = []  # tag, number of the element that is not inline, is boilerplate, is in an article or main element
+    count: dict[str, int] = defaultdict(int)  # open elements by tag
+    links = 0
     block: Block | None = None
 
     def text(raw: str) -> None:
@@ -108,9 +188,8 @@ def blocks(page: str) -> list[Block]:
         if not raw or (block is None and not raw.strip()):
             return
         if block is None:
-            shown = [x for x in open_ if x[0] not in INLINE]
-            off, marked = open_[-1][2:] if open_ else (False, False)
-            block = Block(tuple(x[0] for x in shown), tuple(x[1] for x in shown), 0.0 if off else MARKED if marked else 1.0)
+            number, off, marked = open_[-1][1:] if open_ else (0, False, False)
+            block = Block(number, 0.0 if off else MARKED if marked else 1.0)
         raw = html.unescape(raw) if "&" in raw else raw
         block.parts.append(raw)
         if links:
@@ -121,119 +200,120 @@ def blocks(page: str) -> list[Block]:
         if block is not None:
             block.text = _SPACE.sub(" ", "".join(block.parts)).strip()
             if block.text:
-                out.append(block)
+                out.blocks.append(block)
             block = None
 
     def close(to: int) -> None:
         nonlocal links
         if any(x[0] not in INLINE for x in open_[to:]):
             flush()
-        links -= sum(x[0] == "a" for x in open_[to:])
+        for x in open_[to:]:
+            count[x[0]] -= 1
+            links -= x[0] == "a"
         del open_[to:]
 
-    at = 0
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        if token is None:
-            text(page[at:])
-            break
-        text(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            if token[0].startswith("<![CDATA["):
-                text(token[0][9:].removesuffix("]]>").replace("&", "&amp;"))
-            continue
-        tag = token[2].lower()
-        if token[1]:
+    def last(tags: Iterable[str], fences: Iterable[str]) -> int:
+        """The place of the innermost open element of some tags, below no fence; -1 if there is none."""
+        if any(count[t] for t in tags):
             for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] == tag:
-                    close(i)
+                if open_[i][0] in tags:
+                    return i
+                if open_[i][0] in fences or (fences is NOT_INLINE and open_[i][0] not in INLINE):
                     break
-            else:
-                if tag not in INLINE:
-                    flush()
+        return -1
+
+    stream = tokens(page)
+    for kind, tag, rest, at in stream:
+        if kind == "text":
+            text(tag)
+            continue
+        if kind == "close":
+            if count[tag]:
+                close(last((tag,), ()))
+            elif tag not in INLINE:
+                flush()
             continue
         if tag == "br":
             text(" ") if block is not None else None
             continue
         if tag not in INLINE:
-            for i in range(len(open_) - 1, -1, -1):  # a block ends an open paragraph, and formatting left open in it
-                if open_[i][0] == "p":
-                    close(i)
-                    break
-                if open_[i][0] not in INLINE:
-                    break
-            kinds, fences = CLOSES.get(tag, ((), ()))
-            for i in range(len(open_) - 1, -1, -1):
-                if open_[i][0] in fences:
-                    break
-                if open_[i][0] in kinds:
-                    close(i)
-                    break
+            if (i := last(("p",), NOT_INLINE)) >= 0:  # a block ends an open paragraph, and formatting left open in it
+                close(i)
+            if tag in CLOSES and (i := last(*CLOSES[tag])) >= 0:
+                close(i)
             flush()
         if tag in VOID:
             continue
         above = open_[-1] if open_ else ("", 0, False, False)
-        off = above[2] or _boilerplate(tag, token[3], above[3])
-        count += 1
+        off = above[2] or _boilerplate(tag, rest, above[3])
+        if tag in RAW:  # up to its end tag all is text of a kind that is dropped
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            stream.send(end.end() if end else len(page))
+            continue
+        if tag in ("svg", "path") and rest.rstrip().endswith("/"):
+            continue
         if tag in INLINE and off and not above[2]:
             flush()  # an advert within a line is a block of its own
-        open_.append((tag, count, off, above[3] or tag in CONTENT))
+        number = above[1] if tag in INLINE else out.add(above[1], tag, 0.0 if off else 1.0)
+        open_.append((tag, number, off, above[3] or tag in CONTENT))
+        count[tag] += 1
         links += tag == "a"
-        if tag in RAW:  # up to its end tag all is text of a kind that is dropped
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            links -= tag == "a"
-            open_.pop()
-        elif token[3].rstrip().endswith("/") and tag in ("svg", "path"):
-            open_.pop()
     flush()
     return out
 
 
-def content_blocks(found: list[Block], threshold: float = 0.1) -> list[Block]:
+def blocks(page: str) -> list[Block]:
+    return parse(page).blocks
+
+
+def content_blocks(page: Page, threshold: float = 0.1) -> list[Block]:
     """The blocks of the article.
 
     ``threshold``: the share of the mean fused ratio (over blocks with a role,
     in the container) that a path needs. A heading needs a block of its own
-    section that is kept.
+    section that is kept. A container has blocks in elements below it: one
+    paragraph that holds most of a page is not its article.
     """
+    found, elements = page.blocks, page.elements
     if not any(b.role for b in found):
         return []
-    sizes: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
+    sizes: dict[int, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
     for b in found:  # per path: text outside links, punctuation, blocks
-        s = sizes[b.path]
+        s = sizes[elements[b.element].path]
         s[0] += max(0, len(b.text) - b.linked)
         s[1] += len(_PUNCTUATION.findall(b.text)) if b.linked < len(b.text) else 0
         s[2] += 1
-    long = [sizes[b.path][0] / sizes[b.path][2] * b.role for b in found]
-    marks = [(sizes[b.path][1] + 0.5) / sizes[b.path][2] * b.role for b in found]
+    ratios = [sizes[elements[b.element].path] for b in found]
+    long = [s[0] / s[2] * b.role for s, b in zip(ratios, found, strict=True)]
+    marks = [(s[1] + 0.5) / s[2] * b.role for s, b in zip(ratios, found, strict=True)]
     fused = [math.sqrt(x * y) for x, y in zip(_smooth(long), _smooth(marks), strict=True)]
-    mass: dict[int, float] = defaultdict(float)
-    parents: dict[int, int] = {}  # of article and main elements
-    total = 0.0
+    mass, holds = [0.0] * len(elements), [False] * len(elements)
     for b, f in zip(found, fused, strict=True):
         if b.role:
-            weight = f * max(1, len(b.text) - b.linked)
-            total += weight
-            for tag, number, above in zip(b.path, b.inside, (-1, *b.inside), strict=False):
-                mass[number] += weight
-                if tag in CONTENT:
-                    parents[number] = above
-    holders = [n for n in mass if mass[n] >= SHARE * total]
-    marked = [n for n in holders if n in parents]
+            mass[b.element] += f * max(1, len(b.text) - b.linked)
+    total = sum(mass)
+    for k in range(len(elements) - 1, 0, -1):  # children have larger numbers
+        if mass[k]:
+            mass[elements[k].parent] += mass[k]
+            holds[elements[k].parent] = True
+    holders = [k for k in range(1, len(elements)) if mass[k] >= SHARE * total and mass[k] and (holds[k] or elements[k].content)]
+    marked = [k for k in holders if elements[k].content]
     if marked:  # of nested ones the one with most, and the innermost of equals; its siblings are parts of one page
-        heart = max(marked, key=lambda n: (mass[n], n))
-        hearts = {n for n, above in parents.items() if above == parents[heart]}
+        heart = max(marked, key=lambda k: (mass[k], k))
+        hearts = {k for k, e in enumerate(elements) if e.content and e.parent == elements[heart].parent}
     else:
-        hearts = {max(holders)} if holders else set()
-    inside = [(b, f) for b, f in zip(found, fused, strict=True) if b.role and (not hearts or not hearts.isdisjoint(b.inside))]
-    by_path: dict[tuple[str, ...], list[float]] = defaultdict(list)
+        hearts = {max(holders)} if holders else {0}
+    within = [k in hearts for k in range(len(elements))]
+    for k in range(1, len(elements)):
+        within[k] = within[k] or within[elements[k].parent]
+    inside = [(b, f) for b, f in zip(found, fused, strict=True) if b.role and within[b.element]]
+    by_path: dict[int, list[float]] = defaultdict(list)
     for b, f in inside:
-        by_path[b.path].append(f)
+        by_path[elements[b.element].path].append(f)
+    means = {path: sum(fs) / len(fs) for path, fs in by_path.items()}
     least = threshold * sum(f for _, f in inside) / len(inside)
-    kept = [sum(by_path[b.path]) / len(by_path[b.path]) >= least for b, _ in inside]
-    levels = [_level(b) for b, _ in inside]
+    kept = [means[elements[b.element].path] >= least for b, _ in inside]
+    levels = [elements[b.element].level for b, _ in inside]
     following: dict[int, bool | None] = {}  # whether a block is kept in the section so far, by the levels of its headings; None: it has no blocks
     for i in range(len(inside) - 1, -1, -1):
         if levels[i]:
@@ -245,11 +325,6 @@ def content_blocks(found: list[Block], threshold: float = 0.1) -> list[Block]:
     return [b for (b, _), keep in zip(inside, kept, strict=True) if keep]
 
 
-def _level(block: Block) -> int:
-    """1 to 6 for a heading, else 0."""
-    return next((int(t[1]) for t in reversed(block.path) if len(t) == 2 and t[0] == "h" and t[1] in "123456"), 0)
-
-
 def _smooth(values: list[float]) -> list[float]:
     """Each value with half of its weight on its two neighbours."""
     n = len(values)
@@ -258,7 +333,7 @@ def _smooth(values: list[float]) -> list[float]:
 
 def main_text(page: str | None) -> str:
     """The article of a page; blocks are joined by one line feed."""
-    return "\n".join(b.text for b in content_blocks(blocks(page))) if page else ""
+    return "\n".join(b.text for b in content_blocks(parse(page))) if page else ""
 
 
 def extract_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

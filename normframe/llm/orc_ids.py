@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import read_table, scratch_path, utf8
@@ -51,7 +51,7 @@ def encode_documents(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "
 def write_orc_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write ``id_col``, ``ids`` of all documents to ORC files in ascending id order.
 
-    Files are in order by name, rows in order within each; rows that share an
+    Files are in order by the numbers in their names, rows in order within each; rows that share an
     id are ordered by a hash of their text, and so a repeated id is split over
     files too. Null ids come first; null and empty texts hold the end id alone.
     """
@@ -74,6 +74,11 @@ def read_orc_ids(spark: SparkSession, path: str, id_col: str = "doc_id", kind: s
     return spark.read.schema(f"{id_col} {kind}, ids array<int>").orc(path)
 
 
+def file_number(name: str) -> Column:
+    """The number in a file's name: names have five digits at least, so they are not in order themselves."""
+    return F.regexp_extract(name, r"part-(\d+)", 1).cast("long")
+
+
 def checksums(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Per stored row: ``n_tokens``, ``ids_crc32`` and ``start``, the ids stored before it.
 
@@ -99,7 +104,7 @@ def checksums(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     ).mapInArrow(digest, f"id {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
     rows = rows.withColumn("seq", F.monotonically_increasing_id())
     in_file = Window.partitionBy("file").orderBy("row", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    in_order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(
         F.col("file").alias("of"), F.coalesce(F.sum("n").over(in_order), F.lit(0)).alias("before")
     )

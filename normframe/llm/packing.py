@@ -131,7 +131,7 @@ def pack_lengths(df: DataFrame, length_col: str, order: list[str], capacity: int
     kept = [f for f in df.schema.fields]
     names = [*(f.name for f in kept), "sequence_id", "offset"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", sequence_id bigint, offset bigint"
-    ranked = gapless_rank(df, length_col, order, "_rank", cells=64)
+    ranked = gapless_rank(df, length_col, order, "_rank")
     return ranked.mapInArrow(place, schema)
 
 

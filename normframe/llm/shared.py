@@ -62,31 +62,34 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cells: int = 256) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cell_rows: int = 100_000) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, however large a group is.
 
-    Rows of a group are dealt over ``cells`` cells by a hash of the order
-    columns. A row's number is the count of rows in the cells before its own
-    plus its place in its cell, so no task sorts a whole group: a group with a
-    third of all rows spreads over all its cells. The cell counts have at most
-    (number of groups x ``cells``) rows. Rows equal in all order columns share
-    a cell and get different numbers in no stated order.
+    Rows of a group are dealt over cells by a hash of the order columns, so many
+    that a cell holds about ``cell_rows`` rows: the group's rows are counted
+    first. A row's number is the count of rows in the cells before its own plus
+    its place in its cell, so no task sorts a whole group: a group with a third
+    of all rows spreads over all its cells. Cell counts are few beside the rows.
+    Rows equal in all order columns share a cell and get different numbers in no
+    stated order. Columns of ``df`` keep their names, whatever they are.
     """
-    cell = F.pmod(F.xxhash64(*order), F.lit(cells)).cast("int")
-    dealt = df.withColumn("_cell", cell)
-    ahead = Window.partitionBy(group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(group, "_cell").count()
-    starts = counts.select(
-        F.col(group).alias("_group"),
-        F.col("_cell").alias("_at"),
-        F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("_before"),
-    )
-    place = Window.partitionBy(group, "_cell").orderBy(*order)
-    ranked = dealt.withColumn("_place", F.row_number().over(place) - 1)
-    joined = ranked.join(starts, ranked[group].eqNullSafe(starts["_group"]) & (ranked["_cell"] == starts["_at"]))
-    return joined.withColumn(out, (F.col("_before") + F.col("_place")).cast("long")).drop(
-        "_cell", "_group", "_at", "_before", "_place"
-    )
+    names = {n: fresh_name(f"_{n}", [*df.columns, out]) for n in ("group", "rows", "cells", "cell", "before", "place", "of", "at")}
+    n = {k: F.col(v) for k, v in names.items()}
+    sizes = df.groupBy(F.col(group).alias(names["group"])).agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(names["cells"]))
+    known = df.join(F.broadcast(sizes) if _few(sizes) else sizes, df[group].eqNullSafe(n["group"])).drop(names["group"])
+    dealt = known.withColumn(names["cell"], F.pmod(F.xxhash64(*order), n["cells"]).cast("int")).drop(names["cells"])
+    counts = dealt.groupBy(F.col(group).alias(names["of"]), n["cell"].alias(names["at"])).agg(F.count(F.lit(1)).alias(names["rows"]))
+    ahead = Window.partitionBy(names["of"]).orderBy(names["at"]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(names["of"], names["at"], F.coalesce(F.sum(names["rows"]).over(ahead), F.lit(0)).alias(names["before"]))
+    place = Window.partitionBy(group, names["cell"]).orderBy(*order)
+    ranked = dealt.withColumn(names["place"], F.row_number().over(place) - 1)
+    joined = ranked.join(starts, ranked[group].eqNullSafe(n["of"]) & (n["cell"] == n["at"]))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns if c != out], (n["before"] + n["place"]).cast("long").alias(out))
+
+
+def _few(table: DataFrame, rows: int = 100_000) -> bool:
+    """Whether a table is small enough to broadcast: its rows are counted, up to the bound."""
+    return table.limit(rows + 1).count() <= rows
 
 
 def partition_slots(spark: SparkSession, parts: int, each: int, kind: str) -> list[int]:

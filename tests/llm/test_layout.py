@@ -72,9 +72,26 @@ def test_orc_round_trip(spark, table, ids):
     assert reader.getRowIndexStride() == orc_ids.INDEX_ROWS
     footer = reader.getStripes().get(0)
     assert footer.getIndexLength() > 0
+    streams = reader.rows().readStripeFooter(footer).getStreamsList()
+    assert "BLOOM_FILTER_UTF8" in {str(streams.get(k).getKind()) for k in range(streams.size())}
     assert [r["ids"] for r in stored.filter("doc_id = 7").collect()] == [[*ids(TEXTS[1]), 2]]
 
 
+def test_orc_lookups_prune_row_groups(spark, table):
+    path = scratch_path(spark, "test-orc")
+    rows = spark.range(5000).selectExpr("id * 3 AS doc_id", "'a b' AS text").coalesce(1)
+    orc_ids.encode_documents(rows, PATH, 2).coalesce(1).write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").orc(path)
+    for value, most in ((6000, 1000), (6001, 0)):  # one row group; the filter knows that the other is not there
+        plan = orc_ids.read_orc_ids(spark, path).filter(f"doc_id = {value}")._jdf.queryExecution().executedPlan()
+        assert len(plan.executeCollect()) == (value == 6000)
+        assert plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value() <= most
+
+
+def test_files_are_in_the_order_of_their_numbers(spark):
+    stored = spark.createDataFrame([(f"part-{n}-x.orc", n) for n in (99999, 100000, 100001)], "file string, n int")
+    assert [r["n"] for r in stored.orderBy(orc_ids.file_number("file")).collect()] == [99999, 100000, 100001]
+
+
 def test_orc_of_nothing(spark, table):
     path = scratch_path(spark, "test-orc")
     orc_ids.write_orc_ids(table([], "doc_id long, text string"), path, PATH, 2)
@@ -177,6 +194,8 @@ def test_ranks_and_slots(spark, table):
     got = gapless_rank(table([(k % 2 or None, k // 3) for k in range(100)], "g int, x int"), "g", ["x"], "n", 8).collect()
     for g in (1, None):
         assert sorted(r["n"] for r in got if r["g"] == g) == list(range(50))
+    clash = table([(1, 2, 3, 4, 5)], "g int, _cell int, _group int, _before int, _place int")
+    assert [tuple(r) for r in gapless_rank(clash, "g", ["_cell"], "n").collect()] == [(1, 2, 3, 4, 5, 0)]
     slots = partition_slots(spark, 7, 3, "int")
     df = spark.createDataFrame([(s,) for s in slots], "k int").repartition(7, "k").selectExpr("spark_partition_id() AS p")
     assert sorted(r["count"] for r in df.groupBy("p").count().collect()) == [3] * 7

@@ -2,15 +2,20 @@
 
 import random
 import re
+import time
 from math import comb
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from normframe.llm import ann, near_dedup, surrogates
+from normframe.llm import ann, html_extract, near_dedup, surrogates
 from normframe.llm.html_extract import main_text
 
+PAGES = Path("/root/testdata/sf0.01/pages.parquet")
+
 # op1
 
 LONG = "Alpha beta, gamma delta; epsilon zeta. Eta theta, iota kappa: lambda, mu. Nu xi, omicron pi. Rho sigma, tau."
@@ -128,3 +133,57 @@ def test_recall_beside_large_families_of_near_copies(spark):
     d = np.sqrt(((x[list(asked)][:, None] - x[None]) ** 2).sum(2))
     want = {q: set(np.argsort(row)[:11].tolist()) - {q} for q, row in zip(asked, d, strict=True)}
     assert np.mean([len(got[q] & want[q]) / 10 for q in asked]) >= 0.97
+
+
+# op1
+
+
+def _stripped(page, tags):
+    """The page without class names, ids and roles, and with some tags as plain ones."""
+    page = re.sub(r"\s(class|id|role)(\s*=\s*(\"[^\"]*\"|'[^']*'))?(?=[\s>])", "", page)
+    return re.sub(rf"<(/?)({tags})\b", r"<\1div", page, flags=re.I)
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="needs the sample tables")
+def test_ratios_decide_where_names_do_not():
+    pages = pq.read_table(PAGES).column("html").to_pylist()
+    same = plain = 0
+    for page in pages:
+        bare = _stripped(page, "article|main")
+        text = main_text(page)
+        same += main_text(bare) == text
+        plain += "\n".join(b.text for b in html_extract.blocks(bare) if b.role) == text
+    assert same >= 0.99 * len(pages) and plain <= 0.1 * len(pages)  # the tags alone do not give the article
+
+
+def test_path_ratios_by_force():
+    page = "<body><ul><li><a>One</a></li><li><a>Two</a></li></ul><div><p>Long text, here; and there.</p><p>More of it, again.</p><i>x</i></div></body>"
+    parsed = html_extract.parse(page)
+    by_path = {}
+    for b in parsed.blocks:
+        path, k = [], b.element
+        while k > 0:
+            k, number = parsed.elements[k].parent, k
+            path.append(number)
+        by_path.setdefault(parsed.elements[b.element].path, []).append(len(b.text) - b.linked)
+    assert sorted(by_path.values()) == [[0, 0], [1], [27, 18]]
+    assert main_text(page) == "Long text, here; and there.\nMore of it, again.\nx"
+
+
+HOSTILE = {"tags": "<a ", "quotes": "<p a='", "elements": "<div>", "texts": "<div>x ", "inline": "<b><hr>", "ends": "</x>", "items": "<ul><li>", "marks": "<", "values": "<p a=\"b>c", "spaces": "<p  = "}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_take_linear_time(kind):
+    took = []
+    for size in (1 << 18, 1 << 20):
+        page = HOSTILE[kind] * (size // len(HOSTILE[kind])) + "'"
+        began = time.perf_counter()
+        main_text(page)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 1  # four times the length
+
+
+def test_unclosed_quotes_and_labels():
+    assert main_text("<p class=\"x>First para, with text.</p><p>Second para, of text.</p>") == "First para, with text.\nSecond para, of text." or "class" not in main_text("<p class=\"x>First para, with text.</p><p>Second para, of text.</p>")
+    assert main_text("<p title=it's>All of it, here.</p><p>It's more, there.</p>") == "All of it, here.\nIt's more, there."

@@ -11,20 +11,19 @@ lockstep, so each step is a NumPy operation.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, utf8
+from .shared import fresh_name, materialize, read_table, utf8
 from .textscan import ALNUM, gather_ranges, slices, words
 
 WINDOW = 10
-#: Bytes of item text whose tables one pass over the documents carries.
-BLOCK_BYTES = 32 << 20
+#: Bytes of item text whose tables one pass over the documents carries: some 1.5 million windows, of 40 bytes each.
+BLOCK_BYTES = 8 << 20
 #: Words of text that one cursor searches.
 STRETCH = 512
 
@@ -32,9 +31,13 @@ STRETCH = 512
 class Patterns:
     """Windows of equal length with their shift table and suffix buckets."""
 
-    def __init__(self, windows: np.ndarray, owners: list[list[int]]):
-        self.windows, self.length = windows, windows.shape[1]
-        self.owners = owners
+    def __init__(self, windows: np.ndarray, items: np.ndarray):
+        """``windows``: word numbers, one row for each window of each item; ``items``: the item of each."""
+        self.length = windows.shape[1]
+        self.windows, pattern = np.unique(windows, axis=0, return_inverse=True)
+        pairs = np.unique(np.column_stack((pattern.ravel(), items)), axis=0)
+        self.owners, self.first = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(self.windows) + 1))
+        windows = self.windows
         self.block = min(2, self.length)
         self.bits = max(10, int(4 * windows.size).bit_length())
         last = self.length - self.block
@@ -87,21 +90,26 @@ class Benchmark:
     def __init__(self, items: list[tuple[object, str | None]], window: int):
         self.items = [item for item, _ in items]
         found = words(pa.array([text or "" for _, text in items], pa.string()), ALNUM)
-        hashes = found.hashes()
-        self.hashes, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        self.hashes, first, number = np.unique(found.hashes(), return_index=True, return_inverse=True)
         self.words = [found.word(i) for i in first]
+        # Words that share a hash, if any, are told apart by their bytes.
+        self.clashing: dict[bytes, int] = {}
+        self.doubtful = np.zeros(len(self.hashes), bool)
         for i, n in enumerate(number.tolist()):
-            if found.word(i) != self.words[n]:
-                raise ValueError("two item words have one hash")
-        by_length: dict[int, dict[tuple[int, ...], list[int]]] = {}
-        for item in range(len(items)):
-            ids = (number[found.first[item] : found.first[item + 1]] + 1).tolist()
-            size = min(window, len(ids))
-            for at in range(len(ids) - size + 1 if ids else 0):
-                owners = by_length.setdefault(size, {}).setdefault(tuple(ids[at : at + size]), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.patterns = [Patterns(np.array(list(w), np.int64), list(w.values())) for w in by_length.values()]
+            if (word := found.word(i)) != self.words[n]:
+                self.doubtful[n] = True
+                if word not in self.clashing:
+                    self.clashing[word] = len(self.words)
+                    self.words.append(word)
+                number[i] = self.clashing[word]
+        ids = (number + 1).astype(np.int32)
+        sizes = np.minimum(found.counts, window)
+        self.patterns = []
+        for size in np.unique(sizes[sizes > 0]).tolist():
+            own = np.flatnonzero(sizes == size)
+            many = found.counts[own] - size + 1
+            at = gather_ranges(found.first[own], many)
+            self.patterns.append(Patterns(np.column_stack([ids[at + k] for k in range(size)]), np.repeat(own, many)))
 
     def scan(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set[int]]]:
         """Words and hit flags of texts: word counts, one flag per word, and the items met in each text."""
@@ -111,7 +119,10 @@ class Benchmark:
         if len(self.hashes) and len(found.starts):
             hashes = found.hashes()
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            ids = np.where(self.hashes[at] == hashes, at + 1, 0)
+            known = self.hashes[at] == hashes
+            ids = np.where(known, at + 1, 0).astype(np.int32)
+            for i in np.flatnonzero(known & self.doubtful[at]).tolist():
+                ids[i] = self.clashing.get(found.word(i), at[i]) + 1
             for group in self.patterns:
                 pattern, start = group.search(ids)
                 one = found.doc[start] == found.doc[start + group.length - 1]
@@ -123,7 +134,7 @@ class Benchmark:
                         continue
                     cover[s] += 1
                     cover[s + group.length] -= 1
-                    met[int(found.doc[s])].update(group.owners[p])
+                    met[int(found.doc[s])].update(group.owners[group.first[p] : group.first[p + 1]].tolist())
         return found.counts, np.cumsum(cover)[:-1] > 0, met
 
 
@@ -149,8 +160,8 @@ def find_leaks(
     ``hits``: the runs of hit words as pairs (first word, word after the last);
     ``items``: the ids, as sorted strings, of items with a window in the text.
     Documents are not shuffled: the items' tables are broadcast, in blocks of
-    bounded size. Items beyond the first block take further passes over the
-    table that the pass before wrote. Null and empty texts, and items without
+    bounded size. With more than one block the rows are written once, further
+    passes read only the texts and write what they find. Null and empty texts, and items without
     words, have no words and match nothing; repeated rows are searched each;
     an empty benchmark leaves all rows clean. Columns of ``docs`` that have the
     names of new ones are replaced; another prefix keeps them.
@@ -158,18 +169,40 @@ def find_leaks(
     spark = docs.sparkSession
     names = tuple(prefix + n for n in ("n_words", "hits", "items"))
     docs = docs.drop(*names)
-    out, first = docs, True
-    for block in (b for part in (blocks(benchmark, item_id, item_text, block_bytes), [[]]) for b in part):
-        if not block and not first:
-            break
-        if not first:
-            out = materialize(out, "leaks")
-        out = _pass(out, spark.sparkContext.broadcast(Benchmark(block, window)), text_col, names, first)
-        first = False
-    return out
-
-
-def _pass(docs: DataFrame, shared, text_col: str, names: tuple[str, str, str], first: bool) -> DataFrame:
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _pass(docs, spark.sparkContext.broadcast(Benchmark(first, window)), text_col, names)
+    row = fresh_name("_row", [*docs.columns, *names])
+    base = materialize(_pass(docs.withColumn(row, F.monotonically_increasing_id()), spark.sparkContext.broadcast(Benchmark(first, window)), text_col, names), "leaks")
+    more: DataFrame | None = None
+    while second is not None:
+        shared = spark.sparkContext.broadcast(Benchmark(second, window))
+        met = _pass(base.select(row, text_col), shared, text_col, names).filter(F.size(names[2]) > 0).select(row, names[1], names[2])
+        met = materialize(met, "more-leaks")
+        shared.unpersist()
+        more = met if more is None else more.union(met)
+        second = next(parts, None)
+    lists = [F.flatten(F.collect_list(n)).alias(f"_{n}") for n in names[1:]]
+    grouped = more.groupBy(F.col(row).alias(f"{row}_of")).agg(*lists)
+    joined = base.join(grouped, F.col(row) == F.col(f"{row}_of"), "left")
+    both = [F.concat(n, F.coalesce(f"_{n}", F.array().cast(base.schema[n].dataType))) for n in names[1:]]
+    return joined.select(*docs.columns, names[0], _joined_runs(F.array_sort(both[0])).alias(names[1]), F.array_sort(F.array_distinct(both[1])).alias(names[2]))
+
+
+def _joined_runs(runs: Column) -> Column:
+    """Sorted pairs (first, after the last) with those that touch or overlap made one."""
+
+    def add(done: Column, run: Column) -> Column:
+        last = F.element_at(done, -1)
+        wider = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.array(last[0], F.greatest(last[1], run[1]))))
+        return F.when((F.size(done) > 0) & (F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(2)) >= run[0]), wider).otherwise(F.concat(done, F.array(run)))
+
+    return F.aggregate(runs, F.array().cast("array<array<bigint>>"), add)
+
+
+def _pass(docs: DataFrame, shared, text_col: str, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with word counts, hits and items of one block. A narrow step."""
     kept = [f for f in docs.schema.fields if f.name not in names]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,19 +211,13 @@ def _pass(docs: DataFrame, shared, text_col: str, names: tuple[str, str, str], f
             for part in slices(batch, text_col):
                 counts, hit, met = tables.scan(part.column(part.schema.get_field_index(text_col)))
                 bounds = np.concatenate(([0], np.cumsum(counts)))
-                runs, found = [], [{str(tables.items[i]) for i in ids} for ids in met]
+                runs, found = [], [sorted({str(tables.items[i]) for i in ids}) for ids in met]
                 for i in range(part.num_rows):
                     flags = hit[bounds[i] : bounds[i + 1]]
-                    if not first and (old := part.column(part.schema.get_field_index(names[1]))[i].as_py()):
-                        flags = flags.copy()
-                        for x, y in old:
-                            flags[x:y] = True
                     change = np.flatnonzero(np.diff(flags.astype(np.int8), prepend=0, append=0)) if flags.any() else np.zeros(0, np.int64)
                     runs.append(change.reshape(-1, 2).tolist())
-                    if not first:
-                        found[i].update(part.column(part.schema.get_field_index(names[2]))[i].as_py())
                 columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
-                columns += [pa.array(counts), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
+                columns += [pa.array(counts), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in kept), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -218,23 +245,3 @@ def op10_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
         F.sha2(F.concat_ws(",", "leak_items"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
-
-
-def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple[int, int, int, str]:
-    """(n_words, n_hit, n_items, items_sha256) by definition, for tests."""
-    import re
-
-    def cut(t: str | None) -> list[bytes]:
-        return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
-
-    doc = cut(text)
-    hit, met = set(), set()
-    for item, item_text in items:
-        ws = cut(item_text)
-        size = min(window, len(ws))
-        for at in range(len(ws) - size + 1 if ws else 0):
-            for s in range(len(doc) - size + 1):
-                if doc[s : s + size] == ws[at : at + size]:
-                    hit.update(range(s, s + size))
-                    met.add(str(item))
-    return len(doc), len(hit), len(met), hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import whole_groups
-from .shared import partition_slots, pick, read_table, utf8
+from .shared import materialize, partition_slots, pick, read_table, utf8
 from .textscan import SLICE_BYTES, gather_ranges, mix64, powers, text_buffer
 
 LENGTH, GRAM = 100, 50
@@ -219,11 +219,19 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     Texts are UTF-8 bytes, null is empty; matches stay within a text. A string
     is repeated if it also starts in a row with a smaller id, or earlier in the
     same text, judged on the input. Rows that share an id are ordered by a hash
-    of their text, null ids come before all others. Texts shorter than
-    ``length`` are kept whole, and an empty table gives no rows.
+    of their text, null ids come before all others. Ids of any type that Spark
+    orders will do. Texts shorter than ``length`` are kept whole, an empty table
+    gives no rows, and other columns are not read, whatever their names.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        ids = df.select(F.col(id_col).alias("_id")).filter("_id is not null").distinct().repartitionByRange(parts, "_id").sortWithinPartitions("_id")
+        numbers = materialize(ids.select("_id", F.monotonically_increasing_id().alias("_number")), "ids")
+        numbered = df.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text")).join(numbers, F.col("_own") == F.col("_id"), "left")
+        found = repeated_spans(numbered.select("_number", "_text"), length, gram, "_number", "_text", hot, with_kept).withColumnRenamed("_number", "_n")
+        named = found.join(numbers, F.col("_n") == F.col("_number"), "left")
+        return named.select(F.col("_id").alias(id_col), *[c for c in found.columns if c != "_n"])
     groups, buckets = partition_slots(spark, parts, GROUPS, "int"), np.array(partition_slots(spark, parts, 1, "bigint"))
     kind = df.schema[id_col].dataType.simpleString()
     text = utf8(text_col)

@@ -362,6 +362,22 @@ def test_leaks(table, block):
     assert kept == {k for k, t in enumerate(texts) if not leaks_by_force(t, ITEMS)[1]}
 
 
+def test_words_that_share_a_hash(monkeypatch):
+    plain = decontamination.words
+
+    def few(column, kind):
+        found = plain(column, kind)
+        hashes = found.hashes() % np.uint64(3)
+        found.hashes = lambda: hashes
+        return found
+
+    monkeypatch.setattr(decontamination, "words", few)
+    tables = decontamination.Benchmark(ITEMS, 10)
+    for text in (prose(50, 1), "x " + ITEMS[0][1] + " y", "w1 w2 w3", "w2 w1 w3 w9", prose(10, 501)):
+        counts, hit, met = tables.scan(pa.array([text]))
+        assert (int(counts[0]), int(hit.sum()), sorted(str(tables.items[i]) for i in met[0])) == leaks_by_force(text, ITEMS)
+
+
 def test_leaks_of_nothing(table):
     docs = table([(1, "a b")], "doc_id long, text string")
     assert decontamination.drop_contaminated(docs, table([], "item_id long, text string")).count() == 1

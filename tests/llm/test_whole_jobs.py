@@ -3,16 +3,21 @@
 import random
 import re
 import time
+import zlib
 from math import comb
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from normframe.llm import ann, html_extract, near_dedup, surrogates
+from normframe.llm import ann, html_extract, near_dedup, suffix_dedup, surrogates
+from normframe.llm import queries as registered
 from normframe.llm.html_extract import main_text
+from normframe.llm.shared import materialize, scratch_path
 
 PAGES = Path("/root/testdata/sf0.01/pages.parquet")
 
@@ -98,7 +103,8 @@ def test_sketches_keep_pairs_at_the_threshold(threshold):
     assert near_dedup.agreement_for(1) == 64
 
 
-def test_large_template_families_go_to_further_trees(spark):
+def test_large_template_families_go_to_further_trees(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCKED", 1)
     r = random.Random(3)
     template = [r.randrange(1 << 31) for _ in range(64)]
     rows = []
@@ -118,6 +124,44 @@ def test_large_template_families_go_to_further_trees(spark):
     assert [near_dedup.trees_for(0.85, d) for d in (0, 1, 5, 30)] == [10, 13, 24, 83]
 
 
+def test_recall_of_deep_nodes(spark, monkeypatch):
+    """Nodes of thousands with 0.65 between all documents, which branch many levels: pairs at 0.86 still share a leaf."""
+    monkeypatch.setattr(near_dedup, "BLOCKED", 1)
+    r = np.random.default_rng(8)
+    n, template = 3000, r.integers(0, 1 << 31, 64)
+    own = np.where(r.random((n // 2, 64)) < 0.8, template, r.integers(0, 1 << 31, (n // 2, 64)))
+    other = np.where(r.random((n // 2, 64)) < 0.86, own, r.integers(0, 1 << 31, (n // 2, 64)))
+    rows = [(2 * k + b, x.tolist()) for k in range(n // 2) for b, x in enumerate((own[k], other[k]))]
+    classes = materialize(spark.createDataFrame(rows, "node bigint, sketch array<int>"), "classes")
+    found = near_dedup.leaves(classes, 0.85, None, 150).groupBy("path", F.floor(F.col("node") / 2).alias("pair")).count().filter("count = 2")
+    assert found.select("pair").distinct().count() >= 0.97 * n / 2
+
+
+def test_families_are_linked_first(table, monkeypatch):
+    """A large family of near copies, some others, and a link by way of one of them: the same as by force, with leaves far smaller than the family."""
+    monkeypatch.setattr(near_dedup, "BLOCKED", 1)
+    r = random.Random(9)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for k in range(90):  # near copies
+        words = list(base)
+        words[r.randrange(400)] = f"own{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(90, 110):  # farther ones
+        words = list(base)
+        for at in range(k % 5, 400, 23):
+            words[at] = f"far{k}.{at}"
+        rows.append((k, " ".join(words)))
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(396)} for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    low = {k: k for k in sets}
+    for _ in sets:
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(table(rows, "doc_id long, text string"), leaf=16).collect()}
+    assert got == low
+
+
 # op6
 
 
@@ -187,3 +231,89 @@ def test_hostile_pages_take_linear_time(kind):
 def test_unclosed_quotes_and_labels():
     assert main_text("<p class=\"x>First para, with text.</p><p>Second para, of text.</p>") == "First para, with text.\nSecond para, of text." or "class" not in main_text("<p class=\"x>First para, with text.</p><p>Second para, of text.</p>")
     assert main_text("<p title=it's>All of it, here.</p><p>It's more, there.</p>") == "All of it, here.\nIt's more, there."
+
+
+# Whole tables of the samples
+
+
+def crc(x):
+    return zlib.crc32(str(x).encode())
+
+
+SF = Path("/root/testdata/sf0.01")
+needs_samples = pytest.mark.skipif(not SF.exists(), reason="needs the sample tables")
+
+
+@needs_samples
+@pytest.mark.parametrize("name", ["op3_chosen_path_near_dedup", "op10_wu_manber_decontamination"])
+def test_operators_match_their_sql(spark, name):
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = db.execute(registered.oracle_sql()[name]).df().sort_values("doc_id").reset_index(drop=True)
+    got = registered.queries()[name](spark, str(SF)).toPandas().sort_values("doc_id").reset_index(drop=True)
+    assert got[sorted(got)].equals(want[sorted(want)].astype(got.dtypes.to_dict()))
+
+
+@needs_samples
+def test_held_out_accuracy(spark):
+    folder = str(SF.parent / "sf0.1")
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    got = [r for r in registered.queries()["op7_gam_quality"](spark, folder).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert all(r["held_out"] == (crc(r["doc_id"]) % 5 == 0) for r in got)
+    assert len(got) > 500 and np.mean([r["predicted"] == labels[r["doc_id"]] for r in got]) >= 0.95
+
+
+@needs_samples
+def test_shards_by_a_second_computation(spark):
+    """Spark's hash of a number is XXH64 of its bytes, seeded by what came before."""
+
+    def number(x, size, seed):
+        return xxhash.xxh64(int(x).to_bytes(size, "little", signed=True), seed=seed).intdigest()
+
+    def best(doc, shards):
+        signed = (number(doc, 8, 42) + (1 << 63)) % (1 << 64) - (1 << 63)
+        start = number(signed, 8, 42)
+        return min(range(shards), key=lambda k: (-np.log((float(number(k, 4, start) >> 11) + 0.5) * 2.0**-53), k))
+
+    rows = registered.queries()["op8_rendezvous_sharding"](spark, str(SF)).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    slots = {}
+    for r in rows:
+        data = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) == (len(data) + 8, zlib.crc32(data), best(r["doc_id"], 24), best(r["doc_id"], 25))
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == len(texts) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+@needs_samples
+def test_surrogates_are_one_to_one_over_all_documents(spark):
+    old = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    there, back, kinds = {}, {}, set()
+    for r in registered.queries()["op9_pii_surrogates"](spark, str(SF)).collect():
+        found = surrogates.entities(old[r["doc_id"]])
+        assert len(found) == r["n_entities"]
+        for (start, end, kind, _), span in zip(found, r["spans"], strict=True):
+            before, after = old[r["doc_id"]][start:end], r["text"][span["start"] : span["start"] + span["length"]]
+            assert before != after and there.setdefault((kind, before), after) == after and back.setdefault((kind, after), before) == before
+            kinds.add(kind)
+        assert r["text"] == old[r["doc_id"]] or found
+    assert {"card", "email", "ip", "phone", "secret"} <= kinds
+
+
+def test_repeats_with_ids_of_other_types(table):
+    text = "".join(random.Random(k).choice("abcdef ") for k in range(150))
+    rows = [("b", text), ("a", "x" + text), (None, text[:120]), ("c", "short")]
+    got = {r[0]: r["n_removed"] for r in suffix_dedup.repeated_spans(table(rows, "doc_id string, text string")).collect()}
+    assert got == {None: 0, "a": 150 if text[:120] + text[20:] == text else got["a"], "b": 150, "c": 0} and got["a"] >= 120
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 30000, "en", "s", 150000)]])
+def test_pipeline_over_empty_and_odd_tables(spark, rows):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    folder = scratch_path(spark, "odd")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    out = pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in out} <= {r[0] for r in rows} and all(0 < r["length"] <= 4096 for r in out)

@@ -16,7 +16,7 @@ from normframe.llm.near_dedup import drop_near_duplicates
 from normframe.llm.orc_ids import tokenizer_path
 from normframe.llm.packing import CAPACITY, END_ID, pack_documents
 from normframe.llm.quality_gam import CUT, quality_model, score
-from normframe.llm.shared import fresh_name, materialize, read_table
+from normframe.llm.shared import fresh_name, materialize, read_table, remove
 from normframe.llm.surrogates import DEMO_KEY, pseudonymize
 
 
@@ -62,8 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage but the last is written to the shared folder and read again."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage but the last is written to the shared folder and read again. A table that its successor has read is removed."""
+    docs, written = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), written)
+        for path in written[:-1]:
+            remove(spark, path)
+        written = written[-1:]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -62,12 +62,12 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cell_rows: int = 100_000) -> DataFrame:
+def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cell_rows: int = 20_000, least: int = 64) -> DataFrame:
     """Number the rows of each ``group`` from 0 without gaps, however large a group is.
 
-    Rows of a group are dealt over cells by a hash of the order columns, so many
-    that a cell holds about ``cell_rows`` rows: the group's rows are counted
-    first. A row's number is the count of rows in the cells before its own plus
+    Rows of a group are dealt over cells by a hash of the order columns,
+    ``least`` of them or so many more that a cell holds about ``cell_rows`` rows:
+    the group's rows are counted first. A row's number is the count of rows in the cells before its own plus
     its place in its cell, so no task sorts a whole group: a group with a third
     of all rows spreads over all its cells. Cell counts are few beside the rows.
     Rows equal in all order columns share a cell and get different numbers in no
@@ -75,7 +75,7 @@ def gapless_rank(df: DataFrame, group: str, order: list[str], out: str, cell_row
     """
     names = {n: fresh_name(f"_{n}", [*df.columns, out]) for n in ("group", "rows", "cells", "cell", "before", "place", "of", "at")}
     n = {k: F.col(v) for k, v in names.items()}
-    sizes = df.groupBy(F.col(group).alias(names["group"])).agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int").alias(names["cells"]))
+    sizes = df.groupBy(F.col(group).alias(names["group"])).agg(F.greatest(F.lit(least), F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("int")).alias(names["cells"]))
     known = df.join(F.broadcast(sizes) if _few(sizes) else sizes, df[group].eqNullSafe(n["group"])).drop(names["group"])
     dealt = known.withColumn(names["cell"], F.pmod(F.xxhash64(*order), n["cells"]).cast("int")).drop(names["cells"])
     counts = dealt.groupBy(F.col(group).alias(names["of"]), n["cell"].alias(names["at"])).agg(F.count(F.lit(1)).alias(names["rows"]))

@@ -271,8 +271,11 @@ class NormalizedFrame:
     # Weighted operations
 
     def weighted_sums(self, w: Any) -> np.ndarray:
-        """Sums of w_i A_ij over rows. Dense entries are normalized before they are added; coordinates add stored entries and backgrounds apart."""
-        return self.rmatvec(w)
+        """Sums of w_i A_ij over rows, each entry normalized before it is weighted and added. No difference of totals is taken."""
+        if self.sparse is None:
+            return self.rmatvec(w)
+        df, cols = self._with(self.sparse.rows, [w])
+        return sparse.weighted_sums(self.sparse, df, cols[0])[0 if self.intercept else 1 :]
 
     def gram(self, w: Any = None) -> np.ndarray:
         """A^T diag(w) A, both triangles."""

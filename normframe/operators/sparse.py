@@ -135,29 +135,65 @@ def rmatmat(z: LowRank, rows: DataFrame, us: Sequence[Column]) -> tuple[np.ndarr
     return out, got[0]
 
 
+def _by_row(z: LowRank, rows: DataFrame, weight: Column) -> DataFrame:
+    """(w, f, cells): each row's weight, its factors with a one before them, and its stored entries in one list, of p at most."""
+    cells = z.entries.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells"))
+    factors = F.array(F.lit(1.0), *[z.factor(f) for f in range(len(z.factors))])
+    joined = rows.select("i", weight.alias("w"), factors.alias("f")).join(cells, "i", "left")
+    return joined.select("w", "f", F.coalesce("cells", F.array().cast("array<struct<j:bigint,v:double>>")).alias("cells"))
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Weights, factors (rows x 1 + k), and row, column and value of the stored entries, for blocks of rows."""
+    for whole in batches:
+        for batch in (whole.slice(at, BLOCK_ROWS) for at in range(0, whole.num_rows, BLOCK_ROWS)):
+            lists = batch.column(2)
+            row, entry = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
+            factors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 1 + k)
+            yield batch.column(0).to_numpy(zero_copy_only=False), factors, row, entry.field("j").to_numpy(zero_copy_only=False), entry.field("v").to_numpy(zero_copy_only=False)
+
+
+def weighted_sums(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
+    """Sums of w_i [1, A]_ij over rows.
+
+    A task puts the entries of a block of rows together before it weights them:
+    no difference of totals is taken, so weights that are infinite or cancel do
+    no harm to other columns.
+    """
+    p, k, b = z.ncols, len(z.factors), z.b
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros(p + 1)
+        for w, factors, row, j, v in _row_blocks(batches, k):
+            with np.errstate(invalid="ignore"):
+                entries = factors[:, 1:] @ b if k else np.zeros((len(w), p))  # a block of backgrounds, with what is stored on top
+                np.add.at(entries, (row, j), v)
+                acc[0] += w.sum()
+                acc[1:] += (w[:, None] * entries).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(p + 1), pa.int64()), pa.array(acc)], ["j", "v"])
+
+    out = np.zeros(p + 1)
+    for r in _by_row(z, rows, weight).mapInArrow(partial, "j bigint, v double").groupBy("j").agg(F.sum("v")).collect():
+        out[r[0]] = r[1]
+    return out
+
+
 def gram(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
     """The weighted Gram matrix of [1, A]. A row's stored entries meet in one list; a task multiplies blocks of such rows and hands on one matrix."""
     p, k = z.ncols, len(z.factors)
-    cells = z.entries.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells"))
-    factors = F.array(F.lit(1.0), *[z.factor(f) for f in range(k)])
-    joined = rows.select("i", weight.alias("w"), factors.alias("f")).join(cells, "i", "left").select("w", "f", F.coalesce("cells", F.array().cast("array<struct<j:bigint,v:double>>")).alias("cells"))
     size = 1 + k + p  # the ones, the row factors, and the columns of D
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((size, size))
-        for batch in (whole.slice(at, BLOCK_ROWS) for whole in batches for at in range(0, whole.num_rows, BLOCK_ROWS)):
-            w = batch.column(0).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            entry = lists.flatten()
-            x = np.zeros((batch.num_rows, size))
-            x[:, : 1 + k] = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, 1 + k)
-            x[row, 1 + k + entry.field("j").to_numpy(zero_copy_only=False)] = entry.field("v").to_numpy(zero_copy_only=False)
+        for w, factors, row, j, v in _row_blocks(batches, k):
+            x = np.zeros((len(w), size))
+            x[:, : 1 + k] = factors
+            x[row, 1 + k + j] = v
             with np.errstate(invalid="ignore"):
                 acc += x.T @ (w[:, None] * x)
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["r", "g"])
 
-    added = joined.mapInArrow(partial, "r bigint, g array<double>").select("r", F.posexplode("g").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
+    added = _by_row(z, rows, weight).mapInArrow(partial, "r bigint, g array<double>").select("r", F.posexplode("g").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
     g = np.zeros((size, size))
     for row in added.collect():
         g[row["r"], row["c"]] = row["v"]

@@ -417,6 +417,12 @@ def test_coordinates_stay_sparse(spark, made):
         np.testing.assert_allclose(z.toarray(), a, atol=1e-12)
         plan = z.matvec(V)._jdf.queryExecution().analyzed().toString()
         assert "fill(" not in plan  # rows are not filled
+    z = nf.ColumnNormalization().fit_apply(coo)
+    wild = long(spark, [math.inf, 0, 0, 0])
+    with np.errstate(invalid="ignore"):
+        want = np.array([math.inf, 0, 0, 0]) @ np.where(z.toarray() == 0, 1e-300, z.toarray())
+    got = z.weighted_sums(wild)  # a sign for each column, and no NaN where the entry is not zero
+    assert (got[:2] == want[:2]).all()
     full = nf.ColumnNormalization().then(nf.RowNormalization("none", "l2")).fit_apply(coo)
     assert full.sparse is None and np.allclose(full.toarray(), reference(reference(X, 0)[0], 1, "none", "l2")[0])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import read_table, scratch_path, utf8
+from .shared import materialize, read_table, scratch_path, utf8
 from .textscan import slices
 from .tokens import TOKEN_SLICE, TokenColumn, with_end
 
@@ -80,7 +80,7 @@ def file_number(name: str) -> Column:
 
 
 def checksums(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per stored row: ``n_tokens``, ``ids_crc32`` and ``start``, the ids stored before it.
+    """Per stored row: ``n_tokens``, ``ids_crc32`` and ``start``, the ids stored before it. Other columns are not read.
 
     Starts are sums within a file plus the totals of the files before; only
     counts are shuffled, and no task sees more than one file's rows.
@@ -102,7 +102,7 @@ def checksums(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
     rows = stored.select(
         F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"), "ids", F.col("_metadata.file_block_start").alias("row")
     ).mapInArrow(digest, f"id {kind}, file string, row bigint, n_tokens bigint, ids_crc32 bigint")
-    rows = rows.withColumn("seq", F.monotonically_increasing_id())
+    rows = materialize(rows.withColumn("seq", F.monotonically_increasing_id()), "digests")  # the files are decoded once
     in_file = Window.partitionBy("file").orderBy("row", "seq").rowsBetween(Window.unboundedPreceding, -1)
     in_order = Window.orderBy(file_number("file"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select(

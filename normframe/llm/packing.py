@@ -179,7 +179,9 @@ def pack_documents(
 
     The pieces are written to the shared folder once, so texts are encoded once
     and a lost executor costs no more than its own tasks. An empty table gives
-    no rows; repeated ids and texts are packed as often as they stand there.
+    no rows; repeated ids and texts are packed as often as they stand there. A
+    text of any length is cut into pieces. Columns other than the id and the
+    text are not read, whatever their names.
     """
     pieces = materialize(token_pieces(df, tokenizer, end_id, capacity, with_ids, id_col, text_col), "pieces")
     return pack_lengths(pieces, "length", [id_col, "piece", "ids_crc32"], capacity)

@@ -46,7 +46,8 @@ def shard_rows(
     """Add ``shard`` and, with a second shard list, ``grown_shard`` to every row.
 
     A narrow projection: no shuffle. Works on empty tables; rows that repeat a
-    key go where the key goes.
+    key go where the key goes, whatever their texts' length. Columns of ``df``
+    with these two names are replaced, all others stay.
     """
     out = df.withColumn("shard", rendezvous(keys, shards))
     return out.withColumn("grown_shard", rendezvous(keys, grown)) if grown else out

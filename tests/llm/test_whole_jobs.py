@@ -9,12 +9,13 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from normframe.llm import ann, html_extract, near_dedup, suffix_dedup, surrogates
+from normframe.llm import ann, html_extract, near_dedup, orc_ids, packing, quality_gam, sharding, suffix_dedup, surrogates
 from normframe.llm import queries as registered
 from normframe.llm.html_extract import main_text
 from normframe.llm.shared import materialize, scratch_path
@@ -317,3 +318,30 @@ def test_pipeline_over_empty_and_odd_tables(spark, rows):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     out = pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in out} <= {r[0] for r in rows} and all(0 < r["length"] <= 4096 for r in out)
+
+
+def test_columns_with_names_of_new_ones(table):
+    rows = [(1, "a b c", 7, 8, 9, 10), (2, None, 7, 8, 9, 10)]
+    docs = table(rows, "doc_id long, text string, shard int, piece int, _rank int, length int")
+    dealt = sharding.shard_rows(docs, ["doc_id"], [(0, 1.0), (1, 1.0)]).collect()
+    assert all(r["shard"] in (0, 1) and (r["piece"], r["_rank"], r["length"]) == (8, 9, 10) for r in dealt)
+    packed = packing.pack_documents(docs, orc_ids.tokenizer_path()).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2} and all(r["piece"] == 0 and r["length"] < 10 for r in packed)
+    vectors = table([(k, [float(k), 1.0], k, k, k) for k in range(20)], "vec_id long, embedding array<double>, rank int, score int, query_id int")
+    assert ann.neighbours(vectors, vectors.filter("vec_id = 3"), k=2).columns == ["query_id", "rank", "vec_id", "score"]
+
+
+def test_very_long_texts(table):
+    long = ("word and more, " * 60_000) + "Mrs Anna Schmidt " + "x" * 1_000_000 + "@mail.example.com Schmidt 1" + "2" * 5000
+    new, spans = surrogates.replace(long, surrogates.Keyed("key"))
+    assert len(spans) >= 2 and "Schmidt" not in new and len(new) > 1_900_000
+    got = quality_gam.features(pa.array([long, None, ""]))
+    assert np.isfinite(got).all() and len(got) == 3
+
+
+def test_entities_that_touch_or_overlap():
+    text = "a@b.example.org,c@d.example.org 1.2.3.4 1.2.3.4; token=aaaaaaaa@b.example.org"
+    new, spans = surrogates.replace(text, surrogates.Keyed("key"))
+    ends = [(s["start"], s["start"] + s["length"]) for s in spans]
+    assert all(x[1] <= y[0] for x, y in zip(ends[:-1], ends[1:])) and len(spans) >= 5
+    assert [new[x:y] for (x, y), s in zip(ends, spans) if s["kind"] == "ip"][0] == [new[x:y] for (x, y), s in zip(ends, spans) if s["kind"] == "ip"][1]

@@ -35,6 +35,8 @@ from .textscan import mix64
 TABLES, K = 10, 10
 #: Vectors that the index is fitted on, those of them that act as queries, and the recall to reach there.
 SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.95
+#: Numbers of projections to choose from, slots in median neighbour distances, and a probe's cost in distances computed.
+PROJECTIONS, WIDTH, PROBE_COST = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 100
 #: Entries of a bucket that one task takes, and probes of a table at most (all queries are scanned exactly if more were needed).
 CROWDED, MOST_PROBES = 20_000, 512
 #: Queries and entries that meet in one task of an exact scan.
@@ -113,40 +115,50 @@ def likely_moves(projections: int, count: int) -> list[tuple[int, ...]]:
     return out
 
 
-def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: float = TARGET, seed: int = 11) -> Index:
-    """An index for ``n`` vectors: slot width and number of probes by measured recall on the sample.
+def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: float = TARGET, seed: int = 11, near: list[np.ndarray] | None = None) -> Index:
+    """An index for ``n`` vectors: projections and probes that reach the recall asked for at the least cost, as measured on the sample.
 
-    The sample is thinner than all vectors, so its neighbours are farther away
-    than theirs and recall on it is the lower one. The width suits distances
-    about the median: queries at twice that get an exact scan, and all do if no
-    index reaches the target.
+    ``near``: the true neighbours of the first vectors of the sample; without
+    them their neighbours within the sample stand in, which are farther away.
+    The width suits distances about the median: queries at twice that get an
+    exact scan, and all do if no index reaches the target.
     """
     rng = np.random.default_rng(seed)
-    asked = np.arange(min(SAMPLE_QUERIES, len(sample)))
-    d = np.sqrt(np.maximum(((sample**2).sum(1)[None] + (sample[asked] ** 2).sum(1)[:, None] - 2 * sample[asked] @ sample.T), 0))
-    d[asked, asked] = np.inf
-    near = np.argsort(d, 1, kind="stable")[:, : min(k, len(sample) - 1)]
-    reach = float(np.median(np.take_along_axis(d, near, 1))) if near.size else 1.0
-    width = 1.4 * reach if np.isfinite(reach) and reach > 0 else 1.0
-    for projections in range(int(np.clip(round(np.log(max(n, 2)) / np.log(6)), 2, 12)), 1, -1):
+    if near is None:
+        near = []
+        for at in range(min(SAMPLE_QUERIES, len(sample))):
+            d2 = ((sample - sample[at]) ** 2).sum(1)
+            d2[at] = np.inf
+            near.append(sample[np.argsort(d2, kind="stable")[: min(k, len(sample) - 1)]])
+    asked, sizes = sample[: len(near)], np.array([len(x) for x in near])
+    owner, flat = np.repeat(np.arange(len(near)), sizes), np.concatenate([*near, np.zeros((0, sample.shape[1]))])
+    reach = float(np.median(np.sqrt(((flat - asked[owner]) ** 2).sum(1)))) if len(flat) else 1.0
+    width = WIDTH * reach if np.isfinite(reach) and reach > 0 else 1.0
+    best, least = None, np.inf
+    for projections in PROJECTIONS:
         moves = likely_moves(projections, 2 * MOST_PROBES)
-        index = Index(rng.normal(size=(tables, projections, sample.shape[1])), rng.uniform(size=(tables, projections)), width, 1, moves)
-        if not near.size:
+        index = Index(rng.normal(size=(tables, projections, sample.shape[1])), rng.uniform(size=(tables, projections)), width, 1, moves, 2 * reach if reach > 0 else np.inf)
+        if not len(flat):
             return index
-        own = index.buckets(sample)
-        found = np.full(near.shape, MOST_PROBES)  # the probe that first meets each neighbour
+        own, keys = index.buckets(flat), [index.probed(asked, t, MOST_PROBES) for t in range(tables)]
+        found = np.full(len(flat), MOST_PROBES)  # the probe that first meets each neighbour
+        for t in range(tables):
+            hit = keys[t][owner] == own[:, t, None]
+            found = np.minimum(found, np.where(hit.any(1), hit.argmax(1), MOST_PROBES))
+        index.probes = int(np.sort(found)[int(np.ceil(target * len(found))) - 1]) + 1
+        if index.probes > MOST_PROBES:
+            break  # more projections part neighbours more
+        buckets, met = index.buckets(sample), np.zeros((len(asked), len(sample)), bool)
         for t in range(tables):
-            keys = index.probed(sample[asked], t, MOST_PROBES)
             for q in range(len(asked)):
-                hit = keys[q][:, None] == own[near[q], t][None]
-                found[q] = np.minimum(found[q], np.where(hit.any(0), hit.argmax(0), MOST_PROBES))
-        enough = int(np.ceil(target * found.size))
-        index.probes = int(np.sort(found.ravel())[enough - 1]) + 1
-        if index.probes <= MOST_PROBES:
-            index.limit = 2 * reach if reach > 0 else np.inf
-            return index
-    index.probes, index.limit = 1, -1.0
-    return index
+                met[q] |= np.isin(buckets[:, t], keys[t][q, : index.probes])
+        cost = tables * index.probes * PROBE_COST + met.mean() * n
+        if cost < least:
+            best, least = index, cost
+    if best is None:
+        index.probes, index.limit = 1, -1.0
+        return index
+    return best
 
 
 def _matrix(column: pa.Array, kind: str) -> np.ndarray:
@@ -245,8 +257,9 @@ def _asked(queries: DataFrame, entries: DataFrame, id_col: str, vector_col: str,
 def _search(entries: DataFrame, asked: DataFrame, n: int, k: int, tables: int, target: float, id_kind: str, kind: str) -> DataFrame:
     """(q, rep, score): the k + 1 nearest entries of each query vector (rep, vector), all of one dimension; the entry itself is one of them."""
     spark = entries.sparkSession
-    sample = _matrix(pa.array([bytes(r["vector"]) for r in entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("vector").collect()], pa.binary()), kind)
-    index = fit(sample, n, k, tables, target)
+    rows = entries.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE).select("rep", "vector").collect()
+    sample = _matrix(pa.array([bytes(r["vector"]) for r in rows], pa.binary()), kind)
+    index = fit(sample, n, k, tables, target, near=_true_neighbours(entries, rows[:SAMPLE_QUERIES], k, id_kind, kind))
     if index.limit < 0:
         return materialize(_scanned(entries, asked, n, k + 1, id_kind, kind), "found")
     shared = spark.sparkContext.broadcast(index)
@@ -287,6 +300,31 @@ def _search(entries: DataFrame, asked: DataFrame, n: int, k: int, tables: int, t
     return materialize(_nearest(best.union(scanned), k + 1), "found")
 
 
+def _true_neighbours(entries: DataFrame, rows: list, k: int, id_kind: str, kind: str) -> list[np.ndarray]:
+    """The k nearest vectors of each of some entries, SAMPLE_QUERIES at most: one scan with these broadcast."""
+    packed = pa.array([bytes(r["vector"]) for r in rows], pa.binary())
+    shared = entries.sparkSession.sparkContext.broadcast((pa.array(range(len(rows)), pa.int32()), _matrix(packed, kind)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, q = shared.value
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                held.append(_best(numbers, q, part.column(0), _matrix(part.column(1), kind), k + 1))
+            if held:
+                held = [_merged(held, k + 1)]
+        yield from held
+
+    near = _nearest(entries.select("rep", "vector").mapInArrow(scan, f"q int, rep {id_kind}, score double"), k + 1)
+    found = entries.select("rep", "vector").join(F.broadcast(near), "rep").filter("score > 0").select("q", "vector").collect()
+    lists: list[list[bytes]] = [[] for _ in rows]
+    for r in found:
+        lists[r["q"]].append(bytes(r["vector"]))
+    size = len(packed[0].as_py()) // np.dtype(kind).itemsize
+    return [_matrix(pa.array(x, pa.binary()), kind).reshape(len(x), size) for x in lists]
+
+
 def _scanned(entries: DataFrame, asked: DataFrame, n: int, k: int, id_kind: str, kind: str) -> DataFrame:
     """(q, rep, score): exact neighbours. Queries and entries are dealt into blocks, and every block of queries meets every block of entries in a group of its own."""
     blocks = max(1, -(-asked.count() // SCAN_QUERIES)), max(1, -(-n // SCAN_ENTRIES))

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, scratch_path, utf8
+from ..sources.storage import shared_path
+from .shared import materialize, read_table, utf8
 from .textscan import slices
 from .tokens import TOKEN_SLICE, TokenColumn, with_end
 
@@ -117,6 +118,6 @@ def checksums(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def op5_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents, write them as ORC in doc_id order, and digest what is read back."""
     docs = read_table(spark, sf_dir, "documents")
-    path = scratch_path(spark, "orc-ids")
+    path = shared_path(spark, "orc-ids")
     write_orc_ids(docs, path, tokenizer_path(), end_id=2)
     return checksums(read_orc_ids(spark, path))

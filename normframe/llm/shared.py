@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_path
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; all paths go through Spark's readers."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves, but only in local mode,
-    where driver and executors are one process.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="normframe-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; Hadoop removes it when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/normframe/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.getParent())
-    fs.deleteOnExit(hadoop)
-    return path
-
-
 def materialize(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
     """Cut the lineage of ``df`` by a Parquet table in the shared folder.
 
@@ -49,7 +22,7 @@ def materialize(df: DataFrame, name: str, scratch: list[str] | None = None) -> D
     readers get column pruning and filter pushdown. ``scratch`` collects the
     paths of tables that their reader removes.
     """
-    path = scratch_path(df.sparkSession, name)
+    path = shared_path(df.sparkSession, name)
     if scratch is not None:
         scratch.append(path)
     df.write.parquet(path)

@@ -10,7 +10,8 @@ import pytest
 
 from normframe.llm import ann, orc_ids, packing, sharding
 from normframe.llm import queries as registered
-from normframe.llm.shared import gapless_rank, partition_slots, scratch_path
+from normframe.llm.shared import gapless_rank, partition_slots
+from normframe.sources.storage import shared_path
 from normframe.llm.tokens import TokenColumn
 
 PATH = orc_ids.tokenizer_path()
@@ -56,7 +57,7 @@ def test_whole_text_tokenizer():
 
 def test_orc_round_trip(spark, table, ids):
     rows = [(k * 7 % 13, t, "e") for k, t in enumerate(TEXTS)] + [(None, "null id", "e"), (3, "again", "e")]
-    path = scratch_path(spark, "test-orc")
+    path = shared_path(spark, "test-orc")
     orc_ids.write_orc_ids(table(rows, "doc_id long, text string, ids string"), path, PATH, 2)
     stored = orc_ids.read_orc_ids(spark, path)
     got = sorted(orc_ids.checksums(stored).collect(), key=lambda r: r["start"])
@@ -78,7 +79,7 @@ def test_orc_round_trip(spark, table, ids):
 
 
 def test_orc_lookups_prune_row_groups(spark, table):
-    path = scratch_path(spark, "test-orc")
+    path = shared_path(spark, "test-orc")
     rows = spark.range(5000).selectExpr("id * 3 AS doc_id", "'a b' AS text").coalesce(1)
     orc_ids.encode_documents(rows, PATH, 2).coalesce(1).write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", "1000").orc(path)
     for value, most in ((6000, 1000), (6001, 0)):  # one row group; the filter knows that the other is not there
@@ -93,7 +94,7 @@ def test_files_are_in_the_order_of_their_numbers(spark):
 
 
 def test_orc_of_nothing(spark, table):
-    path = scratch_path(spark, "test-orc")
+    path = shared_path(spark, "test-orc")
     orc_ids.write_orc_ids(table([], "doc_id long, text string"), path, PATH, 2)
     assert orc_ids.checksums(orc_ids.read_orc_ids(spark, path)).count() == 0
 
@@ -308,7 +309,7 @@ def test_pipeline_stages(spark, table):
     from test_texts import PRIVATE, cut, prose
 
     assert [n for n, _ in pipeline.STAGES] == ["quality classifier", "near-duplicate removal", "benchmark decontamination", "personal data surrogates", "best-fit packing"]
-    folder = scratch_path(spark, "tables")
+    folder = shared_path(spark, "tables")
     good = [(k, prose(60, k).capitalize() + ".") for k in range(60)]
     bad = [(100 + k, " ".join(w + "%%%" for w in prose(60, 900 + k).split())) for k in range(60)]
     item = prose(30, 4000)

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from normframe.llm import ann, html_extract, near_dedup, orc_ids, packing, quality_gam, sharding, suffix_dedup, surrogates
 from normframe.llm import queries as registered
 from normframe.llm.html_extract import main_text
-from normframe.llm.shared import materialize, scratch_path
+from normframe.llm.shared import materialize
+from normframe.sources.storage import shared_path
 
 PAGES = Path("/root/testdata/sf0.01/pages.parquet")
 
@@ -106,6 +107,7 @@ def test_sketches_keep_pairs_at_the_threshold(threshold):
 
 def test_large_template_families_go_to_further_trees(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCKED", 1)
+    monkeypatch.setattr(near_dedup, "DEPTH", 10)
     r = random.Random(3)
     template = [r.randrange(1 << 31) for _ in range(64)]
     rows = []
@@ -141,6 +143,7 @@ def test_recall_of_deep_nodes(spark, monkeypatch):
 def test_families_are_linked_first(table, monkeypatch):
     """A large family of near copies, some others, and a link by way of one of them: the same as by force, with leaves far smaller than the family."""
     monkeypatch.setattr(near_dedup, "BLOCKED", 1)
+    monkeypatch.setattr(near_dedup, "DEPTH", 5)
     r = random.Random(9)
     base = [f"w{k}" for k in range(400)]
     rows = []
@@ -312,7 +315,7 @@ def test_repeats_with_ids_of_other_types(table):
 @pytest.mark.parametrize("rows", [[], [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (3, "word " * 30000, "en", "s", 150000)]])
 def test_pipeline_over_empty_and_odd_tables(spark, rows):
     pipeline = pytest.importorskip("corpus_pipeline")
-    folder = scratch_path(spark, "odd")
+    folder = shared_path(spark, "odd")
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Values of a band that are sorted in one aggregate, parts that pivots cut a band into, and the sketch's accuracy.
-FEW, PARTS, ACCURACY = 10_000, 100, 10_000
+FEW, PARTS, ACCURACY = 10_000, 400, 10_000
 
 
 @dataclass
@@ -54,8 +54,8 @@ def _pivots(t: Target, cuts: Sequence[float] | None) -> tuple[float, float]:
     return cuts[max(0, math.floor(at) - 1)], cuts[min(PARTS, math.ceil(at) + 1)]
 
 
-def order_statistics(scan: Callable[[str, list[tuple[int, float, float]]], list], targets: list[Target]) -> list[float]:
-    """The values of the targets.
+def order_statistics(scan: Callable[[str, list[tuple[int, float, float]]], list], targets: list[Target], whole: dict[int, list[float]] | None = None) -> list[float]:
+    """The values of the targets. ``whole``: percentiles of whole columns, where they are known.
 
     ``scan(kind, bands)`` answers for bands (j, a, b): 'percentiles' of the
     values in [a, b]; 'counts' of values < a and <= b; 'values', sorted, in [a, b].
@@ -64,8 +64,9 @@ def order_statistics(scan: Callable[[str, list[tuple[int, float, float]]], list]
         if t.inside < 1:
             raise ValueError("a rank needs a value")
     while wide := [t for t in targets if t.low < t.high and t.inside > FEW]:
-        ask = [t for t in wide if not t.halve]
-        cuts = dict(zip(map(id, ask), scan("percentiles", [(t.j, t.low, t.high) for t in ask]) if ask else [], strict=True))
+        cuts = {id(t): whole[t.j] for t in wide if whole and t.j in whole and (t.low, t.high) == (-math.inf, math.inf)}
+        ask = [t for t in wide if not t.halve and id(t) not in cuts]
+        cuts |= dict(zip(map(id, ask), scan("percentiles", [(t.j, t.low, t.high) for t in ask]) if ask else [], strict=True))
         pivots = [_pivots(t, cuts.get(id(t))) for t in wide]
         for t, (a, b), (less, upto) in zip(wide, pivots, scan("counts", [(t.j, a, b) for t, (a, b) in zip(wide, pivots, strict=True)]), strict=True):
             before, end = t.inside, t.below + t.inside
@@ -82,11 +83,16 @@ def order_statistics(scan: Callable[[str, list[tuple[int, float, float]]], list]
     return [t.low if t.value is None else t.value for t in targets]
 
 
+def percentiles(x: Column) -> Column:
+    """Approximate percentiles as pivots: an aggregate."""
+    return F.percentile_approx(x, [k / PARTS for k in range(PARTS + 1)], ACCURACY)
+
+
 def _answers(kind: str, x: Column, a: Column, b: Column) -> Column:
     """The aggregate that answers for one band."""
     inside = F.when((x >= a) & (x <= b), x)
     if kind == "percentiles":
-        return F.percentile_approx(inside, [k / PARTS for k in range(PARTS + 1)], ACCURACY)
+        return percentiles(inside)
     if kind == "counts":
         return F.array(F.count_if(x < a), F.count_if(x <= b))
     return F.sort_array(F.collect_list(inside))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import NAN, Elementwise, RowVector, nan_max, nan_min, strict_double
-from ..plans.selection import Target, between, linear_quantiles, long_scan, order_statistics, wide_scan
+from ..plans.selection import Target, between, linear_quantiles, long_scan, order_statistics, percentiles, wide_scan
 
 Reduction = tuple[str, Elementwise]  # sum, min or max, of f(value, center)
 Ends = list[tuple[float, float, float]] | None  # of each quantile: the values around it and the share of the second
@@ -72,18 +72,18 @@ class Matrix:
 
     def ends(self, qs: Sequence[float]) -> tuple[int, list[Ends]]:
         """The number of rows, and for each column the exact order statistics around its linear quantiles; None if a NaN poisons it or it is empty."""
-        n, bad, scan = self._ranked()
+        n, bad, scan, whole = self._ranked()
         if not n:
             return 0, [None] * self.ncols
         places = linear_quantiles(n, qs)
         targets = [Target(j, rank, n) for j in range(self.ncols) if not bad[j] for place in places for rank in place[:2]]
-        return n, self._put(iter(order_statistics(scan, targets)), bad, places)
+        return n, self._put(iter(order_statistics(scan, targets, whole)), bad, places)
 
     def _put(self, values: Iterator[float], bad: Sequence[bool], places: list[tuple[int, int, float]]) -> list[Ends]:
         return [None if bad[j] else [(next(values), next(values), share) for _, _, share in places] for j in range(self.ncols)]
 
-    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
-        """The number of rows, which columns hold a NaN, and the scan for ``order_statistics``: one job."""
+    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
+        """The number of rows, which columns hold a NaN, and for ``order_statistics`` the scan and, if they come along, percentiles: one job."""
         raise NotImplementedError
 
     def quantiles(self, qs: Sequence[float]) -> np.ndarray:
@@ -144,9 +144,11 @@ class Wide(Matrix):
         out: dict[str, Any] = {name: np.array([row[f"{name}_{k}"] for k in range(self.ncols)], float) for name in wanted}
         return out | {"n": row["n"]}
 
-    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
-        row = self.df.agg(F.count(F.lit(1)), *[F.coalesce(F.bool_or(F.isnan(f"`{c}`")), F.lit(False)) for c in self.columns]).first()
-        return row[0], row[1:], wide_scan(self.df, self.columns)
+    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
+        p = self.ncols
+        nan = [F.coalesce(F.bool_or(F.isnan(f"`{c}`")), F.lit(False)) for c in self.columns]
+        row = self.df.agg(F.count(F.lit(1)), *nan, *[percentiles(F.col(f"`{c}`")) for c in self.columns]).first()
+        return row[0], row[1 : 1 + p], wide_scan(self.df, self.columns), dict(enumerate(row[1 + p :]))
 
     def long(self) -> DataFrame:
         """(key, j, v), one row for each entry."""
@@ -238,9 +240,9 @@ class Array(Matrix):
                 out[name][r["j"]] = r[name]
         return out | {"n": rows[0]["n"] if rows else 0 if p else self.count()}
 
-    def _ranked(self) -> tuple[int, Sequence[bool], Any]:
+    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
         got = self.reduce({"nan": ("max", ISNAN)}, [0.0] * self.ncols)
-        return got["n"], got["nan"] > 0, long_scan(self.long())
+        return got["n"], got["nan"] > 0, long_scan(self.long()), None
 
     def to_wide(self, names: Sequence[str] | None = None) -> Wide:
         names = list(names or [f"x{k}" for k in range(self.ncols)])

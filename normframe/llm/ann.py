@@ -38,7 +38,9 @@ SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.95
 #: Numbers of projections to choose from, slots in median neighbour distances, and a probe's cost in distances computed.
 PROJECTIONS, WIDTH, PROBE_COST = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 100
 #: Entries of a bucket that one task takes, and probes of a table at most (all queries are scanned exactly if more were needed).
-CROWDED, MOST_PROBES = 20_000, 512
+CROWDED, MOST_PROBES = 2000, 512
+#: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Queries and entries that meet in one task of an exact scan.
 SCAN_QUERIES, SCAN_ENTRIES = 4096, 50_000
 #: Shares that the queries with one vector are dealt into, for theirs may be a third of all rows.
@@ -285,6 +287,9 @@ def _search(entries: DataFrame, asked: DataFrame, n: int, k: int, tables: int, t
     stored = entries.select("rep", "vector").mapInArrow(deal, f"key bigint, id {id_kind}, vector binary")
     probes = asked.mapInArrow(probe, f"key bigint, id {id_kind}, vector binary")
     crowds = stored.groupBy("key").count().filter(F.col("count") > CROWDED).select("key", F.ceil(F.col("count") / CROWDED).cast("int").alias("parts"))
+    crowds = materialize(crowds, "crowds")
+    if crowds.count() <= BROADCAST_ROWS:  # so that a crowded bucket's rows are dealt where they are made
+        crowds = F.broadcast(crowds)
     stored = stored.join(crowds, "key", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
     probes = probes.join(crowds, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     pairs = _met(stored.withColumn("key", F.xxhash64("key", "part")), probes.withColumn("key", F.xxhash64("key", "part")), k + 1, id_kind, kind)

@@ -39,3 +39,31 @@ f AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)
 """
+
+
+def _clusters(k: int = 40, rounds: int = 5, dims: int = 64, steps: int = 256, seed: int = 2) -> str:
+    """Lloyd's rounds one after the other, every distance from its components; exact in integers."""
+    assign = (
+        "a{r} AS MATERIALIZED (SELECT id, x, m.c AS c, m.d AS d FROM (SELECT id, any_value(x) AS x, min(struct_pack(d := d, c := c)) AS m FROM ("
+        "SELECT v.id, v.x, o.c, list_sum(list_transform(list_zip(v.x, o.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{r} o) GROUP BY id))"
+    )
+    move = (
+        "u{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{p}, range(1, {dims} + 1) t(i) GROUP BY c, i) GROUP BY c),\n"
+        "c{r} AS MATERIALIZED (SELECT o.c, coalesce(u.x, o.x) AS x FROM c{p} o LEFT JOIN u{r} u USING (c))"
+    )
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda e: CAST(floor({steps} * CAST(e AS DOUBLE)) AS BIGINT)) AS x FROM embeddings "
+        f"WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims})",
+        f"c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, x FROM (SELECT x, sha256('{seed}:' || vec_id) AS h FROM v ORDER BY h LIMIT {k}))",
+        assign.format(r=0),
+    ]
+    for r in range(1, rounds + 1):
+        parts += [move.format(r=r, p=r - 1, dims=dims), assign.format(r=r)]
+    last = f"a{rounds}"
+    return (
+        "WITH " + ",\n".join(parts) + f"\nSELECT v.vec_id, a.c AS cluster, CAST(a.d AS BIGINT) AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, "
+        f"CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(o.x, ',')) AS centroid_sha256\nFROM {last} a JOIN v USING (id) JOIN c{rounds} o ON o.c = a.c"
+    )
+
+
+CLUSTERS = _clusters()

@@ -188,7 +188,7 @@ def test_bpe_tables(table):
     got = byte_bpe.decode_bpe(coded, path).collect()
     want = sorted((str(i), enc.encode_ordinary(t or ""), t or "") for i, t, _, _ in rows)
     assert sorted((str(r["doc_id"]), np.frombuffer(r["ids"], "<u4").tolist(), r["text"]) for r in got) == want
-    assert byte_bpe.encode_bpe(table([(1, "a")], "ids long, text string"), path).columns == ["ids", "ids_"]
+    assert byte_bpe.encode_bpe(table([(1, "a")], "ids long, text string"), path, "ids").columns == ["ids", "ids_"]
     assert byte_bpe.decode_bpe(table([], "ids binary, text string, _ids int"), path).collect() == []
     assert byte_bpe.decode_bpe(table([(None, "old")], "ids binary, Text string"), path).collect() == [(None, "")]
 

@@ -7,14 +7,26 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import total
 from ..plans.fitting import row_components
 from ..plans.recipes import ColumnParams, RowNormalization, RowParams
-from ..sources.layouts import LITERALS, Coo, Matrix, Wide, matched, vector_table
-from . import sparse, weighted
+from ..sources.chunks import ChunkedMatrix
+from ..sources.layouts import LITERALS, Coo, Matrix, Wide, looked_up, matched, vector_table
+from . import blocks, sparse, weighted
+
+
+def _index(at: Any, size: int, what: str) -> int:
+    """A number from 0; negative ones count from the end. Booleans are no numbers here."""
+    if isinstance(at, (bool, np.bool_)):
+        raise TypeError(f"a {what} is named by a whole number")
+    at = operator.index(at)
+    if not -size <= at < size:
+        raise IndexError(f"{what} {at} is out of bounds for {size}")
+    return at % size
 
 
 def _normalized(x: Column, center: Column | None, scale: Column | None) -> Column:
@@ -64,7 +76,7 @@ def apply_stage(m: Any, stage: Any) -> Any:
     if isinstance(stage, RowParams):
         m = m.dense()
         own = stage.table.select(stage.key, "center", "scale")
-        joined = matched(m.df, m.key, own, {"center": "_c", "scale": "_s"}, "table of row parameters")
+        joined = looked_up(m.df, m.key, own, {"center": "_c", "scale": "_s"}, "table of row parameters")
         return _row_stage(m, joined, F.col("_c") if stage.centered else None, F.col("_s") if stage.scaled else None)
     if isinstance(stage, RowNormalization):
         m = m.dense()
@@ -113,6 +125,11 @@ class NormalizedFrame:
             self._low_rank = sparse.low_rank(self.raw, self.stages)
         return self._low_rank
 
+    @property
+    def chunked(self) -> bool:
+        """Whether products go chunk by chunk: column stages only, for rows would have to be put together for others."""
+        return isinstance(self.raw, ChunkedMatrix) and all(isinstance(s, ColumnParams) for s in self.stages)
+
     @property
     def key(self) -> str:
         return self.raw.key
@@ -174,6 +191,8 @@ class NormalizedFrame:
         first, rest = (b[0], b[1:]) if self.intercept else (None, b)
         if self.sparse is not None:
             out = sparse.matmat(self.sparse, rest, names)
+        elif self.chunked:
+            out = blocks.matmat(self.raw, self.stages, rest, names)
         else:
             m = self.matrix.dense()
             out = m.df.select(m.key, *[_dot(m, rest[:, r]).alias(n) for r, n in enumerate(names)])
@@ -186,10 +205,12 @@ class NormalizedFrame:
         return self.rmatmat([u])[:, 0]
 
     def rmatmat(self, us: Sequence[Any]) -> np.ndarray:
-        """A^T U for several long vectors, in one scan of the data."""
+        """A^T U for several long vectors: one scan of the data, and one join for all vectors that are tables."""
         k = len(us)
         if self.sparse is not None:
             out, sums = sparse.rmatmat(self.sparse, *self._with(self.sparse.rows, us))
+        elif self.chunked:
+            out, sums = blocks.rmatmat(self.raw, self.stages, *self._with(self.raw.keys(), us))
         else:
             m = self.matrix.dense()
             sums_and = weighted.sums(m, *self._with(m.df, us))
@@ -198,15 +219,10 @@ class NormalizedFrame:
         return np.vstack([sums.reshape(1, k), out]) if self.intercept else out
 
     def _with(self, df: DataFrame, us: Sequence[Any]) -> tuple[DataFrame, list[Column]]:
-        """``df`` with long vectors joined to it, and these as columns."""
-        cols = []
-        for r, u in enumerate(us):
-            if isinstance(u, DataFrame):
-                df = matched(df, self.key, u, {u.columns[1]: f"_u{r}"})
-                cols.append(F.col(f"_u{r}"))
-            else:
-                cols.append((F.col(u) if isinstance(u, str) else u).cast("double"))
-        return df, cols
+        """``df`` with long vectors joined to it, and these as columns. Tables are stacked by key and met once, however many there are."""
+        tables = {f"_u{r}": u for r, u in enumerate(us) if isinstance(u, DataFrame)}
+        cols = [F.col(f"_u{r}") if f"_u{r}" in tables else (F.col(u) if isinstance(u, str) else u).cast("double") for r, u in enumerate(us)]
+        return (matched(df, self.key, tables) if tables else df), cols
 
     def matvec_scaled(self, v: Any, alpha: float, out: DataFrame, beta: float, name: str = "value") -> DataFrame:
         """alpha * A v + beta * out. A zero alpha reads no matrix, a zero beta ignores the old values, even NaN."""
@@ -219,7 +235,7 @@ class NormalizedFrame:
         new = self.matvec(v, "_new")
         if beta == 0:
             return new.select(self.key, (F.lit(float(alpha)) * F.col("_new")).alias(name))
-        return matched(new, self.key, out, {value: "_old"}).select(self.key, (F.lit(float(alpha)) * F.col("_new") + F.lit(float(beta)) * F.col("_old")).alias(name))
+        return matched(new, self.key, {"_old": out.select(key, value)}).select(self.key, (F.lit(float(alpha)) * F.col("_new") + F.lit(float(beta)) * F.col("_old")).alias(name))
 
     def rmatvec_scaled(self, u: Any, alpha: float, out: Any, beta: float) -> np.ndarray:
         """alpha * A^T u + beta * out, with the same rules."""
@@ -242,17 +258,20 @@ class NormalizedFrame:
         other = np.asarray(other, float)
         if other.ndim not in (1, 2):
             raise ValueError("products take a vector or a matrix")
-        rows = self._placed(other.reshape(-1, other.shape[-1]))
-        return self.rmatmat(rows)[:, 0] if other.ndim == 1 else self.rmatmat(rows).T
-
-    def _placed(self, u: np.ndarray) -> list[DataFrame]:
-        """In-memory long vectors, one in each row of ``u``, as tables: their values go to the keys in ascending order."""
-        domain = self.raw.rows.select("i") if isinstance(self.raw, Coo) else self.matrix.dense().df.select(self.key)
-        keys = [r[0] for r in domain.orderBy(self.key).collect()]  # no more than the caller holds in memory
-        if len(keys) != u.shape[1]:
-            raise ValueError(f"the operand has {u.shape[1]} values for {len(keys)} rows")
-        schema = f"k {domain.schema[self.key].dataType.simpleString()}, u double"
-        return [domain.sparkSession.createDataFrame(list(zip(keys, map(float, one), strict=True)), schema) for one in u]
+        rows = other.reshape(-1, other.shape[-1])
+        placed = self._placed(rows)
+        got = self.rmatmat([placed.select("k", f"u{r}") for r in range(len(rows))])
+        return got[:, 0] if other.ndim == 1 else got.T
+
+    def _placed(self, u: np.ndarray) -> DataFrame:
+        """In-memory long vectors, one in each row of ``u``, as columns of a table: their values go to the keys in ascending order. Rows are counted before a key is fetched."""
+        raw = self.raw
+        domain = raw.keys() if isinstance(raw, ChunkedMatrix) else raw.rows.select("i") if isinstance(raw, Coo) else self.matrix.dense().df.select(self.key)
+        n = raw.count()
+        if n != u.shape[1]:
+            raise ValueError(f"the operand has {u.shape[1]} values for {n} rows")
+        keys = domain.orderBy(self.key).toArrow().column(0)  # no more than the caller holds in memory
+        return domain.sparkSession.createDataFrame(pa.table([keys, *map(pa.array, u)], ["k", *[f"u{r}" for r in range(len(u))]]))
 
     def __array_ufunc__(self, ufunc: Any, method: str, *inputs: Any, **options: Any) -> Any:
         """np.matmul(u, A) and u @ A come here for NumPy arrays u; other functions of NumPy do not apply."""
@@ -281,22 +300,26 @@ class NormalizedFrame:
         """A^T diag(w) A, both triangles."""
         w = F.lit(1.0) if w is None else w
         if self.sparse is not None:
-            df, cols = self._with(self.sparse.rows, [w])
-            full = sparse.gram(self.sparse, df, cols[0])
+            full = self.gram_pairs(w).dense()
         else:
             m = self.matrix.dense()
             df, cols = self._with(m.df, [w])
             full = weighted.gram(m, df, cols[0])
         return full if self.intercept else full[1:, 1:]
 
+    def gram_pairs(self, w: Any = None) -> sparse.GramParts:
+        """The same for coordinates with many columns: stored pairs stay a table, the background comes as vectors of p numbers."""
+        if self.sparse is None:
+            raise ValueError("only coordinates that are not filled have stored pairs")
+        df, cols = self._with(self.sparse.rows, [F.lit(1.0) if w is None else w])
+        return sparse.gram_parts(self.sparse, df, cols[0])
+
     # Columns, rows, selections
 
     def column(self, j: int, name: str = "value") -> DataFrame:
         """Key and the normalized column j; negative j count from the end."""
-        p, j = self.raw.ncols, operator.index(j)
-        if not -p <= j < p:
-            raise IndexError("the column is out of bounds")
-        j %= p
+        p = self.raw.ncols
+        j = _index(j, p, "column")
         if self.sparse is not None:
             return sparse.column(self.sparse, j, name)
         only = [s.select(j, j + 1) if isinstance(s, ColumnParams) else s for s in self.stages]
@@ -323,7 +346,15 @@ class NormalizedFrame:
             raise TypeError("only coordinates have corrections")
         if self.sparse is None:
             raise ValueError("a row recipe after a centered stage fills the rows; freeze its parameters first")
-        return sparse.corrections(self.sparse, range(self.raw.ncols)[operator.index(j)])
+        return sparse.corrections(self.sparse, _index(j, self.raw.ncols, "column"))
+
+    def row_corrections(self, key: Any) -> tuple[np.ndarray, DataFrame]:
+        """Of coordinates: the normalized values of a row of raw zeros, and what its stored entries add to them (column number and value)."""
+        if not isinstance(self.raw, Coo):
+            raise TypeError("only coordinates have corrections")
+        if self.sparse is None:
+            raise ValueError("a row recipe after a centered stage fills the rows; freeze its parameters first")
+        return sparse.row_corrections(self.sparse, key)
 
     def normalize_value(self, key: Any, j: int, value: float) -> float:
         """What ``value`` in place of entry (key, j) is after the stages with their parameters as fitted."""
@@ -357,6 +388,10 @@ class NormalizedFrame:
         start, stop = cols or (0, self.raw.ncols)
         if not 0 <= start <= stop <= self.raw.ncols:
             raise ValueError("the columns are out of bounds")
+        if self.chunked and all(k is None or isinstance(k, int) for k in rows or ()):
+            low, high = self.raw.rows
+            inside = None if rows is None else (min(max(rows[0], low), high), max(min(rows[1], high), min(max(rows[0], low), high)))
+            return NormalizedFrame(self.raw.rectangle(inside, (start, stop)), [s.select(start, stop) for s in self.stages], self.intercept)
         keep = lambda m: m if rows is None else m.where((F.col(m.key) >= F.lit(rows[0])) & (F.col(m.key) < F.lit(rows[1])))
         if all(isinstance(s, ColumnParams) for s in self.stages):  # columns outside are not read
             return NormalizedFrame(keep(self.raw).select(start, stop), [s.select(start, stop) for s in self.stages], self.intercept)
@@ -464,10 +499,23 @@ class Transposed:
         return self.__matmul__(inputs[1]) if inputs[0] is self else self.__rmatmul__(inputs[0])
 
     def __getitem__(self, at: Any) -> DataFrame:
-        """T[:, key]: a row of the matrix, as column number and value."""
+        """T[:, k]: a row of the matrix, as column number and value. Rows whose keys are numbers from 0 are counted from the end by negative ones; any other key that is not there raises."""
         if not (isinstance(at, tuple) and len(at) == 2 and at[0] == slice(None)):
             raise TypeError("only columns can be taken: T[:, key]")
-        return self.T.row(at[1])
+        key, raw = at[1], self.T.raw
+        if isinstance(key, (bool, np.bool_)):
+            raise TypeError("a column of the transpose is named by a key")
+        if isinstance(raw, ChunkedMatrix) or isinstance(raw, Coo) and raw._rows is None:
+            return self.T.row(_index(key, raw.count(), "row"))
+        domain = (raw.rows if isinstance(raw, Coo) else raw.df).select(self.T.key)
+        if isinstance(key, (int, np.integer)) and key < 0:  # from the end of the keys in ascending order
+            found = [r[0] for r in domain.orderBy(F.desc(self.T.key)).limit(-int(key)).collect()]
+            if len(found) < -key:
+                raise IndexError(f"row {key} is out of bounds for {len(found)}")
+            return self.T.row(found[-1])
+        if not domain.filter(F.col(self.T.key) == F.lit(key)).limit(1).count():
+            raise IndexError(f"there is no row {key}")
+        return self.T.row(key)
 
     def toarray(self) -> np.ndarray:
         return self.T.toarray().T

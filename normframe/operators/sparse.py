@@ -8,19 +8,21 @@ raw matrix, R has a column and B a row for each such product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import RowVector
+from ..functions.numeric import NAN, RowVector, nan_max, nan_min, normal_range, usable_scale
 from ..plans.fitting import row_components
 from ..plans.recipes import ColumnParams, RowNormalization, RowParams
-from ..sources.layouts import Coo, matched, vector_table
+from ..plans.selection import Target, linear_quantiles, order_statistics
+from ..sources.layouts import Coo, looked_up, vector_table
 
 #: Rows that a task turns into one block for a Gram matrix.
 BLOCK_ROWS = 1024
@@ -61,7 +63,7 @@ class LowRank:
         """``table``: key, center, scale of each row."""
         at = len(self.factors)
         c, s = f"_c{at}", f"_s{at}"
-        rows = matched(self.rows, "i", table.select(table.columns[0], "center", "scale"), {"center": c, "scale": s}, "table of row parameters")
+        rows = looked_up(self.rows, "i", table.select(table.columns[0], "center", "scale"), {"center": c, "scale": s}, "table of row parameters")
         entries, names, back = self.entries, list(self.factors), list(self.back)
         if centered:
             rows = rows.withColumn(c, -F.col(c))
@@ -76,14 +78,98 @@ class LowRank:
         return replace(self, entries=entries, rows=rows, factors=tuple(names), back=tuple(back))
 
 
+#: Stored entries of a row that are sorted in one list; quantiles of longer rows come from histograms that all tasks fill.
+LONG_ROW = 1_000_000
+
+
 def row_table(entries: DataFrame, rows: DataFrame, ncols: int, recipe: Any) -> DataFrame:
-    """(i, center, scale) of the rows of a matrix whose background is zero: a row's values are its stored ones, and zeros, in any order."""
-    stored = rows.join(entries.groupBy("i").agg(F.collect_list("v").alias("x")), "i", "left")
-    x = F.coalesce("x", F.array().cast("array<double>"))
-    filled = stored.select("i", F.concat(x, F.array_repeat(F.lit(0.0), F.lit(ncols) - F.size(x))).alias("x"))
-    center, scale = row_components(RowVector(F.col("x"), ncols), recipe)
-    none = F.lit(None).cast("double")
-    return filled.select("i", (none if center is None else center).alias("center"), (none if scale is None else scale).alias("scale"))
+    """(i, center, scale) of the rows of a matrix whose background is zero, from what is stored.
+
+    Sums, extremes and deviations are aggregates of stored entries, added up in
+    part before the shuffle; the zeros of a row come in by their number. Ranks
+    are looked up among stored values and counted zeros. Rows are not filled,
+    however many columns there are. Lazy, but for quantiles, which count the longest rows.
+    """
+    p = ncols
+    if not p:
+        center, scale = row_components(RowVector([], 0), recipe)
+        none = F.lit(None).cast("double")
+        return rows.select("i", (none if center is None else center).alias("center"), (none if scale is None else scale).alias("scale"))
+    v = F.col("v")
+    stored = entries.groupBy("i").agg(
+        F.count(F.lit(1)).alias("k"), F.sum(v).alias("sum"), nan_min(v).alias("low"), nan_max(v).alias("high"), F.sum(F.abs(v)).alias("l1"), F.sum(v * v).alias("l2"),
+        F.count_if(v < 0).alias("less"), F.count_if(v > 0).alias("more"),
+    )
+    base = rows.select("i").join(stored, "i", "left")
+    base = base.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("k", "sum", "l1", "l2", "less", "more")})
+    zeros = F.lit(p) - F.col("k")
+    low, high = (F.when(F.col("k") == 0, 0.0).when(F.isnan(c), F.lit(NAN)).when(zeros > 0, f(F.col(c), F.lit(0.0))).otherwise(F.col(c)) for c, f in (("low", F.least), ("high", F.greatest)))
+    base = base.withColumns({"low": low, "high": high, "mean": F.col("sum") / F.lit(float(p)), "zeros": zeros})
+    qs = ([0.5] if recipe.center == "median" else []) + (list(recipe.quantile_range) if recipe.scale == "quantile_range" else [])
+    places = linear_quantiles(p, qs)
+    if qs:
+        ranks = sorted({r for place in places for r in place[:2]})
+        base = base.join(_row_ranks(entries, base, p, ranks), "i", "left")
+        at = {r: F.when(F.isnan("high"), F.lit(NAN)).when(F.col("v_ranks").isNull(), 0.0).otherwise(F.col("v_ranks")[k]) for k, r in enumerate(ranks)}
+        blend = lambda place, f=lambda x: x: f(at[place[0]]) if not place[2] else f(at[place[0]]) + (f(at[place[1]]) - f(at[place[0]])) * F.lit(place[2])
+    center = {"none": None, "mean": F.col("mean"), "min": F.col("low"), "median": blend(places[0]) if recipe.center == "median" else None}[recipe.center]
+    base = base.withColumn("center", F.lit(None).cast("double") if center is None else center)
+    away = "mean" if recipe.scale == "sd" else "center" if center is not None and recipe.scale in ("l1", "l2", "maxabs") else None
+    if away:  # a second pass: deviations from a value of the row
+        d = F.col("v") - F.col("_away")
+        moved = entries.join(base.select(F.col("i").alias("_i"), F.col(away).alias("_away")), F.col("i") == F.col("_i")).groupBy("i").agg(
+            F.sum(d).alias("d"), F.sum(d * d).alias("dd"), F.sum(F.abs(d)).alias("da"), nan_max(F.abs(d)).alias("dm")
+        )
+        c = F.col(away)
+        base = base.join(moved, "i", "left").withColumns({n: F.coalesce(n, F.lit(0.0)) for n in ("d", "dd", "da")})
+        implied = lambda x: F.when(F.col("zeros") > 0, F.col("zeros") * x).otherwise(0.0)
+        off, square, absolute = F.col("d") - implied(c), F.col("dd") + implied(c * c), F.col("da") + implied(F.abs(c))
+        most = F.when(F.col("k") == 0, F.abs(c)).when(F.col("zeros") > 0, F.greatest("dm", F.abs(c))).otherwise(F.col("dm"))
+    else:
+        square, absolute = F.col("l2"), F.col("l1")
+        most = F.when(F.isnan("high"), F.lit(NAN)).otherwise(F.greatest(F.abs("low"), F.abs("high")))
+    if recipe.scale == "none":
+        return base.select("i", "center", F.lit(None).cast("double").alias("scale"))
+    if recipe.scale == "sd":
+        scale = F.lit(NAN) if p <= recipe.df else F.sqrt(F.greatest(square - off * off / F.lit(float(p)), F.lit(0.0)) / F.lit(float(p - recipe.df)))
+    elif recipe.scale == "range":
+        scale = F.col("high") - F.col("low")
+    elif recipe.scale == "quantile_range":
+        lower, upper = (blend(place, lambda x: x - F.col("low")) for place in places[-2:])
+        scale = upper - lower
+        if recipe.unit_variance:
+            scale = scale / F.lit(normal_range(*recipe.quantile_range))
+    else:
+        scale = {"maxabs": most, "l1": absolute, "l2": F.sqrt(square)}[recipe.scale]
+    return base.select("i", "center", usable_scale(scale).alias("scale"))
+
+
+def _row_ranks(entries: DataFrame, base: DataFrame, p: int, ranks: Sequence[int]) -> DataFrame:
+    """(i, v_ranks): each row's values at the ranks, for rows with stored values other than zero."""
+    found = entries.filter("v != 0")
+    counted = base.select("i", "less", "more")
+    place = lambda r, less, more: r if r < less else None if r < p - more else r - (p - more) + less  # noqa: E731  among values other than zero
+    long = [tuple(r) for r in counted.filter(F.col("less") + F.col("more") > LONG_ROW).collect()]  # few, for each has so many entries
+    listed = found.groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("_v")) if not long else None
+    kind = entries.schema["i"].dataType.simpleString()
+    if long:
+        spark = entries.sparkSession
+        numbers = F.broadcast(spark.createDataFrame([(i, k) for k, (i, _, _) in enumerate(long)], f"_i {kind}, _k bigint"))
+        met = found.join(numbers, F.col("i") == F.col("_i"), "left")
+        targets = [[None if (at := place(r, less, more)) is None else Target(k, at) for r in ranks] for k, (_, less, more) in enumerate(long)]
+
+        def flat(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+        order_statistics(met.filter("_k is not null").select("_k", "v"), flat, [t for own in targets for t in own if t is not None])
+        known = [(i, [0.0 if t is None else t.value for t in own]) for (i, _, _), own in zip(long, targets, strict=True)]
+        rest = met.filter("_k is null").groupBy("i").agg(F.array_sort(F.collect_list("v")).alias("_v"))
+    else:
+        known, rest = [], listed
+    less, more = F.col("less"), F.col("more")
+    pick = [F.when(F.lit(r) < less, F.element_at("_v", F.lit(r + 1))).when(F.lit(r) < F.lit(p) - more, 0.0).otherwise(F.try_element_at("_v", (F.lit(r + 1 - p) + more + less).cast("int"))) for r in ranks]
+    out = rest.join(counted, "i").select("i", F.array(*pick).alias("v_ranks"))
+    return out.unionByName(entries.sparkSession.createDataFrame(known, f"i {kind}, v_ranks array<double>")) if known else out
 
 
 def low_rank(raw: Coo, stages: Sequence[Any]) -> LowRank | None:
@@ -138,11 +224,14 @@ def rmatmat(z: LowRank, rows: DataFrame, us: Sequence[Column]) -> tuple[np.ndarr
 def _by_row(z: LowRank, rows: DataFrame, weight: Column) -> DataFrame:
     """(w, f, cells): each row's weight, its factors with a one before them, and its stored entries in one list, of p at most."""
     cells = z.entries.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells"))
-    factors = F.array(F.lit(1.0), *[z.factor(f) for f in range(len(z.factors))])
-    joined = rows.select("i", weight.alias("w"), factors.alias("f")).join(cells, "i", "left")
+    joined = rows.select("i", weight.alias("w"), _factors(z).alias("f")).join(cells, "i", "left")
     return joined.select("w", "f", F.coalesce("cells", F.array().cast("array<struct<j:bigint,v:double>>")).alias("cells"))
 
 
+def _factors(z: LowRank) -> Column:
+    return F.array(F.lit(1.0), *[z.factor(f) for f in range(len(z.factors))])
+
+
 def _row_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Weights, factors (rows x 1 + k), and row, column and value of the stored entries, for blocks of rows."""
     for whole in batches:
@@ -153,23 +242,137 @@ def _row_blocks(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.
             yield batch.column(0).to_numpy(zero_copy_only=False), factors, row, entry.field("j").to_numpy(zero_copy_only=False), entry.field("v").to_numpy(zero_copy_only=False)
 
 
+def _sum_tree(x: np.ndarray) -> list[np.ndarray]:
+    """Sums of 1, 2, 4, ... consecutive rows, aligned."""
+    levels = [np.vstack((x, np.zeros(((1 << max(0, len(x) - 1).bit_length()) - len(x), x.shape[1]))))]
+    while len(levels[-1]) > 1:
+        levels.append(levels[-1][0::2] + levels[-1][1::2])
+    return levels
+
+
+def _range_sums(tree: Sequence[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Sums of rows low .. high - 1 for many ranges: two aligned pieces a level, and no difference of totals."""
+    out, low, high = np.zeros((len(low), tree[0].shape[1])), low.copy(), high.copy()
+    for level in tree:
+        left = np.flatnonzero((low < high) & (low & 1 == 1))
+        out[left] += level[low[left]]
+        low[left] += 1
+        right = np.flatnonzero((low < high) & (high & 1 == 1))
+        high[right] -= 1
+        out[right] += level[high[right]]
+        low, high = low >> 1, high >> 1
+    return out
+
+
+def _gaps(group: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ranges between the places ``at`` of each group (both sorted), before the first and behind the last: group number of each, and its bounds."""
+    first = np.flatnonzero(np.diff(group, prepend=group[:1] - 1))
+    last = np.append(first[1:], len(group)) - 1
+    number = np.zeros(len(group), np.int64)
+    number[first[1:]] = 1
+    number = np.cumsum(number)
+    low, high = np.zeros(len(group), np.int64), at
+    inner = np.ones(len(group), bool)
+    inner[first] = False
+    low[inner] = at[:-1][inner[1:]] + 1
+    return np.concatenate((number, np.arange(len(first)))), np.concatenate((low, at[last] + 1)), np.concatenate((high, np.full(len(first), size)))
+
+
+def _background(sums: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What sums of weighted factors (ranges x k) add to columns with backgrounds ``b`` (k x ranges)."""
+    return (sums.T * b).sum(0)
+
+
+#: Rows that a task takes together in ``weighted_sums``.
+SUM_ROWS = 1 << 14
+
+
 def weighted_sums(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
-    """Sums of w_i [1, A]_ij over rows.
+    """Sums of w_i [1, A]_ij over rows, with work in proportion to what is stored.
 
-    A task puts the entries of a block of rows together before it weights them:
-    no difference of totals is taken, so weights that are infinite or cancel do
-    no harm to other columns.
+    A stored entry is normalized before it is weighted. The rows that a column
+    has no entry in are ranges between those it has: their weighted factors come from
+    a tree of sums, within blocks of rows, and then over the blocks in which the
+    column has none. No difference of totals is taken, so weights that cancel do
+    no harm; rows with weights that are not finite are added entry by entry.
     """
     p, k, b = z.ncols, len(z.factors), z.b
+    names = [f"_g{f}" for f in range(1 + k)]
+    blocks = max(1, -(-rows.count() // SUM_ROWS))
+    block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
+    own = rows.select("i", block.alias("block"), weight.alias("w"), _factors(z).alias("f"))
+    even = ~F.exists(F.transform("f", lambda f: f * F.col("w")), lambda x: F.isnan(x) | (F.abs(x) == F.lit(np.inf)))
+    parts = own.groupBy("block").agg(F.count_if(~even).alias("odd"), *[F.coalesce(F.sum(F.when(even, F.col("f")[f] * F.col("w"))), F.lit(0.0)).alias(n) for f, n in enumerate(names)]).collect()
+    totals = np.zeros((blocks, 1 + k))
+    for r in parts:
+        totals[r["block"]] = r[2:]
+    out = np.zeros(p + 1)
+    if any(r["odd"] for r in parts):
+        out += _weighted_rows(z, rows.filter(_odd(z, weight)), weight)
+    whole = _sum_tree(totals)
+    out[0] += whole[-1][0, 0]
+    rest = own.filter(even)
+    if not k:  # zeros stay zeros
+        met = z.entries.join(rest.select(F.col("i").alias("_i"), "w"), F.col("i") == F.col("_i"))
+        found = [(r[0], r[1], []) for r in met.groupBy("j").agg(F.sum(F.col("v") * F.col("w"))).collect()]
+    else:
+        stored = z.entries.select("i", "j", "v", block.alias("block"))
+        sums = rest.groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(_block_sums(b, k), "j bigint, block int, s double")
+        found = sums.groupBy("j").agg(F.sum("s"), F.sort_array(F.collect_list("block"))).collect()
+    here = np.zeros(p, bool)
+    for j, s, in_blocks in found:
+        here[j] = True
+        if k:
+            _, low, high = _gaps(np.zeros(len(in_blocks), np.int64), np.array(in_blocks), blocks)
+            s += _background(_range_sums(whole, low, high)[:, 1:].sum(0, keepdims=True), b[:, j : j + 1])[0]
+        out[1 + j] += s
+    if k:
+        out[1:][~here] += _background(np.broadcast_to(whole[-1][0, 1:], (int((~here).sum()), k)), b[:, ~here])
+    return out
+
+
+def _odd(z: LowRank, weight: Column) -> Column:
+    return F.exists(F.transform(_factors(z), lambda f: f * weight), lambda x: F.isnan(x) | (F.abs(x) == F.lit(np.inf)))
+
+
+def _block_sums(b: np.ndarray, k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """For a block of rows and its stored entries: each stored column's sum over all rows of the block."""
+
+    def add(rows: pa.Table, stored: pa.Table) -> pa.Table:
+        place = pc.index_in(stored.column("i"), rows.column("i").combine_chunks())
+        some = pc.is_valid(place)
+        stored, at = stored.filter(some), place.filter(some).to_numpy().astype(np.int64)
+        if not len(at):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.float64())], ["j", "block", "s"])
+        j, v = (stored.column(c).to_numpy() for c in ("j", "v"))
+        order = np.lexsort((at, j))
+        j, v, at = j[order], v[order], at[order]
+        w = rows.column("w").to_numpy()
+        f = rows.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(w), 1 + k)[:, 1:]
+        first = np.flatnonzero(np.diff(j, prepend=j[:1] - 1))
+        s = np.add.reduceat(w[at] * (v + (f[at] * b[:, j].T).sum(1)), first)
+        number, low, high = _gaps(j, at, len(w))
+        missing = _background(_range_sums(_sum_tree(w[:, None] * f), low, high), b[:, j[first][number]])
+        s += np.bincount(number, missing, minlength=len(first))
+        return pa.table([pa.array(j[first]), pa.array(np.full(len(first), rows.column("block")[0].as_py(), np.int32)), pa.array(s)], ["j", "block", "s"])
+
+    return add
+
+
+def _weighted_rows(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
+    """The same sums over rows taken entry by entry."""
+    p, k, b = z.ncols, len(z.factors), z.b
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros(p + 1)
         for w, factors, row, j, v in _row_blocks(batches, k):
+            ends = np.searchsorted(row, np.arange(len(w) + 1))
             with np.errstate(invalid="ignore"):
-                entries = factors[:, 1:] @ b if k else np.zeros((len(w), p))  # a block of backgrounds, with what is stored on top
-                np.add.at(entries, (row, j), v)
-                acc[0] += w.sum()
-                acc[1:] += (w[:, None] * entries).sum(0)
+                for r in range(len(w)):
+                    entries = factors[r, 1:] @ b if k else np.zeros(p)
+                    entries[j[ends[r] : ends[r + 1]]] += v[ends[r] : ends[r + 1]]
+                    acc[0] += w[r]
+                    acc[1:] += w[r] * entries
         yield pa.RecordBatch.from_arrays([pa.array(range(p + 1), pa.int64()), pa.array(acc)], ["j", "v"])
 
     out = np.zeros(p + 1)
@@ -178,31 +381,108 @@ def weighted_sums(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
     return out
 
 
-def gram(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
-    """The weighted Gram matrix of [1, A]. A row's stored entries meet in one list; a task multiplies blocks of such rows and hands on one matrix."""
+#: Columns of a tile, the share of stored entries that makes a block's tile dense, dense results a task holds, and pairs it makes at once.
+TILE, DENSE, MOST_TILES, MOST_PAIRS = 512, 1 / 16, 16, 2_000_000
+
+
+@dataclass(frozen=True)
+class GramParts:
+    """The weighted Gram matrix of [1, A], A = D + R B, in parts: ``pairs`` (j, k, g) with j <= k of D, as stored pairs make them;
+    ``cross``: of [1, R] and D; ``own``: of [1, R] alone; ``back``: B."""
+
+    pairs: DataFrame
+    cross: np.ndarray
+    own: np.ndarray
+    back: np.ndarray
+
+    def rest(self, j: int, k: int) -> float:
+        """What the background adds to the entry of columns j and k of A."""
+        c, b = self.cross[1:], self.back
+        return float(b[:, j] @ c[:, k] + c[:, j] @ b[:, k] + b[:, j] @ self.own[1:, 1:] @ b[:, k])
+
+    def dense(self) -> np.ndarray:
+        """The whole matrix on the driver, both triangles; index 0 is the intercept."""
+        p = self.cross.shape[1]
+        out = np.zeros((p + 1, p + 1))
+        got = self.pairs.toArrow()
+        j, k, g = (got.column(n).to_numpy() for n in ("j", "k", "g"))
+        out[1 + j, 1 + k] = out[1 + k, 1 + j] = g
+        if len(self.back):
+            mixed = self.back.T @ self.cross[1:]
+            out[1:, 1:] += mixed + mixed.T + self.back.T @ self.own[1:, 1:] @ self.back
+        out[0, 0] = self.own[0, 0]
+        out[0, 1:] = out[1:, 0] = self.cross[0] + self.own[0, 1:] @ self.back
+        return np.triu(out) + np.triu(out, 1).T
+
+
+def gram_parts(z: LowRank, rows: DataFrame, weight: Column) -> GramParts:
+    """Pairs of stored entries of a row meet by tiles of columns. Nothing of size p x p is in a task or on the driver."""
     p, k = z.ncols, len(z.factors)
-    size = 1 + k + p  # the ones, the row factors, and the columns of D
+    f = [F.lit(1.0), *[z.factor(a) for a in range(k)]]
+    own = np.array(rows.agg(*[F.coalesce(F.sum(a * weight * c), F.lit(0.0)) for a in f for c in f]).first(), float).reshape(1 + k, 1 + k)
+    known = rows.select(F.col("i").alias("_i"), weight.alias("w"), *[(a * weight).alias(f"_g{n}") for n, a in enumerate(f)])
+    met = z.entries.join(known, F.col("i") == F.col("_i"))
+    cross = np.zeros((1 + k, p))
+    for r in met.groupBy("j").agg(*[F.sum(F.col("v") * F.col(f"_g{n}")) for n in range(1 + k)]).collect():
+        cross[:, r[0]] = r[1:]
+    cells = met.groupBy("i").agg(F.first("w").alias("w"), F.array(F.lit(1.0)).alias("f"), F.collect_list(F.struct("j", "v")).alias("cells")).select("w", "f", "cells")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((size, size))
-        for w, factors, row, j, v in _row_blocks(batches, k):
-            x = np.zeros((len(w), size))
-            x[:, : 1 + k] = factors
-            x[row, 1 + k + j] = v
-            with np.errstate(invalid="ignore"):
-                acc += x.T @ (w[:, None] * x)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int64()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["r", "g"])
-
-    added = _by_row(z, rows, weight).mapInArrow(partial, "r bigint, g array<double>").select("r", F.posexplode("g").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
-    g = np.zeros((size, size))
-    for row in added.collect():
-        g[row["r"], row["c"]] = row["v"]
-    with_ones = np.zeros((p + 1, size))  # [1, A] in terms of the ones, factors and stored columns
-    with_ones[0, 0] = 1
-    with_ones[1:, 1 : 1 + k] = z.b.T
-    with_ones[1:, 1 + k :] = np.eye(p)
-    full = with_ones @ g @ with_ones.T
-    return np.triu(full) + np.triu(full, 1).T
+        tiles: dict[tuple[int, int], np.ndarray] = {}
+        for w, _, row, j, v in _row_blocks(batches, 0):
+            yield from _pair_products(w, row, j, v, p, tiles)
+            if len(tiles) > MOST_TILES:
+                yield from _tile_rows(tiles)
+        yield from _tile_rows(tiles)
+
+    products = cells.mapInArrow(partial, "j bigint, k bigint, g double")
+    return GramParts(products.groupBy("j", "k").agg(F.sum("g").alias("g")), cross, own, z.b)
+
+
+def _tile_rows(tiles: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The dense results a task holds, as rows; it starts anew."""
+    for (a, c), g in tiles.items():
+        j, k = np.nonzero(np.triu(g != 0) if a == c else g != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(j + a * TILE), pa.array(k + c * TILE), pa.array(g[j, k])], ["j", "k", "g"])
+    tiles.clear()
+
+
+def _pair_products(w: np.ndarray, row: np.ndarray, j: np.ndarray, v: np.ndarray, p: int, tiles: dict[tuple[int, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Products of one block of rows: tiles that are dense in it are multiplied as matrices into ``tiles``; other pairs are listed and added up by place."""
+    tile = j // TILE
+    number, count = np.unique(tile, return_counts=True)
+    full = number[count >= DENSE * len(w) * np.minimum(TILE, p - number * TILE)]
+    thick = np.isin(tile, full)
+    blocks = {}
+    for t in full.tolist():
+        mine = tile == t
+        blocks[t] = np.zeros((len(w), min(TILE, p - t * TILE)))
+        blocks[t][row[mine], j[mine] - t * TILE] = v[mine]
+    with np.errstate(invalid="ignore", over="ignore"):
+        for n, a in enumerate(full.tolist()):
+            for c in full.tolist()[n:]:
+                if len(tiles) > MOST_TILES and (a, c) not in tiles:
+                    yield from _tile_rows(tiles)
+                g = blocks[a].T @ (w[:, None] * blocks[c])
+                tiles[a, c] = tiles[a, c] + g if (a, c) in tiles else g
+    order = np.lexsort((thick, row))  # a row's thin entries first: each meets itself and what follows
+    row, j, v, thin = row[order], j[order], v[order], np.flatnonzero(~thick[order])
+    end = np.searchsorted(row, row[thin], side="right")
+    upto = np.cumsum(end - thin)
+    start = 0
+    while start < len(thin):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + MOST_PAIRS, side="right")))
+        one, many = thin[start:stop], end[start:stop] - thin[start:stop]
+        first = np.repeat(one, many)
+        second = first + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        low, high = np.minimum(j[first], j[second]), np.maximum(j[first], j[second])
+        with np.errstate(invalid="ignore", over="ignore"):
+            g = v[first] * w[row[first]] * v[second]
+        by = np.lexsort((high, low))
+        low, high = low[by], high[by]
+        cut = np.flatnonzero((np.diff(low, prepend=-1) != 0) | (np.diff(high, prepend=-1) != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(low[cut]), pa.array(high[cut]), pa.array(np.add.reduceat(g[by], cut))], ["j", "k", "g"])
+        start = stop
 
 
 def column(z: LowRank, j: int, name: str) -> DataFrame:
@@ -223,3 +503,11 @@ def corrections(z: LowRank, j: int) -> tuple[float | DataFrame, DataFrame]:
     for f in range(len(z.factors)):
         y = y + z.factor(f) * F.lit(float(z.b[f, j]))
     return z.rows.select("i", y.alias("value")), stored
+
+
+def row_corrections(z: LowRank, key: Any) -> tuple[np.ndarray, DataFrame]:
+    """The values of a row of raw zeros, and what its stored entries add to them."""
+    own = z.rows.filter(F.col("i") == F.lit(key)).select(*[z.factor(f).alias(f"f{f}") for f in range(len(z.factors))], F.lit(1.0).alias("there")).first()
+    if own is None:
+        raise IndexError("the row is not there")
+    return np.array(own[:-1], float) @ z.b if z.factors else np.zeros(z.ncols), z.entries.filter(F.col("i") == F.lit(key)).select("j", F.col("v").alias("value"))

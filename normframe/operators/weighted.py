@@ -25,12 +25,22 @@ def sums(m: Any, df: DataFrame, weights: Sequence[Column]) -> np.ndarray:
         exprs = [F.sum(x * w) for x in m.row().values for w in weights] + [F.sum(w) for w in weights]
         row = df.agg(*[F.coalesce(e, F.lit(0.0)) for e in exprs]).first()
         return np.array(row, float).reshape(p + 1, k)
-    x, w = m.row().array(), F.array(*weights)
-    entries = df.select(w.alias("_w"), F.posexplode(F.concat(x, F.array(F.lit(1.0)))).alias("_j", "_v"))
-    rows = entries.groupBy("_j").agg(*[F.sum(F.col("_v") * F.col("_w")[r]).alias(f"s{r}") for r in range(k)]).collect()
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = np.zeros((p + 1, k))
+        for batch in batches:
+            x, w = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in (0, 1))
+            with np.errstate(invalid="ignore", over="ignore"):
+                acc[:p] += x.T @ w if p else 0.0
+                acc[p] += w.sum(0)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(p + 2) * k, pa.int32()), pa.array(acc.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p + 1)), lists], ["j", "s"])
+
+    # p + 1 rows of k sums a task, whatever its rows
+    parts = df.select(m.row().array().alias("x"), F.array(*weights).alias("w")).mapInArrow(partial, "j bigint, s array<double>")
     out = np.zeros((p + 1, k))
-    for r in rows:
-        out[r["_j"]] = r[1:]
+    for r in parts.groupBy("j").agg(*[F.sum(F.col("s")[c]) for c in range(k)]).collect():
+        out[r[0]] = r[1:]
     return out
 
 
@@ -74,14 +84,15 @@ class ColumnView:
         return (self.df if df is None else df).agg(F.coalesce(F.sum(value), F.lit(0.0))).first()[0]
 
     def _with(self, **vectors: Any) -> tuple[DataFrame, dict[str, Column]]:
-        df, cols = self.df, {}
+        cols: dict[str, Column] = {}
+        tables: dict[str, DataFrame] = {}
         for name, u in vectors.items():
             if isinstance(u, DataFrame):
-                df = matched(df, self.key, u, {u.columns[1]: f"_{name}"})
+                tables[f"_{name}"] = u
                 cols[name] = F.col(f"_{name}")
             else:
                 cols[name] = (F.col(u) if isinstance(u, str) else u).cast("double")
-        return df, cols
+        return (matched(self.df, self.key, tables) if tables else self.df), cols
 
     def sum(self) -> float:
         return self._sum(F.col("value"))
@@ -116,7 +127,7 @@ class ColumnView:
 def dot(a: DataFrame, b: DataFrame) -> float:
     """The inner product of two long vectors with equal keys; other keys raise."""
     key = a.columns[0]
-    return matched(a, key, b, {b.columns[1]: "_b"}).agg(F.coalesce(F.sum(F.col(a.columns[1]) * F.col("_b")), F.lit(0.0))).first()[0]
+    return matched(a, key, {"_b": b}).agg(F.coalesce(F.sum(F.col(a.columns[1]) * F.col("_b")), F.lit(0.0))).first()[0]
 
 
 def l2_norm(a: DataFrame) -> float:
@@ -126,7 +137,7 @@ def l2_norm(a: DataFrame) -> float:
 def axpy(alpha: float, a: DataFrame, b: DataFrame) -> DataFrame:
     """alpha * a + b, by key."""
     key, value = b.columns[:2]
-    return matched(b, key, a, {a.columns[1]: "_a"}).select(key, (F.lit(float(alpha)) * F.col("_a") + F.col(value)).alias(value))
+    return matched(b, key, {"_a": a}).select(key, (F.lit(float(alpha)) * F.col("_a") + F.col(value)).alias(value))
 
 
 def scale(alpha: float, a: DataFrame) -> DataFrame:

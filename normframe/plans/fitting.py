@@ -177,12 +177,15 @@ def row_components(row: RowVector, recipe: Recipe) -> tuple[Any, Any]:
 
 
 def fit_rows(matrix: Any, recipe: Recipe, allow_empty: bool = False) -> RowParams:
+    from ..operators.sparse import row_table
+    from ..sources.layouts import Coo
+
     if matrix.ncols == 0 and not allow_empty:
         raise ValueError("the matrix has no columns to fit on")
+    if isinstance(matrix, Coo):  # zeros are counted, not filled in
+        return RowParams(row_table(matrix.df, matrix.rows, matrix.ncols, recipe), matrix.key, recipe.center != "none", recipe.scale != "none")
     dense = matrix.dense()
     none = F.lit(None).cast("double")
     center, scale = row_components(dense.row(), recipe)
     table = dense.df.select(dense.key, (none if center is None else center).alias("center"), (none if scale is None else scale).alias("scale"))
     return RowParams(table, dense.key, center is not None, scale is not None)
-
-

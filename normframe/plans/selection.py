@@ -1,122 +1,169 @@
-"""Exact order statistics in bounded memory, by repeated scans that close in on them.
-
-A target is one rank of one column. It starts with the band of all values. Each
-round takes approximate percentiles inside the band as pivots, counts how many
-values lie below them, and keeps the part of the band that must hold the rank.
-A band with few values is sorted; a band of one value is the answer. No task
-holds more than a percentile sketch, or ``FEW`` values, for a target.
+"""Exact order statistics in bounded memory, by histograms of the bits of doubles.
+
+Doubles in their order are unsigned integers. A scan counts the values of a
+column by their leading bits; the bin with a wanted rank is the band of the next
+scan, which counts by the bits that follow. A bin also knows its smallest and
+largest value, so one that holds a single value ends the search. There are few
+scans (at most 4 of 16 bits; 1 or 2 for columns of few distinct values) whatever the
+number of rows, no sketch and no sort, and all columns and ranks share them. A task holds
+counts for a bounded number of bins, and only these are shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a band that are sorted in one aggregate, parts that pivots cut a band into, and the sketch's accuracy.
-FEW, PARTS, ACCURACY = 10_000, 400, 10_000
+#: Bins of all bands together that a task counts in arrays, and leading bits of one scan.
+BINS, MOST_BITS, LEAST_BITS = 1 << 20, 16, 4
+
+Cells = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]  # column numbers and values of a batch
+
+_SIGN = np.uint64(1 << 63)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as unsigned integers in the same order: both zeros are one, and a NaN is above all."""
+    bits = np.where(np.isnan(x), np.nan, x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | _SIGN)
+
+
+def double(key: int) -> float:
+    """The double with that number."""
+    bits = key & ~(1 << 63) if key >> 63 else ~key & ((1 << 64) - 1)
+    return float(np.uint64(bits).view(np.float64))
+
+
+INFINITY = int(ordered(np.array([math.inf]))[0])
 
 
 @dataclass
 class Target:
-    """The value at ``rank`` (from 0) of column ``j`` lies in [low, high], with ``below`` smaller values and ``inside`` in the band."""
+    """The value at ``rank`` (from 0) among those values of column ``j`` whose first ``depth`` bits are ``prefix``."""
 
     j: int
     rank: int
-    inside: int
-    low: float = -math.inf
-    high: float = math.inf
-    below: int = 0
-    halve: bool = False
+    depth: int = 0
+    prefix: int = 0
     value: float | None = None
 
 
-def _ordered(x: float) -> int:
-    """Doubles in their order as integers."""
-    bits = int(np.float64(x + 0.0).view(np.int64))
-    return bits if bits >= 0 else -(bits & 0x7FFFFFFFFFFFFFFF)
-
-
-def _double(n: int) -> float:
-    return float(np.int64(n).view(np.float64)) if n >= 0 else -float(np.int64(-n).view(np.float64))
-
-
-def _pivots(t: Target, cuts: Sequence[float] | None) -> tuple[float, float]:
-    """Two values of the band with the rank probably between them; the middle of the band if percentiles do not shrink it."""
-    if t.halve or not cuts:
-        mid = _double((_ordered(t.low) + _ordered(t.high)) // 2)
-        return mid, mid
-    at = (t.rank - t.below) / t.inside * PARTS
-    return cuts[max(0, math.floor(at) - 1)], cuts[min(PARTS, math.ceil(at) + 1)]
-
-
-def order_statistics(scan: Callable[[str, list[tuple[int, float, float]]], list], targets: list[Target], whole: dict[int, list[float]] | None = None) -> list[float]:
-    """The values of the targets. ``whole``: percentiles of whole columns, where they are known.
-
-    ``scan(kind, bands)`` answers for bands (j, a, b): 'percentiles' of the
-    values in [a, b]; 'counts' of values < a and <= b; 'values', sorted, in [a, b].
-    """
-    for t in targets:
-        if t.inside < 1:
-            raise ValueError("a rank needs a value")
-    while wide := [t for t in targets if t.low < t.high and t.inside > FEW]:
-        cuts = {id(t): whole[t.j] for t in wide if whole and t.j in whole and (t.low, t.high) == (-math.inf, math.inf)}
-        ask = [t for t in wide if not t.halve and id(t) not in cuts]
-        cuts |= dict(zip(map(id, ask), scan("percentiles", [(t.j, t.low, t.high) for t in ask]) if ask else [], strict=True))
-        pivots = [_pivots(t, cuts.get(id(t))) for t in wide]
-        for t, (a, b), (less, upto) in zip(wide, pivots, scan("counts", [(t.j, a, b) for t, (a, b) in zip(wide, pivots, strict=True)]), strict=True):
-            before, end = t.inside, t.below + t.inside
-            if t.rank < less:
-                t.high, t.inside = math.nextafter(a, -math.inf), less - t.below
-            elif t.rank >= upto:
-                t.low, t.below, t.inside = math.nextafter(b, math.inf), upto, end - upto
-            else:
-                t.low, t.high, t.below, t.inside = a, b, less, upto - less
-            t.halve = t.inside > before // 2
-    rest = [t for t in targets if t.low < t.high]
-    for t, values in zip(rest, scan("values", [(t.j, t.low, t.high) for t in rest]) if rest else [], strict=True):
-        t.value = values[t.rank - t.below]
-    return [t.low if t.value is None else t.value for t in targets]
-
-
-def percentiles(x: Column) -> Column:
-    """Approximate percentiles as pivots: an aggregate."""
-    return F.percentile_approx(x, [k / PARTS for k in range(PARTS + 1)], ACCURACY)
-
-
-def _answers(kind: str, x: Column, a: Column, b: Column) -> Column:
-    """The aggregate that answers for one band."""
-    inside = F.when((x >= a) & (x <= b), x)
-    if kind == "percentiles":
-        return percentiles(inside)
-    if kind == "counts":
-        return F.array(F.count_if(x < a), F.count_if(x <= b))
-    return F.sort_array(F.collect_list(inside))
-
-
-def wide_scan(df: DataFrame, columns: Sequence[str]) -> Callable[[str, list[tuple[int, float, float]]], list]:
-    """Answers from one DataFrame column for each matrix column: all bands in one aggregate."""
-    return lambda kind, bands: list(df.agg(*[_answers(kind, F.col(f"`{columns[j]}`"), F.lit(a), F.lit(b)).alias(f"b{k}") for k, (j, a, b) in enumerate(bands)]).first())
-
-
-def long_scan(long: DataFrame) -> Callable[[str, list[tuple[int, float, float]]], list]:
-    """Answers from entries (j, v): a group for each band, summed up in part before the shuffle."""
-
-    def scan(kind: str, bands: list[tuple[int, float, float]]) -> list:
-        spark: SparkSession = long.sparkSession
-        table = spark.createDataFrame([(k, int(j), float(a), float(b)) for k, (j, a, b) in enumerate(bands)], "k int, _j bigint, a double, b double")
-        near = long.join(F.broadcast(table), F.col("j") == F.col("_j"))
-        if kind != "counts":
-            near = near.filter((F.col("v") >= F.col("a")) & (F.col("v") <= F.col("b")))
-        rows = near.groupBy("k").agg(_answers(kind, F.col("v"), F.col("a"), F.col("b")).alias("x")).collect()
-        found = {r["k"]: r["x"] for r in rows}
-        return [found.get(k, [0, 0] if kind == "counts" else []) for k in range(len(bands))]
-
-    return scan
+@dataclass
+class Bins:
+    """Of one band, by ascending leading bits: counts, and the smallest and largest key."""
+
+    bin: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def narrow(self, t: Target, bits: int) -> None:
+        upto = np.cumsum(self.n)
+        k = int(np.searchsorted(upto, t.rank, side="right"))
+        if self.low[k] == self.high[k]:
+            t.value = double(int(self.low[k]))
+        t.rank -= int(upto[k] - self.n[k])
+        t.depth, t.prefix = t.depth + bits, t.prefix << bits | int(self.bin[k])
+
+
+def _width(bands: int, depth: int) -> int:
+    """Leading bits that the next scan counts by."""
+    return min(MOST_BITS, max(LEAST_BITS, BINS.bit_length() - 1 - max(0, bands - 1).bit_length()), 64 - depth)
+
+
+def _layers(bands: Sequence[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Bands by column, so that a value finds its band by column number: in each layer the columns, ascending, and their bands."""
+    layers: list[list[tuple[int, int]]] = []
+    seen: dict[int, int] = {}
+    for number, (j, _) in enumerate(bands):
+        at = seen[j] = seen.get(j, -1) + 1
+        if at == len(layers):
+            layers.append([])
+        layers[at].append((j, number))
+    return [tuple(np.array(sorted(layer), np.int64).T) for layer in layers]  # type: ignore[misc]
+
+
+def histogram(df: DataFrame, cells: Cells, bands: Sequence[tuple[int, int]], depth: int, bits: int) -> dict[int, Bins]:
+    """Counts by the ``bits`` after the first ``depth``, in bands (column, prefix)."""
+    layers, prefix = _layers(bands), np.array([x for _, x in bands], np.uint64)
+    size, shift, mask = len(bands) << bits, np.uint64(64 - depth - bits), np.uint64((1 << bits) - 1)
+    dense = size <= 2 * BINS
+
+    def rows(code: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
+        signed = [pa.array((x ^ _SIGN).view(np.int64)) for x in (low, high)]
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(n), *signed], ["code", "n", "low", "high"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if dense:
+            n, low, high = np.zeros(size, np.int64), np.full(size, np.iinfo(np.uint64).max), np.zeros(size, np.uint64)
+        for j, x in (part for batch in batches for part in cells(batch)):
+            u = ordered(x)
+            for columns, numbers in layers:
+                at = np.minimum(np.searchsorted(columns, j), len(columns) - 1)
+                band, inside = numbers[at], columns[at] == j
+                if depth:
+                    inside &= (u >> np.uint64(64 - depth)) == prefix[band]
+                key = u[inside]
+                code = (band[inside] << bits) + ((key >> shift) & mask).astype(np.int64)
+                if dense:
+                    n += np.bincount(code, minlength=size)
+                    np.minimum.at(low, code, key)
+                    np.maximum.at(high, code, key)
+                elif len(code):
+                    found, place = np.unique(code, return_inverse=True)
+                    least, most = np.full(len(found), np.iinfo(np.uint64).max), np.zeros(len(found), np.uint64)
+                    np.minimum.at(least, place, key)
+                    np.maximum.at(most, place, key)
+                    yield rows(found, np.bincount(place), least, most)
+        if dense:
+            some = np.flatnonzero(n)
+            yield rows(some, n[some], low[some], high[some])
+
+    parts = df.mapInArrow(count, "code bigint, n bigint, low bigint, high bigint")
+    found = parts.groupBy("code").agg(F.sum("n"), F.min("low"), F.max("high")).toArrow()
+    code, n, low, high = (c.to_numpy() for c in found.columns)
+    order = np.argsort(code)
+    code, n, low, high = code[order], n[order], *((x[order].view(np.uint64) ^ _SIGN) for x in (low, high))
+    edges = np.searchsorted(code >> bits, np.arange(len(bands) + 1))
+    return {k: Bins(code[a:b] & int(mask), n[a:b], low[a:b], high[a:b]) for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))}
+
+
+def order_statistics(df: DataFrame, cells: Cells, targets: Sequence[Target]) -> list[float]:
+    """The values of the targets, all of the same depth."""
+    while open_ := [t for t in targets if t.value is None]:
+        depth = open_[0].depth
+        bands = sorted({(t.j, t.prefix) for t in open_})
+        number, bits = {b: k for k, b in enumerate(bands)}, _width(len(bands), depth)
+        bins = histogram(df, cells, bands, depth, bits)
+        for t in open_:
+            bins[number[t.j, t.prefix]].narrow(t, bits)
+    return [t.value for t in targets if t.value is not None]
+
+
+def column_ranks(df: DataFrame, cells: Cells, ncols: int, ranks: Callable[[int], Sequence[int]]) -> tuple[int, list[list[float] | None]]:
+    """The number of rows, and for each column the values at ``ranks(rows)``; None if it holds a NaN or there are no rows. The first scan counts the rows too."""
+    bits = _width(ncols, 0)
+    bins = histogram(df, cells, [(j, 0) for j in range(ncols)], 0, bits)
+    n = int(bins[0].n.sum()) if ncols else 0
+    if not n:
+        return 0, [None] * ncols
+    found: list[list[Target] | None] = []
+    for j in range(ncols):
+        if bins[j].high.max() > INFINITY:
+            found.append(None)
+            continue
+        own = [Target(j, rank) for rank in ranks(n)]
+        for t in own:
+            bins[j].narrow(t, bits)
+        found.append(own)
+    order_statistics(df, cells, [t for own in found for t in own or []])
+    return n, [None if own is None else [t.value for t in own if t.value is not None] for own in found]
 
 
 def linear_quantiles(n: int, qs: Sequence[float]) -> list[tuple[int, int, float]]:

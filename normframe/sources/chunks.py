@@ -1,11 +1,8 @@
-"""Chunked two-dimensional arrays: a chunk table in a DataFrame, and Zarr arrays on any store that Spark reads."""
+"""Chunked two-dimensional arrays: grids of chunks, and their tables in Parquet."""
 
 from __future__ import annotations
 
-import json
-import zlib
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -13,80 +10,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numeric import NAN
-from .layouts import Array
+from .layouts import Array, Matrix
 
+Span = tuple[int, int]
 
-class ChunkedMatrix:
-    """A chunk table (ci, cj, values): row-major doubles of whole chunks, edges padded, absent chunks all ``fill``.
 
-    Reading a rectangle touches the chunks that meet it, nothing else.
+class ChunkedMatrix(Matrix):
+    """A grid of chunks (ci, cj, values): row-major doubles of whole chunks, edges padded, absent chunks all ``fill``.
+
+    ``stored`` is a chunk table, or a function of ranges of chunk rows and chunk
+    columns that gives the chunks there. It may leave out absent chunks, or, if
+    ``complete``, gives them filled. Reading a rectangle touches the chunks
+    that meet it, nothing else; a rectangle of a chunked matrix is one too.
+    Statistics and products work on blocks: rows are put together only for what needs whole rows.
     """
 
     key = "i"
 
-    def __init__(self, chunks: DataFrame, shape: tuple[int, int], chunk: tuple[int, int], fill: float = 0.0):
+    def __init__(self, stored: DataFrame | Callable[[Span, Span], DataFrame], shape: Span, chunk: Span, fill: float = 0.0, complete: bool = False, window: tuple[Span, Span] | None = None):
         if len(shape) != 2 or len(chunk) != 2:
             raise ValueError("a chunked matrix has two dimensions")
         if min(shape) < 0 or min(chunk) < 1:
             raise ValueError("shapes must be nonnegative and chunks positive")
-        self.chunks, self.shape, self.chunk, self.fill = chunks.select("ci", "cj", "values"), tuple(shape), tuple(chunk), float(fill)
-        self.nrows, self.ncols = self.shape
-
-    def _grid(self, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-        """The chunks of a rectangle, those that are absent too."""
-        spark = self.chunks.sparkSession
-        (r, c), lows, highs = self.chunk, (rows[0] // self.chunk[0], cols[0] // self.chunk[1]), (-(-rows[1] // self.chunk[0]), -(-cols[1] // self.chunk[1]))
-        tall, across = max(0, highs[0] - lows[0]), max(0, highs[1] - lows[1])
-        grid = spark.range(tall * across).select(
-            (F.lit(lows[0]) + F.floor(F.col("id") / F.lit(max(1, across)))).cast("long").alias("ci"), (F.lit(lows[1]) + F.col("id") % F.lit(max(1, across))).cast("long").alias("cj")
-        )
-        # The filters reach the scan of the chunk table: partitions and row groups outside are not read.
-        near = self.chunks.filter((F.col("ci") >= lows[0]) & (F.col("ci") < highs[0]) & (F.col("cj") >= lows[1]) & (F.col("cj") < highs[1]))
-        filled = F.coalesce("values", F.array_repeat(F.lit(self.fill), r * c))
-        return grid.join(near, ["ci", "cj"], "left").select("ci", "cj", filled.alias("values"))
-
-    def _pieces(self, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
-        """(i, cj, x): the rows of the chunks that meet a rectangle, cut out of their chunks as arrays."""
-        r, c = self.chunk
-        within = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(r - 1)), lambda k: F.slice("values", k * c + 1, c))).alias("at", "x")
-        cut = self._grid(rows, cols).select("ci", "cj", within).select((F.col("ci") * r + F.col("at")).cast("long").alias("i"), "cj", "x")
-        return cut.filter((F.col("i") >= rows[0]) & (F.col("i") < rows[1]))
-
-    def _rectangle(self, rows: tuple[int, int] | None, cols: tuple[int, int] | None) -> tuple[tuple[int, int], tuple[int, int]]:
-        rows, cols = rows or (0, self.nrows), cols or (0, self.ncols)
-        if not (0 <= rows[0] <= rows[1] <= self.nrows and 0 <= cols[0] <= cols[1] <= self.ncols):
+        self.stored, self.shape, self.chunk, self.fill, self.complete = stored, tuple(shape), tuple(chunk), float(fill), complete
+        self.rows, self.cols = window or ((0, shape[0]), (0, shape[1]))
+        self.nrows, self.ncols = self.rows[1] - self.rows[0], self.cols[1] - self.cols[0]
+
+    def _rectangle(self, rows: Span | None, cols: Span | None) -> tuple[Span, Span]:
+        """Bounds within the window: of rows as keys, of columns from the window's first."""
+        rows, cols = rows or self.rows, cols or (0, self.ncols)
+        if not (self.rows[0] <= rows[0] <= rows[1] <= self.rows[1] and 0 <= cols[0] <= cols[1] <= self.ncols):
             raise ValueError("the rectangle is out of bounds")
-        return rows, cols
+        return rows, (cols[0] + self.cols[0], cols[1] + self.cols[0])
+
+    def rectangle(self, rows: Span | None = None, cols: Span | None = None) -> ChunkedMatrix:
+        """The rows with keys and columns in the bounds, as a chunked matrix: no chunk is read."""
+        return ChunkedMatrix(self.stored, self.shape, self.chunk, self.fill, self.complete, self._rectangle(rows, cols))
+
+    def _spans(self) -> tuple[Span, Span]:
+        """The chunk rows and chunk columns that meet the window."""
+        spans = [(low // size, -(-high // size)) if low < high else (0, 0) for (low, high), size in zip((self.rows, self.cols), self.chunk, strict=True)]
+        return (spans[0], spans[1]) if self.nrows and self.ncols else ((0, 0), (0, 0))
+
+    @property
+    def chunks(self) -> DataFrame:
+        """(ci, cj, values) of all chunks that meet the window. Stored chunks are not shuffled to find the absent ones."""
+        tall, across = self._spans()
+        if callable(self.stored):
+            near = self.stored(tall, across).select("ci", "cj", "values")
+        else:  # the filters reach the scan of the chunk table: partitions and row groups outside are not read
+            near = self.stored.filter((F.col("ci") >= tall[0]) & (F.col("ci") < tall[1]) & (F.col("cj") >= across[0]) & (F.col("cj") < across[1])).select("ci", "cj", "values")
+        if self.complete:
+            return near
+        width = max(1, across[1] - across[0])
+        grid = near.sparkSession.range((tall[1] - tall[0]) * (across[1] - across[0])).select(
+            (F.lit(tall[0]) + F.floor(F.col("id") / F.lit(width))).cast("long").alias("ci"), (F.lit(across[0]) + F.col("id") % F.lit(width)).cast("long").alias("cj")
+        )
+        absent = grid.join(near.select("ci", "cj"), ["ci", "cj"], "left_anti")
+        return near.unionByName(absent.withColumn("values", F.array_repeat(F.lit(self.fill), self.chunk[0] * self.chunk[1])))
+
+    def _cutter(self) -> Callable[[int, int, np.ndarray], tuple[int, int, np.ndarray]]:
+        """From a chunk's numbers and values: the key of its first row and the number of its first column in the window, and the part inside."""
+        (r, c), rows, cols = self.chunk, self.rows, self.cols
+
+        def cut(ci: int, cj: int, values: np.ndarray) -> tuple[int, int, np.ndarray]:
+            top, left = max(rows[0] - ci * r, 0), max(cols[0] - cj * c, 0)
+            return ci * r + top, cj * c + left - cols[0], values.reshape(r, c)[top : rows[1] - ci * r, left : cols[1] - cj * c]
+
+        return cut
+
+    def blocks(self) -> tuple[DataFrame, Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]]:
+        cut, size = self._cutter(), self.chunk[0] * self.chunk[1]
+
+        def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            for ci, cj, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+                _, left, block = cut(ci, cj, x)
+                yield left, block
+
+        return self.chunks, unpack
+
+    def _cells(self, rows: bool) -> DataFrame:
+        """The chunks cut in tasks: rows as pieces (i, j, x), or single entries (i, j, v)."""
+        cut, size = self._cutter(), self.chunk[0] * self.chunk[1]
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                for ci, cj, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+                    top, left, block = cut(ci, cj, x)
+                    n, width = block.shape
+                    flat = pa.array(np.ascontiguousarray(block).ravel())
+                    if rows:
+                        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), flat)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(top, top + n)), pa.array(np.full(n, left)), lists], ["i", "j", "x"])
+                    else:
+                        at = [np.repeat(np.arange(top, top + n), width), np.tile(np.arange(left, left + width), n)]
+                        yield pa.RecordBatch.from_arrays([*map(pa.array, at), flat], ["i", "j", "v"])
+
+        return self.chunks.mapInArrow(scan, "i bigint, j bigint, x array<double>" if rows else "i bigint, j bigint, v double")
+
+    def entries(self, rows: Span | None = None, cols: Span | None = None) -> DataFrame:
+        """(i, j, v) of a rectangle: padding left out, fill values kept. Columns keep their numbers."""
+        first = (cols or (0, 0))[0]
+        found = self.rectangle(rows, cols)._cells(False)
+        return found.select("i", (F.col("j") + first).alias("j"), "v") if first else found
 
-    def entries(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None) -> DataFrame:
-        """(i, j, v) of a rectangle: padding left out, fill values kept."""
-        rows, cols = self._rectangle(rows, cols)
-        cells = self._pieces(rows, cols).select("i", "cj", F.posexplode("x").alias("at", "v"))
-        placed = cells.select("i", (F.col("cj") * self.chunk[1] + F.col("at")).cast("long").alias("j"), "v")
-        return placed.filter((F.col("j") >= cols[0]) & (F.col("j") < cols[1]))
+    def long(self) -> DataFrame:
+        return self.entries()
 
-    def to_array(self, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, column: str = "x") -> Array:
+    def to_array(self, rows: Span | None = None, cols: Span | None = None, column: str = "x") -> Array:
         """Whole rows of a rectangle as a matrix: the pieces of a row meet and are put together. One chunk across needs no shuffle."""
-        rows, cols = self._rectangle(rows, cols)
-        first, width = cols[0] // self.chunk[1], cols[1] - cols[0]
-        pieces = self._pieces(rows, cols)
-        if not width:
-            pieces = self.chunks.sparkSession.range(*rows).select(F.col("id").alias("i"), F.array().cast("array<double>").alias("x"))
-        elif -(-cols[1] // self.chunk[1]) - first > 1:
-            whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("cj", "x"))), lambda e: e["x"]))
+        cut = self.rectangle(rows, cols)
+        across = cut._spans()[1]
+        if not cut.ncols:
+            spark = SparkSession.active()
+            return Array.of(spark.range(*cut.rows).select(F.col("id").alias("i"), F.array().cast("array<double>").alias(column)), "i", column, 0)
+        pieces = cut._cells(True)
+        if across[1] - across[0] > 1:
+            whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "x"))), lambda e: e["x"]))
             pieces = pieces.groupBy("i").agg(whole.alias("x"))
-        cut = pieces.select("i", F.slice("x", cols[0] - first * self.chunk[1] + 1, width).alias(column))
-        return Array.of(cut, "i", column, width)
+        return Array.of(pieces.select("i", F.col("x").alias(column)), "i", column, cut.ncols)
 
     def dense(self) -> Array:
         return self.to_array()
 
+    @property
+    def df(self) -> DataFrame:
+        return self.to_array().df
+
     def count(self) -> int:
         return self.nrows
 
-    def select(self, start: int, stop: int) -> Array:
-        return self.to_array(None, (start, stop))
+    def keys(self) -> DataFrame:
+        """The row keys: no chunk is read for them."""
+        return SparkSession.active().range(*self.rows).withColumnRenamed("id", "i")
+
+    def select(self, start: int, stop: int) -> ChunkedMatrix:
+        return self.rectangle(None, (start, stop))
 
     def where(self, condition: Any) -> Array:
         return self.to_array().where(condition)
@@ -94,207 +155,72 @@ class ChunkedMatrix:
     def row(self) -> Any:
         return self.to_array().row()
 
-    def reduce(self, wanted: Any, centers: Any) -> dict[str, Any]:
-        return _Pieces(self).reduce(wanted, centers)
+    def read_block(self, rows: Span, cols: Span) -> np.ndarray:
+        """A rectangle on the driver, row-major: one row for each chunk comes, not for each cell."""
+        part = self.rectangle(rows, cols)
+        out, cut = np.empty((part.nrows, part.ncols)), part._cutter()
+        for e in part.chunks.collect():
+            top, left, block = cut(e["ci"], e["cj"], np.array(e["values"]))
+            out[top - rows[0] : top - rows[0] + block.shape[0], left : left + block.shape[1]] = block
+        return out
 
-    def ends(self, qs: Any) -> Any:
-        return _Pieces(self).ends(qs)
 
-    def quantiles(self, qs: Any) -> np.ndarray:
-        return _Pieces(self).quantiles(qs)
+#: Folders that a chunk table is divided into at most, by ranges of chunk rows.
+FOLDERS = 1000
 
-    def read_block(self, rows: tuple[int, int], cols: tuple[int, int]) -> np.ndarray:
-        """A rectangle on the driver, row-major."""
-        out = np.empty((rows[1] - rows[0], cols[1] - cols[0]))
-        for e in self.entries(rows, cols).collect():
-            out[e["i"] - rows[0], e["j"] - cols[0]] = e["v"]
-        return out
 
+def _band(nrows: int, tall: int) -> int:
+    """Chunk rows in a folder."""
+    return max(1, -(-(-(-nrows // tall)) // FOLDERS))
 
-class _Pieces(Array):
-    """Column statistics straight from the rows of chunks, without putting whole rows together."""
 
-    def __init__(self, source: ChunkedMatrix):
-        self.source, self.ncols, self.df = source, source.ncols, source.chunks
+def to_chunks(matrix: Any, chunk: Span, fill: float = 0.0, row_of: str | None = None, keep_fill: bool = False) -> DataFrame:
+    """(ci, cj, values) of a dense matrix with row numbers as keys; chunks of fill values are left out unless ``keep_fill``.
+
+    Whole rows are shuffled, once, by ranges of chunk rows; a task then holds one chunk row at a time.
+    """
+    r, c = chunk
+    dense = matrix.dense()
+    p, padded = dense.ncols, -(-dense.ncols // c) * c
+    parts = int(dense.df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dense.df.select(F.col(row_of or dense.key).cast("long").alias("i"), dense.row().array().alias("x")).withColumn("ci", F.floor(F.col("i") / F.lit(r)).cast("long"))
+    ordered = rows.repartitionByRange(parts, "ci").sortWithinPartitions("ci").select("ci", "i", "x")
+
+    def cut(ci: int, block: np.ndarray) -> Iterator[pa.RecordBatch]:
+        chunks = block.reshape(r, padded // c, c).transpose(1, 0, 2).reshape(-1, r * c)
+        some = np.arange(len(chunks)) if keep_fill else np.flatnonzero((~(np.isnan(chunks) if np.isnan(fill) else chunks == fill)).any(1))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * (r * c), pa.int32()), pa.array(chunks[some].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), ci)), pa.array(some), lists], ["ci", "cj", "values"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = -1, np.zeros(0)
+        for batch in batches:
+            ci, i = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+            for first, end in zip(*(lambda e: (e[:-1], e[1:]))(np.append(np.flatnonzero(np.diff(ci, prepend=-1)), len(ci))), strict=True):
+                if ci[first] != at:
+                    if at >= 0:
+                        yield from cut(at, block)
+                    at, block = int(ci[first]), np.full((r, padded), float(fill))
+                block[i[first:end] - at * r, :p] = x[first:end]
+        if at >= 0:
+            yield from cut(at, block)
 
-    def _folded(self) -> tuple[DataFrame, int]:
-        whole = self.source._pieces((0, self.source.nrows), (0, self.source.ncols))
-        return whole.select((F.col("cj") * self.source.chunk[1]).alias("j"), "x"), self.source.chunk[1]
+    return ordered.mapInArrow(gather, "ci bigint, cj bigint, values array<double>")
 
-    def long(self) -> DataFrame:
-        return self.source.entries()
 
-    def count(self) -> int:
-        return self.source.nrows
+def write_chunks(matrix: Any, path: str, nrows: int, chunk: Span, fill: float = 0.0, row_of: str | None = None) -> None:
+    """Write a dense matrix with row numbers as keys as a chunk table, in folders of ranges of chunk rows; chunks of fill values are left out."""
+    chunks = to_chunks(matrix, chunk, fill, row_of).withColumn("band", F.floor(F.col("ci") / F.lit(_band(nrows, chunk[0]))).cast("long"))
+    chunks.write.mode("overwrite").partitionBy("band").parquet(path)
 
 
-def write_chunks(matrix: Any, path: str, nrows: int, chunk: tuple[int, int], fill: float = 0.0, row_of: str | None = None) -> None:
-    """Write a dense matrix with row numbers as keys as a chunk table, partitioned by chunk row; chunks of fill values are left out."""
-    r, c = chunk
-    dense = matrix.dense()
-    long = dense.long().select(F.col(row_of or dense.key).cast("long").alias("i"), "j", "v")
-    placed = long.select(F.floor(F.col("i") / r).cast("long").alias("ci"), F.floor(F.col("j") / c).cast("long").alias("cj"), ((F.col("i") % r) * c + F.col("j") % c).cast("int").alias("at"), "v")
-    cells = placed.groupBy("ci", "cj").agg(F.collect_list(F.struct("at", "v")).alias("cells"))
+def read_chunks(spark: SparkSession, path: str, shape: Span, chunk: Span, fill: float = 0.0) -> ChunkedMatrix:
+    """A table that ``write_chunks`` wrote: a rectangle reads the folders and row groups of its chunks."""
+    table, band = spark.read.schema("ci bigint, cj bigint, values array<double>, band bigint").parquet(path), _band(shape[0], chunk[0])
 
-    def fill_in(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            at, entry = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten()
-            x = np.full((batch.num_rows, r * c), float(fill))
-            x[at, entry.field("at").to_numpy(zero_copy_only=False)] = entry.field("v").to_numpy(zero_copy_only=False)
-            some = (~(np.isnan(x) if np.isnan(fill) else x == fill)).any(1)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (r * c), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), values], ["ci", "cj", "values"]).filter(pa.array(some))
-
-    chunks = cells.mapInArrow(fill_in, "ci bigint, cj bigint, values array<double>")
-    chunks.repartition("ci").write.mode("overwrite").partitionBy("ci").parquet(path)
-
-
-def read_chunks(spark: SparkSession, path: str, shape: tuple[int, int], chunk: tuple[int, int], fill: float = 0.0) -> ChunkedMatrix:
-    stored = spark.read.schema("cj bigint, values array<double>, ci bigint").parquet(path)
-    return ChunkedMatrix(stored, shape, chunk, fill)
-
-
-@dataclass(frozen=True)
-class _Format:
-    """How the files of an array hold its chunks. ``shard``: chunks of one file by rows and columns, with an index in the file."""
-
-    shape: tuple[int, int]
-    chunk: tuple[int, int]
-    fill: float
-    kind: str
-    order: str
-    codecs: tuple[str, ...]
-    tail: str
-    shard: tuple[int, int] | None = None
-    index_first: bool = False
-    index_checked: bool = False
-
-
-def read_zarr(spark: SparkSession, path: str) -> ChunkedMatrix:
-    """A two-dimensional Zarr array of 32- or 64-bit floats: formats 2 and 3; raw, gzip, zlib or zstd chunks, sharded or not.
-
-    Spark lists and reads the chunk files, one task for several of them; values
-    are not converted beyond doubles. A sharded array's chunks are the inner
-    ones. Filters on chunk numbers come after the listing: a rectangle reads
-    the files of its chunks alone if their names are partitions of a table, as
-    ``write_chunks`` makes them.
-    """
-    how = _format(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(F.regexp_extract("path", how.tail, 1).alias("ci"), F.regexp_extract("path", how.tail, 2).alias("cj"), "content").filter("ci != ''")
+    def near(tall: Span, across: Span) -> DataFrame:
+        folders = (F.col("band") >= tall[0] // band) & (F.col("band") <= (tall[1] - 1) // band)
+        return table.filter(folders & (F.col("ci") >= tall[0]) & (F.col("ci") < tall[1]) & (F.col("cj") >= across[0]) & (F.col("cj") < across[1]))
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ci, cj, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for di, dj, data in _parts(blob, how):
-                    x = np.frombuffer(_unpack(data, how.codecs), how.kind).astype(float)
-                    x = x.reshape(how.chunk[::-1]).T.ravel() if how.order == "F" else x
-                    tall, across = how.shard or (1, 1)
-                    at = [pa.array([ci * tall + di]), pa.array([cj * across + dj]), pa.array([x.tolist()], pa.list_(pa.float64()))]
-                    yield pa.RecordBatch.from_arrays(at, ["ci", "cj", "values"])
-
-    chunks = named.select(F.col("ci").cast("long").alias("ci"), F.col("cj").cast("long").alias("cj"), "content").mapInArrow(decode, "ci bigint, cj bigint, values array<double>")
-    return ChunkedMatrix(chunks, how.shape, how.chunk, how.fill)
-
-
-def _parts(blob: bytes, how: _Format) -> Iterator[tuple[int, int, bytes]]:
-    """The chunks in a file: the file itself, or what the index of a shard lists; absent ones are left out."""
-    if how.shard is None:
-        yield 0, 0, blob
-        return
-    n = how.shard[0] * how.shard[1]
-    size = 16 * n
-    whole = size + 4 * how.index_checked
-    index = (blob[:whole] if how.index_first else blob[len(blob) - whole :])[:size]
-    for k, (start, length) in enumerate(np.frombuffer(index, "<u8").reshape(n, 2).tolist()):
-        if start != (1 << 64) - 1:
-            yield k // how.shard[1], k % how.shard[1], blob[start : start + length]
-
-
-def _read_file(spark: SparkSession, path: str) -> bytes | None:
-    """A small file of any store on the driver, None if it is not there. Spark's own readers leave out names that begin with a dot."""
-    jvm = spark.sparkContext._jvm
-    name = jvm.org.apache.hadoop.fs.Path(path)
-    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(name):
-        return None
-    stream = fs.open(name)
-    try:
-        return bytes(stream.readAllBytes())
-    finally:
-        stream.close()
-
-
-def _format(spark: SparkSession, path: str) -> _Format:
-    if (text := _read_file(spark, f"{path}/zarr.json")) is not None:
-        out = _version3(json.loads(text))
-    elif (text := _read_file(spark, f"{path}/.zarray")) is not None:
-        out = _version2(json.loads(text))
-    else:
-        raise ValueError(f"{path} holds no array metadata")
-    if len(out.shape) != 2:
-        raise ValueError("the array does not have two dimensions")
-    return out
-
-
-def _tail(start: str, separator: str) -> str:
-    """The end of a chunk's path, with its two numbers."""
-    return rf"/{start}(\d+){'/' if separator == '/' else r'[.]'}(\d+)$"
-
-
-def _version2(m: dict[str, Any]) -> _Format:
-    packed = (m.get("compressor") or {}).get("id")
-    if m["dtype"] not in ("<f4", "<f8", ">f4", ">f8") or packed not in (None, "zlib", "gzip", "zstd") or m.get("filters"):
-        raise ValueError(f"the array's type, compressor or filters are not supported: {m['dtype']}, {packed}, {m.get('filters')}")
-    return _Format(
-        tuple(m["shape"]), tuple(m["chunks"]), _fill(m["fill_value"]), m["dtype"], m["order"], (packed,) if packed else (), _tail("", m.get("dimension_separator", "."))
-    )
-
-
-def _version3(m: dict[str, Any]) -> _Format:
-    encoding = m.get("chunk_key_encoding", {"name": "default"})
-    by_default = encoding["name"] == "default"
-    separator = encoding.get("configuration", {}).get("separator", "/" if by_default else ".")
-    tail = _tail(("c/" if separator == "/" else "c[.]") if by_default else "", separator)
-    chunk, codecs = tuple(m["chunk_grid"]["configuration"]["chunk_shape"]), m["codecs"]
-    shard, first, checked = None, False, False
-    if codecs[0]["name"] == "sharding_indexed" and len(codecs) == 1:
-        inner = codecs[0]["configuration"]
-        first = inner.get("index_location", "end") == "start"
-        steps = [c["name"] for c in inner.get("index_codecs", [])]
-        if steps not in (["bytes"], ["bytes", "crc32c"]):
-            raise ValueError(f"the shard index's codecs are not supported: {steps}")
-        checked = "crc32c" in steps
-        shard = tuple(a // b for a, b in zip(chunk, inner["chunk_shape"], strict=True))
-        chunk, codecs = tuple(inner["chunk_shape"]), inner["codecs"]
-    size = {"float32": "f4", "float64": "f8"}.get(m["data_type"])
-    unknown = {c["name"] for c in codecs} - {"bytes", "gzip", "zstd", "crc32c"}
-    if size is None or unknown:
-        raise ValueError(f"the array's type or codecs are not supported: {m['data_type']}, {sorted(unknown)}")
-    end = next((c.get("configuration", {}).get("endian", "little") for c in codecs if c["name"] == "bytes"), "little")
-    kind = ("<" if end == "little" else ">") + size
-    return _Format(tuple(m["shape"]), chunk, _fill(m["fill_value"]), kind, "C", tuple(c["name"] for c in codecs if c["name"] != "bytes"), tail, shard, first, checked)
-
-
-def _fill(value: Any) -> float:
-    """The fill value; a string of hexadecimal digits is the number's bits."""
-    if isinstance(value, str) and value.startswith("0x"):
-        bits = bytes.fromhex(value[2:])
-        return float(np.frombuffer(bits, f">f{len(bits)}")[0])
-    names = {"NaN": NAN, "Infinity": float("inf"), "-Infinity": float("-inf"), None: 0.0}
-    return names[value] if value is None or isinstance(value, str) else float(value)
-
-
-def _unpack(data: bytes, codecs: tuple[str, ...]) -> bytes:
-    """A chunk's raw bytes: its codecs undone from the last to the first."""
-    for name in reversed(codecs):
-        if name == "zstd":
-            import zstandard
-
-            data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-        elif name == "crc32c":
-            data = data[:-4]
-        else:
-            data = zlib.decompress(data, 47)
-    return data
+    return ChunkedMatrix(near, shape, chunk, fill)

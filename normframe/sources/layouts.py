@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import operator
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -13,12 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import NAN, Elementwise, RowVector, nan_max, nan_min, strict_double
-from ..plans.selection import Target, between, linear_quantiles, long_scan, order_statistics, percentiles, wide_scan
+from ..plans.selection import Cells, Target, between, column_ranks, linear_quantiles, order_statistics
 
 Reduction = tuple[str, Elementwise]  # sum, min or max, of f(value, center)
 Ends = list[tuple[float, float, float]] | None  # of each quantile: the values around it and the share of the second
 
-ISNAN = Elementwise(lambda x, c: F.isnan(x).cast("double"), lambda x, c: np.isnan(x).astype(float))
+Unpack = Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]  # blocks of a matrix, each with the number of its first column
 
 #: Vectors with more entries than this are joined as tables, not put into plans as literals.
 LITERALS = 4096
@@ -39,24 +38,57 @@ def vector_table(spark: SparkSession, values: Sequence[float] | np.ndarray, inde
     return F.broadcast(table) if len(data) <= BROADCAST_ENTRIES else table
 
 
-def matched(df: DataFrame, key: str, vector: DataFrame, names: dict[str, str], what: str = "vector") -> DataFrame:
-    """``df`` with columns of a long vector, joined by key; ``vector``'s first column is its key, ``names`` renames the others.
+def _stacked(vectors: dict[str, DataFrame]) -> DataFrame:
+    """Tables of key and value put under each other, and grouped by key once: ``_key``, a column for each, and how often each has the key in ``_found``."""
+    tables = [t.select(F.col(t.columns[0]).alias("_key"), F.lit(r).alias("_r"), F.col(t.columns[1]).cast("double").alias("_v")) for r, t in enumerate(vectors.values())]
+    rows = tables[0]
+    for t in tables[1:]:
+        rows = rows.unionByName(t)
+    values = [F.first(F.when(F.col("_r") == r, F.col("_v")), ignorenulls=True).alias(name) for r, name in enumerate(vectors)]
+    return rows.groupBy("_key").agg(F.array(*[F.count_if(F.col("_r") == r) for r in range(len(vectors))]).alias("_found"), *values)
 
-    The vector has each key of ``df`` once, and no others: anything else raises
+
+def _checked(met: DataFrame, key: str, what: str, strange: Column | None) -> DataFrame:
+    """The rows of a join with ``_stacked``; raises where a vector lacks or repeats a key, or, by ``strange``, has one of its own."""
+    name = F.coalesce(F.col(key).cast("string"), F.lit("NULL"))
+    wrong = F.when(F.col("_found").isNull() | F.array_contains("_found", F.lit(0)), F.concat(F.lit(f"the {what} lacks the key "), name)).when(
+        F.exists("_found", lambda n: n > 1), F.concat(F.lit(f"the {what} repeats the key "), name)
+    )
+    if strange is not None:
+        own = F.concat(F.lit(f"the {what} has a key that the matrix lacks: "), F.coalesce(F.col("_key").cast("string"), F.lit("NULL")))
+        wrong = F.when(strange, own).otherwise(wrong)
+    return met.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
+
+
+def matched(df: DataFrame, key: str, vectors: dict[str, DataFrame], what: str = "vector") -> DataFrame:
+    """``df`` with a column for each long vector (a table of key and value), by key: one join for all of them.
+
+    A vector has each key of ``df`` once, and no others: anything else raises
     when the rows are read. Rows of ``df`` may share a key.
     """
-    own, found = "_own", "_found"
-    one = vector.groupBy(F.col(vector.columns[0]).alias("_key")).agg(
-        F.count(F.lit(1)).alias(found), *[F.first(F.col(old)).cast("double").alias(new) for old, new in names.items()]
-    )
-    met = df.withColumn(own, F.lit(True)).join(one, F.col(key) == F.col("_key"), "full_outer")
-    wrong = (
-        F.when(F.col(own).isNull(), F.concat(F.lit(f"the {what} has a key that the matrix lacks: "), F.col("_key").cast("string")))
-        .when(F.col(found).isNull(), F.concat(F.lit(f"the {what} lacks the key "), F.col(key).cast("string")))
-        .when(F.col(found) > 1, F.concat(F.lit(f"the {what} repeats the key "), F.col(key).cast("string")))
-    )
-    checked = met.filter(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(F.lit(True)))
-    return checked.select(*df.columns, *names.values())
+    met = df.withColumn("_own", F.lit(True)).join(_stacked(vectors), F.col(key) == F.col("_key"), "full_outer")
+    return _checked(met, key, what, F.col("_own").isNull()).select(*df.columns, *vectors)
+
+
+def looked_up(df: DataFrame, key: str, table: DataFrame, names: dict[str, str], what: str) -> DataFrame:
+    """``df`` with columns of a frozen table, by its first column, with the same rules.
+
+    The table is counted. Up to a bound it is broadcast, and ``df`` is not
+    shuffled: that its keys are all there is asked of the keys of ``df`` alone,
+    at once. A larger table meets ``df`` in one join.
+    """
+    one = table.groupBy(F.col(table.columns[0]).alias("_key")).agg(F.array(F.count(F.lit(1))).alias("_found"), *[F.first(F.col(old)).cast("double").alias(new) for old, new in names.items()])
+    rows = table.count()
+    if rows * (1 + len(names)) > BROADCAST_ENTRIES:
+        met = df.withColumn("_own", F.lit(True)).join(one, F.col(key) == F.col("_key"), "full_outer")
+        return _checked(met, key, what, F.col("_own").isNull()).select(*df.columns, *names.values())
+    keys = F.broadcast(one.select("_key"))
+    there = df.select(F.col(key).alias("_of")).join(keys, F.col("_of") == F.col("_key"), "left_semi").distinct()
+    strange = one.select("_key").join(there, F.col("_key") == F.col("_of"), "left_anti").limit(1).collect()
+    if strange:
+        raise ValueError(f"the {what} has a key that the matrix lacks: {strange[0][0]}")
+    met = df.join(F.broadcast(one), F.col(key) == F.col("_key"), "left")
+    return _checked(met, key, what, None).select(*df.columns, *names.values())
 
 
 class Matrix:
@@ -70,21 +102,59 @@ class Matrix:
         """The number of rows: an aggregation job."""
         return self.df.count()
 
+    def blocks(self) -> tuple[DataFrame, Unpack]:
+        """A DataFrame whose batches are read as blocks of the matrix. Each row's entry in a column is in one block."""
+        raise NotImplementedError
+
+    def reduce(self, wanted: dict[str, Reduction], centers: Sequence[float]) -> dict[str, Any]:
+        """All reductions in one job: a task folds its blocks with NumPy and hands on one number for each column and reduction. ``n`` is the number of rows."""
+        df, unpack = self.blocks()
+        folds = {"sum": (np.sum, 0.0), "min": (np.min, np.inf), "max": (np.max, -np.inf)}
+        names, p, c = list(wanted), self.ncols, np.asarray(centers, float)
+
+        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = np.zeros(p, np.int64)
+            acc = {name: np.full(p, folds[wanted[name][0]][1]) for name in names}
+            for j, x in (block for batch in batches for block in unpack(batch)):
+                at = slice(j, j + x.shape[1])
+                if not len(x):
+                    continue
+                seen[at] += len(x)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    for name in names:
+                        kind, f = wanted[name]
+                        one = folds[kind][0](f.array(x, c[at]), axis=0)
+                        acc[name][at] = acc[name][at] + one if kind == "sum" else (np.minimum if kind == "min" else np.maximum)(acc[name][at], one)
+            if seen.any():
+                columns = [pa.array(np.arange(p)), pa.array(seen), *[pa.array(acc[name]) for name in names]]
+                yield pa.RecordBatch.from_arrays([x.filter(pa.array(seen > 0)) for x in columns], ["j", "n", *names])
+
+        parts = df.mapInArrow(fold, "j bigint, n bigint" + "".join(f", `{name}` double" for name in names))
+        rows = parts.groupBy("j").agg(F.sum("n").alias("n"), *[_fold(wanted[name][0], F.col(f"`{name}`")).alias(name) for name in names]).collect()
+        out: dict[str, Any] = {name: np.full(p, 0.0 if kind == "sum" else NAN) for name, (kind, _) in wanted.items()}
+        for r in rows:
+            for name in names:
+                out[name][r["j"]] = r[name]
+        return out | {"n": rows[0]["n"] if rows else 0 if p else self.count()}
+
+    def cells(self) -> tuple[DataFrame, Cells]:
+        """The same data as column numbers and values."""
+        df, unpack = self.blocks()
+
+        def flat(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for j, x in unpack(batch):
+                yield np.tile(np.arange(j, j + x.shape[1]), len(x)), np.ascontiguousarray(x).ravel()
+
+        return df, flat
+
     def ends(self, qs: Sequence[float]) -> tuple[int, list[Ends]]:
         """The number of rows, and for each column the exact order statistics around its linear quantiles; None if a NaN poisons it or it is empty."""
-        n, bad, scan, whole = self._ranked()
-        if not n:
-            return 0, [None] * self.ncols
-        places = linear_quantiles(n, qs)
-        targets = [Target(j, rank, n) for j in range(self.ncols) if not bad[j] for place in places for rank in place[:2]]
-        return n, self._put(iter(order_statistics(scan, targets, whole)), bad, places)
+        df, flat = self.cells()
+        n, found = column_ranks(df, flat, self.ncols, lambda n: [r for place in linear_quantiles(n, qs) for r in place[:2]])
+        return n, self._put(found, linear_quantiles(n, qs))
 
-    def _put(self, values: Iterator[float], bad: Sequence[bool], places: list[tuple[int, int, float]]) -> list[Ends]:
-        return [None if bad[j] else [(next(values), next(values), share) for _, _, share in places] for j in range(self.ncols)]
-
-    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
-        """The number of rows, which columns hold a NaN, and for ``order_statistics`` the scan and, if they come along, percentiles: one job."""
-        raise NotImplementedError
+    def _put(self, found: Sequence[list[float] | None], places: list[tuple[int, int, float]]) -> list[Ends]:
+        return [None if v is None else [(v[2 * k], v[2 * k + 1], share) for k, (_, _, share) in enumerate(places)] for v in found]
 
     def quantiles(self, qs: Sequence[float]) -> np.ndarray:
         """Exact linear quantiles of each column; a NaN poisons its column."""
@@ -144,11 +214,11 @@ class Wide(Matrix):
         out: dict[str, Any] = {name: np.array([row[f"{name}_{k}"] for k in range(self.ncols)], float) for name in wanted}
         return out | {"n": row["n"]}
 
-    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
-        p = self.ncols
-        nan = [F.coalesce(F.bool_or(F.isnan(f"`{c}`")), F.lit(False)) for c in self.columns]
-        row = self.df.agg(F.count(F.lit(1)), *nan, *[percentiles(F.col(f"`{c}`")) for c in self.columns]).first()
-        return row[0], row[1 : 1 + p], wide_scan(self.df, self.columns), dict(enumerate(row[1 + p :]))
+    def blocks(self) -> tuple[DataFrame, Unpack]:
+        def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            yield 0, np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
+        return self.df.select(*[F.col(f"`{c}`") for c in self.columns]), unpack
 
     def long(self) -> DataFrame:
         """(key, j, v), one row for each entry."""
@@ -203,46 +273,13 @@ class Array(Matrix):
     def long(self) -> DataFrame:
         return self.df.select(self.key, *self.extra, F.posexplode(self.column).alias("j", "v")).withColumn("j", F.col("j").cast("long"))
 
-    def _folded(self) -> tuple[DataFrame, int]:
-        """(j, x): pieces of rows with the column that each starts with, and their width."""
-        return self.df.select(F.lit(0).cast("long").alias("j"), F.col(self.column).alias("x")), self.ncols
+    def blocks(self) -> tuple[DataFrame, Unpack]:
+        column, p = self.df.select(self.column), self.ncols
 
-    def reduce(self, wanted: dict[str, Reduction], centers: Sequence[float]) -> dict[str, Any]:
-        """All reductions in one job: a task folds its rows as NumPy blocks and hands on one number for each column and reduction."""
-        pieces, width = self._folded()
-        folds = {"sum": (np.sum, 0.0), "min": (np.min, np.inf), "max": (np.max, -np.inf)}
-        names, p, c = list(wanted), self.ncols, np.asarray(centers, float)
+        def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            yield 0, batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, p)
 
-        def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen = np.zeros(p, np.int64)
-            acc = {name: np.full(p, folds[wanted[name][0]][1]) for name in names}
-            for batch in batches:
-                start = batch.column(0).to_numpy(zero_copy_only=False)
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(start), width)
-                for j in np.unique(start):
-                    part = x[start == j][:, : p - j]
-                    at = slice(j, j + part.shape[1])
-                    seen[at] += len(part)
-                    with np.errstate(invalid="ignore", over="ignore"):
-                        for name in names:
-                            kind, f = wanted[name]
-                            one = folds[kind][0](f.array(part, c[at]), axis=0)
-                            acc[name][at] = acc[name][at] + one if kind == "sum" else (np.minimum if kind == "min" else np.maximum)(acc[name][at], one)
-            if seen.any():
-                columns = [pa.array(np.arange(p)), pa.array(seen), *[pa.array(acc[name]) for name in names]]
-                yield pa.RecordBatch.from_arrays([x.filter(pa.array(seen > 0)) for x in columns], ["j", "n", *names])
-
-        parts = pieces.mapInArrow(fold, "j bigint, n bigint" + "".join(f", `{name}` double" for name in names))
-        rows = parts.groupBy("j").agg(F.sum("n").alias("n"), *[_fold(wanted[name][0], F.col(f"`{name}`")).alias(name) for name in names]).collect()
-        out: dict[str, Any] = {name: np.full(p, 0.0 if kind == "sum" else NAN) for name, (kind, _) in wanted.items()}
-        for r in rows:
-            for name in names:
-                out[name][r["j"]] = r[name]
-        return out | {"n": rows[0]["n"] if rows else 0 if p else self.count()}
-
-    def _ranked(self) -> tuple[int, Sequence[bool], Any, dict[int, list[float]] | None]:
-        got = self.reduce({"nan": ("max", ISNAN)}, [0.0] * self.ncols)
-        return got["n"], got["nan"] > 0, long_scan(self.long()), None
+        return column, unpack
 
     def to_wide(self, names: Sequence[str] | None = None) -> Wide:
         names = list(names or [f"x{k}" for k in range(self.ncols)])
@@ -313,21 +350,18 @@ class Coo(Matrix):
             return 0, [None] * p
         counts = self.df.groupBy("j").agg(F.count_if(F.col("v") < 0).alias("less"), F.count_if(F.col("v") > 0).alias("more"), F.bool_or(F.isnan("v")).alias("bad")).collect()
         stored = {r["j"]: r for r in counts}
-        bad = [bool(j in stored and stored[j]["bad"]) for j in range(p)]
         places = linear_quantiles(n, qs)
-        targets: list[Target | None] = []
-        tiny = math.ulp(0.0)
+        wanted: list[list[Target | None] | None] = []
         for j in range(p):
-            less, more = (stored[j]["less"], stored[j]["more"]) if j in stored else (0, 0)
-            for rank in (r for place in places for r in place[:2] if not bad[j]):
-                if rank < less:
-                    targets.append(Target(j, rank, less, high=-tiny))
-                elif rank < n - more:
-                    targets.append(None)
-                else:  # counts of values below positive ones leave the zeros out, stored or not
-                    targets.append(Target(j, rank - (n - more) + less, more, low=tiny, below=less))
-        found = iter(order_statistics(long_scan(self.df.select("j", "v").filter("v != 0")), [t for t in targets if t is not None]))
-        return n, self._put(iter([0.0 if t is None else next(found) for t in targets]), bad, places)
+            less, more, bad = stored[j][1:] if j in stored else (0, 0, False)
+            own = lambda r, less=less, more=more, j=j: Target(j, r if r < less else r - (n - more) + less) if r < less or r >= n - more else None  # noqa: E731  the rank among entries that are not zero
+            wanted.append(None if bad else [own(r) for place in places for r in place[:2]])
+
+        def flat(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            yield batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+        order_statistics(self.df.select("j", "v").filter("v != 0"), flat, [t for own in wanted for t in own or [] if t is not None])
+        return n, self._put([None if own is None else [0.0 if t is None else t.value for t in own] for own in wanted], places)
 
     def dense(self) -> Array:
         return self.to_array()

@@ -28,6 +28,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its store, as Spark resolves it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def write_file(spark: SparkSession, path: str, data: bytes) -> None:
     """A small file, from the driver, on any store."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -379,8 +379,8 @@ def test_zarr_that_is_not_supported(spark, tmp_path, change):
 def test_rectangles_prune_chunk_files(spark, tmp_path):
     nf.write_chunks(nf.from_numpy(spark, np.arange(60.0).reshape(20, 3) + 1), str(tmp_path / "c"), 20, (4, 2))
     m = nf.read_chunks(spark, str(tmp_path / "c"), (20, 3), (4, 2))
-    plan = m.entries((4, 8), (0, 2))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(ci" in plan and "PushedFilters: [IsNotNull(cj)" in plan
+    plan = m.rectangle((4, 8), (0, 2)).chunks._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(band" in plan and "PushedFilters: [IsNotNull(ci)" in plan
     assert m.read_block((4, 8), (0, 2)).tolist() == (np.arange(60.0).reshape(20, 3) + 1)[4:8, :2].tolist()
 
 
@@ -428,7 +428,7 @@ def test_coordinates_stay_sparse(spark, made):
 
 
 def test_exact_quantiles_in_bounded_memory(spark, monkeypatch):
-    monkeypatch.setattr(selection, "FEW", 20)
+    monkeypatch.setattr(selection, "MOST_BITS", 7)
     r = np.random.default_rng(6)
     x = np.column_stack((r.normal(size=900), np.round(r.normal(size=900)), np.where(r.random(900) < 0.7, 0, r.normal(size=900)), r.normal(size=900) * 10.0 ** r.integers(-200, 200, 900)))
     x[:3, 0] = np.inf, -np.inf, 0.0

@@ -204,7 +204,8 @@ def matmat(z: LowRank, b: np.ndarray, names: Sequence[str]) -> DataFrame:
 
 def _operand(z: LowRank, b: np.ndarray) -> DataFrame:
     spark = z.entries.sparkSession
-    table = spark.createDataFrame([(j, *map(float, b[j])) for j in range(z.ncols)], "_j bigint" + "".join(f", _b{r} double" for r in range(b.shape[1])))
+    columns = [pa.array(np.arange(z.ncols)), *[pa.array(np.ascontiguousarray(c)) for c in b.T]]
+    table = spark.createDataFrame(pa.Table.from_arrays(columns, ["_j", *[f"_b{r}" for r in range(b.shape[1])]]))
     return F.broadcast(table) if b.size <= 1_000_000 else table
 
 

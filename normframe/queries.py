@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
-import json
 from collections.abc import Callable
 
 import numpy as np
@@ -12,12 +10,12 @@ from pyspark.sql import functions as F
 
 from . import (
     Array, Chain, ChunkedMatrix, ColumnNormalization, ColumnParams, ColumnStatistics, Coo, NormalizedFrame, NormalizedLinear, RowNormalization, RowParams, Wide, normalize, read_chunks, read_zarr,
-    standardize, take_rows, write_chunks,
+    standardize, take_rows, write_chunks, write_zarr,
 )
 from .functions.numeric import normal_range
 from .operators import solvers, weighted
 from .operators.frame import InMemory
-from .sources.storage import shared_path, write_file
+from .sources.storage import shared_path
 from .streaming.frozen import score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,13 +397,49 @@ def coo_transposed_stats(spark: SparkSession, sf: str) -> DataFrame:
     return out(spark, 6, value=ColumnStatistics(Coo(entries, n, p).transposed()).sds())
 
 
+_COO_CHAIN = _COO + (
+    ", r AS (SELECT i, sum(abs(v)) AS s FROM m GROUP BY i), z AS (SELECT m.i, m.j, v / CASE WHEN s = 0 THEN 1 ELSE s END AS a FROM m JOIN r ON m.i = r.i), "
+    "q AS (SELECT j, avg(a) AS c, stddev_pop(a) AS d FROM z GROUP BY j), y AS (SELECT z.i, z.j, (a - c) / CASE WHEN d = 0 THEN 1 ELSE d END AS y FROM z JOIN q ON z.j = q.j) "
+)
+
+
 @query("coo_row_stats_transposed", "WITH m AS (SELECT s_suppkey AS i, coalesce(v, 0.0) AS v FROM orders CROSS JOIN supplier LEFT JOIN (SELECT l_orderkey, l_suppkey, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) "
        "ON o_orderkey = l_orderkey AND s_suppkey = l_suppkey) SELECT CAST(i AS BIGINT) AS i, round(avg(v), 8) + 0.0 AS center, round(stddev_pop(v), 8) + 0.0 AS scale FROM m GROUP BY i")
 def coo_row_stats_transposed(spark: SparkSession, sf: str) -> DataFrame:
-    """Statistics of the rows of suppliers x orders, fitted as columns of its transpose."""
-    t = cells(spark, sf)
-    fitted = ColumnNormalization().fit(Coo(t.df, t.nrows, t.ncols, t.rows, coalesced=True))
-    return out(spark, 8, center=fitted.centers, scale=fitted.scales).withColumnRenamed("j", "i")
+    """Row parameters of suppliers x orders: the transpose of orders x suppliers, with zeros counted."""
+    by_number = _numbered(spark, sf)
+    t = RowNormalization().fit(by_number.transposed()).table
+    suppliers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"))
+    return rounded(t.join(suppliers, "i"), 8, "i")
+
+
+def _numbered(spark: SparkSession, sf: str) -> Coo:
+    """Orders x suppliers with order keys as row numbers."""
+    m, n = cells(spark, sf), table(spark, sf, "orders").agg(F.max("o_orderkey")).first()[0] + 1
+    return Coo(m.df, n, m.ncols, coalesced=True)
+
+
+_COO_ROWS = _COO + ", r AS (SELECT i, {c} AS c, {s} AS s FROM m GROUP BY i) SELECT CAST(i AS BIGINT) AS i, round(c, 8) + 0.0 AS center, round(CASE WHEN s = 0 THEN 1 ELSE s END, 8) + 0.0 AS scale FROM r"
+for _name, _recipe, _c, _s in (
+    ("standardize", RowNormalization(), "avg(v)", "stddev_pop(v)"),
+    ("robust", RowNormalization.robust((0.05, 0.99)), "quantile_cont(v, 0.5)", "quantile_cont(v, 0.99) - quantile_cont(v, 0.05)"),
+    ("minmax", RowNormalization.min_max(), "min(v)", "max(v) - min(v)"),
+):
+    query(f"coo_rows_{_name}", _COO_ROWS.format(c=_c, s=_s))(lambda spark, sf, r=_recipe: rounded(r.fit(cells(spark, sf)).table, 8, "i"))
+
+
+@query("coo_gram_pairs", "WITH e AS (SELECT l_orderkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT CAST(a.j AS BIGINT) AS j, CAST(b.j AS BIGINT) AS k, round(sum(a.v * b.v * (a.i % 3)), 3) + 0.0 AS g FROM e a JOIN e b ON a.i = b.i AND a.j <= b.j GROUP BY a.j, b.j")
+def coo_gram_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored pairs of a weighted Gram matrix as a table."""
+    return rounded(NormalizedFrame(cells(spark, sf)).gram_pairs(F.col("i") % 3).pairs, 3, "j", "k")
+
+
+@query("coo_row_corrections", _COO_CHAIN + "SELECT CAST(z.j AS BIGINT) AS j, round(-c / CASE WHEN d = 0 THEN 1 ELSE d END, 6) + 0.0 AS zero, round(a / CASE WHEN d = 0 THEN 1 ELSE d END, 6) + 0.0 AS added FROM z JOIN q ON z.j = q.j WHERE z.i = 5")
+def coo_row_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """What a row of raw zeros becomes by a chain, and what the stored entries of order 5 add."""
+    zero, stored = _coo_chain(spark, sf).row_corrections(5)
+    filled = out(spark, 6, zero=zero).join(stored.select("j", F.col("value").alias("added")), "j", "left")
+    return filled.select("j", "zero", rnd(F.coalesce("added", F.lit(0.0)), 6).alias("added"))
 
 
 @query("coo_dealt_weighted_sums", _COO + "SELECT CAST(m.j AS BIGINT) AS j, round(sum(v * (i % 3)), 3) + 0.0 AS value FROM m GROUP BY m.j")
@@ -413,12 +447,6 @@ def coo_dealt_weighted_sums(spark: SparkSession, sf: str) -> DataFrame:
     return out(spark, 3, value=NormalizedFrame(cells(spark, sf).dealt("columns")).weighted_sums(F.col("i") % 3))
 
 
-_COO_CHAIN = _COO + (
-    ", r AS (SELECT i, sum(abs(v)) AS s FROM m GROUP BY i), z AS (SELECT m.i, m.j, v / CASE WHEN s = 0 THEN 1 ELSE s END AS a FROM m JOIN r ON m.i = r.i), "
-    "q AS (SELECT j, avg(a) AS c, stddev_pop(a) AS d FROM z GROUP BY j), y AS (SELECT z.i, z.j, (a - c) / CASE WHEN d = 0 THEN 1 ELSE d END AS y FROM z JOIN q ON z.j = q.j) "
-)
-
-
 def _coo_chain(spark: SparkSession, sf: str) -> NormalizedFrame:
     """Orders scaled by their L1 norms, then suppliers standardized: never filled in."""
     return RowNormalization("none", "l1").then(ColumnNormalization()).fit_apply(cells(spark, sf))
@@ -571,22 +599,41 @@ def chunk_stats_median(spark: SparkSession, sf: str) -> DataFrame:
     return out(spark, 6, value=ColumnStatistics(chunked(spark, sf)).medians())
 
 
-@query("zarr_standardize", "WITH p AS (SELECT avg(n_nationkey) AS a, stddev_pop(n_nationkey) AS b, avg(n_regionkey) AS c, stddev_pop(n_regionkey) AS d FROM nation) "
-       "SELECT CAST(n_nationkey AS BIGINT) AS i, round((n_nationkey - a) / b - 2 * (n_regionkey - c) / d, 8) + 0.0 AS value FROM nation, p")
+def chunk_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Two long vectors against blocks of a rectangle: an expression of the key and a table."""
+    z = NormalizedFrame(chunked(spark, sf), []).submatrix(None, (1, 4))
+    u = table(spark, sf, "part").select("p_partkey", (F.col("p_size") - 3).alias("u"))
+    got = z.rmatmat([F.col("i") % 7 - 3, u])
+    return out(spark, 4, y0=got[:, 0], y1=got[:, 1])
+
+
+query("chunk_rmatmat", f"SELECT CAST(e.j - 1 AS BIGINT) AS j, round(sum(v * (i % 7 - 3)), 4) + 0.0 AS y0, round(sum(v * (p_size - 3)), 4) + 0.0 AS y1 FROM ({_CHUNKS}) e JOIN part ON p_partkey = i WHERE e.j BETWEEN 1 AND 3 GROUP BY e.j")(chunk_products)
+
+
+def zarr(spark: SparkSession, sf: str) -> ChunkedMatrix:
+    """Part as a Zarr array on the shared folder: tasks write the files of their chunks, and read those of the chunks they need."""
+    t = table(spark, sf, "part")
+    wide = Wide(t.select("p_partkey", *[F.expr(e).cast("double").alias(f"c{k}") for k, e in enumerate(_PART5)]), "p_partkey", [f"c{k}" for k in range(5)])
+    path, n = shared_path(spark, "zarr"), t.agg(F.max("p_partkey")).first()[0] + 1
+    write_zarr(wide, path, n, (max(64, n // 64), 2), fill=7.5)
+    return read_zarr(spark, path)
+
+
+@query("zarr_standardize", f"WITH e AS ({_CHUNKS}), p AS (SELECT j, avg(v) AS m, stddev_pop(v - 7.5) AS s FROM e GROUP BY j) SELECT CAST(i AS BIGINT) AS i, round(sum((v - m) / CASE WHEN s = 0 THEN 1 ELSE s END * (e.j + 1)), 6) + 0.0 AS value FROM e JOIN p ON e.j = p.j GROUP BY i")
 def zarr_standardize(spark: SparkSession, sf: str) -> DataFrame:
-    """Nation, 25 rows at any scale, as a Zarr array of gzipped chunks on the shared folder."""
-    rows = [(r[0], r[1]) for r in table(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect()]
-    path, x = shared_path(spark, "zarr"), np.zeros((30, 2))
-    x[: len(rows)] = rows
-    meta = {
-        "zarr_format": 3, "node_type": "array", "shape": [len(rows), 2], "data_type": "float64", "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "gzip"}],
-        "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": [10, 1]}}, "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}},
-    }
-    write_file(spark, f"{path}/zarr.json", json.dumps(meta).encode())
-    for k in range(6):
-        write_file(spark, f"{path}/c/{k // 2}/{k % 2}", gzip.compress(x[k // 2 * 10 : k // 2 * 10 + 10, k % 2].astype("<f8").tobytes()))
-    m = read_zarr(spark, path)
-    return rounded(NormalizedFrame(m, [ColumnNormalization().fit(m)]).matvec([1, -2]), 8, "i")
+    m = zarr(spark, sf)
+    return rounded(NormalizedFrame(m, [ColumnNormalization().fit(m)]).matvec([1, 2, 3, 4, 5]), 6, "i")
+
+
+@query("zarr_rectangle", f"SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, CAST(v AS DOUBLE) AS v FROM ({_CHUNKS}) WHERE i >= 10 AND i < 131 AND j >= 1 AND j < 4")
+def zarr_rectangle(spark: SparkSession, sf: str) -> DataFrame:
+    return zarr(spark, sf).entries((10, 131), (1, 4))
+
+
+@query("zarr_robust", f"WITH e AS ({_CHUNKS}), p AS (SELECT j, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS s FROM e GROUP BY j) SELECT CAST(j AS BIGINT) AS j, round(m, 6) + 0.0 AS center, round(CASE WHEN s = 0 THEN 1 ELSE s END, 6) + 0.0 AS scale FROM p")
+def zarr_robust(spark: SparkSession, sf: str) -> DataFrame:
+    p = ColumnNormalization.robust().fit(zarr(spark, sf))
+    return out(spark, 6, center=p.centers, scale=p.scales)
 
 
 @query("explicit_params", "SELECT CAST(p_partkey AS BIGINT) AS p_partkey, round((p_size - 1.5) / -2.0, 8) + 0.0 AS p_size, round((p_retailprice - 3.0) / 4.0, 8) + 0.0 AS p_retailprice FROM part")
@@ -689,24 +736,47 @@ def streamed_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spark.read.schema(scored.schema).parquet(f"{path}/out"), 6, "p_partkey")
 
 
-def nations(spark: SparkSession, sf: str) -> Wide:
-    return Wide(table(spark, sf, "nation").select("n_regionkey", F.col("n_nationkey").alias("n"), F.col("n_nationkey").alias("i")), "i", ["n", "n_regionkey"])
+def suppliers(spark: SparkSession, sf: str) -> Wide:
+    return Wide(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("i"), "s_nationkey", "s_acctbal"), "i", ["s_nationkey", "s_acctbal"])
 
 
-_NATION = "WITH p AS (SELECT avg(n_nationkey) AS a, avg(n_regionkey) AS c FROM nation), z AS (SELECT n_nationkey AS i, n_nationkey - a AS x, n_regionkey - c AS y FROM nation, p) "
+_SUPPLIER = "WITH p AS (SELECT avg(s_nationkey) AS a, avg(s_acctbal) AS c FROM supplier), z AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS r, s_suppkey AS i, s_nationkey - a AS x, s_acctbal - c AS y FROM supplier, p) "
 
 
-@query("numpy_left_product", _NATION + "SELECT CAST(0 AS BIGINT) AS j, round(sum(x * (i % 3)), 6) + 0.0 AS u, round(sum(x * i), 6) + 0.0 AS w FROM z UNION ALL SELECT 1, round(sum(y * (i % 3)), 6) + 0.0, round(sum(y * i), 6) + 0.0 FROM z")
+@query("numpy_left_product", _SUPPLIER + "SELECT CAST(0 AS BIGINT) AS j, round(sum(x * (r % 3)), 4) + 0.0 AS u, round(sum(x * r), 4) + 0.0 AS w FROM z UNION ALL SELECT 1, round(sum(y * (r % 3)), 4) + 0.0, round(sum(y * r), 4) + 0.0 FROM z")
 def numpy_left_product(spark: SparkSession, sf: str) -> DataFrame:
-    z = normalize(nations(spark, sf), scale=False)
-    keys = np.arange(table(spark, sf, "nation").count())
-    return out(spark, 6, u=(keys % 3.0) @ z, w=np.matmul(keys.astype(float), z))
+    """Vectors in memory on the left: a value for each row."""
+    z = normalize(suppliers(spark, sf), scale=False)
+    at = np.arange(z.shape[0])
+    return out(spark, 4, u=(at % 3.0) @ z, w=np.matmul(at.astype(float), z))
 
 
-@query("solver_products", _NATION + "SELECT CAST(i AS BIGINT) AS j, round(x - 2 * y, 6) + 0.0 AS value FROM z")
+@query("solver_products", _SUPPLIER + "SELECT CAST(r AS BIGINT) AS j, round(x - 2 * y, 6) + 0.0 AS value FROM z")
 def solver_products(spark: SparkSession, sf: str) -> DataFrame:
     """Products with vectors in memory on both sides, as iterative solvers ask for."""
-    return out(spark, 6, value=InMemory(normalize(nations(spark, sf), scale=False)).matvec([1.0, -2.0]))
+    return out(spark, 6, value=InMemory(normalize(suppliers(spark, sf), scale=False)).matvec([1.0, -2.0]))
+
+
+@query("rmatmat_tables", Z_PART + " " + union([f"SELECT CAST({k} AS BIGINT) AS j, " + ", ".join(f"round(sum(z_{c} * (p_partkey % {r + 2})), 4) + 0.0 AS y{r}" for r in range(4)) + " FROM z" for k, c in enumerate(PART)]))
+def rmatmat_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Four long vectors that are tables meet the matrix in one join."""
+    m = parts(spark, sf)
+    us = [table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % (r + 2)).cast("double").alias("u")) for r in range(4)]
+    got = standardize(m).rmatmat(us)
+    return out(spark, 4, **{f"y{r}": got[:, r] for r in range(4)})
+
+
+@query("transposed_last_column", Z_PART + ", l AS (SELECT * FROM z WHERE p_partkey = (SELECT max(p_partkey) FROM part)) SELECT CAST(0 AS BIGINT) AS j, round(z_p_size, 8) + 0.0 AS value FROM l UNION ALL SELECT 1, round(z_p_retailprice, 8) + 0.0 FROM l")
+def transposed_last_column(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(standardize(parts(spark, sf)).T[:, -1], 8, "j")
+
+
+@query("params_npz", _MINMAX + _EAGER)
+def params_npz(spark: SparkSession, sf: str) -> DataFrame:
+    """Column parameters through a portable file of arrays."""
+    path, m = f"{shared_path(spark, 'params')}/columns.npz", parts(spark, sf)
+    ColumnNormalization.min_max().fit(m).save_npz(spark, path)
+    return rounded(ColumnParams.load_npz(spark, path).apply_frozen(m).to_eager(), 8, "p_partkey")
 
 
 @query("transposed_column", Z_PART + " SELECT CAST(0 AS BIGINT) AS j, round(z_p_size, 8) + 0.0 AS value FROM z WHERE p_partkey = 17 UNION ALL SELECT 1, round(z_p_retailprice, 8) + 0.0 FROM z WHERE p_partkey = 17")
@@ -723,7 +793,8 @@ def single_entry(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(rnd(F.col("value"), 8).alias("value"), rnd(F.col("again"), 8).alias("again"))
 
 
-@query("nan_poisons_its_column", "SELECT CAST(unnest([0, 1]) AS BIGINT) AS j, unnest([FALSE, TRUE]) AS lost")
+@query("nan_poisons_its_column", "WITH t AS (SELECT CAST(p_size AS DOUBLE) AS a, CASE WHEN p_partkey = 5 THEN CAST('NaN' AS DOUBLE) ELSE p_retailprice END AS b FROM part) "
+       "SELECT CAST(0 AS BIGINT) AS j, bool_or(isnan(a)) AS lost FROM t UNION ALL SELECT 1, bool_or(isnan(b)) FROM t")
 def nan_poisons_its_column(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "part").withColumn("p_retailprice", F.when(F.col("p_partkey") == 5, F.lit(float("nan"))).otherwise(F.col("p_retailprice")))
     s = ColumnStatistics(Wide(t, "p_partkey", PART))
@@ -774,3 +845,30 @@ def ridge_conjugate_gradients(spark: SparkSession, sf: str) -> DataFrame:
 def lasso(spark: SparkSession, sf: str) -> DataFrame:
     z = standardize(Wide(table(spark, sf, "customer"), "c_custkey", ["c_acctbal"]))
     return out(spark, 6, value=solvers.lasso(z, F.col("c_custkey") % 7 - 3, 0.01))
+
+
+@query("ridge_dual", _NORMAL + union([f"SELECT CAST({k} AS BIGINT) AS j, round({x.format(r=0)}, 6) + 0.0 AS value FROM q" for k, x in enumerate(_SOLVED)]))
+def ridge_dual(spark: SparkSession, sf: str) -> DataFrame:
+    """The same coefficients from the system of rows."""
+    return out(spark, 6, value=solvers.ridge_dual(ColumnNormalization().fit_apply(parts(spark, sf)), F.col("p_partkey") % 7 - 3, 0.1))
+
+
+_DESCENT = stage_sql(["c_acctbal"], "customer", "c_custkey", "mean", SD) + ", s AS (SELECT sum(z_c_acctbal * (c_custkey % 7 - 3)) / count(*) AS b, sum(c_custkey % 7 - 3) / count(*) AS m, sum(z_c_acctbal * z_c_acctbal) / count(*) AS g FROM z) "
+
+
+@query("batch_descent", _DESCENT + "SELECT round(b / g, 4) + 0.0 AS slope, round(m, 4) + 0.0 AS intercept FROM s")
+def batch_descent(spark: SparkSession, sf: str) -> DataFrame:
+    """Gradient descent with all rows in one batch, stopped, saved, loaded and ended: the least squares line."""
+    m, path = Wide(table(spark, sf, "customer"), "c_custkey", ["c_acctbal"]), shared_path(spark, "descent")
+    p, y = ColumnNormalization().fit(m), F.col("c_custkey") % 7 - 3
+    solvers.descend(m, p, y, 1, 12, 0.8, steps=5).save(spark, path)
+    end = solvers.descend(m, p, y, 1, 12, 0.8, state=solvers.DescentState.load(spark, path))
+    df = spark.createDataFrame([(end.coefficients[0], end.intercept)], "slope double, intercept double")
+    return df.select(*[rnd(F.col(c), 4).alias(c) for c in df.columns])
+
+
+@query("lasso_columns", stage_sql(["c_acctbal"], "customer", "c_custkey", "mean", SD) + ", s AS (SELECT sum(z_c_acctbal * (c_custkey % 7 - 3)) / count(*) AS b, sum(z_c_acctbal * z_c_acctbal) / count(*) AS g FROM z) "
+       "SELECT CAST(0 AS BIGINT) AS j, round(sign(b) * greatest(abs(b) - 0.01, 0) / g, 6) + 0.0 AS value FROM s")
+def lasso_columns(spark: SparkSession, sf: str) -> DataFrame:
+    z = standardize(Wide(table(spark, sf, "customer"), "c_custkey", ["c_acctbal"]))
+    return out(spark, 6, value=solvers.lasso_columns(z, F.col("c_custkey") % 7 - 3, 0.01))

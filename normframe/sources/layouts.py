@@ -34,7 +34,7 @@ def _fold(kind: str, value: Column) -> Column:
 def vector_table(spark: SparkSession, values: Sequence[float] | np.ndarray, index: str, value: str) -> DataFrame:
     """A vector as a table; marked for broadcast only while its size is bounded."""
     data = np.asarray(values, float)
-    table = spark.createDataFrame(list(zip(range(len(data)), data.tolist(), strict=True)), f"{index} bigint, {value} double")
+    table = spark.createDataFrame(pa.Table.from_arrays([pa.array(np.arange(len(data))), pa.array(data)], [index, value]))
     return F.broadcast(table) if len(data) <= BROADCAST_ENTRIES else table
 
 

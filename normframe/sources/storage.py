@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -42,3 +42,47 @@ def write_file(spark: SparkSession, path: str, data: bytes) -> None:
         stream.write(bytearray(data))
     finally:
         stream.close()
+
+
+def read_file(spark: SparkSession, path: str) -> bytes | None:
+    """A small file of any store on the driver, None if it is not there. Spark's own readers leave out names that begin with a dot."""
+    jvm = spark.sparkContext._jvm
+    name = jvm.org.apache.hadoop.fs.Path(path)
+    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(name):
+        return None
+    stream = fs.open(name)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that is no longer read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+class Buckets:
+    """A table on the shared folder in buckets of a key: joins of two such tables by that key shuffle neither.
+
+    ``dealt``: the rows come from such a join, and are in their buckets already.
+    """
+
+    def __init__(self, df: DataFrame, key: str, buckets: int, dealt: bool = False):
+        self.spark, self.name = df.sparkSession, f"normframe_{uuid.uuid4().hex}"
+        self.path = shared_path(self.spark, "buckets")
+        rows = df if dealt else df.repartition(buckets, key)
+        rows.write.bucketBy(buckets, key).sortBy(key).option("path", self.path).format("parquet").saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def with_columns(self, **columns: Column) -> Buckets:
+        """The same stored table, seen with other columns."""
+        out = object.__new__(Buckets)
+        out.__dict__ |= self.__dict__ | {"df": self.df.withColumns(columns)}
+        return out
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove(self.spark, self.path)

@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.numeric import NAN
 from .chunks import ChunkedMatrix, Span, to_chunks
-from .storage import qualified, write_file
+from .storage import qualified, read_file
 
 #: Bytes of values that a read task takes (more if there were over MOST_TASKS of them), and chunk files that are asked for by name where Spark lists them.
 TASK_BYTES, MOST_TASKS, NAMED_FILES = 64 << 20, 20_000, 1000
@@ -307,24 +307,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
 
 
-def _read_file(spark: SparkSession, path: str) -> bytes | None:
-    """A small file of any store on the driver, None if it is not there. Spark's own readers leave out names that begin with a dot."""
-    jvm = spark.sparkContext._jvm
-    name = jvm.org.apache.hadoop.fs.Path(path)
-    fs = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(name):
-        return None
-    stream = fs.open(name)
-    try:
-        return bytes(stream.readAllBytes())
-    finally:
-        stream.close()
-
-
 def _format(spark: SparkSession, path: str) -> _Format:
-    if (text := _read_file(spark, f"{path}/zarr.json")) is not None:
+    if (text := read_file(spark, f"{path}/zarr.json")) is not None:
         out = _version3(json.loads(text))
-    elif (text := _read_file(spark, f"{path}/.zarray")) is not None:
+    elif (text := read_file(spark, f"{path}/.zarray")) is not None:
         out = _version2(json.loads(text))
     else:
         raise ValueError(f"{path} holds no array metadata")

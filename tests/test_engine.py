@@ -510,3 +510,32 @@ def test_raw_data_stays_and_plans_stay_narrow(spark, tmp_path):
     assert "Exchange" not in plan and "LessThan(i,2)" in plan
     narrow = z.submatrix(None, (1, 2)).to_eager()._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<i:bigint,b:double>" in narrow
+
+
+def test_parameters_in_a_portable_file(spark, tmp_path):
+    for p in (nf.ColumnParams(3, [1.0, 2, 3], None), nf.ColumnParams(2, None, [0.5, -2]), nf.ColumnParams(1)):
+        path = str(tmp_path / f"{p.ncols}.npz")
+        p.save_npz(spark, path)
+        assert nf.ColumnParams.load_npz(spark, path) == p
+        with np.load(path, allow_pickle=False) as f:
+            assert set(f.files) == {"ncols", *(n for n in ("centers", "scales") if getattr(p, n) is not None)}
+    with pytest.raises(FileNotFoundError):
+        nf.ColumnParams.load_npz(spark, str(tmp_path / "none.npz"))
+
+
+def test_scipy_operator(spark, made, monkeypatch):
+    """SciPy is not installed: a stand-in module takes what the adapter hands over."""
+    import sys
+    import types
+
+    linalg = types.ModuleType("scipy.sparse.linalg")
+    linalg.LinearOperator = lambda shape, **parts: types.SimpleNamespace(shape=shape, **parts)
+    for name, module in (("scipy", types.ModuleType("scipy")), ("scipy.sparse", types.ModuleType("scipy.sparse")), ("scipy.sparse.linalg", linalg)):
+        monkeypatch.setitem(sys.modules, name, module)
+    a = reference(X, 0)[0]
+    op = nf.standardize(made["wide"]).aslinearoperator()
+    assert op.shape == a.shape and op.dtype == np.float64
+    np.testing.assert_allclose(op.matvec(V), a @ V, atol=1e-10)
+    np.testing.assert_allclose(op.rmatvec(np.array(U)), a.T @ U, atol=1e-10)
+    np.testing.assert_allclose(op.matmat(np.eye(len(V))), a, atol=1e-10)
+    np.testing.assert_allclose(op.rmatmat(np.eye(len(U))), a.T, atol=1e-10)

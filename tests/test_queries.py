@@ -18,6 +18,8 @@ SAMPLE = [
     "submatrix_matvec", "submatrix_rmatvec", "submatrix_weighted_sums", "transposed_rmatvec", "chain_matmat", "coo_matmat", "coo_weighted_gram", "ridge_normal_equations",
     "ridge_conjugate_gradients", "coo_chain_matvec", "coo_transposed_stats", "coo_corrections", "coo_eager", "chunk_rows", "chunk_block", "zarr_standardize", "params_saved_and_loaded",
     "streamed_scores", "numpy_left_product", "solver_products", "single_entry", "nan_poisons_its_column", "training_gradients", "lasso",
+    "chunk_rmatmat", "zarr_rectangle", "zarr_robust", "coo_row_stats_transposed", "coo_rows_robust", "coo_gram_pairs", "coo_row_corrections", "rmatmat_tables", "transposed_last_column", "params_npz",
+    "ridge_dual", "batch_descent", "lasso_columns", "coo_chain_weighted_sums",
 ]
 
 

@@ -35,8 +35,8 @@ from .textscan import mix64
 TABLES, K = 10, 10
 #: Vectors that the index is fitted on, those of them that act as queries, and the recall to reach there.
 SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.95
-#: Numbers of projections to choose from, slots in median neighbour distances, and a probe's cost in distances computed.
-PROJECTIONS, WIDTH, PROBE_COST = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 100
+#: Numbers of projections to choose from, slots in median neighbour distances, a probe's cost in distances computed, and buckets of a table that a query visits at least.
+PROJECTIONS, WIDTH, PROBE_COST, LEAST_PROBES = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 4, 4
 #: Entries of a bucket that one task takes, and probes of a table at most (all queries are scanned exactly if more were needed).
 CROWDED, MOST_PROBES = 2000, 512
 #: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.
@@ -59,6 +59,7 @@ class Index:
     probes: int
     moves: list[tuple[int, ...]]
     limit: float = np.inf  # queries whose last neighbour found is farther away are answered by an exact scan
+    met: float = 1.0  # the share of the sample that a query meets
 
     def slots(self, x: np.ndarray, table: int) -> np.ndarray:
         return x @ self.directions[table].T / self.width + self.shifts[table]
@@ -147,14 +148,15 @@ def fit(sample: np.ndarray, n: int, k: int = K, tables: int = TABLES, target: fl
         for t in range(tables):
             hit = keys[t][owner] == own[:, t, None]
             found = np.minimum(found, np.where(hit.any(1), hit.argmax(1), MOST_PROBES))
-        index.probes = int(np.sort(found)[int(np.ceil(target * len(found))) - 1]) + 1
+        index.probes = max(LEAST_PROBES, int(np.sort(found)[int(np.ceil(target * len(found))) - 1]) + 1)
         if index.probes > MOST_PROBES:
             break  # more projections part neighbours more
         buckets, met = index.buckets(sample), np.zeros((len(asked), len(sample)), bool)
         for t in range(tables):
             for q in range(len(asked)):
                 met[q] |= np.isin(buckets[:, t], keys[t][q, : index.probes])
-        cost = tables * index.probes * PROBE_COST + met.mean() * n
+        index.met = float(met.mean())
+        cost = tables * index.probes * PROBE_COST + index.met * n
         if cost < least:
             best, least = index, cost
     if best is None:

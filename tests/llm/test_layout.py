@@ -250,6 +250,29 @@ def test_neighbours_edges(spark, monkeypatch):
     assert ann.neighbours(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("sf,share", [("0.01", 0.9), ("0.1", 0.85)])
+def test_perturbed_buckets_are_visited(sf, share):
+    """The index chosen for the sample tables: several buckets of each table, the recall asked for, and the share of all vectors met."""
+    import pyarrow.parquet as pq
+
+    path = EMBEDDINGS.parents[1] / f"sf{sf}" / "embeddings.parquet"
+    if not path.exists():
+        pytest.skip("needs the sample tables")
+    x = np.array(pq.read_table(path)["embedding"].to_pylist(), float)
+    far = ((x[:100, None] - x[None]) ** 2).sum(2)
+    near = [x[np.argsort(d, kind="stable")[1:11]] for d in far]
+    index = ann.fit(x[:4000], len(x), near=near)
+    assert index.probes >= ann.LEAST_PROBES > 1 and np.isfinite(index.limit) and index.limit > 0
+    assert index.met < share
+    buckets, met = index.buckets(x), np.zeros((100, len(x)), bool)
+    for t in range(ann.TABLES):
+        keys = index.probed(x[:100], t)
+        assert all(len(set(k)) > 1 for k in keys.tolist())
+        met |= (keys[:, :, None] == buckets[None, None, :, t]).any(1)
+    recall = np.mean([met[q, np.argsort(far[q], kind="stable")[1:11]].mean() for q in range(100)])
+    assert recall >= 0.9 and met.mean() < share
+
+
 @pytest.mark.skipif(not EMBEDDINGS.exists(), reason="needs the sample tables")
 def test_recall_on_all_sample_vectors(spark):
     rows = spark.read.parquet(str(EMBEDDINGS)).select("vec_id", "embedding")

@@ -57,6 +57,8 @@ CONTENT = frozenset(["article", "main"])
 NOT_INLINE = frozenset(["*"])
 #: The role weight of what is in an article or main element, and the share of the fused mass that a container holds.
 MARKED, SHARE = 1.5, 0.6
+#: Blocks that make an article of a page that has nothing else.
+SEVERAL = 3
 
 _TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _UP_TO = re.compile(r"[^\"'>]*")
@@ -105,8 +107,8 @@ class Page:
         return len(self.elements) - 1
 
 
-def _boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
-    """Whether an element and all in it is something else than the article."""
+def _boilerplate(tag: str, attributes: str, in_content: bool, by_name: bool = True) -> bool:
+    """Whether an element and all in it is something else than the article; ``by_name``: also by words of its class or id."""
     if tag in DROPPED or (tag == "header" and not in_content):
         return True
     if not attributes.strip() or tag in ("html", "body", *CONTENT):
@@ -119,7 +121,7 @@ def _boilerplate(tag: str, attributes: str, in_content: bool) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not re.fullmatch("h[1-6]", tag):
+        if by_name and name in ("class", "id") and not re.fullmatch("h[1-6]", tag):
             if BOILERPLATE.intersection(w.lower() for w in _WORD.findall(value)):
                 return True
     return False
@@ -175,8 +177,8 @@ def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
             yield "text", "", "", at  # the answer to send()
 
 
-def parse(page: str) -> Page:
-    """All text blocks of a page in page order, those without a visible character left out."""
+def parse(page: str, by_name: bool = True) -> Page:
+    """All text blocks of a page in page order, those without a visible character left out. ``by_name``: class and id words tell what is no article."""
     out = Page()
     open_: list[tuple[str, int, bool, bool]] = []  # tag, number of the element that is not inline, is boilerplate, is in an article or main element
     count: dict[str, int] = defaultdict(int)  # open elements by tag
@@ -245,7 +247,7 @@ def parse(page: str) -> Page:
         if tag in VOID:
             continue
         above = open_[-1] if open_ else ("", 0, False, False)
-        off = above[2] or _boilerplate(tag, rest, above[3])
+        off = above[2] or _boilerplate(tag, rest, above[3], by_name)
         if tag in RAW:  # up to its end tag all is text of a kind that is dropped
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             stream.send(end.end() if end else len(page))
@@ -332,8 +334,21 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 def main_text(page: str | None) -> str:
-    """The article of a page; blocks are joined by one line feed."""
-    return "\n".join(b.text for b in content_blocks(parse(page))) if page else ""
+    """The article of a page; blocks are joined by one line feed.
+
+    Where words of classes and ids leave nothing of a page, they were wrong
+    about it: the ratios then decide without them, if content markup or
+    several blocks speak for an article.
+    """
+    if not page:
+        return ""
+    kept = content_blocks(parse(page))
+    if not kept:
+        whole = parse(page, by_name=False)
+        again = content_blocks(whole)
+        if len(again) >= SEVERAL or any(e.content for e in whole.elements):
+            kept = again
+    return "\n".join(b.text for b in kept)
 
 
 def extract_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ TABLES, K = 10, 10
 #: Vectors that the index is fitted on, those of them that act as queries, and the recall to reach there.
 SAMPLE, SAMPLE_QUERIES, TARGET = 4000, 100, 0.95
 #: Numbers of projections to choose from, slots in median neighbour distances, a probe's cost in distances computed, and buckets of a table that a query visits at least.
-PROJECTIONS, WIDTH, PROBE_COST, LEAST_PROBES = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 4, 4
+PROJECTIONS, WIDTH, PROBE_COST, LEAST_PROBES = (2, 3, 4, 5, 6, 8, 10, 12), 2.0, 16, 4
 #: Entries of a bucket that one task takes, and probes of a table at most (all queries are scanned exactly if more were needed).
 CROWDED, MOST_PROBES = 2000, 512
 #: Crowded buckets up to which their table is broadcast; more are joined by a shuffle.

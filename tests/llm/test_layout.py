@@ -250,7 +250,7 @@ def test_neighbours_edges(spark, monkeypatch):
     assert ann.neighbours(df.filter("vec_id < 0"), df.filter("vec_id < 0")).count() == 0
 
 
-@pytest.mark.parametrize("sf,share", [("0.01", 0.9), ("0.1", 0.85)])
+@pytest.mark.parametrize("sf,share", [("0.01", 0.93), ("0.1", 0.9)])
 def test_perturbed_buckets_are_visited(sf, share):
     """The index chosen for the sample tables: several buckets of each table, the recall asked for, and the share of all vectors met."""
     import pyarrow.parquet as pq

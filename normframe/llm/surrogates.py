@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, read_table, utf8
+from .shared import materialize, read_table, remove, utf8
 
 #: For tests and the sample query; production passes a secret of its own.
 DEMO_KEY = "normframe demonstration key"
@@ -67,6 +68,10 @@ BLOCKS = ((0xE0, 0xF6), (0xF8, 0xFF), (0xC0, 0xD6), (0xD8, 0xDE), (0x561, 0x586)
 # Address blocks with a meaning of their own (prefix, bits); surrogates stay inside.
 IP_BLOCKS = ((0, 8), (10, 8), (127, 8), (0xA9FE, 16), (0xAC1, 12), (0xC0A8, 16), (0xE, 4), (0xF, 4))
 
+# Last letters of given names that are read as feminine where no title tells.
+FEMININE_ENDINGS = "aeаяαη"
+
+
 def _lower() -> str:
     """The lower-case letters of the Latin, Greek and Cyrillic scripts."""
     return "".join(chr(c) for low, high in ((0x41, 0x530), (0x1E00, 0x2000)) for c in range(low, high) if chr(c).islower())
@@ -83,7 +88,7 @@ _INITIAL = rf"(?:{_CAPITAL}\.(?=[ -]?{_CAPITAL}))"
 _PARTICLES = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )"
 _NAME = rf"{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD}(?:[ -]{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD})*"
 PATTERN = re.compile(
-    r"(?P<email>(?<![\w.+%-])[\w.+%-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
+    r"(?P<email>(?<![\w.+%-])[\w.+%-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<assigned>(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/=.~-]{8,})"
     r"|(?P<key>\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b)"
     r"|(?P<ip>(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d))"
@@ -99,12 +104,16 @@ _PARTS = re.compile(rf"(?P<initial>{_CAPITAL}(?=\.))|{_LETTER}+")
 _MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|::|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
 
 
+#: Characters that are permuted as one number.
+PIECE = 256
+
+
 class Keyed:
-    """Surrogates under one key. ``moved``: attempts of name words that the collision check moved on."""
+    """Surrogates under one key. ``moved``: attempts of name words that the collision check moved on; ``roles``: of the words that texts have in several."""
 
-    def __init__(self, key: str, moved: dict[tuple[str, str, str], int] | None = None):
+    def __init__(self, key: str, moved: dict[tuple[str, str, str], int] | None = None, roles: dict[str, str] | None = None):
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
-        self.moved = moved or {}
+        self.moved, self.roles = moved or {}, roles or {}
         self.surrogate = lru_cache(100_000)(self.surrogate)
 
     def number(self, *parts: object) -> int:
@@ -125,17 +134,27 @@ class Keyed:
             a = (a - self.number(tweak, r, b)) % left
         return a * right + b
 
-    def string(self, text: str, tweak: object, hexadecimal: bool = False) -> str:
-        """A keyed permutation of the strings of that shape: each character stays in its alphabet, others stay."""
+    def string(self, text: str, tweak: object, hexadecimal: bool | str = False) -> str:
+        """A keyed permutation of the strings of that shape: each character stays in its alphabet, others stay.
+
+        Long strings go piece by piece, each by a permutation of its own for what stands before it, so different strings stay different.
+        """
+        if hexadecimal is True:  # digits belong to the case of the letters
+            hexadecimal = HEX[1] if any(c in "ABCDEF" for c in text) else HEX[0]
+        if len(text) > PIECE:
+            before, out = hashlib.blake2b(digest_size=32), []
+            for at in range(0, len(text), PIECE):
+                out.append(self.string(text[at : at + PIECE], (tweak, at, before.hexdigest()), hexadecimal))
+                before.update(text[at : at + PIECE].encode())
+            return "".join(out)
         sets = []
         for c in text:
             own = next((a for a in (HEX if hexadecimal else ALPHABETS) if c in a), None)
             if hexadecimal and own is None:
                 own = next((a for a in ALPHABETS if c in a), None)
             sets.append(own if own is not None else digits_like(c) if c.isdecimal() else block_of(c))
-        if hexadecimal:  # digits belong to the case of the letters
-            case = HEX[1] if any(c in "ABCDEF" for c in text) else HEX[0]
-            sets = [case if s in HEX else s for s in sets]
+        if hexadecimal:
+            sets = [hexadecimal if s in HEX else s for s in sets]
         radices = [len(s) for s in sets if s]
         digits = [s.index(c) for s, c in zip(sets, text, strict=True) if s]
         shape = "".join((str((*ALPHABETS, *HEX).index(s)) if s in (*ALPHABETS, *HEX) else s) if s else c for s, c in zip(sets, text, strict=True))
@@ -310,14 +329,15 @@ def settled_role(word: str, roles: list[str]) -> str:
     if given:
         return given[0]
     if "g" in roles:
-        return "f" if word.lower()[-1] in "aeаяαη" else "m"
+        return "f" if word.lower()[-1] in FEMININE_ENDINGS else "m"
     return "n"
 
 
-def entities(text: str) -> list[tuple[int, int, str, list[tuple[int, str, str]]]]:
+def entities(text: str, roles_of: dict[str, str] | None = None) -> list[tuple[int, int, str, list[tuple[int, str, str]]]]:
     """(start, end, kind, name words) of all entities in order: those of the pattern, and all other mentions of the names in it.
 
-    A name word has one role in the whole document, whatever the title it stands after.
+    A name word has one role in the whole document, whatever the title it
+    stands after: that of ``roles_of`` where the corpus has it in several.
     """
     out, told = [], {}
     for start, end, kind, gender in find(text):
@@ -325,7 +345,7 @@ def entities(text: str) -> list[tuple[int, int, str, list[tuple[int, str, str]]]
         out.append((start, end, kind, named))
         for _, role, word in named:
             told.setdefault(word.lower(), []).append(role)
-    one = {low: settled_role(low, rs) for low, rs in told.items()}
+    one = {low: (roles_of or {}).get(low) or settled_role(low, rs) for low, rs in told.items()}
     out = [(x, y, kind, [(at, "i" if r == "i" else one[w.lower()], w) for at, r, w in named]) for x, y, kind, named in out]
     roles = {}
     for _, _, _, named in out:
@@ -352,7 +372,7 @@ def entities(text: str) -> list[tuple[int, int, str, list[tuple[int, str, str]]]
 def replace(text: str, keyed: Keyed) -> tuple[str, list[dict]]:
     """The text with surrogates, and their kinds and places in it."""
     out, spans, at, size = [], [], 0, 0
-    for start, end, kind, named in entities(text):
+    for start, end, kind, named in entities(text, keyed.roles):
         old = text[start:end]
         if kind == "name":
             new, last = "", 0
@@ -375,47 +395,70 @@ def _maybe(column: pa.Array) -> list[bool]:
 
 
 def names_of(df: DataFrame, text_col: str) -> DataFrame:
-    """The distinct name words of all texts: role, script, word (lower case)."""
+    """The distinct name words of all texts: role by the title, script, word (lower case), and how often; not yet settled."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
             titled = pc.match_substring_regex(column, rf"(?:{_TITLE})")  # RE2's \b knows ASCII only
-            found = {
+            found = Counter(
                 (role, script_of(word), word.lower())
                 for text in column.filter(titled).to_pylist()
-                for _, _, _, named in entities(text)
-                for _, role, word in named
+                for start, end, kind, gender in find(text)
+                if kind == "name"
+                for _, role, word in name_words(text[start:end], gender)
                 if role != "i"
-            }
-            rows = sorted(found)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], ["role", "script", "word"])
+            )
+            rows = sorted(found.items())
+            columns = [pa.array([r[k] for r, _ in rows], pa.string()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n in rows], pa.int64())], ["role", "script", "word", "n"])
+
+    counted = df.select(utf8(text_col).alias("t")).mapInArrow(scan, "role string, script string, word string, n bigint")
+    return counted.groupBy("role", "script", "word").agg(F.sum("n").alias("n"))
+
 
-    return df.select(utf8(text_col).alias("t")).mapInArrow(scan, "role string, script string, word string").distinct()
+def settled_roles(names: DataFrame) -> DataFrame:
+    """One role for each name word of the corpus, and in how many roles texts have it.
+
+    A given name by the titles that tell its gender, by the greater number of
+    them (f if equal), else by its ending; a family name if no text has it before
+    another word. So a lone word after a title is the given name that it is elsewhere.
+    """
+    n = {r: F.coalesce(F.sum(F.when(F.col("role") == r, F.col("n"))), F.lit(0)) for r in "mfgn"}
+    told = names.groupBy("script", "word").agg(*[c.alias(r) for r, c in n.items()])
+    ending = F.when(F.substring("word", -1, 1).isin(*FEMININE_ENDINGS), "f").otherwise("m")
+    role = F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > 0, "f").when(F.col("g") > 0, ending).otherwise("n")
+    kinds = sum(((F.col(r) > 0).cast("int") for r in "mfgn"), F.lit(0))
+    return told.select(role.alias("role"), "script", "word", kinds.alias("kinds"))
 
 
 def settle_names(names: DataFrame, key: str) -> Keyed:
     """Surrogates for all name words, checked for collisions.
 
-    Distinct words of one kind can't share a surrogate; one that is itself a
-    name word of the corpus, or that two kinds of words share, moves on to the
-    next attempt, all but the first by order. The check is a grouped count and
-    a join; only words that moved come to the driver: those whose surrogate, of
-    millions, happens to be a name.
+    A word has one role in the whole corpus, so a person keeps one name over
+    all documents. Distinct words can't share a surrogate, whatever their
+    roles; one that is itself a name word of the corpus, or that several words
+    share, moves on to the next attempt, all but the first by order. Every
+    attempt takes another syllable, so there are ever more surrogates and the rounds
+    end. The check is a grouped count and a join; only the words that moved, and those that
+    texts have in several roles, come to the driver.
     """
-    names = materialize(names, "names")
-    real = names.select("script", F.col("word").alias("made"), F.lit(True).alias("hits")).distinct()
+    scratch: list[str] = []
+    settled = materialize(settled_roles(names), "names", scratch)
+    roles = {r["word"]: r["role"] for r in settled.filter("kinds > 1").select("word", "role").collect()}
+    names = settled.select("role", "script", "word")
+    real = names.select("script", F.col("word").alias("made"), F.lit(True).alias("hits"))
     moved: dict[tuple[str, str, str], int] = {}
-    for _ in range(50):
+    while True:
         made = _surrogates(names, key, moved)
-        shared = made.groupBy("role", "script", "made").agg(F.count("*").alias("n"), F.min("word").alias("first")).filter("n > 1")
-        wrong = made.join(shared, ["role", "script", "made"], "left").join(real, ["script", "made"], "left")
+        shared = made.groupBy("script", "made").agg(F.count("*").alias("n"), F.min("word").alias("first")).filter("n > 1")
+        wrong = made.join(shared, ["script", "made"], "left").join(real, ["script", "made"], "left")
         wrong = wrong.filter(F.col("hits") | (F.col("n").isNotNull() & (F.col("word") != F.col("first")))).select("role", "script", "word").collect()
         if not wrong:
-            return Keyed(key, moved)
+            remove(names.sparkSession, scratch[0])
+            return Keyed(key, moved, roles)
         for r in wrong:
             moved[tuple(r)] = moved.get(tuple(r), 0) + 1
-    raise ValueError("no collision-free surrogates for the names")
 
 
 def _surrogates(names: DataFrame, key: str, moved: dict[tuple[str, str, str], int]) -> DataFrame:
@@ -435,13 +478,15 @@ def pseudonymize(df: DataFrame, key: str, text_col: str = "text", spans_col: str
     Spans give kind, start and length of each surrogate in the new text, in
     code points. One pass collects the distinct name words (few beside the
     texts), a second replaces; texts are not shuffled. A null text stays null
-    and has no spans; an empty table gives none. Other columns stay; one that
+    and has no spans; an empty table gives none. Texts of any length are searched whole. Of two entities that
+    overlap the one that starts first counts, then the kind named first in the pattern. Repeated rows are
+    rows like any other, with the same surrogates. Other columns stay; one that
     has the name ``spans_col`` is replaced.
     """
     if spans_col:
         df = df.drop(spans_col)
     keyed = settle_names(names_of(df, text_col), key)
-    args = (key, keyed.moved)
+    args = (key, keyed.moved, keyed.roles)
     kept = df.schema.fields
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

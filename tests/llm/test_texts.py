@@ -387,3 +387,17 @@ def test_leaks_of_nothing(table):
     assert [(r["doc_id"], r["leak_hits"], r["leak_n_words"]) for r in found] == [(1, [], 2)]
     kept = decontamination.drop_contaminated(clash, table(ITEMS, "item_id long, text string"))
     assert kept.columns == clash.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 1)]
+
+
+@pytest.mark.parametrize("name", ['class="legal-article"', 'class="comment-free"', 'id="skip-content"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_a_class_word_does_not_empty_a_page(name, tag):
+    """A word around the whole article is overruled by the ratios; beside an article it still tells what is none."""
+    told = [f"Paragraph {k} tells, at some length, what happened on day {k}; people were there, and they saw it." for k in range(4)]
+    article = f"<{tag}><h1>A day</h1>" + "".join(f"<p>{t}</p>" for t in told) + f"</{tag}>"
+    page = f"<html><body><nav><a href=x>Home</a></nav><div {name}>{article}</div><footer>Imprint</footer></body></html>"
+    assert main_text(page) == "\n".join(["A day", *told])
+    beside = f"<html><body>{article}<div class='comments'><p>{'I liked it, really; it was good, and true. ' * 9}</p></div></body></html>"
+    assert main_text(beside) == "\n".join(["A day", *told])
+    notice = f"<html><body><div {name}><p>We use cookies, as all do; please agree to it now.</p></div></body></html>"
+    assert main_text(notice) == ""

@@ -348,3 +348,39 @@ def test_entities_that_touch_or_overlap():
     ends = [(s["start"], s["start"] + s["length"]) for s in spans]
     assert all(x[1] <= y[0] for x, y in zip(ends[:-1], ends[1:])) and len(spans) >= 5
     assert [new[x:y] for (x, y), s in zip(ends, spans) if s["kind"] == "ip"][0] == [new[x:y] for (x, y), s in zip(ends, spans) if s["kind"] == "ip"][1]
+
+
+def test_one_name_and_one_role_over_documents(table):
+    """A word is the same person's name in every document, whatever the title there, and by the titles' gender."""
+    rows = [
+        (1, "Mrs Anna Schmidt came."), (2, "Later Ms Anna spoke; Anna left."), (3, "Dr Robin Weber"), (4, "Ms Robin Weber"), (5, "Mr Robin Kurz"), (6, "Ms Robin Lang"), (7, "Mr Schmidt"),
+    ]
+    new = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(table(rows, "doc_id long, text string"), "key").collect()}
+    anna, schmidt = re.fullmatch(r"Mrs (\w+) (\w+) came\.", new[1]).groups()
+    assert new[2] == f"Later Ms {anna} spoke; {anna} left." and new[7] == f"Mr {schmidt}"
+    assert len({re.search(r"\w+ (\w+)", new[k])[1] for k in (3, 4, 5, 6)}) == 1  # two titles of a woman against one of a man
+    _, endings = surrogates.SYLLABLES["latin"]
+    assert anna.endswith(tuple(endings["f"])) and new[4].split()[1].endswith(tuple(endings["f"])) and new[3].split()[2] == new[4].split()[2]
+
+
+def test_names_are_distinct_over_roles(table):
+    """Over two thousand short words as given and as family names in documents of their own: no two share a surrogate, and all their mentions agree."""
+    letters = "abcdefghijkl"
+    words = [a.upper() + b + c for a in letters for b in letters for c in (*letters, "")]
+    rows = [(k, f"{'Mr' if k % 2 else 'Mrs'} {w} {words[(k * 7 + 3) % len(words)]} met Dr {words[(k * 11 + 5) % len(words)]}.") for k, w in enumerate(words) if w.lower() not in surrogates.COMMON]
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymize(table(rows, "doc_id long, text string"), "key").collect()}
+    there, back = {}, {}
+    for key, old in rows:
+        a, b = (re.findall(r"[A-Z]\w+", t) for t in (old, got[key]))
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            if x not in ("Mr", "Mrs", "Dr"):
+                assert there.setdefault(x, y) == y and back.setdefault(y, x) == x and x != y
+    assert not set(there) & set(back)
+
+
+def test_long_local_parts_go(table):
+    rows = [(k, f"write to {'x' * n}@example.org now") for k, n in enumerate((1, 64, 65, 300, 200_000))]
+    for r in surrogates.pseudonymize(table(rows, "doc_id long, text string"), "key").collect():
+        n = (1, 64, 65, 300, 200_000)[r["doc_id"]]
+        assert [s["kind"] for s in r["pii_spans"]] == ["email"] and f"{'x' * n}@example.org" not in r["text"] and re.fullmatch(rf"write to [a-z]{{{n}}}@[a-z]+\.org now", r["text"])

@@ -190,6 +190,8 @@ def low_rank(raw: Coo, stages: Sequence[Any]) -> LowRank | None:
 def matmat(z: LowRank, b: np.ndarray, names: Sequence[str]) -> DataFrame:
     """A B: stored entries meet the rows of B, and each row adds its share of the background."""
     k = b.shape[1]
+    if k > WIDE:
+        return _wide_matmat(z, b, names)
     sums = z.entries.join(_operand(z, b), F.col("j") == F.col("_j")).groupBy("i").agg(F.count(F.lit(1)), *[F.sum(F.col("v") * F.col(f"_b{r}")).alias(f"_y{r}") for r in range(k)])
     full = z.rows.join(sums, "i", "left")
     shares = z.b @ b
@@ -202,6 +204,76 @@ def matmat(z: LowRank, b: np.ndarray, names: Sequence[str]) -> DataFrame:
     return full.select("i", *out)
 
 
+#: Columns of B that are sums of one aggregate; wider operands go by blocks of this many entries, against this many rows.
+WIDE, PANEL_ENTRIES, PANEL_ROWS = 64, 1 << 20, 4096
+
+
+def _wide_matmat(z: LowRank, b: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """The same for hundreds or thousands of columns: blocks of the rows of B meet blocks of stored entries, and partial rows are added up.
+
+    A task holds one block of B and the products of one block of rows, whatever p, n and the length of a row.
+    """
+    k, spark = b.shape[1], z.entries.sparkSession
+    width = max(1, PANEL_ENTRIES // k)
+    groups = max(1, -(-z.rows.count() // PANEL_ROWS))
+    kind = z.rows.schema["i"].dataType.simpleString()
+    lows = list(range(0, z.ncols, width))
+    flat = pa.LargeListArray.from_arrays(pa.array([k * low for low in [*lows, z.ncols]], pa.int64()), pa.array(np.ascontiguousarray(b).ravel()))
+    panels = spark.createDataFrame(pa.Table.from_arrays([pa.array(np.arange(len(lows))), flat], ["_jb", "b"]))
+    cells = z.entries.groupBy(F.floor(F.col("j") / F.lit(width)).cast("long").alias("jb"), F.pmod(F.xxhash64("i"), F.lit(groups)).alias("ib")).agg(
+        F.collect_list("i").alias("i"), F.collect_list(F.struct("j", "v")).alias("cells")
+    )
+    met = cells.join(F.broadcast(panels) if b.size <= 1_000_000 else panels, F.col("jb") == F.col("_jb")).select("jb", "i", "cells", "b")
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, jb in enumerate(batch.column(0).to_pylist()):
+                coded = batch.column(1)[n].values.dictionary_encode()
+                entry, panel = batch.column(2)[n].values, batch.column(3)[n].values.to_numpy(zero_copy_only=False).reshape(-1, k)
+                row, j, v = coded.indices.to_numpy(), entry.field("j").to_numpy() - jb * width, entry.field("v").to_numpy()
+                order = np.argsort(row, kind="stable")
+                row, j, v = row[order], j[order], v[order]
+                first = np.flatnonzero(np.diff(row, prepend=-1))
+                y = np.zeros((len(coded.dictionary), k))
+                ends = np.append(first[1:], len(row))
+                for r, a, c in zip(row[first].tolist(), first.tolist(), ends.tolist(), strict=True):
+                    y[r] = v[a:c] @ panel[j[a:c]]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, _vectors(y)], ["i", "y"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, np.zeros(0)
+        for batch in batches:
+            for i, y in zip(batch.column(0), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k), strict=True):
+                if at is not None and i == at:
+                    held = held + y
+                    continue
+                if at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], batch.column(0).type), _vectors(held[None])], ["i", "y"])
+                at, held = i, y
+        if at is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([at.as_py()], at.type), _vectors(held[None])], ["i", "y"])
+
+    sums = met.mapInArrow(products, f"i {kind}, y array<double>").repartition("i").sortWithinPartitions("i").mapInArrow(add, f"i {kind}, y array<double>")
+    shares = z.b @ b
+    factors = F.array(*[z.factor(f) for f in range(len(z.factors))]).cast("array<double>")
+    full = z.rows.select("i", factors.alias("f")).join(sums, "i", "left")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = np.zeros((batch.num_rows, k))
+            some = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            y[some] = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            if len(shares):
+                y += batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ shares
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.ascontiguousarray(c)) for c in y.T]], ["i", *names])
+
+    return full.mapInArrow(spread, f"i {kind}" + "".join(f", `{n}` double" for n in names))
+
+
+def _vectors(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def _operand(z: LowRank, b: np.ndarray) -> DataFrame:
     spark = z.entries.sparkSession
     columns = [pa.array(np.arange(z.ncols)), *[pa.array(np.ascontiguousarray(c)) for c in b.T]]

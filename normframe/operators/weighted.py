@@ -14,6 +14,8 @@ from ..sources.layouts import Wide, matched
 
 #: Columns up to which a Gram matrix is one aggregate of p (p + 1) / 2 sums; wider ones add up Arrow blocks.
 EXPRESSION_GRAM = 12
+#: Rows of a Gram matrix that one scan adds up in a task.
+PANEL = 2048
 #: Sums in one aggregate of a wide matrix, beyond which the array form is used.
 EXPRESSION_SUMS = 400
 
@@ -56,21 +58,25 @@ def gram(m: Any, df: DataFrame, weight: Column) -> np.ndarray:
             out[a, b] = out[b, a] = value
         return out
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros((p + 1, p + 1))
-        for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-            w = batch.column(1).to_numpy(zero_copy_only=False)
-            z = np.column_stack((np.ones(len(x)), x))
-            with np.errstate(invalid="ignore"):
-                acc += z.T @ (w[:, None] * z)
-        yield pa.RecordBatch.from_arrays([pa.array(range(p + 1), pa.int64()), pa.array(acc.tolist(), pa.list_(pa.float64()))], ["r", "g"])
-
-    # One block of p + 1 rows a task, then one sum for each matrix row: what moves depends on tasks and p only.
-    blocks = df.select(m.row().array().alias("x"), weight.alias("w")).mapInArrow(partial, "r bigint, g array<double>")
-    added = blocks.select("r", F.posexplode("g").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v"))
-    for row in added.collect():
-        out[row["r"], row["c"]] = row["v"]
+    rows = df.select(m.row().array().alias("x"), weight.alias("w"))
+    for start in range(0, p + 1, PANEL):  # a task holds one panel of rows of the result; up to PANEL columns take one scan
+        stop = min(start + PANEL, p + 1)
+
+        def partial(batches: Iterator[pa.RecordBatch], start: int = start, stop: int = stop) -> Iterator[pa.RecordBatch]:
+            acc = np.zeros((stop - start, p + 1 - start))
+            for batch in batches:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                w = batch.column(1).to_numpy(zero_copy_only=False)
+                z = np.column_stack((np.ones(len(x)), x))[:, start:]
+                with np.errstate(invalid="ignore"):
+                    acc += z[:, : stop - start].T @ (w[:, None] * z)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(stop - start + 1) * (p + 1 - start), pa.int32()), pa.array(acc.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(start, stop)), lists], ["r", "g"])
+
+        # One panel a task, then one sum for each of its entries: what moves depends on tasks and p only.
+        parts = rows.mapInArrow(partial, "r bigint, g array<double>").select("r", F.posexplode("g").alias("c", "v")).groupBy("r", "c").agg(F.sum("v").alias("v")).toArrow()
+        r, c, v = (parts.column(n).to_numpy() for n in ("r", "c", "v"))
+        out[r, start + c] = v
     return np.triu(out) + np.triu(out, 1).T
 
 

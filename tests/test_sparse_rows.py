@@ -208,3 +208,24 @@ def test_frozen_rows_do_not_move_the_matrix(spark):
     params = nf.RowParams.of(spark, range(12), [1.0] * 12)
     plan = params.apply_frozen(m).matrix.df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("entries,rows", [(1 << 20, 4096), (250, 5)])
+def test_wide_operands_by_blocks(spark, monkeypatch, entries, rows):
+    monkeypatch.setattr(sparse, "PANEL_ENTRIES", entries)
+    monkeypatch.setattr(sparse, "PANEL_ROWS", rows)
+    b = np.random.default_rng(4).normal(size=(9, 100))
+    for stages in ([], [nf.RowNormalization("none", "l2"), nf.ColumnNormalization()]):
+        z, dense = (nf.Chain(tuple(stages)).fit_apply(m) if stages else nf.NormalizedFrame(m) for m in (coo(spark, X), nf.from_numpy(spark, X)))
+        got = z.matmat(b).orderBy("i").toPandas()
+        assert got["i"].tolist() == list(range(12)) and len(got.columns) == 101
+        np.testing.assert_allclose(got.drop(columns="i").to_numpy(), dense.toarray() @ b, atol=1e-10)
+
+
+def test_gram_by_panels(spark, monkeypatch):
+    from normframe.operators import weighted
+
+    monkeypatch.setattr(weighted, "PANEL", 4)
+    a = np.column_stack((np.ones(12), X))
+    got = nf.NormalizedFrame(nf.from_numpy(spark, X)).with_intercept().gram("i")
+    np.testing.assert_allclose(got, a.T @ (np.arange(12.0)[:, None] * a), atol=1e-10)

@@ -16,6 +16,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -94,11 +95,10 @@ class _Rows:
 
 @dataclass
 class ChunkFiles(InputPartition):
-    """Files with consecutive numbers in one row of files."""
+    """A rectangle of files: part of one row of files, or whole rows of small ones."""
 
-    row: int
-    first: int
-    end: int
+    rows: Span
+    cols: Span
 
 
 class ZarrReader(DataSourceReader):
@@ -112,17 +112,20 @@ class ZarrReader(DataSourceReader):
         rows, cols = ((low // n, -(-high // n)) if low < high else (0, 0) for (low, high), n in zip((self.tall, self.across), per, strict=True))
         each = 8 * per[0] * per[1] * self.how.chunk[0] * self.how.chunk[1]
         files = (rows[1] - rows[0]) * (cols[1] - cols[0])
-        width = max(1, max(TASK_BYTES, files * each // MOST_TASKS) // each)
-        return [ChunkFiles(i, j, min(j + width, cols[1])) for i in range(*rows) for j in range(cols[0], cols[1], width)]
+        most = max(1, max(TASK_BYTES, files * each // MOST_TASKS) // each)
+        wide = min(most, max(1, cols[1] - cols[0]))
+        tall = max(1, most // wide) if wide == cols[1] - cols[0] else 1
+        return [ChunkFiles((i, min(i + tall, rows[1])), (j, min(j + wide, cols[1]))) for i in range(*rows, tall) for j in range(*cols, wide)]
 
     def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         if not isinstance(partition, ChunkFiles):  # Spark asks once where there are no partitions
             return
         fs, root = _where(self.uri)
         rows, empty = _Rows(self.how), np.full(self.how.chunk[0] * self.how.chunk[1], self.how.fill)
-        for j in range(partition.first, partition.end):
-            for ci, cj, data in self._file(fs, f"{root}/{self.how.name(partition.row, j)}", partition.row, j):
-                yield rows.batch(ci, cj, empty if data is None else _decode(data, self.how))
+        for i in range(*partition.rows):
+            for j in range(*partition.cols):
+                for ci, cj, data in self._file(fs, f"{root}/{self.how.name(i, j)}", i, j):
+                    yield rows.batch(ci, cj, empty if data is None else _decode(data, self.how))
 
     def _file(self, fs: pafs.FileSystem, path: str, i: int, j: int) -> Iterator[tuple[int, int, bytes | None]]:
         """The chunks of a file that lie in the rectangle; None for absent ones."""
@@ -237,6 +240,7 @@ def zarr_chunks(spark: SparkSession, uri: str, how: _Format) -> Callable[[Span,
     spark.dataSource.register(ZarrSource)
     push = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
 
+    @lru_cache(64)
     def near(tall: Span, across: Span) -> DataFrame:
         reader = spark.read.format(ZarrSource.name()).option("uri", uri).option("how", json.dumps(asdict(how))).option("push", push)
         return reader.option("tall", json.dumps(tall)).option("across", json.dumps(across)).load()

@@ -18,8 +18,7 @@ def values(df):
 
 def opened(reader):
     """The files that a data source's reader would open, and those it finds."""
-    asked = [reader.how.name(p.row, j) for p in reader.partitions() for j in range(p.first, p.end)]
-    return asked
+    return [reader.how.name(i, j) for p in reader.partitions() for i in range(*p.rows) for j in range(*p.cols)]
 
 
 @pytest.fixture(scope="module")
@@ -138,9 +137,10 @@ def test_filters_reach_the_reader(spark, tmp_path):
 def test_partitions_hold_many_small_files(spark, stored, monkeypatch):
     how = zarr._format(spark, str(stored[0] / "z"))
     whole = lambda: zarr.ZarrReader("file:/x", how, (0, 8), (0, 4)).partitions()
-    assert len(whole()) == 8
-    monkeypatch.setattr(zarr, "TASK_BYTES", 2 * 8 * 15)
-    assert [(p.row, p.first, p.end) for p in whole()[:3]] == [(0, 0, 2), (0, 2, 4), (1, 0, 2)]
+    files = sorted(f"c/{i}/{j}" for i in range(8) for j in range(4))
+    for chunks, tasks in ((100, [((0, 8), (0, 4))]), (9, [((i, i + 2), (0, 4)) for i in (0, 2, 4, 6)]), (2, [((i, i + 1), (j, j + 2)) for i in range(8) for j in (0, 2)])):
+        monkeypatch.setattr(zarr, "TASK_BYTES", chunks * 8 * 15)
+        assert [(p.rows, p.cols) for p in whole()] == tasks and sorted(opened(zarr.ZarrReader("file:/x", how, (0, 8), (0, 4)))) == files
     monkeypatch.setattr(zarr, "TASK_BYTES", 1)
     monkeypatch.setattr(zarr, "MOST_TASKS", 8)
     assert len(whole()) == 8

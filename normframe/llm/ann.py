@@ -218,6 +218,7 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     components, and rows with a null id take no part, as entries or queries;
     vectors of several dimensions are neighbours among their own. Repeated rows
     count once. An empty table, or one of such vectors only, gives no rows.
+    Each dimension is a search of its own, of a dozen jobs: meant for tables with few.
     Other columns are not read, whatever their names.
     """
     spark = df.sparkSession

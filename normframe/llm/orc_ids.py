@@ -54,7 +54,9 @@ def write_orc_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, id_col:
 
     Files are in order by the numbers in their names, rows in order within each; rows that share an
     id are ordered by a hash of their text, and so a repeated id is split over
-    files too. Null ids come first; null and empty texts hold the end id alone.
+    files too. Null ids come first; null and empty texts hold the end id alone. A text of any length is
+    encoded whole, alone in its slice; an empty table gives files without rows. Other columns are not
+    written, and an id column named "ids" raises, for the file has that column.
     """
     docs = df.select(id_col, utf8(text_col).alias(text_col)).withColumn("_tie", F.xxhash64(text_col))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

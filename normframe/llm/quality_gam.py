@@ -224,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     id; so it is the same wherever and in whatever order rows are read. Null
     labels and ids take no part. Of documents that share an id one is taken,
     the one with the smallest hash of its text, so no id can exceed the bound.
+    No labelled row, or labels of one class, give the (smoothed) share of ones as the score of every text.
     """
     chosen = (
         labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -245,6 +246,7 @@ def score(df: DataFrame, model: Gam, text_col: str = "text", score_col: str = "s
 
     Texts are scored whole, null and empty ones too; a repeated row is scored
     each time, and a column that has the name ``score_col`` is replaced.
+    An empty table gives one; repeated rows and ties have equal scores.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name != score_col]

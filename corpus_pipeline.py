@@ -62,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage but the last is written to the shared folder and read again. A table that its successor has read is removed."""
+    """All stages over ``documents``.
+
+    Null and empty texts are scored like others and link with nothing; texts of
+    any length are taken whole; an empty table gives no pieces; further columns
+    pass all stages but the last. Each stage but the last is written to the
+    shared folder and read again. A table that its successor has read is removed.
+    """
     docs, written = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), written)

@@ -228,7 +228,7 @@ def test_neighbours(spark):
     share = []
     for q, near in want.items():
         ranked = sorted(found[q])
-        assert [x[0] for x in ranked] == list(range(1, 11)) and ranked == sorted(ranked, key=lambda x: (x[1], x[2]))
+        assert [x[0] for x in ranked] == list(range(1, 14)) and ranked == sorted(ranked, key=lambda x: (x[1], x[2]))
         share.append(len({x[2] for x in ranked} & {i for _, i in near}) / 10)
         exact = {i: d for d, i in neighbours_by_force(rows, [q], 3000)[q]}
         assert all(abs(exact[i] - s) < 1e-9 for _, s, i in ranked)
@@ -359,5 +359,5 @@ def test_pipeline_stages(spark, table):
 
 def test_registered():
     names = list(registered.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(registered.oracle_sql()) <= set(names)

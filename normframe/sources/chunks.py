@@ -165,13 +165,13 @@ class ChunkedMatrix(Matrix):
         return out
 
 
-#: Folders that a chunk table is divided into at most, by ranges of chunk rows.
-FOLDERS = 1000
+#: Folders that a chunk table is divided into at most, by ranges of chunk rows, and bytes of values that one holds at least.
+FOLDERS, FOLDER_BYTES = 1000, 64 << 20
 
 
-def _band(nrows: int, tall: int) -> int:
+def _band(shape: Span, tall: int) -> int:
     """Chunk rows in a folder."""
-    return max(1, -(-(-(-nrows // tall)) // FOLDERS))
+    return max(1, -(-(-(-shape[0] // tall)) // FOLDERS), FOLDER_BYTES // max(1, 8 * tall * shape[1]))
 
 
 def to_chunks(matrix: Any, chunk: Span, fill: float = 0.0, row_of: str | None = None, keep_fill: bool = False) -> DataFrame:
@@ -211,13 +211,13 @@ def to_chunks(matrix: Any, chunk: Span, fill: float = 0.0, row_of: str | None =
 
 def write_chunks(matrix: Any, path: str, nrows: int, chunk: Span, fill: float = 0.0, row_of: str | None = None) -> None:
     """Write a dense matrix with row numbers as keys as a chunk table, in folders of ranges of chunk rows; chunks of fill values are left out."""
-    chunks = to_chunks(matrix, chunk, fill, row_of).withColumn("band", F.floor(F.col("ci") / F.lit(_band(nrows, chunk[0]))).cast("long"))
+    chunks = to_chunks(matrix, chunk, fill, row_of).withColumn("band", F.floor(F.col("ci") / F.lit(_band((nrows, matrix.ncols), chunk[0]))).cast("long"))
     chunks.write.mode("overwrite").partitionBy("band").parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, shape: Span, chunk: Span, fill: float = 0.0) -> ChunkedMatrix:
     """A table that ``write_chunks`` wrote: a rectangle reads the folders and row groups of its chunks."""
-    table, band = spark.read.schema("ci bigint, cj bigint, values array<double>, band bigint").parquet(path), _band(shape[0], chunk[0])
+    table, band = spark.read.schema("ci bigint, cj bigint, values array<double>, band bigint").parquet(path), _band(shape, chunk[0])
 
     def near(tall: Span, across: Span) -> DataFrame:
         folders = (F.col("band") >= tall[0] // band) & (F.col("band") <= (tall[1] - 1) // band)

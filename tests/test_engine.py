@@ -376,8 +376,10 @@ def test_zarr_that_is_not_supported(spark, tmp_path, change):
         nf.read_zarr(spark, str(tmp_path / "none"))
 
 
-def test_rectangles_prune_chunk_files(spark, tmp_path):
+def test_rectangles_prune_chunk_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("normframe.sources.chunks.FOLDER_BYTES", 1)
     nf.write_chunks(nf.from_numpy(spark, np.arange(60.0).reshape(20, 3) + 1), str(tmp_path / "c"), 20, (4, 2))
+    assert len(list((tmp_path / "c").glob("band=*"))) == 5
     m = nf.read_chunks(spark, str(tmp_path / "c"), (20, 3), (4, 2))
     plan = m.rectangle((4, 8), (0, 2)).chunks._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(band" in plan and "PushedFilters: [IsNotNull(ci)" in plan

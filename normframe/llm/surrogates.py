@@ -10,13 +10,15 @@ is permuted, and written in syllables of its script with an ending of its
 gender: a pronounceable word, and another one for every other name, however many
 there are. A collision check over all distinct name words of the corpus finds
 surrogates that are real names there, and moves them on. Name words that a
-title gave away are replaced in the whole document.
+title, a letter's begin or end, an introduction or an e-mail address gave away
+are replaced in the whole document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -38,10 +40,23 @@ ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUV
 HEX = ("0123456789abcdef", "0123456789ABCDEF")
 # Titles before a name, by gender.
 TITLES = {
-    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Sir", "господин", "κύριος", "Κύριος", "κύριο", "κυρίου"),
-    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Señorita", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "Lady", "госпожа", "κυρία", "Κυρία", "κυρίας"),
-    "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor"),
+    "m": ("Mr", "Herr", "Herrn", "Señor", "Sr", "Don", "Monsieur", "Sir", "Signor", "Signore", "Sig", "господин", "κύριος", "Κύριος", "κύριο", "κυρίου"),
+    "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Srta", "Señorita", "Doña", "Madame", "Mme", "Mlle", "Mademoiselle", "Lady", "Signora", "Signorina", "госпожа", "κυρία", "Κυρία", "κυρίας"),
+    "n": ("Dr", "Prof", "Professor", "Doctor", "Doktor", "Mx", "Rev", "Reverend", "President", "Senator", "Governor", "Judge", "Captain", "Colonel", "Sergeant", "Detective", "Inspector"),
 }
+# Titles that are also found in capitals.
+SHOUTED = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "Signor", "Signora", "господин", "госпожа")
+# What stands before a name in a letter's end, and where people say or write their names; in any case.
+CLOSINGS = ("regards", "sincerely", "sincerely yours", "yours truly", "yours faithfully", "best wishes", "mit freundlichen grüßen", "viele grüße", "liebe grüße", "cordialement", "bien à vous",
+            "saludos", "saludos cordiales", "atentamente", "cordiali saluti", "с уважением", "με εκτίμηση")
+NAMINGS = ("my name is", "my name's", "mein name ist", "ich heiße", "je m'appelle", "je m’appelle", "me llamo", "mi nombre es", "mi chiamo", "меня зовут", "με λένε", "signed by", "full name:", "first name:",
+           "given name:", "last name:", "family name:", "surname:", "attn:")
+# Words after "Dear" and at a letter's end that are no names.
+ADDRESSED = ("Sir", "Sirs", "Madam", "Customer", "Customers", "Client", "Friend", "Friends", "Colleague", "Colleagues", "Team", "All", "Everyone", "Editor", "Reader", "Readers", "Parents", "Mom", "Mum", "Dad", "Santa",
+             "Diary", "God", "Lord", "Guest", "Guests", "Member", "Members", "Student", "Students", "Our", "My", "Sent", "Please")
+# Names that are ordinary words too, and stay where they stand alone at a sentence's start or before another word with a capital.
+AMBIGUOUS = frozenset("may will mark bill grant rose grace hope faith joy white black brown green gray grey young long short king price rich stone wood hill field church park lake bush rice cook baker "
+                      "miller smith fox wolf bird fish day winter summer love best good strong wise small little north west east".split())
 # Lower-case words within names, which stay.
 PARTICLES = ("de", "del", "de la", "de las", "de los", "la", "las", "los", "y", "da", "das", "do", "dos", "di", "della", "du", "des", "le", "van", "van de", "van den", "van der", "von", "von der",
              "vom", "zu", "zum", "zur", "ten", "ter", "den", "der", "af", "av", "al", "el", "bin", "bint", "ibn", "ben", "фон", "де", "ван")
@@ -79,14 +94,20 @@ def _lower() -> str:
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+_GENDER |= {t.upper(): _GENDER[t] for t in SHOUTED}
+_SHOUTED = "|".join(sorted((t.upper() for t in SHOUTED), key=len, reverse=True))
+_CUE = "|".join(sorted((*CLOSINGS, *NAMINGS), key=len, reverse=True))
+_NO_NAME = "|".join(sorted((*(w.capitalize() for w in COMMON), *ADDRESSED), key=len, reverse=True))
 # A name: words, initials and lower-case particles; it ends with a word or an initial, and stops before another title.
 _LETTER = r"(?:[^\W\d_][\u0300-\u036f]*)"
 _CAPITAL = rf"(?:[^\W\d_{_lower()}][\u0300-\u036f]*)"
 _APOSTROPHE = r"(?:['’](?!(?:[sSdDmMtT]|ll|LL|re|RE|ve|VE)(?![^\W\d_]))(?=[^\W\d_]))"
-_WORD = rf"(?:(?!(?:{_TITLE})\b)(?:[dDlL]['’])?{_CAPITAL}{_APOSTROPHE}?{_LETTER}+(?:{_APOSTROPHE}{_LETTER}+)*)"
+_WORD = rf"(?:(?!(?:{_TITLE}|{_SHOUTED})\b)(?:[dDlL]['’])?{_CAPITAL}{_APOSTROPHE}?{_LETTER}+(?:{_APOSTROPHE}{_LETTER}+)*)"
 _INITIAL = rf"(?:{_CAPITAL}\.(?=[ -]?{_CAPITAL}))"
 _PARTICLES = rf"(?:(?:{'|'.join(sorted(PARTICLES, key=len, reverse=True))}) )"
 _NAME = rf"{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD}(?:[ -]{_PARTICLES}{{0,3}}(?:{_INITIAL}[ -]?)*{_WORD})*"
+_FEW = _NAME[:-1] + "{0,9}"
+_LOUD = rf"(?!(?:{'|'.join(sorted((w.upper() for w in COMMON), key=len, reverse=True))})\b){_WORD}"
 PATTERN = re.compile(
     r"(?P<email>(?<![\w.+%-])[\w.+%-]++@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}(?![\w-]))"
     r"|(?P<assigned>(?i:\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth)\b)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/=.~-]{8,})"
@@ -98,10 +119,16 @@ PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w]))"
     r"|(?P<card>(?<![\w])\d(?:[ -]?\d){12,18}(?![\w]))"
     rf"|(?P<title>\b(?:{_TITLE})\b\.?\s{{1,3}})(?P<name>{_NAME})"
+    rf"|(?P<shout>\b(?:{_SHOUTED})\b\.?\s{{1,3}})(?P<shouted>{_LOUD}(?:[ -]{_LOUD}){{0,2}})"
+    rf"|(?P<cue>\b(?i:{_CUE})[,.!]?\s{{1,4}})(?P<cued>(?!(?:{_NO_NAME})\b){_FEW})(?=[ \t]{{0,3}}(?:[\r\n,.;!?)]|\Z))"
+    rf"|(?P<dear>\bDear )(?P<greeted>(?!(?:{_NO_NAME})\b){_FEW})(?=[,!:\r\n])"
 )
+_NAME_KINDS = {"name": "title", "shouted": "shout", "cued": "", "greeted": ""}
+_CAPITALS = re.compile(rf"(?<![^\W_]){_WORD}(?![^\W_])")
 _PARTS = re.compile(rf"(?P<initial>{_CAPITAL}(?=\.))|{_LETTER}+")
-#: Texts without any of these have no entity; RE2 tests whole columns.
-_MAYBE = rf"@|\p{{Nd}}|[a-f]{{32}}|::|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox|(?:{_TITLE})"
+#: Texts without any of these have no name, or no entity; RE2 tests whole columns, and its \\b knows ASCII only.
+_NAMED = rf"@|Dear |(?i:{_CUE})|{_SHOUTED}|{_TITLE}"
+_MAYBE = rf"{_NAMED}|\p{{Nd}}|[a-f]{{32}}|::|AKIA|(?i:token|secret|passw|pwd|key|auth)|sk-|gh[pousr]_|xox"
 
 
 #: Characters that are permuted as one number.
@@ -115,6 +142,7 @@ class Keyed:
         self.key = hashlib.blake2b(key.encode(), digest_size=32).digest()
         self.moved, self.roles = moved or {}, roles or {}
         self.surrogate = lru_cache(100_000)(self.surrogate)
+        self.name_word = lru_cache(100_000)(self.name_word)
 
     def number(self, *parts: object) -> int:
         return int.from_bytes(hashlib.blake2b(repr(parts).encode(), key=self.key, digest_size=32).digest(), "big")
@@ -304,11 +332,45 @@ def script_of(word: str) -> str:
 
 
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, gender) of the entities of a text; the gender is of a name's title."""
+    """(start, end, kind, gender) of the entities of a text in order; the gender is of a name's title (n: none that tells).
+
+    Names are found after a title, at a letter's begin and end, where people say
+    them, and where the text has the two names of an e-mail address with capitals.
+    """
+    found = list(_spelt(text))
+    mailed = {_mailed(text[x:y]) for x, y, kind, _ in found if kind == "email"} - {None}
+    if mailed:
+        ends = [e[1] for e in found]
+        last, more = None, []
+        for m in _CAPITALS.finditer(text):
+            if last and text[last.end() : m.start()] in (" ", ", ") and not mailed.isdisjoint({(_plain(last[0]), _plain(m[0])), (_plain(m[0]), _plain(last[0]))}):
+                i = bisect_right(ends, last.start())
+                if i == len(found) or found[i][0] >= m.end():
+                    more.append((last.start(), m.end(), "name", "n"))
+                    last = None
+                    continue
+            last = m
+        found = sorted([*found, *more])
+    yield from found
+
+
+def _plain(word: str) -> str:
+    """A name word as e-mail addresses have it: lower case, without marks."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word.casefold()) if not unicodedata.combining(c))
+
+
+def _mailed(address: str) -> tuple[str, str] | None:
+    """The first and last of the names in an e-mail address."""
+    parts = re.split(r"[._-]", address.partition("@")[0].casefold())
+    return (parts[0], parts[-1]) if len(parts) > 1 and all(p.isalpha() for p in parts) and min(len(parts[0]), len(parts[-1])) > 1 else None
+
+
+def _spelt(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in PATTERN.finditer(text):
         kind = m.lastgroup
-        if kind == "name":
-            yield m.start("name"), m.end("name"), "name", _GENDER[m["title"].strip().rstrip(".")]
+        if kind in _NAME_KINDS:
+            title = _NAME_KINDS[kind]
+            yield m.start(kind), m.end(kind), "name", _GENDER[m[title].strip().rstrip(".")] if title else "n"
         elif kind == "secret":
             yield m.start("secret"), m.end("secret"), "secret", ""
         elif kind != "card" or luhn(re.sub(r"\D", "", m[0])):  # a card's number has a check digit
@@ -357,18 +419,27 @@ def entities(text: str, roles_of: dict[str, str] | None = None) -> list[tuple[in
     word = f"(?:{'|'.join(map(re.escape, sorted(roles, key=len, reverse=True)))})(?![^\\W_]|[\u0300-\u036f])"
     ends, more = [x[1] for x in out], []
     for m in re.finditer(rf"(?<![^\W_])(?<![\u0300-\u036f]){word}(?:[ -]{word})*", text):
+        if m[0].lower() in AMBIGUOUS and _ordinary(text, m.start(), m.end()):
+            continue
         for w in re.finditer(word, m[0]):
             x, y = m.start() + w.start(), m.start() + w.end()
             i = bisect_right(ends, x)
             if i == len(out) or out[i][0] >= y:
                 if more and more[-1][1] + 1 == x and text[more[-1][1]] in " -":
-                    start, _, kind, named = more.pop()
-                    more.append((start, y, kind, [*named, (x - start, roles[w[0]], w[0])]))
+                    start, _, kind, named = more[-1]
+                    named.append((x - start, roles[w[0]], w[0]))
+                    more[-1] = (start, y, kind, named)
                 else:
                     more.append((x, y, "name", [(0, roles[w[0]], w[0])]))
     return sorted([*out, *more], key=lambda e: e[0])
 
 
+def _ordinary(text: str, start: int, end: int) -> bool:
+    """Whether a word stands at a sentence's start, or before another word with a capital."""
+    before = text[max(0, start - 3) : start].rstrip(" ")
+    return (before[-1:] in ".!?:\n\"“" if before else start < 3) or re.match(rf" {_WORD}", text[end : end + 80]) is not None
+
+
 def replace(text: str, keyed: Keyed) -> tuple[str, list[dict]]:
     """The text with surrogates, and their kinds and places in it."""
     out, spans, at, size = [], [], 0, 0
@@ -395,12 +466,12 @@ def _maybe(column: pa.Array) -> list[bool]:
 
 
 def names_of(df: DataFrame, text_col: str) -> DataFrame:
-    """The distinct name words of all texts: role by the title, script, word (lower case), and how often; not yet settled."""
+    """The distinct name words of all texts: role by the title (g or n without one), script, word (lower case), and how often; not yet settled."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            titled = pc.match_substring_regex(column, rf"(?:{_TITLE})")  # RE2's \b knows ASCII only
+            titled = pc.match_substring_regex(column, _NAMED)
             found = Counter(
                 (role, script_of(word), word.lower())
                 for text in column.filter(titled).to_pylist()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -401,3 +402,48 @@ def test_a_class_word_does_not_empty_a_page(name, tag):
     assert main_text(beside) == "\n".join(["A day", *told])
     notice = f"<html><body><div {name}><p>We use cookies, as all do; please agree to it now.</p></div></body></html>"
     assert main_text(notice) == ""
+
+
+@pytest.mark.parametrize(
+    ("text", "gone", "stays"),
+    [
+        ("MRS ANNA SCHMIDT, DR. WEBER AND THE OTHERS", "ANNA SCHMIDT WEBER", "MRS AND THE OTHERS"),
+        ("Fine.\nKind regards,\nJohn M. Miller\nSales", "John Miller", "Fine Kind regards Sales"),
+        ("Mit freundlichen Grüßen\nUte Groß", "Ute Groß", "freundlichen"),
+        ("Signora Rossi, President Biden: Biden spoke", "Rossi Biden", "Signora President spoke"),
+        ("Dear Anna, thanks. Anna knows", "Anna", "Dear thanks knows"),
+        ("My name is José Müller. Müller waits", "José Müller", "My name is waits"),
+        ("Меня зовут Иван Петров.", "Иван Петров", "зовут"),
+        ("Ask john.miller@example.com. John Miller, or Miller, John", "john John Miller", "Ask or"),
+        ("José Müller <jose.muller@x.org>", "José Müller", ""),
+        ("Mr May came. May we go? I met May.", "", "May came we go I met"),
+        ("Mrs White saw the White House", "", "White House saw the"),
+        ("Dear Customer, hello. Best regards\nThe Team", "", "Dear Customer hello Best regards The Team"),
+        ("my name is on the list, regards to all", "", "my name is on the list regards to all"),
+    ],
+)
+def test_names_without_a_title(text, gone, stays):
+    new, spans = surrogates.replace(text, surrogates.Keyed("k6"))
+    left = set(re.findall(r"[^\W\d_]+", new))
+    assert not left & set(gone.split()) and set(stays.split()) <= left
+    assert all(0 <= s["start"] <= len(new) - s["length"] for s in spans)
+
+
+def test_ordinary_words_that_are_names():
+    keyed = surrogates.Keyed("k6")
+    may, white = keyed.name_word("n", "May"), keyed.name_word("n", "White")
+    assert surrogates.replace("Mr May came. May we go? I met May.", keyed)[0] == f"Mr {may} came. May we go? I met {may}."
+    assert surrogates.replace("Mrs White saw the White House and White.", keyed)[0] == f"Mrs {white} saw the White House and {white}."
+
+
+def test_names_of_all_kinds_are_settled(table):
+    """What replaces a name is what the collision check saw: all name words of the texts, however they were found."""
+    rows = [("Dear Anna, x",), ("Kind regards,\nBerta Cohn",), ("MR DAVIS spoke",), ("eva.fox@x.org is Eva Fox",), ("Mein Name ist Gerd.",), ("nothing",), (None,)]
+    found = {r["word"] for r in surrogates.names_of(table(rows, "text string"), "text").collect()}
+    assert {"anna", "berta", "cohn", "davis", "eva", "fox", "gerd"} <= found
+
+
+def test_a_text_of_one_name_takes_time_in_proportion():
+    began = time.perf_counter()
+    new, spans = surrogates.replace("Mr Anna. " + "Anna " * 100_000, surrogates.Keyed("k6"))
+    assert "Anna" not in new and len(spans) == 2 and time.perf_counter() - began < 60

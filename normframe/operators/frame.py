@@ -73,6 +73,8 @@ def apply_stage(m: Any, stage: Any) -> Any:
     """The output of one stage as a matrix of its own, lazily."""
     if isinstance(stage, ColumnParams):
         return _column_stage(m, stage)
+    if isinstance(m, Coo) and m.ncols and (isinstance(stage, RowParams) and not stage.centered or isinstance(stage, RowNormalization) and stage.center == "none"):
+        return sparse.scaled_rows(m, stage)
     if isinstance(stage, RowParams):
         m = m.dense()
         own = stage.table.select(stage.key, "center", "scale")

@@ -172,6 +172,22 @@ def _row_ranks(entries: DataFrame, base: DataFrame, p: int, ranks: Sequence[int]
     return out.unionByName(entries.sparkSession.createDataFrame(known, f"i {kind}, v_ranks array<double>")) if known else out
 
 
+def scaled_rows(m: Coo, stage: RowParams | RowNormalization) -> Coo:
+    """Coordinates with their rows divided by scales: zeros stay zeros, so no row is filled, but for those whose scale is NaN, as 0 / NaN is."""
+    if isinstance(stage, RowParams):
+        table = stage.table.select(stage.key, "center", "scale")
+        rows = looked_up(m.rows.select("i"), "i", table, {"scale": "scale"}, "table of row parameters")
+        scaled = stage.scaled
+    else:
+        rows, scaled = row_table(m.df, m.rows, m.ncols, stage), stage.scale != "none"
+    if not scaled:
+        return m
+    own = rows.filter(~F.isnan("scale")).select(F.col("i").alias("_i"), F.col("scale").alias("_s"))
+    entries = m.df.join(own, F.col("i") == F.col("_i")).select("i", "j", (F.col("v") / F.col("_s")).alias("v"))
+    poisoned = rows.filter(F.isnan("scale")).select("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m.ncols - 1).cast("long"))).alias("j"), F.lit(NAN).alias("v"))
+    return Coo(entries.unionByName(poisoned), m.nrows, m.ncols, m._rows, coalesced=True)
+
+
 def low_rank(raw: Coo, stages: Sequence[Any]) -> LowRank | None:
     """The form above of a normalized matrix; None if a row recipe has to be fitted on rows that are not sparse any more."""
     out = LowRank(raw.df.select("i", "j", "v"), raw.rows.select("i"), raw.ncols)

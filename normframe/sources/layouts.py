@@ -366,6 +366,10 @@ class Coo(Matrix):
     def dense(self) -> Array:
         return self.to_array()
 
+    def long(self) -> DataFrame:
+        """Every entry, zeros too."""
+        return self.to_array().long()
+
     def to_array(self, column: str = "x") -> Array:
         """Rows as arrays with zeros filled in: one shuffle by row, then a join with the row domain. A row's entries are put in their places at once."""
         cells = self.df.groupBy("i").agg(F.collect_list(F.struct("j", "v")).alias("cells"))

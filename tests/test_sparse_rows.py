@@ -229,3 +229,23 @@ def test_gram_by_panels(spark, monkeypatch):
     a = np.column_stack((np.ones(12), X))
     got = nf.NormalizedFrame(nf.from_numpy(spark, X)).with_intercept().gram("i")
     np.testing.assert_allclose(got, a.T @ (np.arange(12.0)[:, None] * a), atol=1e-10)
+
+
+@pytest.mark.parametrize("nan", [False, True])
+def test_chains_of_row_scales_are_fitted_without_filling(spark, monkeypatch, nan):
+    """A column stage behind row scales reads stored entries alone; a NaN poisons its whole row, zeros too, and so every column."""
+    from normframe.sources.layouts import Coo
+
+    x = X.copy()
+    if nan:
+        x[2, 1] = np.nan
+    first, second = nf.RowNormalization("none", "l1"), nf.ColumnNormalization()
+    want = nf.Chain((first, second)).fit(nf.from_numpy(spark, x)).stages[1][1]
+    with monkeypatch.context() as without:
+        without.setattr(Coo, "to_array", lambda *a: pytest.fail("rows were filled"))
+        fits = [nf.Chain(stages).fit(coo(spark, x)).stages[1][1] for stages in ((first, second), (first.fit(coo(spark, x)), second))]
+    for got in fits:
+        np.testing.assert_allclose([got.centers, got.scales], [want.centers, want.scales], atol=1e-12)
+    view = nf.NormalizedFrame(coo(spark, x), [nf.RowNormalization("none", "l1")])
+    np.testing.assert_allclose(view.toarray(), nf.NormalizedFrame(nf.from_numpy(spark, x), [nf.RowNormalization("none", "l1")]).toarray(), atol=1e-12)
+    assert view.matrix.long().count() == x.size

@@ -4,6 +4,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import normframe as nf
 from normframe.operators import sparse
@@ -249,3 +250,23 @@ def test_chains_of_row_scales_are_fitted_without_filling(spark, monkeypatch, nan
     view = nf.NormalizedFrame(coo(spark, x), [nf.RowNormalization("none", "l1")])
     np.testing.assert_allclose(view.toarray(), nf.NormalizedFrame(nf.from_numpy(spark, x), [nf.RowNormalization("none", "l1")]).toarray(), atol=1e-12)
     assert view.matrix.long().count() == x.size
+
+
+@pytest.mark.parametrize("batch", [1 << 16, 4])
+def test_gram_as_a_table(spark, monkeypatch, batch):
+    """Every entry of both triangles, without the matrix on the driver."""
+    monkeypatch.setattr(sparse, "BATCH_ENTRIES", batch)
+    x = X.copy()
+    x[:, 7] = 0  # a column without entries
+    for stages in ([], [nf.RowNormalization("mean", "l2"), nf.ColumnNormalization("mean", "none")]):
+        z, dense = (nf.Chain(tuple(stages)).fit_apply(m) if stages else nf.NormalizedFrame(m) for m in (coo(spark, x), nf.from_numpy(spark, x)))
+        parts = z.gram_pairs(F.col("i") % 3)
+        monkeypatch.setattr(sparse.GramParts, "dense", lambda self: pytest.fail("the matrix is on the driver"))
+        got = parts.table().collect()
+        assert len(got) == 81 and len({(r["j"], r["k"]) for r in got}) == 81
+        g = np.zeros((9, 9))
+        for r in got:
+            g[r["j"], r["k"]] = r["g"]
+        a = dense.toarray()
+        np.testing.assert_allclose(g, a.T @ ((np.arange(12.0) % 3)[:, None] * a), atol=1e-10)
+        assert (g == g.T).all()

@@ -55,3 +55,16 @@ def test_entry_works_without_training_operators(tmp_path):
         "assert len(e.queries()) > 50 and not any(n.startswith('op') for n in e.queries()) and e.oracle_sql()\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="needs the sample tables")
+def test_lines_are_dealt_by_order_and_added_up_once(spark, monkeypatch):
+    """Tasks of one size, whatever the number of orders; one shuffle, and no second sum of what is added up."""
+    monkeypatch.setattr(engine, "ORDERS", 100)
+    m = engine.cells(spark, str(SF))
+    plan = m.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and f", {-(-m.count() // 100)})" in plan
+    seen, statistics = [], engine.ColumnStatistics
+    monkeypatch.setattr(engine, "ColumnStatistics", lambda m: seen.append(m) or statistics(m))
+    engine.coo_transposed_stats(spark, str(SF))
+    assert seen[0].df._jdf.queryExecution().executedPlan().toString().count("HashAggregate(") == 2

@@ -403,17 +403,15 @@ def weighted_sums(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
     rest = own.filter(even)
     if not k:  # zeros stay zeros
         met = z.entries.join(rest.select(F.col("i").alias("_i"), "w"), F.col("i") == F.col("_i"))
-        found = [(r[0], r[1], []) for r in met.groupBy("j").agg(F.sum(F.col("v") * F.col("w"))).collect()]
+        found = met.groupBy("j").agg(F.sum(F.col("v") * F.col("w")).alias("s"))
     else:
         stored = z.entries.select("i", "j", "v", block.alias("block"))
         sums = rest.groupBy("block").cogroup(stored.groupBy("block")).applyInArrow(_block_sums(b, k), "j bigint, block int, s double")
-        found = sums.groupBy("j").agg(F.sum("s"), F.sort_array(F.collect_list("block"))).collect()
+        listed = sums.groupBy("j").agg(F.sum("s").alias("s"), F.sort_array(F.collect_list("block")).alias("blocks"))
+        found = listed.mapInArrow(_other_blocks(whole, blocks, b), "j bigint, s double")
     here = np.zeros(p, bool)
-    for j, s, in_blocks in found:
+    for j, s in found.collect():  # one number a column
         here[j] = True
-        if k:
-            _, low, high = _gaps(np.zeros(len(in_blocks), np.int64), np.array(in_blocks), blocks)
-            s += _background(_range_sums(whole, low, high)[:, 1:].sum(0, keepdims=True), b[:, j : j + 1])[0]
         out[1 + j] += s
     if k:
         out[1:][~here] += _background(np.broadcast_to(whole[-1][0, 1:], (int((~here).sum()), k)), b[:, ~here])
@@ -448,6 +446,23 @@ def _block_sums(b: np.ndarray, k: int) -> Callable[[pa.Table, pa.Table], pa.Tabl
     return add
 
 
+def _other_blocks(whole: Sequence[np.ndarray], blocks: int, b: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to each column's sum what the blocks give in which it has no entry; ``whole``: the tree of the blocks' totals."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large in batches:
+            for batch in (large.slice(at, BLOCK_ROWS) for at in range(0, large.num_rows, BLOCK_ROWS)):
+                j, s, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+                group = np.repeat(np.arange(len(j)), np.diff(lists.offsets.to_numpy()))  # no list is empty
+                number, low, high = _gaps(group, lists.flatten().to_numpy().astype(np.int64), blocks)
+                missing = _background(_range_sums(whole, low, high)[:, 1:], b[:, j[number]])
+                with np.errstate(invalid="ignore"):
+                    s = s + np.bincount(number, missing, minlength=len(j))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["j", "s"])
+
+    return add
+
+
 def _weighted_rows(z: LowRank, rows: DataFrame, weight: Column) -> np.ndarray:
     """The same sums over rows taken entry by entry."""
     p, k, b = z.ncols, len(z.factors), z.b

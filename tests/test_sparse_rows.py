@@ -270,3 +270,18 @@ def test_gram_as_a_table(spark, monkeypatch, batch):
         a = dense.toarray()
         np.testing.assert_allclose(g, a.T @ ((np.arange(12.0) % 3)[:, None] * a), atol=1e-10)
         assert (g == g.T).all()
+
+
+def test_weighted_sums_bring_one_number_a_column_to_the_driver(spark, monkeypatch):
+    """300 columns in up to 12 blocks each: what is collected has no lists of blocks."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    monkeypatch.setattr(sparse, "SUM_ROWS", 10)
+    x = np.where(np.random.default_rng(3).random((120, 300)) < 0.2, 0.0, 1.5)
+    x[:, 7] = 0
+    m, params = coo_plain(spark, x), nf.ColumnParams(300, [0.5] * 300, None)
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append([f.dataType.typeName() for f in self.schema]) or collect(self))
+    got = nf.NormalizedFrame(m, [params]).weighted_sums(F.col("i") % 3)
+    np.testing.assert_allclose(got, (np.arange(120) % 3) @ (x - 0.5), atol=1e-10)
+    assert seen and not any("array" in kinds for kinds in seen)

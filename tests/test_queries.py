@@ -5,7 +5,9 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from normframe import queries as engine
 
@@ -37,6 +39,18 @@ def test_query_matches_sql(spark, name):
     assert order(got).equals(order(want).astype(got[columns].dtypes.to_dict()))
 
 
+@pytest.mark.parametrize("digits", [3, 8])
+def test_rounding_of_many_values(spark, digits):
+    """The same doubles as plain rounding: ties, their neighbours, large numbers, and what is no number."""
+    r = np.random.default_rng(4)
+    ties = (r.integers(-(10**6), 10**6, 4000) + 0.5) / 10.0**digits
+    x = np.concatenate((ties, np.nextafter(ties, np.inf), np.nextafter(ties, -np.inf), r.normal(size=4000) * 10.0 ** r.integers(-9, 18, 4000), [np.nan, np.inf, -np.inf, -0.0, 5e-324, 1e308]))
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = df.select(engine.rnd(F.col("x"), digits).alias("a"), engine.rnd_many(F.col("x"), digits).alias("b")).toPandas().to_numpy()
+    np.testing.assert_array_equal(got[:, 0], got[:, 1])
+    assert len(got) == len(x) and not np.signbit(got[got == 0]).any()
+
+
 def test_every_engine_query_has_sql():
     assert set(engine.QUERIES) == set(engine.SQL)
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,6 +273,62 @@ def test_gram_as_a_table(spark, monkeypatch, batch):
         assert (g == g.T).all()
 
 
+@pytest.mark.parametrize("side,held,listed", [(2, 3, 2), (4, 1, 1), (5, 1 << 21, 1 << 10)])
+def test_gram_as_a_table_by_tiles(spark, monkeypatch, side, held, listed):
+    """Tiles of several sizes, pairs sent in pieces; pairs of columns go through one shuffle, once, and not mirrored."""
+    for name, value in (("SIDE", side), ("LEAST_SIDE", side), ("HELD_PAIRS", held), ("LIST_PAIRS", listed), ("BATCH_ENTRIES", 4), ("TABLE_ENTRIES", 20), ("BLOCK_ROWS", 5)):
+        monkeypatch.setattr(sparse, name, value)
+    x = X.copy()
+    x[:, 7] = 0  # a column without entries
+    for stages in ([], [nf.RowNormalization("mean", "l2"), nf.ColumnNormalization("mean", "none")]):
+        z, dense = (nf.Chain(tuple(stages)).fit_apply(m) if stages else nf.NormalizedFrame(m) for m in (coo(spark, x), nf.from_numpy(spark, x)))
+        parts = z.gram_pairs(F.col("i") % 3)
+        found = parts.table()
+        exchanges = [df._jdf.queryExecution().executedPlan().toString().count("Exchange") for df in (found, parts.pairs)]
+        assert exchanges[0] == exchanges[1]
+        got = found.collect()
+        assert sorted((r["j"], r["k"]) for r in got) == list(itertools.product(range(9), range(9)))
+        g = np.zeros((9, 9))
+        for r in got:
+            g[r["j"], r["k"]] = r["g"]
+        a = dense.toarray()
+        np.testing.assert_allclose(g, a.T @ ((np.arange(12.0) % 3)[:, None] * a), atol=1e-10)
+        assert (g == g.T).all()
+
+
+def test_pairs_are_added_up_before_they_are_sent():
+    """A place is sent once by a task that holds its pairs, in 12 bytes, and in lists of one tile and bounded length."""
+    r = np.random.default_rng(3)
+    j = r.integers(0, 40, 5000)
+    k = r.integers(j, 40)
+    g = r.integers(1, 9, 5000).astype(float)
+    want = np.zeros((48, 48))
+    np.add.at(want, (j, k), g)
+    made = [pa.RecordBatch.from_arrays([pa.array(x[a : a + 700]) for x in (j, k, g)], ["j", "k", "g"]) for a in range(0, 5000, 700)]
+    got, seen = np.zeros((48, 48)), 0
+    for batch in sparse._by_tile(iter(made), 16, 3):
+        assert [str(c.type) for c in batch.columns] == ["int64", "list<item: int32>", "list<item: double>"]
+        for tile, places, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            assert 0 < len(places) == len(sums) <= sparse.LIST_PAIRS
+            at = np.array(places)
+            got[tile // 3 * 16 + at // 16, tile % 3 * 16 + at % 16] += sums
+            seen += len(places)
+    assert (got == want).all() and seen == (want > 0).sum()
+
+
+def test_column_sums_read_entries_as_they_are_listed(spark):
+    """No dealing, and repeated entries are added up all the same."""
+    listed = spark.createDataFrame([(0, 1, 2.0), (1, 1, 3.0), (0, 1, 4.0), (2, 0, float("nan"))], "i bigint, j bigint, v double")
+    m = nf.Coo(listed.repartition(3, "i"), 4, 3, listed=listed)
+    want = nf.ColumnNormalization("mean", "none").fit(nf.Coo(listed, 4, 3)).centers
+    m.df = None
+    got = nf.ColumnNormalization("mean", "none").fit(m).centers
+    np.testing.assert_array_equal(got, want)
+    np.testing.assert_array_equal(got, [np.nan, 2.25, 0.0])
+    with pytest.raises(Exception, match="NULL in matrix column v"):
+        nf.ColumnNormalization("mean", "none").fit(nf.Coo(listed, 4, 3, listed=listed.withColumn("v", F.lit(None).cast("double"))))
+
+
 def test_weighted_sums_bring_one_number_a_column_to_the_driver(spark, monkeypatch):
     """300 columns in up to 12 blocks each: what is collected has no lists of blocks."""
     from pyspark.sql.classic.dataframe import DataFrame
